@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, sharding
+from . import line_dedup, mixing, packing, quality, sharding, topk
 
 QUERIES = {
+    "op1_topk": topk.op1_topk,
+    "op4_packing": packing.op4_packing,
     "op5_mixing": mixing.op5_mixing,
     "op7_sharding": sharding.op7_sharding,
+    "op9_quality_rules": quality.op9_quality_rules,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 
 ORACLE_SQL = {
+    "op1_topk": topk.OP1_SQL,
     "op10_line_dedup": line_dedup.OP10_SQL,
 }
