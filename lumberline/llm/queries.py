@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, packing, quality, sharding, topk
+from . import line_dedup, mixing, packing, quality, sharding, simhash, topk
 
 QUERIES = {
     "op1_topk": topk.op1_topk,
+    "op2_simhash": simhash.op2_simhash,
     "op4_packing": packing.op4_packing,
     "op5_mixing": mixing.op5_mixing,
     "op7_sharding": sharding.op7_sharding,
