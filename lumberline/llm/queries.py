@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, packing, quality, sharding, simhash, topk
+from . import line_dedup, mixing, packing, quality, sharding, simhash, substring, topk
 
 QUERIES = {
     "op1_topk": topk.op1_topk,
     "op2_simhash": simhash.op2_simhash,
+    "op3_substring": substring.op3_substring,
     "op4_packing": packing.op4_packing,
     "op5_mixing": mixing.op5_mixing,
     "op7_sharding": sharding.op7_sharding,
@@ -16,5 +17,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_topk": topk.OP1_SQL,
+    "op3_substring": substring.OP3_SQL,
     "op10_line_dedup": line_dedup.OP10_SQL,
 }
