@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, packing, quality, sharding, simhash, substring, topk
+from . import line_dedup, mixing, packing, quality, sharding, simhash, substring, topk, toxicity
 
 QUERIES = {
     "op1_topk": topk.op1_topk,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_substring": substring.op3_substring,
     "op4_packing": packing.op4_packing,
     "op5_mixing": mixing.op5_mixing,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op7_sharding": sharding.op7_sharding,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_line_dedup": line_dedup.op10_line_dedup,
