@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, packing, quality, sharding, simhash, substring, topk, toxicity
+from . import hpylm, line_dedup, mixing, packing, quality, sharding, simhash, substring, topk, toxicity
 
 QUERIES = {
     "op1_topk": topk.op1_topk,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_mixing": mixing.op5_mixing,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_sharding": sharding.op7_sharding,
+    "op8_lm_scoring": hpylm.op8_lm_scoring,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
