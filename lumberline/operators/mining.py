@@ -195,34 +195,48 @@ def mine(lines: DataFrame, config: DrainConfig = DrainConfig()) -> tuple[DataFra
     return out, templates
 
 
-def mine_in_order(contents: list[str], config: DrainConfig = DrainConfig()) -> tuple[list[int], list[str]]:
-    """The same by one pass over an ordinary tree, for tests and for small samples on the driver."""
-    root: dict = {}
-    flat: list[Cluster] = []
-    ids: list[int] = []
-    numbers: dict[int, int] = {}
-    for n, content in enumerate(contents):
+class Tree:
+    """The same by one pass over an ordinary tree: for tests, small samples and lines that arrive one by one."""
+
+    def __init__(self, config: DrainConfig = DrainConfig()):
+        self.config, self.root = config, {}
+        self.clusters: list[Cluster] = []
+        self.numbers: dict[int, int] = {}
+        self.lines = 0
+
+    def add(self, content: str) -> int:
+        """The template id of the next line."""
+        n, self.lines = self.lines, self.lines + 1
         tokens = split_tokens(content.encode()[:MINED_BYTES].decode("utf-8", "ignore"))
         if not tokens:
-            ids.append(0)
-            continue
-        node, overflow = root, False
-        path = [str(len(tokens))] + [tokens[i] if i < len(tokens) else "*" for i in range(config.depth - 2)]
+            return 0
+        node, overflow = self.root, False
+        path = [str(len(tokens))] + [tokens[i] if i < len(tokens) else "*" for i in range(self.config.depth - 2)]
         for level, key in enumerate(path):
-            if key not in node and key != "*" and len(node) - ("\u0000leaf" in node) >= config.max_children:
+            if key not in node and key != "*" and len(node) >= self.config.max_children:
                 key, overflow = "*", overflow or level > 0
             node = node.setdefault(key, {})
-        leaf = node.setdefault("\u0000leaf", Leaf(config, overflow))
-        leaf.overflow = overflow
-        leaf.memo.clear()
-        leaf.stop = 0 if len(flat) + 1 >= config.max_clusters else None
+        leaf = node.setdefault("leaf", Leaf(self.config, overflow))
+        stop = 0 if len(self.clusters) + 1 >= self.config.max_clusters else None
+        if (leaf.overflow, leaf.stop) != (overflow, stop):
+            leaf.overflow, leaf.stop = overflow, stop
+            leaf.memo.clear()
         known = len(leaf.clusters)
         birth = leaf.add(n, " ".join(tokens))
         if len(leaf.clusters) > known:
-            flat.append(leaf.clusters[-1])
-            numbers[n] = len(flat)
-        ids.append(0 if birth is None else numbers[birth])
-    return ids, [EMPTY] + [" ".join(c.template) for c in flat]
+            self.clusters.append(leaf.clusters[-1])
+            self.numbers[n] = len(self.clusters)
+        return 0 if birth is None else self.numbers[birth]
+
+    @property
+    def patterns(self) -> list[str]:
+        return [EMPTY] + [" ".join(c.template) for c in self.clusters]
+
+
+def mine_in_order(contents: list[str], config: DrainConfig = DrainConfig()) -> tuple[list[int], list[str]]:
+    """(template ids, patterns) of lines in order."""
+    tree = Tree(config)
+    return [tree.add(c) for c in contents], tree.patterns
 
 
 def template_counts(lines: DataFrame, templates: DataFrame) -> DataFrame:
@@ -237,4 +251,4 @@ def degraded(templates: DataFrame) -> DataFrame:
     return templates.where(10 * F.size(F.filter(words, lambda w: w == WILD)) > 7 * F.size(words))
 
 
-__all__ = ["DrainConfig", "degraded", "mine", "mine_in_order", "replay", "route", "template_counts"]
+__all__ = ["DrainConfig", "Tree", "degraded", "mine", "mine_in_order", "replay", "route", "template_counts"]

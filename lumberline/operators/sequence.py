@@ -5,6 +5,8 @@ Neighbours come from ``with_previous`` (chunked, one row a chunk crosses edges),
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -165,18 +167,25 @@ def keyword_at(text: Column, position: int) -> Column:
 def highlight_spans(text: Column, search: str = "", keyword: str = "", filters: list[str] | None = None) -> Column:
     """array<struct<start, stop, kind>> of matches: search before keyword before filters; a span that overlaps one of a
     higher kind is left out."""
-    import re as _re
-
     spans = F.array().cast("array<struct<start:int,stop:int,kind:string>>")
     for kind, words in (("search", [search]), ("keyword", [keyword]), ("filter", filters or [])):
-        for w in words:
-            if not w.strip():
-                continue
-            parts = F.split(text, _re.escape(w.strip()) if kind != "keyword" else f"(?i){_re.escape(w.strip())}", -1)
-            n = len(w.strip())
-            ends = F.transform(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), lambda x, i: F.lit(0))
-            starts = F.transform(ends, lambda _, i, parts=parts, n=n: F.aggregate(F.slice(parts, F.lit(1), i + 1), F.lit(0), lambda a, x: a + F.length(x)) + i * n)
-            new = F.transform(starts, lambda s, n=n, kind=kind: F.struct(s.cast("int").alias("start"), (s + n).cast("int").alias("stop"), F.lit(kind).alias("kind")))
-            kept = F.filter(new, lambda a, spans=spans: ~F.exists(spans, lambda b: (a["start"] < b["stop"]) & (b["start"] < a["stop"])))
-            spans = F.concat(spans, kept)
+        for word in words:
+            if word.strip():
+                spans = F.concat(spans, _new_spans(text, word.strip(), kind, spans))
     return F.array_sort(spans)
+
+
+def _new_spans(text: Column, word: str, kind: str, spans: Column) -> Column:
+    """Spans of the word (keywords in any case) that overlap none of ``spans``."""
+    parts = F.split(text, ("(?i)" if kind == "keyword" else "") + re.escape(word), -1)
+    places = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
+
+    def start(_: Column, i: Column) -> Column:
+        before = F.slice(parts, F.lit(1), i + 1)
+        return F.aggregate(before, F.lit(0), lambda a, x: a + F.length(x)) + i * len(word)
+
+    def span(at: Column) -> Column:
+        return F.struct(at.cast("int").alias("start"), (at + len(word)).cast("int").alias("stop"), F.lit(kind).alias("kind"))
+
+    found = F.transform(F.transform(places, start), span)
+    return F.filter(found, lambda a: ~F.exists(spans, lambda b: (a["start"] < b["stop"]) & (b["start"] < a["stop"])))

@@ -394,7 +394,7 @@ PINS = [(1, [40, 41, 42], "late"), (2, [7], "early"), (3, [99_999_999], "gone"),
 @register(
     "pins_ordered",
     f"""WITH {E_SQL}, p AS (SELECT * FROM (VALUES (1, [40, 41, 42], 'late'), (2, [7], 'early'), (3, [99999999], 'gone'), (4, [20, 25], 'mid')) v(pin_id, ns, comment)),
-x AS (SELECT pin_id, unnest(ns) AS line_no FROM p), e AS (SELECT pin_id, min(ts_ms) AS start_ms, max(ts_ms) AS end_ms, min(line_no) AS start_line FROM x JOIN l USING (line_no) GROUP BY 1)
+x AS (SELECT pin_id, CAST(unnest(ns) AS BIGINT) AS line_no FROM p), e AS (SELECT pin_id, min(ts_ms) AS start_ms, max(ts_ms) AS end_ms, min(line_no) AS start_line FROM x JOIN l USING (line_no) GROUP BY 1)
 SELECT CAST(p.pin_id AS BIGINT) AS pin_id, start_line, start_ms, end_ms, comment, row_number() OVER w AS place, start_ms - lag(end_ms) OVER w AS since_prev_ms FROM p LEFT JOIN e USING (pin_id) WINDOW w AS (ORDER BY start_ms ASC NULLS LAST, start_line NULLS FIRST, p.pin_id)""",
 )
 def pins_ordered(spark, sf_dir):

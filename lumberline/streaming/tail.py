@@ -12,7 +12,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from ..functions.formats import LogFormat, normalized
 from ..functions.masking import MaskConfig
 from ..functions.timefmt import Family, epoch_ms
-from ..operators.mining import DrainConfig, mine_in_order
+from ..operators.mining import DrainConfig, Tree
 from ..sources.text import FileChange, FileState
 
 SCHEMA = StructType([StructField("doc_id", StringType()), StructField("line_no", LongType()), StructField("text", StringType())])
@@ -94,19 +94,19 @@ class TailAnalysis:
     """
 
     def __init__(self, fmt: LogFormat, family: Family | None, header: tuple[str | None, ...] = (), config: DrainConfig = DrainConfig(), masks: MaskConfig = MaskConfig()):
-        self.fmt, self.family, self.header, self.config, self.masks = fmt, family, header, config, masks
-        self.contents: list[str] = []
+        self.fmt, self.family, self.header, self.masks = fmt, family, header, masks
+        self.tree = Tree(config)
         self.last_ms: int | None = None
         self.rows: list[tuple[int, int | None, int]] = []
-        self.templates: list[str] = []
+
+    @property
+    def templates(self) -> list[str]:
+        return self.tree.patterns
 
     def batch(self, df: DataFrame, _batch_id: int) -> None:
         parsed = normalized(df, self.fmt, self.header, self.masks)
         ms = F.coalesce(epoch_ms(F.col("text"), self.family), F.col("field_ms")) if self.family else F.col("field_ms")
         new = parsed.select("line_no", "content", ms.alias("ms")).orderBy("line_no").collect()
-        first = len(self.contents)
-        self.contents += [r["content"] for r in new]
-        ids, self.templates = mine_in_order(self.contents, self.config)
-        for r, template in zip(new, ids[first:]):
+        for r in new:
             self.last_ms = r["ms"] if r["ms"] is not None else self.last_ms
-            self.rows.append((r["line_no"], self.last_ms, template))
+            self.rows.append((r["line_no"], self.last_ms, self.tree.add(r["content"])))
