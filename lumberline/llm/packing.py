@@ -25,7 +25,7 @@ from .common import ordinal_within, seeded_hash, spool
 CAPACITY = 1024
 END_ID = 2
 #: Words whose ids a Python worker keeps.
-CACHED_WORDS = 250_000
+CACHED_WORDS = 1_200_000
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 # A space between two words starts a token by the tokenizer's own rule, unless white space stands on both its sides.
