@@ -50,7 +50,7 @@ def pfair_period(units: DataFrame, period: int) -> DataFrame:
     One row holds the whole state (a counter for each source) and is folded over the slots; ties of deadlines go to the
     first source by name.
     """
-    state = units.agg(F.sort_array(F.collect_list(F.struct("source", "units"))).alias("s"))
+    state = units.agg(F.sort_array(F.collect_list(F.struct("source", "units"))).alias("s")).where("size(s) > 0")
     deadline = f"case when x.done < x.units and (x.done * {period}) div x.units <= t then ((x.done + 1) * {period} + x.units - 1) div x.units end"
     pick = f"array_min(filter(transform(a.now, (x, i) -> struct({deadline} as due, i as i)), x -> x.due is not null)).i"
     step = f"""
