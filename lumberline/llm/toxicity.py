@@ -23,9 +23,11 @@ from pyspark.sql import functions as F
 DECAY, SPAN, POWER = 0.7, 6, 3
 LONGEST = 16
 #: Bounds of what is collected for training: strings of each kind, landmarks of each kind, texts for the sigmoid.
-POSITIVES, NEGATIVES, LANDMARKS, TEXTS = 800, 60_000, 200, 8_000
+POSITIVES, NEGATIVES, LANDMARKS, TEXTS = 800, 60_000, 100, 8_000
 #: Clean strings that a machine is trained on: the most frequent ones, others, and those that looked worst before.
 HARD = 3_000
+#: So many labels at most (some 30 MB) are broadcast; with more, labels and texts meet in a shuffled join.
+BROADCAST_LABELS = 1_000_000
 #: Texts that score less are clean.
 THRESHOLD = 0.3
 #: Strings whose decision a Python worker keeps.
@@ -36,10 +38,6 @@ _SPELLED = re.compile(r"(?<!\S)\S(?:[^\S\n]\S(?!\S)){2,}")
 _CODES = {c: i + 1 for i, c in enumerate("abcdefghijklmnopqrstuvwxyz0123456789^$")}
 
 
-def code(char: str) -> int:
-    return _CODES.get(char) or 39 + ord(char) % 25
-
-
 def windows(token: str) -> list[str]:
     """The strings of one token: letters and digits only, between marks; a long one in overlapping windows."""
     letters = _OTHER.sub("", token)
@@ -65,6 +63,9 @@ def _triples(n: int) -> tuple[np.ndarray, np.ndarray]:
     return at, DECAY ** (at[:, 2] - at[:, 0] - 2).astype(np.float64)
 
 
+_CODE_TABLE = np.array([_CODES.get(chr(i)) or 39 + i % 25 for i in range(1 << 16)], np.int32)
+
+
 def features(strings: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(positions in ``strings``, subsequence codes, weights of unit norm), strings of one length at a time.
 
@@ -77,21 +78,30 @@ def features(strings: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.nd
         at, weight = _triples(n)
         if not len(at):
             continue
+        plain = weight / np.sqrt((weight * weight).sum())
         for lo in range(0, len(members), 4096):
-            some = members[lo : lo + 4096]
-            chars = np.array([[code(c) for c in strings[i]] for i in some], np.int64)
+            some = np.array(members[lo : lo + 4096])
+            points = np.frombuffer("".join([strings[i] for i in some]).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(some), n)
+            chars = _CODE_TABLE[points & 0xFFFF]
             codes = (chars[:, at[:, 0]] * 64 + chars[:, at[:, 1]]) * 64 + chars[:, at[:, 2]]
-            order = np.argsort(codes, axis=1, kind="stable")
-            codes = np.take_along_axis(codes, order, 1)
-            w = weight[order]
-            first = np.ones(codes.shape, bool)
-            first[:, 1:] = codes[:, 1:] != codes[:, :-1]
-            group = np.cumsum(first.ravel()) - 1
-            total = np.bincount(group, w.ravel())
-            w = np.zeros(codes.size)
-            w[first.ravel()] = total
-            w = w.reshape(codes.shape)
-            yield np.array(some), codes, w / np.sqrt((w * w).sum(axis=1, keepdims=True))
+            ordered = np.sort(codes, axis=1)
+            again = (ordered[:, 1:] == ordered[:, :-1]).any(axis=1)
+            if not again.all():
+                yield some[~again], codes[~again], np.broadcast_to(plain, (int((~again).sum()), len(plain)))
+            if again.any():
+                yield some[again], *_summed(codes[again], weight)
+
+
+def _summed(codes: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and weights of unit norm of strings in which subsequences recur."""
+    order = np.argsort(codes, axis=1, kind="stable")
+    codes = np.take_along_axis(codes, order, 1)
+    first = np.ones(codes.shape, bool)
+    first[:, 1:] = codes[:, 1:] != codes[:, :-1]
+    w = np.zeros(codes.size)
+    w[first.ravel()] = np.bincount(np.cumsum(first.ravel()) - 1, weight[order].ravel())
+    w = w.reshape(codes.shape)
+    return codes, w / np.sqrt((w * w).sum(axis=1, keepdims=True))
 
 
 def landmark_table(marks: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -172,7 +182,7 @@ class Model:
         clean, toxic = decisions[labels == 0], decisions[labels == 1]
         if len(clean) and len(toxic):
             least = float(np.quantile(clean, 0.9995))
-            least += 0.1 * max(0.0, float(np.quantile(toxic, 0.05)) - least)
+            least += 0.02 * max(0.0, float(np.quantile(toxic, 0.05)) - least)
             self.offset = min(self.offset, math.log(THRESHOLD / (1 - THRESHOLD)) - self.slope * least)
 
     def decisions(self, texts: list[str | None]) -> list[float]:
@@ -237,7 +247,9 @@ def fit(labelled: DataFrame, positives: int = POSITIVES, negatives: int = NEGATI
     if not toxic:
         return Model([], np.array([]), -1.0, 1.0, -10.0)
     model = fit_words([(r["word"], r["t"]) for r in toxic], list(dict.fromkeys(r["word"] for r in clean)), landmarks)
-    sample = labelled.orderBy(F.xxhash64(F.lit(seed), "text")).limit(texts)
+    at = F.xxhash64(F.lit(seed), "text")  # the texts with the smallest hashes: only hashes are compared
+    last = labelled.select(at.alias("h")).orderBy("h").limit(texts).agg(F.max("h")).first()[0]
+    sample = labelled.where(at <= last)
 
     def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -331,6 +343,8 @@ def with_scores(df: DataFrame, model: Model, text_col: str = "text", out: str =
 def learning_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(text, label) of the labelled rows that may be learnt from: those whose crc32(doc_id as text) mod 4 is not 2."""
     by_id = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").alias("__id")).agg(F.max(F.col("toxic").cast("long")).alias("label"))
+    if by_id.count() <= BROADCAST_LABELS:
+        by_id = F.broadcast(by_id)
     return docs.where(~held_out()).join(by_id, F.col("doc_id") == F.col("__id")).select("text", "label")
 
 
