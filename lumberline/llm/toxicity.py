@@ -241,12 +241,11 @@ def fit(labelled: DataFrame, positives: int = POSITIVES, negatives: int = NEGATI
     counted = labelled.mapInArrow(words, "word string, label bigint").groupBy("word").agg(F.sum("label").alias("t"), F.count(F.lit(1)).alias("n")).withColumn("c", F.expr("n - t")).persist()
     llr = f"t * ln(t / n / {rate}) + if(c > 0, c * ln(c / n / {1 - rate}), 0)"
     toxic = counted.where(f"t >= 4 and t >= 0.6 * n and {llr} > 10").orderBy(F.expr(llr).desc(), "word").limit(positives).collect()
-    clean = counted.where("c >= 1 and t <= 0.25 * n").orderBy(F.desc("c"), "word").limit(negatives // 2).collect()
-    clean += counted.where("c >= 1 and t <= 0.25 * n").orderBy(F.xxhash64(F.lit(seed), "word")).limit(negatives // 2).collect()
+    clean = clean_words(counted.where("c >= 1 and t <= 0.25 * n"), negatives // 2, seed)
     counted.unpersist()
     if not toxic:
         return Model([], np.array([]), -1.0, 1.0, -10.0)
-    model = fit_words([(r["word"], r["t"]) for r in toxic], list(dict.fromkeys(r["word"] for r in clean)), landmarks)
+    model = fit_words([(r["word"], r["t"]) for r in toxic], clean, landmarks)
     at = F.xxhash64(F.lit(seed), "text")  # the texts with the smallest hashes: only hashes are compared
     last = labelled.select(at.alias("h")).orderBy("h").limit(texts).agg(F.max("h")).first()[0]
     sample = labelled.where(at <= last)
@@ -260,6 +259,29 @@ def fit(labelled: DataFrame, positives: int = POSITIVES, negatives: int = NEGATI
     return model
 
 
+def clean_words(words: DataFrame, half: int, seed: int) -> list[str]:
+    """About ``half`` of the most frequent words, then a random choice of about as many, without ranking words.
+
+    How many words have each count is aggregated first; the count that fewer than ``half`` words reach, and a share of
+    the hashes, then select them, so no task sends more than its share to the driver.
+    """
+    by_count = sorted(((r["c"], r["m"]) for r in words.groupBy("c").agg(F.count(F.lit(1)).alias("m")).collect()), reverse=True)
+    total, above, least = sum(m for _, m in by_count), 0, None
+    for c, m in by_count:
+        if above + m > half and least is not None:
+            break
+        above, least = above + m, c
+        if above >= half:
+            break
+    if not total:
+        return []
+    place = F.pmod(F.xxhash64(F.lit(seed), "word"), F.lit(1 << 20))
+    often = words.where(F.col("c") >= least).withColumn("p", place).where(F.col("p") < int(min(1.0, half / above) * (1 << 20)) + 1).collect()
+    chance = words.where(place < int(min(1.0, half / total) * (1 << 20)) + 1).select("word").collect()
+    ranked = [r["word"] for r in sorted(often, key=lambda r: (-r["c"], r["word"]))]
+    return list(dict.fromkeys([*ranked, *sorted(r["word"] for r in chance)]))
+
+
 def fit_words(bad: list[tuple[str, int]], pool: list[str], landmarks: int, rounds: int = 3) -> Model:
     """A machine that tells the bad words (with how many texts have each) and their disguises from the clean ones.
 
