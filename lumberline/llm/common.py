@@ -14,6 +14,7 @@ WORD_BREAKS = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 _spooled: list[tuple[SparkSession, str]] = []
+_tables: list[tuple[SparkSession, str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -49,6 +50,22 @@ def drop_spool(df: DataFrame) -> None:
             _delete(*entry)
 
 
+def temporary_table(spark: SparkSession, name: str) -> None:
+    """Have the table dropped when the driver ends."""
+    if not _tables:
+        atexit.register(clear_tables)
+    _tables.append((spark, name))
+
+
+def clear_tables() -> None:
+    while _tables:
+        spark, name = _tables.pop()
+        try:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        except Exception:  # the session may have ended before
+            return
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
