@@ -5,6 +5,10 @@ bits share a part; each part gets a threshold of its own, with all thresholds su
 two linked fingerprints are within the threshold of one part at least. A threshold of -1 leaves a part out. Thresholds
 are chosen by dynamic programming over candidate counts estimated from the parts' value histograms. Fingerprints that
 share a probed part value are compared bit by bit.
+
+With a similarity, texts are linked by the Jaccard similarity of their shingles instead. At 0.8 two fingerprints differ
+in about 10 bits of 64 and often in 18, which no part of a few bits can probe; so candidates there come from equal bands
+of minima of shingle hashes, and every link is verified on the whole shingle sets.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import spool
+from .common import drop_spool, spool
 from .components import connected_components
 
 BITS = 64
@@ -29,38 +33,139 @@ SHINGLE = 4
 LARGE_BUCKET = 16_384
 #: The cost of a probe that is written and sorted, in comparisons.
 PROBE_COST = 400
+#: Bands of minima for similarities, and minima to a band: at 0.8 two texts share no band in 5 of 100 million cases.
+BANDS, BAND_ROWS = 32, 4
+_DRAWS = np.random.default_rng(64).integers(0, 1 << 63, (2, BANDS * BAND_ROWS)).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def fingerprint(text: str | None, width: int = SHINGLE) -> int:
-    """The SimHash of a whole text; 0 for a text without words."""
+def shingle_hashes(text: str | None, width: int) -> list[int]:
+    """One hash for each run of ``width`` words (for all words of a shorter text); none for a text without words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return []
     if len(words) <= width:
-        hashes = [xxhash.xxh64_intdigest(b" ".join(words), 42)]
-    else:
-        joined = b" ".join(words)
-        ends = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
-        starts = np.concatenate(([0], ends[: len(words) - width] + 1)).tolist()
-        ends = np.concatenate((ends[width - 1 :], [len(joined)])).tolist()
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(joined[a:b], 42) for a, b in zip(starts, ends)]
+        return [xxhash.xxh64_intdigest(b" ".join(words), 42)]
+    joined = b" ".join(words)
+    ends = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
+    starts = np.concatenate(([0], ends[: len(words) - width] + 1)).tolist()
+    ends = np.concatenate((ends[width - 1 :], [len(joined)])).tolist()
+    digest = xxhash.xxh64_intdigest
+    return [digest(joined[a:b], 42) for a, b in zip(starts, ends)]
+
+
+def fingerprint(text: str | None, width: int = SHINGLE) -> int:
+    """The SimHash of a whole text; 0 for a text without words."""
+    return fingerprint_of(shingle_hashes(text, width))
+
+
+def fingerprint_of(hashes: list[int]) -> int:
+    if not hashes:
+        return 0
     bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     over = 2 * bits.sum(axis=0, dtype=np.int64) > len(hashes)
     return int(np.packbits(over, bitorder="little").view("<u8")[0])
 
 
-def with_fingerprints(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def band_keys(shingles: np.ndarray) -> np.ndarray:
+    """One key for each band: a hash of the band's number and its minima over the distinct shingles."""
+    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max)
+    for lo in range(0, len(shingles), 512):
+        least = np.minimum(least, ((shingles[lo : lo + 512, None] ^ _DRAWS[0]) * _DRAWS[1]).min(axis=0))
+    keys = np.arange(BANDS, dtype=np.uint64)
+    for column in least.reshape(BANDS, BAND_ROWS).T:
+        keys = (keys ^ column) * np.uint64(0x9E3779B97F4A7C15)
+        keys ^= keys >> np.uint64(29)
+    return keys.view(np.int64)
+
+
+def with_fingerprints(df: DataFrame, id_col: str, text_col: str, width: int = SHINGLE) -> DataFrame:
     """(id, f): f is the fingerprint's 64 bits as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(x.as_py()) for x in batch.column(1)], np.uint64).view(np.int64)
+            found = np.array([fingerprint(x.as_py(), width) for x in batch.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], ["id", "f"])
 
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id bigint, f bigint")
 
 
+def with_shingle_sets(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """(id, f, s, bands, t): the fingerprint, a hash of the set of shingles, the set's band keys, a hash of the text."""
+    schema = "id bigint, f bigint, s bigint, bands array<bigint>, t bigint"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1000):
+                part = batch.slice(lo, 1000)
+                f, s, bands = [], [], []
+                for x in part.column(1):
+                    hashes = shingle_hashes(x.as_py(), width)
+                    distinct = np.unique(np.array(hashes, np.uint64))
+                    f.append(fingerprint_of(hashes))
+                    s.append(xxhash.xxh64_intdigest(distinct.tobytes()))
+                    bands.append(band_keys(distinct) if len(distinct) else [])
+                signed = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (f, s)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *signed, pa.array(bands, pa.list_(pa.int64())), part.column(2)], ["id", "f", "s", "bands", "t"])
+
+    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("t")).mapInArrow(run, schema)
+
+
+def similar_in(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs with Jaccard ``similarity`` at least, among non-empty sets; no pair is left out.
+
+    Two such sets share one of the rarest shingles of each: only these are indexed. Sets that are connected already are
+    not compared again.
+    """
+    sizes = np.array([len(x) for x in sets])
+    owners = np.repeat(np.arange(len(sets)), sizes)
+    _, token, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(count), np.int64)
+    rank[np.argsort(count, kind="stable")] = np.arange(len(count))
+    order = np.lexsort((rank[token], owners))
+    ranked = np.split(rank[token][order], np.cumsum(sizes)[:-1])
+    prefixes = [r[: n - int(np.ceil(similarity * n - 1e-9)) + 1] for r, n in zip(ranked, sizes)]
+    prefix_owner = np.repeat(np.arange(len(sets)), [len(p) for p in prefixes])
+    flat = np.concatenate(prefixes)
+    by_token = np.argsort(flat, kind="stable")
+    flat, prefix_owner = flat[by_token], prefix_owner[by_token]
+    label, links = np.arange(len(sets)), []
+    for i, prefix in enumerate(prefixes):
+        spans = zip(np.searchsorted(flat, prefix), np.searchsorted(flat, prefix, side="right"))
+        near = np.unique(np.concatenate([prefix_owner[a:b] for a, b in spans]))
+        near = near[(near > i) & (label[near] != label[i])]
+        near = near[(sizes[near] >= similarity * sizes[i] - 1e-9) & (sizes[i] >= similarity * sizes[near] - 1e-9)]
+        for j in near:
+            if label[j] != label[i]:
+                shared = len(np.intersect1d(ranked[i], ranked[j], assume_unique=True))
+                if shared >= similarity * (sizes[i] + sizes[j] - shared) - 1e-9:
+                    links.append((i, int(j)))
+                    label[label == label[j]] = label[i]
+    return links
+
+
+def similar_links(rows: DataFrame, texts: DataFrame, similarity: float, width: int) -> DataFrame:
+    """(a, b): links between distinct shingle sets (column ``s``), enough to connect all whose similarity is reached.
+
+    Sets that share a band are gathered into groups by their keys alone, without regard to similarity; groups, which no
+    link leaves, then get one of ``texts`` for each set and compare them whole. A group's texts must fit a task's memory.
+    """
+    bands = spool(rows.where("size(bands) > 0").select("s", F.explode("bands").alias("band")).distinct())
+    hosts = bands.groupBy("band").agg(F.min("s").alias("host"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "host")
+    together = bands.join(hosts, "band").where("s <> host").select(F.col("s").alias("a"), F.col("host").alias("b")).distinct()
+    groups = connected_components(together).select(F.col("node").alias("gs"), F.col("component").alias("g"))
+    one = rows.groupBy("s").agg(F.min("t").alias("t"))  # texts of one set are alike
+    wanted = spool(groups.join(one, F.col("gs") == F.col("s")).select("s", "g", F.col("t").alias("at")))
+    drop_spool(bands)
+
+    def compare(t: pa.Table) -> pa.Table:
+        keys = t.column("s").to_pylist()
+        links = similar_in([np.unique(np.array(shingle_hashes(x.as_py(), width), np.uint64)) for x in t.column("text")], similarity)
+        return pa.table({"a": pa.array([keys[i] for i, _ in links], pa.int64()), "b": pa.array([keys[j] for _, j in links], pa.int64())})
+
+    found = texts.withColumn("t", F.xxhash64("text")).join(wanted, F.col("t") == F.col("at")).select("s", "g", "text").dropDuplicates(["s"])
+    return found.groupBy("g").applyInArrow(compare, "a bigint, b bigint")
+
+
 def bit_matrix(f: np.ndarray) -> np.ndarray:
     return np.unpackbits(f.astype("<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
 
@@ -277,25 +382,30 @@ def half_way_links(prints: DataFrame, radius: int) -> DataFrame:
     return visits.join(hosts, "at").where("f <> host").select(F.col("host").alias("a"), F.col("f").alias("b")).distinct()
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, width: int = SHINGLE, similarity: float | None = None) -> DataFrame:
     """(id, fingerprint, component): one row for each row of ``df``; component is the smallest id reachable.
 
-    Null texts count as empty, and texts without words have the fingerprint zero, which links like any other. Rows with
-    a null id get a fingerprint but neither give nor receive a component (null). Repeated ids are one node: all their
-    texts' links count. Other columns are not looked at. An empty table gives an empty result.
+    Texts are linked whose fingerprints over shingles of ``width`` words differ in ``radius`` bits at most; or, with a
+    ``similarity``, those whose sets of shingles have that Jaccard similarity at least (``radius`` is not used then).
+
+    Null texts count as empty, and texts without words have the fingerprint zero, which links like any other (with a
+    ``similarity``: to each other only). Rows with a null id get a fingerprint but neither give nor receive a component
+    (null). Repeated ids are one node: all their texts' links count. Other columns are not looked at. An empty table
+    gives an empty result.
     """
-    rows = spool(with_fingerprints(df, id_col, text_col))
+    at = "f" if similarity is None else "s"
+    rows = spool(with_fingerprints(df, id_col, text_col, width) if similarity is None else with_shingle_sets(df, id_col, text_col, width))
     known = rows.where("id is not null")
-    prints = spool(known.groupBy("f").agg(F.min("id").alias("least")))  # copies and equal fingerprints are one node
-    links = near_links(prints, radius)
-    to_id = prints.select(F.col("f").alias("pf"), F.col("least").alias("pid"))
+    prints = spool(known.groupBy(at).agg(F.min("id").alias("least")))  # copies and equal fingerprints are one node
+    links = near_links(prints, radius) if similarity is None else spool(similar_links(known, df.select(F.col(text_col).alias("text")), similarity, width))
+    to_id = prints.select(F.col(at).alias("pf"), F.col("least").alias("pid"))
     by_id = links.join(to_id, F.col("a") == F.col("pf")).select(F.col("pid").alias("a"), "b")
     by_id = by_id.join(to_id, F.col("b") == F.col("pf")).select("a", F.col("pid").alias("b"))
     several = known.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id")  # ids with several texts
-    joined = known.join(several, "id", "left_semi").join(to_id, F.col("f") == F.col("pf")).select(F.col("id").alias("a"), F.col("pid").alias("b"))
+    joined = known.join(several, "id", "left_semi").join(to_id, F.col(at) == F.col("pf")).select(F.col("id").alias("a"), F.col("pid").alias("b"))
     components = connected_components(by_id.union(joined))
-    home = prints.select("f", "least").join(components, F.col("least") == F.col("node"), "left").select(F.col("f").alias("hf"), F.coalesce("component", "least").alias("component"))
-    return rows.join(home, F.col("f") == F.col("hf"), "left").select(
+    home = prints.select(at, "least").join(components, F.col("least") == F.col("node"), "left").select(F.col(at).alias("hf"), F.coalesce("component", "least").alias("component"))
+    return rows.join(home, F.col(at) == F.col("hf"), "left").select(
         F.col("id"), F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), F.when(F.col("id").isNotNull(), F.col("component")).alias("component")
     )
 

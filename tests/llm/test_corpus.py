@@ -176,6 +176,42 @@ def test_near_duplicates_odd_rows(spark):
     assert simhash.near_duplicates(docs(spark, rows).limit(0)).count() == 0
 
 
+def test_similar_texts_are_linked_whole(spark):
+    rng = random.Random(8)
+    rows = []
+    for k in range(25):
+        base = [rng.choice("abcdefghijklmnop") + str(rng.randint(0, 99)) for _ in range(rng.randint(3, 120))]
+        for _ in range(6):
+            words = list(base)
+            for _ in range(rng.randint(0, 5)):
+                words[rng.randrange(len(words))] = "changed" + str(rng.randint(0, 9))
+            rows.append((len(rows), " ".join(words), "z"))
+    rows += [(900, None, "z"), (901, " ", "z"), (None, rows[0][1], "z")]
+    got = {r["id"]: r["component"] for r in simhash.near_duplicates(docs(spark, rows), width=5, similarity=0.8).collect()}
+    sets = {}
+    for i, t, _ in rows:
+        w = (t or "").split()
+        sets[i] = {tuple(w[p : p + 5]) for p in range(max(1, len(w) - 4))} if w else set()
+    root = {i: i for i in sets if i is not None}
+    for i in root:
+        for j in root:
+            if i < j and (sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])):
+                a, b = root[i], root[j]
+                root = {x: min(a, b) if r in (a, b) else r for x, r in root.items()}
+    assert {i: c for i, c in got.items() if i is not None} == root and got[None] is None
+    assert len(set(root.values())) < len(root) - 20
+    assert simhash.near_duplicates(docs(spark, rows).limit(0), width=5, similarity=0.8).count() == 0
+
+
+def test_near_dedup_stage_goes_by_similarity(spark):
+    import corpus_pipeline
+
+    words = [f"w{i}" for i in range(100)]
+    copy = [*words[:50], "other", *words[51:]]  # 91 of 101 shingles in common
+    rows = [(1, " ".join(words), "x"), (2, " ".join(copy), "x"), (3, " ".join(words[:70]), "x")]
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs(spark, rows), "").collect()) == [1, 3]
+
+
 def test_thresholds_are_the_cheapest():
     cost, chosen = simhash.allocate([[5.0, 50.0], [1.0, 2.0], [9.0, 90.0], [4.0, 40.0]], 4)
     assert (cost, chosen) == (20.0, [0, 1, 0, 0])
