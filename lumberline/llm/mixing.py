@@ -15,6 +15,7 @@ from .common import ordinal_within, seeded_hash, spool
 
 PERIOD = 1_000
 BLOCK_ROWS = 16
+SEED = 7
 #: Where rows without a source go.
 NO_SOURCE = ""
 
@@ -74,12 +75,14 @@ def mix_sources(
     power: float = 0.5,
     period: int = PERIOD,
     block_rows: int = BLOCK_ROWS,
-    seed: int = 7,
+    seed: int = SEED,
+    hash_col: str | None = None,
 ) -> DataFrame:
     """Every row of ``df`` with ``mix_block`` (the block within its source), ``mix_slot`` (the block's slot in the
     schedule) and ``mix_position`` (the row's 0-based place in the mixture). No row is dropped or repeated.
 
-    Rows enter their source's blocks in the order of a seeded hash of id and text. As long as no source has run out, the
+    Rows enter their source's blocks in the order of a seeded hash of id and text, or of ``hash_col`` if it is given, which
+    holds that hash (then id and text need not be there). As long as no source has run out, the
     blocks of each source in any number of first slots differ by less than one from its weight's share; when a source
     has run out its slots fall away and the others go on at their rates. Rows without a source form a source of their
     own. An empty table gives an empty result. Ties and repeated rows are kept, in any order among themselves. Columns
@@ -87,7 +90,7 @@ def mix_sources(
     ``1 / period``; more raise a ``ValueError``.
     """
     df = df.drop("mix_block", "mix_slot", "mix_position")
-    rows = df.withColumn("__source", F.coalesce(F.col(source_col).cast("string"), F.lit(NO_SOURCE))).withColumn("__hash", seeded_hash(seed, F.col(id_col), F.col(text_col)))
+    rows = df.withColumn("__source", F.coalesce(F.col(source_col).cast("string"), F.lit(NO_SOURCE))).withColumn("__hash", F.col(hash_col) if hash_col else seeded_hash(seed, F.col(id_col), F.col(text_col)))
     counts = spool(rows.groupBy(F.col("__source").alias("source")).agg(F.count(F.lit(1)).alias("rows")))
     n_sources = counts.count()
     if n_sources > period // 2:

@@ -5,6 +5,9 @@ still fits beside it. Smaller pieces then go, largest first, into the fullest se
 depend on lengths alone, and lengths are whole numbers up to the capacity; so they run on the histogram of lengths,
 which has at most ``capacity`` rows whatever the input, and give a list of layouts with multiplicities. Each piece finds
 its place by its ordinal among the pieces of its length. The result is what the algorithm gives piece by piece.
+
+A mixture of sources is packed stretch by stretch: each stretch of consecutive documents fills sequences of its own, and
+the sequences are numbered in the order of the stretches.
 """
 
 from __future__ import annotations
@@ -16,16 +19,20 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ordinal_within, seeded_hash, spool
+from .mixing import SEED, mix_sources
 
 CAPACITY = 1024
 END_ID = 2
 #: Words whose ids a Python worker keeps.
 CACHED_WORDS = 1_200_000
+#: Documents of the mixture that are packed together.
+STRETCH = 4_096
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 # A space between two words starts a token by the tokenizer's own rule, unless white space stands on both its sides.
@@ -93,12 +100,13 @@ def piece_starts(n: int, capacity: int) -> list[int]:
     return [0, *range(first, n, capacity)]
 
 
-def tokenized_pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "byte_bpe_50k.json", capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def tokenized_pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "byte_bpe_50k.json", capacity: int = CAPACITY, with_ids: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row for each piece of each document: its ids and the end id, cut only where they exceed the capacity.
 
-    A null or empty text is the end id alone. Null ids and repeated rows are kept. ``with_ids`` adds the ids themselves.
+    A null or empty text is the end id alone. Null ids and repeated rows are kept. ``with_ids`` adds the ids themselves,
+    ``keep`` these columns of ``df``.
     """
-    schema = PIECES + (", ids array<int>" if with_ids else "")
+    schema = PIECES + (", ids array<int>" if with_ids else "") + "".join(f", `{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
     end = np.array([END_ID], "<u4").tobytes()
 
     def rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -125,10 +133,12 @@ def tokenized_pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             if with_ids:
                 columns.append(pa.array(out["ids"], pa.list_(pa.int32())))
                 names.append("ids")
+            columns += [batch.column(2 + k).take(pa.array(out["i"], pa.int64())) for k in range(len(keep))]
+            names += keep
             yield pa.RecordBatch.from_arrays(columns, names)
             lo = hi
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lambda batches: (out for b in batches for out in rows(b)), schema)
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *keep).mapInArrow(lambda batches: (out for b in batches for out in rows(b)), schema)
 
 
 def pack_counts(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
@@ -223,6 +233,48 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, seed: int = 11) -> DataFra
     )
 
 
+def pack_stretches(pieces: DataFrame, capacity: int = CAPACITY, seed: int = 11) -> DataFrame:
+    """``pieces`` (with ``length`` and ``stretch``) with ``sequence_id`` and ``offset``: each stretch is packed for itself
+    as by ``pack``, and its sequences follow those of the stretches before. ``pieces`` is read several times.
+    """
+
+    def layouts(pdf: pd.DataFrame) -> pd.DataFrame:
+        places = pack_counts(dict(zip(pdf["length"].tolist(), pdf["n"].tolist())), capacity)
+        out = pd.DataFrame(places, columns=["size", "lo", "hi", "first", "each", "at"])
+        out.insert(0, "part", pdf["stretch"].iloc[0])
+        return out
+
+    histograms = pieces.groupBy("stretch", "length").agg(F.count(F.lit(1)).alias("n"))  # <= capacity rows a stretch
+    places = spool(histograms.groupBy("stretch").applyInPandas(layouts, "part bigint, size bigint, lo bigint, hi bigint, first bigint, each bigint, at bigint"))
+    used = places.groupBy("part").agg(F.max(F.expr("first + (hi - lo + each - 1) div each")).alias("n")).orderBy("part").collect()  # one row a stretch
+    base = np.cumsum([0, *[r["n"] for r in used]]).tolist()
+    bases = pieces.sparkSession.createDataFrame([(r["part"], b) for r, b in zip(used, base)], "__part bigint, __base bigint")
+    placed = places.join(F.broadcast(bases), F.col("part") == F.col("__part")).drop("__part")
+    one = Window.partitionBy("stretch", "length").orderBy(seeded_hash(seed, F.col("doc_id"), F.col("piece")))  # a stretch is small
+    ranked = pieces.withColumn("__nth", F.row_number().over(one) - 1)
+    inside = (F.col("stretch") == F.col("part")) & (F.col("length") == F.col("size")) & (F.col("__nth") >= F.col("lo")) & (F.col("__nth") < F.col("hi"))
+    return (
+        ranked.join(placed, inside)
+        .withColumn("sequence_id", F.expr("__base + first + (__nth - lo) div each"))
+        .withColumn("offset", F.expr("at + (__nth - lo) % each * size"))
+        .drop("__nth", "part", "size", "lo", "hi", "first", "each", "at", "__base")
+    )
+
+
+def pack_mixture(df: DataFrame, capacity: int = CAPACITY, tokenizer: str = "byte_bpe_50k.json", stretch: int = STRETCH, source_col: str = "source", **mix) -> DataFrame:
+    """All documents, tokenised, cut, and packed in the order of their mixture (``mix``: parameters of ``mix_sources``):
+    each ``stretch`` documents that follow one another there fill sequences of their own. One row for each piece.
+
+    The order is that of ``mix_sources`` on ``df``, found again from the sources and hashes alone: no text is shuffled.
+    """
+    rows = df.select("doc_id", "text", F.col(source_col).cast("string").alias("source"), seeded_hash(mix.get("seed", SEED), F.col("doc_id"), F.col("text")).alias("hash"))
+    rows = rows.withColumn("row", F.monotonically_increasing_id())
+    pieces = spool(tokenized_pieces(rows, tokenizer=tokenizer, capacity=capacity, keep=("source", "hash", "row")))
+    order = pieces.where("piece = 0").select("source", "hash", F.col("row").alias("__row"))
+    mixed = mix_sources(order, hash_col="hash", **mix).select("__row", F.expr(f"mix_position div {stretch}").alias("stretch"))
+    return pack_stretches(spool(pieces.join(mixed, F.col("row") == F.col("__row")).drop("source", "hash", "row", "__row")), capacity)
+
+
 def pack_documents(df: DataFrame, capacity: int = CAPACITY, tokenizer: str = "byte_bpe_50k.json", with_ids: bool = False) -> DataFrame:
     """All documents, tokenised, cut and packed: one row for each piece."""
     return pack(spool(tokenized_pieces(df, tokenizer=tokenizer, capacity=capacity, with_ids=with_ids)), capacity)

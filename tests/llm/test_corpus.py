@@ -319,6 +319,31 @@ def test_documents_are_packed(spark):
     assert packing.piece_starts(257, 128) == [0, 1, 129] and packing.piece_starts(128, 128) == [0] and packing.piece_starts(1, 128) == [0]
 
 
+def test_mixture_reaches_the_sequences(spark, monkeypatch):
+    pytest.importorskip("public_tokenizers")
+    import corpus_pipeline
+
+    rows = [(i, f"text {i} " + "word " * (i % 37), "a" if i % 4 else "b") for i in range(1200)] + [(None, "twice", "b"), (None, "twice", "b"), (5000, None, None)]
+    df = docs(spark, rows)
+    source = {i: s for i, _, s in rows}
+    heads = {}
+    for a, b in ((9, 1), (1, 9)):
+        mix = {"weights": {"a": a, "b": b}, "period": 20, "block_rows": 4}
+        monkeypatch.setattr(corpus_pipeline, "MIXTURE", mix)
+        got = corpus_pipeline.packing(spark, df, "").collect()
+        check_packing([(r["length"], r["sequence_id"], r["offset"]) for r in got], packing.CAPACITY)
+        assert Counter(r["doc_id"] for r in got if r["piece"] == 0) == Counter(i for i, _, _ in rows)
+        assert {r["sequence_id"] for r in got} == set(range(max(r["sequence_id"] for r in got) + 1))
+        mixed = {r["doc_id"]: r["mix_position"] // 100 for r in mixing.mix_sources(df, **mix).collect()}
+        got = packing.pack_mixture(df, capacity=128, stretch=100, **mix).where("doc_id is not null").collect()
+        by_sequence = sorted({(r["sequence_id"], mixed[r["doc_id"]]) for r in got})
+        assert len(by_sequence) == len({s for s, _ in by_sequence}) and [x for _, x in by_sequence] == sorted(x for _, x in by_sequence)
+        first = [source[r["doc_id"]] for r in got if mixed[r["doc_id"]] == 0]
+        heads[a] = first.count("a") / len(first)
+    assert heads[9] > 0.8 and heads[1] < 0.3
+    assert packing.pack_mixture(df.limit(0)).count() == 0
+
+
 def test_pipeline_stages_keep_columns(spark, tmp_path):
     pytest.importorskip("public_tokenizers")
     import corpus_pipeline
