@@ -2,8 +2,8 @@
 
 Each word that occurs as a context has a restaurant whose dishes are the words after it; all these restaurants share the
 unigram restaurant as their parent: each of their tables is one customer there. Given the counts, seatings are sampled
-by Gibbs steps (a customer leaves and is seated anew), and the tables' means over the samples give the averaged
-predictive probabilities.
+by blocked Gibbs steps (all customers of a dish leave and are seated anew at once, by the law that single steps tend
+to), and the tables' means over the samples give the averaged predictive probabilities.
 
 Counts never become rows. Texts lie in blocks of some megabytes. A block sends its sorted distinct keys (hashes of words
 and of word pairs), packed, to reducers by ranges of the key; these answer with the corpus counts in the same order, and
@@ -29,9 +29,10 @@ BLOCK_BYTES = 5 << 20
 #: Discount and strength of the context restaurants, and of the unigram restaurant.
 DISCOUNT, STRENGTH = 0.8, 1.0
 ROOT_DISCOUNT, ROOT_STRENGTH = 0.7, 1.0
+#: Seatings drawn for each dish, and how many draws are left out before.
 SAMPLES, BURN_IN = 2, 1
-#: Pairs with more customers are seated in growing groups instead of one by one.
-SINGLY = 24
+#: Dishes with more customers get the mean over all seatings instead of the mean over drawn ones.
+DRAWN = 128
 START = np.uint64(xxhash.xxh64_intdigest(b"\x00start") & ~1)
 END = np.uint64(xxhash.xxh64_intdigest(b"\x00end") & ~1)
 
@@ -55,65 +56,82 @@ def pair_keys(contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
 
 
 def mean_tables(keys: np.ndarray, customers: np.ndarray, pull: np.ndarray, discount: float) -> np.ndarray:
-    """The mean number of tables that serve a dish to ``customers``, over Gibbs samples of their seating.
+    """The mean number of tables that serve a dish to ``customers``, over samples of their seating.
 
     ``pull`` is the weight of a new table: (strength + discount * tables) * the parent's probability of the dish. One
-    customer sits at one table. Dishes of the same count and of like pull, which have like numbers of tables, are
-    sampled together.
+    customer sits at one table. The law of the number of tables is the one that Gibbs steps tend to: pull ** tables times
+    the generalised Stirling number. Up to ``DRAWN`` customers it is drawn from; above, its mean is taken.
     """
     tables = np.minimum(customers, 1).astype(np.float64)
-    several = np.flatnonzero((customers > 1) & (customers <= SINGLY))
-    several = several[np.lexsort((pull[several], customers[several]))]
+    several = np.flatnonzero((customers > 1) & (customers <= DRAWN))
+    several = several[np.argsort(customers[several], kind="stable")]
     ends = np.flatnonzero(np.diff(customers[several])) + 1
     for members in np.split(several, ends):
-        for lo in range(0, len(members), 8192):
-            at = members[lo : lo + 8192]
-            tables[at] = _gibbs(keys[at], int(customers[at[0]]), pull[at], discount)
-    many = np.flatnonzero(customers > SINGLY)
-    if len(many):
-        tables[many] = _in_groups(keys[many], customers[many], pull[many], discount)
+        for lo in range(0, len(members), 4096):
+            at = members[lo : lo + 4096]
+            tables[at] = _drawn(keys[at], int(customers[at[0]]), pull[at], discount)
+    many = np.flatnonzero(customers > DRAWN)
+    for lo in range(0, len(many), 2048):
+        at = many[lo : lo + 2048]
+        tables[at] = _expected(customers[at], pull[at], discount)
     return tables
 
 
-def _gibbs(keys: np.ndarray, n: int, pull: np.ndarray, discount: float) -> np.ndarray:
-    """Mean tables of ``n`` customers, from sweeps in which each of ``n`` customers in turn gets up and is seated anew.
+_stirling: dict[float, np.ndarray] = {}
 
-    All start at one table. There are as many columns as any dish has tables, and one more that is free.
-    """
-    sizes = np.zeros((len(keys), 2), np.float32)
-    sizes[:, 0] = n
-    rows, step = np.arange(len(keys)), 0
+
+def log_stirling(discount: float) -> np.ndarray:
+    """Row n, column k: the logarithm of the summed weights of the seatings of n customers at k tables, to ``DRAWN``."""
+    if discount not in _stirling:
+        out = np.full((DRAWN + 1, DRAWN + 2), -np.inf)
+        out[1, 1] = 0
+        for n in range(1, DRAWN):
+            k = np.arange(1, n + 2)
+            out[n + 1, k] = np.logaddexp(out[n, k - 1], out[n, k] + np.log(n - discount * np.minimum(k, n)))
+        _stirling[discount] = out
+    return _stirling[discount]
+
+
+def _drawn(keys: np.ndarray, n: int, pull: np.ndarray, discount: float) -> np.ndarray:
+    """Mean tables of ``n`` customers over independent draws of their seating."""
+    weight = log_stirling(discount)[n, 1 : n + 1] + np.arange(n) * np.log(pull)[:, None]
+    share = np.exp(weight - weight.max(axis=1, keepdims=True)).cumsum(axis=1)
+    share = share[:, :-1] / share[:, -1:]
     kept = np.zeros(len(keys))
-    for sweep in range(BURN_IN + SAMPLES):
-        for _ in range(n):
-            draws = mixed(keys + np.uint64(step) * np.uint64(0x9E3779B97F4A7C15))
-            step += 1
-            leave = (draws >> np.uint64(40)).astype(np.float32) * np.float32(n * 2.0**-24)
-            total = np.cumsum(sizes, axis=1)
-            sizes[rows, (total <= np.minimum(leave, n - 0.5)[:, None]).sum(axis=1)] -= 1
-            weight = np.where(sizes > 0, sizes - np.float32(discount), np.float32(0))
-            weight[rows, np.argmin(sizes, axis=1)] = pull  # a free table
-            total = np.cumsum(weight, axis=1)
-            sit = (draws & np.uint64(0xFFFFFF)).astype(np.float32) * np.float32(2.0**-24) * total[:, -1]
-            sizes[rows, np.minimum((total <= sit[:, None]).sum(axis=1), sizes.shape[1] - 1)] += 1
-            if (sizes > 0).all(axis=1).any() and sizes.shape[1] < n:
-                sizes = np.concatenate([sizes, np.zeros((len(keys), 1), np.float32)], axis=1)
-        if sweep >= BURN_IN:
-            kept += (sizes > 0).sum(axis=1)
+    for step in range(BURN_IN, BURN_IN + SAMPLES):
+        offset = np.uint64(step * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+        draws = (mixed(keys + offset) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+        kept += 1 + (share <= draws[:, None]).sum(axis=1)
     return kept / SAMPLES
 
 
-def _in_groups(keys: np.ndarray, customers: np.ndarray, pull: np.ndarray, discount: float) -> np.ndarray:
-    """The same for many customers: each next group (an eighth of those seated) opens its expected number of tables."""
-    seated, tables = np.ones(len(keys)), np.ones(len(keys))
-    left = customers.astype(np.float64) - 1
-    while (left > 0).any():
-        group = np.minimum(left, np.maximum(1, np.floor(seated / 8)))
-        tables += group * pull / (pull + seated - discount * tables)
-        tables = np.minimum(tables, seated + group)
-        seated += group
-        left -= group
-    return tables
+def _expected(customers: np.ndarray, pull: np.ndarray, discount: float, nodes: int = 48) -> np.ndarray:
+    """The mean over all seatings, without their number growing into the work.
+
+    The summed weights of all seatings of n customers are n! times the nth coefficient of exp(h(z)), with h(z) = pull *
+    (1 - (1 - z) ** discount) / discount; with the factor h(z) besides, they are those weights times the tables. Both
+    coefficients are integrals over z = exp(-s), along a parabola through the saddle point; their quotient is the mean.
+    """
+    n, pull = customers.astype(np.float64)[:, None], pull[:, None]
+    lo, hi = np.full_like(n, -60.0), np.maximum(4.0, np.log(np.log1p(pull / n) + 3))
+    for _ in range(50):
+        middle = (lo + hi) / 2
+        s = np.exp(middle)
+        low = np.log(pull) - s + (discount - 1) * np.log(-np.expm1(-s)) > np.log(n)
+        lo, hi = np.where(low, middle, lo), np.where(low, hi, middle)
+    saddle = np.maximum(np.exp(lo), 4 / n)
+    z, q = np.exp(-saddle), -np.expm1(-saddle)
+    curve = pull * z * q ** (discount - 1) * (1 + (1 - discount) * z / q)
+    width = np.minimum(np.minimum(1 / (2 * saddle * np.sqrt(curve)), 1 / np.sqrt(n * saddle)), 0.45)
+    direction = 1 + 0.25j * width * (np.arange(nodes) + 0.5)
+    s = saddle * direction**2
+    h, top = pull * (1 - (-np.expm1(-s)) ** discount) / discount, pull * (1 - q**discount) / discount
+    # the constant 1 of exp(h) has no nth coefficient: leaving it out keeps small pulls exact
+    small = top < 30
+    whole = np.where(small, np.expm1(np.where(small, h, 0)) * np.exp(-np.where(small, top, 0)), np.exp(np.where(small, 0, h - top)))
+    path = np.exp(n * (s - saddle)) * direction
+    mean = (h * np.exp(h - top) * path).real.sum(axis=1) / (whole * path).real.sum(axis=1)
+    return np.clip(mean, 1.0, customers)
 
 
 class Block:

@@ -34,6 +34,26 @@ def test_gibbs_means_equal_enumeration(monkeypatch):
         assert got == pytest.approx(exact(n, pull, 0.8), rel=0.02)
 
 
+@pytest.mark.parametrize("discount", [0.7, 0.8])
+def test_seating_has_one_law_at_all_counts(monkeypatch, discount):
+    def exact(n, pull):
+        weights = np.array([1.0])  # of 1, 2, .. tables, by adding customers one by one
+        for m in range(1, n):
+            k = np.arange(1, m + 1)
+            weights = np.append(weights * (m - discount * k), 0) + np.append(0, weights * pull)
+            weights /= weights.sum()
+        return (weights * np.arange(1, n + 1)).sum()
+
+    monkeypatch.setattr(hpylm, "SAMPLES", 20)
+    keys = np.random.default_rng(3).integers(0, 2**63, 2000).astype(np.uint64)
+    for n in (24, 25, 60, hpylm.DRAWN, hpylm.DRAWN + 1, 400, 1500):
+        for pull in (1e-3, 0.5, 3.0, 40.0, 900.0):
+            got = hpylm.mean_tables(keys, np.full(2000, n), np.full(2000, pull), discount).mean()
+            assert got == pytest.approx(exact(n, pull), rel=0.01), (n, pull)
+    huge = hpylm.mean_tables(keys[:2], np.array([10**9, 10**9]), np.array([3.0, 1e-7]), discount)
+    assert huge == pytest.approx([1 + 3 / discount, 1], rel=1e-3)
+
+
 def test_lm_counts_and_probabilities(spark):
     rng = random.Random(3)
     words = ["Ab", "cd", "ef", "GH", "ij", "klÄ"]
