@@ -77,6 +77,11 @@ def mean_tables(keys: np.ndarray, customers: np.ndarray, pull: np.ndarray, disco
     return tables
 
 
+def root_pull(tables: float, n_words: float) -> float:
+    """The weight of a new table in the unigram restaurant, whose parent is uniform over the words and an unknown one."""
+    return (ROOT_STRENGTH + ROOT_DISCOUNT * tables) / (n_words + 1)
+
+
 _stirling: dict[float, np.ndarray] = {}
 
 
@@ -316,26 +321,29 @@ def score_texts(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         parts = [(r, 0, pack_sorted(keys[at[r] : at[r + 1]]), b"".join(planes(s[at[r] : at[r + 1]], "<f4") for s in sums), b"") for r in range(ranges) if at[r] < at[r + 1]]
         return packed(g, [*parts, (-1, 5, None, planes(all_tables, "<f4"), b"")])
 
-    def add_tables(t: pa.Table) -> pa.Table:
+    def add_tables(t: pa.Table, root_tables: float, totals_only: bool = False) -> pa.Table:
         senders, keys, _, place, _ = merge(t)
         r = t.column("r")[0].as_py()
         sent = [np.frombuffer(x.as_py(), np.uint8) for x in t.column("values")]
         halves = [[from_planes(x[: len(x) // 2].tobytes(), "<f4") for x in sent], [from_planes(x[len(x) // 2 :].tobytes(), "<f4") for x in sent]]
         in_context, customers = (np.bincount(place, np.concatenate(h)) for h in halves)
-        tables = mean_tables(keys, np.rint(customers).astype(np.int64), np.full(len(keys), ROOT_STRENGTH / (n_words + 1)), ROOT_DISCOUNT)
+        tables = mean_tables(keys, np.rint(customers).astype(np.int64), np.full(len(keys), root_pull(root_tables, n_words)), ROOT_DISCOUNT)
         own = np.maximum(customers - ROOT_DISCOUNT * tables, 0.0)
         out, at = [], 0
-        for g, n in senders:
+        for g, n in [] if totals_only else senders:
             some = place[at : at + n]
             out.append(packed(g, [(r, 3, None, planes(in_context[some], "<f4") + planes(own[some], "<f4"), b"")]))
             at += n
-        out.append(packed(-1, [(r, 4, None, np.array([customers.sum(), own.sum()], "<f8").tobytes(), b"")]))
+        out.append(packed(-1, [(r, 4, None, np.array([customers.sum(), own.sum(), tables.sum()], "<f8").tobytes(), b"")]))
         return pa.concat_tables(out)
 
     by_block = table.groupBy("g")
     sent = spool(by_block.cogroup(counts.where("kind = 1").groupBy("g")).applyInArrow(send_tables, MESSAGE))
-    tables = spool(sent.where("kind = 0").groupBy("r").applyInArrow(add_tables, MESSAGE))
-    n_customers, own_mass = totals_of(tables, "<f8", 2)
+    of_root = sent.where("kind = 0").groupBy("r")
+    # each word has one table at least; the tables seated with that pull give the pull of the seating that counts
+    root_tables = totals_of(of_root.applyInArrow(lambda t: add_tables(t, n_words, True), MESSAGE), "<f8", 3)[2]
+    tables = spool(of_root.applyInArrow(lambda t: add_tables(t, root_tables), MESSAGE))
+    n_customers, own_mass, _ = totals_of(tables, "<f8", 3)
     known_share = 1 / (ROOT_STRENGTH + n_customers)
     spare = (ROOT_STRENGTH + n_customers - own_mass) * known_share / (n_words + 1)
 

@@ -83,6 +83,47 @@ def test_lm_probabilities_sum_to_one(spark):
     assert 0 < starts < 1 and all(np.isfinite(list(got.values())))
 
 
+def test_lm_root_tables_count_in_its_pull(spark):
+    """All scores of a small corpus, by hand."""
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("abcdefghijklmno") for _ in range(8)) for _ in range(80)]
+    tokens = [hpylm.word_keys(t.encode().split()) for t in [*texts, "zzz", "a zzz"]]
+    pairs = [list(zip([hpylm.START, *ws[:-1]], ws)) for ws in tokens]
+    c_word = Counter(w for ws in tokens[:80] for w in ws)
+    c_pair = Counter(p for ps in pairs[:80] for p in ps)
+    c_context = c_word + Counter({hpylm.START: 80})
+    n, v = sum(c_word.values()), len(c_word)
+
+    def mean(key, customers, pull, discount):
+        return float(hpylm.mean_tables(np.array([key], np.uint64), np.array([customers]), np.array([pull]), discount)[0])
+
+    def key(p):
+        return hpylm.pair_keys(np.array([p[0]]), np.array([p[1]]))[0]
+
+    share = len(c_pair) / n
+    t_pair = {p: mean(key(p), c, (hpylm.STRENGTH + hpylm.DISCOUNT * share * c_context[p[0]]) * (c_word[p[1]] + 1) / (n + v + 1), hpylm.DISCOUNT) for p, c in c_pair.items()}
+    t_context, customers = Counter(), Counter()
+    for p, t in t_pair.items():
+        t_context[p[0]] += t
+        customers[p[1]] += t
+    total = v
+    for _ in range(2):
+        tables = {w: mean(w, round(c), (hpylm.ROOT_STRENGTH + hpylm.ROOT_DISCOUNT * total) / (v + 1), hpylm.ROOT_DISCOUNT) for w, c in customers.items()}
+        total = sum(tables.values())
+    assert total > 1.5 * v
+    everyone = sum(customers.values())
+
+    def log_p(p):
+        own = customers[p[1]] - hpylm.ROOT_DISCOUNT * tables[p[1]] if p[1] in tables else 0
+        root = (own + (hpylm.ROOT_STRENGTH + hpylm.ROOT_DISCOUNT * total) / (v + 1)) / (hpylm.ROOT_STRENGTH + everyone)
+        seated = max(c_pair[p] - hpylm.DISCOUNT * t_pair.get(p, 0), 0)
+        return math.log10((seated + (hpylm.STRENGTH + hpylm.DISCOUNT * t_context[p[0]]) * root) / (hpylm.STRENGTH + c_context[p[0]]))
+
+    rows = [(i, i < 80, t) for i, t in enumerate([*texts, "zzz", "a zzz"])]
+    got = {r["id"]: r["score"] for r in hpylm.score_texts(spark.createDataFrame(rows, "id bigint, learn boolean, text string")).collect()}
+    assert [got[i] for i in range(82)] == pytest.approx([sum(map(log_p, ps)) for ps in pairs], rel=1e-4)
+
+
 def test_empty_tables(spark):
     assert hpylm.score_texts(spark.createDataFrame([], "id bigint, learn boolean, text string")).count() == 0
     none = spark.createDataFrame([(1, False, "a b")], "id bigint, learn boolean, text string")
