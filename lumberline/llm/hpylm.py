@@ -29,8 +29,8 @@ BLOCK_BYTES = 5 << 20
 #: Discount and strength of the context restaurants, and of the unigram restaurant.
 DISCOUNT, STRENGTH = 0.8, 1.0
 ROOT_DISCOUNT, ROOT_STRENGTH = 0.7, 1.0
-#: Seatings drawn for each dish, and how many draws are left out before.
-SAMPLES, BURN_IN = 2, 1
+#: Seatings drawn for each dish, and how many draws are left out before: none need be, each draw is from the law itself.
+SAMPLES, BURN_IN = 5, 0
 #: Dishes with more customers get the mean over all seatings instead of the mean over drawn ones.
 DRAWN = 128
 START = np.uint64(xxhash.xxh64_intdigest(b"\x00start") & ~1)

@@ -34,6 +34,14 @@ def test_gibbs_means_equal_enumeration(monkeypatch):
         assert got == pytest.approx(exact(n, pull, 0.8), rel=0.02)
 
 
+def test_seating_as_shipped_has_mixed():
+    assert hpylm.SAMPLES >= 3
+    keys = np.random.default_rng(2).integers(0, 2**63, 20_000).astype(np.uint64)
+    got = hpylm.mean_tables(keys, np.full(20_000, 24), np.full(20_000, 3.0), 0.8)
+    assert got.mean() == pytest.approx(5.15, abs=0.1)  # 4.1 after two sweeps from one table
+    assert got.std() < 1.2  # of one seating: 1.9
+
+
 @pytest.mark.parametrize("discount", [0.7, 0.8])
 def test_seating_has_one_law_at_all_counts(monkeypatch, discount):
     def exact(n, pull):
