@@ -8,7 +8,10 @@ period is scheduled (a fold over Q slots, in SQL) and all blocks of the table ta
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import heapq
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import ordinal_within, seeded_hash, spool
@@ -16,31 +19,86 @@ from .common import ordinal_within, seeded_hash, spool
 PERIOD = 1_000
 BLOCK_ROWS = 16
 SEED = 7
+#: Units of the lightest source in a period that is chosen, and the longest such period for fewer than a tenth as many sources.
+LEAST_UNITS, LONGEST = 10, 1 << 22
+#: Slots times sources up to which SQL schedules a period; above, the driver does, with heaps.
+FOLDED = 500_000
 #: Where rows without a source go.
 NO_SOURCE = ""
 
 
+def _weight(weights: dict[str, float] | None, power: float) -> Column:
+    if not weights:
+        return F.pow(F.col("rows").cast("double"), F.lit(power))
+    named = F.create_map(*[F.lit(x) for pair in weights.items() for x in pair])
+    return F.coalesce(F.element_at(named, F.col("source")), F.lit(min(weights.values()))).cast("double")
+
+
+def chosen_period(counts: DataFrame, weights: dict[str, float] | None, power: float) -> int:
+    """So many slots that the lightest source has LEAST_UNITS of them, between PERIOD and LONGEST (or 10 a source)."""
+    n, least, total = counts.select(_weight(weights, power).alias("w")).agg(F.count(F.lit(1)), F.min("w"), F.sum("w")).first()
+    wanted = LEAST_UNITS * total / least if n and least > 0 else PERIOD
+    return max(PERIOD, min(-int(-wanted // 1), max(LONGEST, 10 * n)))
+
+
+def scheduled_by_driver(counts: DataFrame, weights: dict[str, float] | None, power: float, period: int) -> DataFrame:
+    """What ``target_units`` and ``pfair_period`` give, for many sources: one row for each source comes to the driver."""
+    rows = counts.select("source", _weight(weights, power).alias("w")).collect()
+    rows = sorted(((r["source"], r["w"]) for r in rows), key=lambda r: r[0].encode())
+    total, n = sum(w for _, w in rows), len(rows)
+    base = 0 if min(w for _, w in rows) / total * period >= 1 else 1
+    exact = [w / total * (period - base * n) for _, w in rows]
+    units = [base + int(x) for x in exact]
+    for i in sorted(range(n), key=lambda i: (int(exact[i]) - exact[i], i))[: period - sum(units)]:
+        units[i] += 1
+    picked = pfair_slots(units, period)
+    done, nth = [0] * n, []
+    for i in picked:
+        nth.append(done[i])
+        done[i] += 1
+    names = pa.array([s for s, _ in rows], pa.string())
+    at = pa.array(picked, pa.int64())
+    columns = {"source": names.take(at), "units": pa.array(units, pa.int64()).take(at), "nth": pa.array(nth, pa.int32()), "slot": pa.array(range(period), pa.int64())}
+    return counts.sparkSession.createDataFrame(pa.table(columns))
+
+
+def pfair_slots(units: list[int], period: int) -> list[int]:
+    """The source of each slot by earliest deadline first; ties go to the first source."""
+    later = [(0, i) for i in range(len(units))]  # (first slot allowed, source)
+    ready: list[tuple[int, int]] = []  # (deadline, source)
+    done, picked = [0] * len(units), []
+    for t in range(period):
+        while later and later[0][0] <= t:
+            i = heapq.heappop(later)[1]
+            heapq.heappush(ready, (-(-(done[i] + 1) * period // units[i]), i))
+        i = heapq.heappop(ready)[1]
+        picked.append(i)
+        done[i] += 1
+        if done[i] < units[i]:
+            heapq.heappush(later, (done[i] * period // units[i], i))
+    return picked
+
+
 def target_units(counts: DataFrame, weights: dict[str, float] | None, power: float, period: int) -> DataFrame:
-    """(source, units): the weights as whole units, ``period`` in all, by largest remainder; each source has one at least.
+    """(source, units): the weights as whole units, ``period`` in all, by largest remainder. If a source would have less
+    than one, each first takes one and the weights share out the others.
 
     Without ``weights`` a source weighs its row count to ``power``; sources that ``weights`` leaves out weigh as the
     lightest one named. There is one row for each source.
     """
-    if weights:
-        named = F.create_map(*[F.lit(x) for pair in weights.items() for x in pair])
-        weight = F.coalesce(F.element_at(named, F.col("source")), F.lit(min(weights.values()))).cast("double")
-    else:
-        weight = F.pow(F.col("rows").cast("double"), F.lit(power))
+    weight = _weight(weights, power)
     weighed = F.sort_array(F.collect_list(F.struct("source", weight.alias("weight"))))
-    spare = F.expr(f"{period} - size(w)")
+    whole = f"(array_min(transform(w, x -> x.weight)) / total * {period} >= 1)"
+    spare = F.expr(f"{period} - if({whole}, 0, size(w))")
     return (
         counts.agg(weighed.alias("w"))
         .withColumn("total", F.expr("aggregate(w, cast(0 as double), (a, x) -> a + x.weight)"))
         .withColumn("spare", spare)
+        .withColumn("period_base", F.expr(f"if({whole}, 0, 1)"))
         .withColumn("exact", F.expr("transform(w, x -> struct(x.source as source, x.weight / total * spare as share))"))
         .withColumn("left", F.expr("cast(spare - aggregate(exact, cast(0 as bigint), (a, x) -> a + cast(floor(x.share) as bigint)) as int)"))
         .withColumn("first", F.expr("slice(transform(array_sort(exact, (a, b) -> case when a.share - floor(a.share) > b.share - floor(b.share) then -1 when a.share - floor(a.share) < b.share - floor(b.share) then 1 when a.source < b.source then -1 else 1 end), x -> x.source), 1, left)"))
-        .select(F.explode(F.expr("transform(exact, x -> struct(x.source as source, 1 + cast(floor(x.share) as bigint) + if(array_contains(first, x.source), 1, 0) as units))")).alias("u"))
+        .select(F.explode(F.expr("transform(exact, x -> struct(x.source as source, period_base + cast(floor(x.share) as bigint) + if(array_contains(first, x.source), 1, 0) as units))")).alias("u"))
         .select("u.source", "u.units")
     )
 
@@ -73,7 +131,7 @@ def mix_sources(
     text_col: str = "text",
     weights: dict[str, float] | None = None,
     power: float = 0.5,
-    period: int = PERIOD,
+    period: int | None = None,
     block_rows: int = BLOCK_ROWS,
     seed: int = SEED,
     hash_col: str | None = None,
@@ -86,17 +144,24 @@ def mix_sources(
     blocks of each source in any number of first slots differ by less than one from its weight's share; when a source
     has run out its slots fall away and the others go on at their rates. Rows without a source form a source of their
     own. An empty table gives an empty result. Ties and repeated rows are kept, in any order among themselves. Columns
-    that bear the new names are replaced. There may be up to ``period`` / 2 sources: the weights are whole units of
-    ``1 / period``; more raise a ``ValueError``.
+    that bear the new names are replaced. The weights are whole units of ``1 / period``. Without a ``period`` it
+    is chosen by the weights, for any number of sources; with one, more than ``period`` / 2 sources raise a
+    ``ValueError``.
     """
     df = df.drop("mix_block", "mix_slot", "mix_position")
     rows = df.withColumn("__source", F.coalesce(F.col(source_col).cast("string"), F.lit(NO_SOURCE))).withColumn("__hash", F.col(hash_col) if hash_col else seeded_hash(seed, F.col(id_col), F.col(text_col)))
     counts = spool(rows.groupBy(F.col("__source").alias("source")).agg(F.count(F.lit(1)).alias("rows")))
     n_sources = counts.count()
-    if n_sources > period // 2:
+    if period is None:
+        period = chosen_period(counts, weights, power)
+    elif n_sources > period // 2:
         raise ValueError(f"{n_sources} sources are too many for weights in units of 1/{period}")
-    units = spool(target_units(counts, weights, power, period))
-    schedule = spool(pfair_period(units, period))  # at most `period` rows; the fold runs once
+    if n_sources * period <= FOLDED:
+        units = spool(target_units(counts, weights, power, period))
+        schedule = spool(pfair_period(units, period))  # at most `period` rows; the fold runs once
+    else:
+        schedule = spool(scheduled_by_driver(counts, weights, power, period))
+        units = schedule.select("source", "units").distinct()
     numbered = ordinal_within(rows, "__source", "__hash", "__ordinal")
     numbered = numbered.withColumn("mix_block", F.expr(f"__ordinal div {block_rows}"))
     quota = units.join(counts, "source").select("source", F.col("units").alias("q"), F.col("rows").alias("n"))
@@ -105,9 +170,11 @@ def mix_sources(
 
 
 def _with_schedule(numbered: DataFrame, schedule: DataFrame, period: int) -> DataFrame:
-    """The block's slot: whole periods before it, and its place in the period; at most ``period`` rows are broadcast."""
+    """The block's slot: whole periods before it, and its place in the period; periods up to 2 ** 20 slots are broadcast."""
     by_source = schedule.groupBy(F.col("source").alias("__s")).agg(F.first("units").alias("__q"), F.sort_array(F.collect_list("slot")).alias("__slots"))
-    out = numbered.join(F.broadcast(by_source), F.col("__source") == F.col("__s"))
+    if period <= 1 << 20:
+        by_source = F.broadcast(by_source)
+    out = numbered.join(by_source, F.col("__source") == F.col("__s"))
     out = out.withColumn("__cycle", F.expr("mix_block div __q")).withColumn("__slot", F.expr("__slots[cast(mix_block % __q as int)]"))
     return out.withColumn("mix_slot", F.col("__cycle") * period + F.col("__slot")).drop("__s", "__q", "__slots")
 

@@ -96,6 +96,23 @@ def test_mixing_odd_rows(spark):
         mixing.mix_sources(docs(spark, [(i, "t", f"s{i}") for i in range(30)]), period=40)
 
 
+def test_mixing_of_many_sources(spark):
+    assert mixing.pfair_slots([5, 3, 2], 10) == ["abc".index(s) for s in edf({"a": 5, "b": 3, "c": 2}, 10)]
+    counts = spark.createDataFrame([(f"s{i:03}", 1) for i in range(300)], "source string, rows bigint")
+    weights = {f"s{i:03}": 150.0 if i == 0 else 1.0 for i in range(300)}
+    period = mixing.chosen_period(counts, weights, 0.5)
+    for found in (mixing.target_units(counts, weights, 0.5, period), mixing.scheduled_by_driver(counts, weights, 0.5, period)):
+        units = {r["source"]: r["units"] for r in found.select("source", "units").distinct().collect()}
+        assert len(units) == 300 and sum(units.values()) == period
+        assert all(abs(units[s] - w / 449 * period) < 1 for s, w in weights.items())
+    rows = [(i, f"t{i}", f"s{i % 600}") for i in range(1800)]
+    got = mixing.mix_sources(docs(spark, rows), block_rows=1).collect()
+    assert sorted(r["mix_position"] for r in got) == list(range(1800))
+    for n in (600, 1200):  # the same weight for all: one block of each source in each 600 slots, give or take one
+        seen = Counter(r["source"] for r in got if r["mix_slot"] < n)
+        assert all(abs(seen[f"s{i}"] - n / 600) < 1 for i in range(600))
+
+
 def test_ordinals_without_hot_tasks(spark):
     df = spark.createDataFrame([(k, h * 10**15 - 9 * 10**18) for k, n in (("a", 500), (None, 300), ("b", 1)) for h in range(n)], "k string, h bigint")
     got = common.ordinal_within(df, "k", "h", "o", rows_per_task=50).collect()
