@@ -15,9 +15,17 @@ from pyspark.sql import functions as F
 BROADCAST_LINES = 200_000
 
 
-def line_key(line: Column) -> Column:
-    """Two 64-bit hashes of the line without outer white space, as one string."""
-    line = F.trim(line)
+#: All that counts as white space around a line, if spaces alone are not to be.
+BLANKS = " \t\x0b\x0c\x1c\x1d\x1e\x1f\x85\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
+def trimmed(line: Column, blanks: str = " ") -> Column:
+    return F.trim(line) if blanks == " " else F.trim(line, F.lit(blanks))
+
+
+def line_key(line: Column, blanks: str = " ") -> Column:
+    """Two 64-bit hashes of the line without outer ``blanks``, as one string."""
+    line = trimmed(line, blanks)
     return F.concat_ws(":", F.xxhash64(line).cast("string"), F.xxhash64(F.lit(1), line).cast("string"))
 
 
@@ -34,11 +42,13 @@ def line_dedup(
     min_pages: int = 5,
     distinct_pages: bool = False,
     broadcast_lines: int = BROADCAST_LINES,
+    blanks: str = " ",
 ) -> DataFrame:
     """``df`` with ``text_col`` reduced to its kept lines, and ``n_lines``, ``n_dropped``.
 
     A line is dropped from the pages of a host if more than ``max_ratio`` of the host's pages, and ``min_pages`` of them
-    at least, contain it. Lines are compared without outer white space; blank lines are neither counted nor dropped.
+    at least, contain it; on hosts of few pages ``min_pages`` decides. Lines are compared without outer ``blanks`` (each
+    character of it; ``BLANKS`` has all white space); blank lines are neither counted nor dropped.
     With ``distinct_pages`` pages of one host with the same text count as one page, so that a page copied many times
     over is not taken for boilerplate. Rows without a host or text are returned unchanged (``n_dropped`` 0, ``n_lines``
     0 for a null text). Repeated ids need no care: rows never meet by id. Columns named ``n_lines`` or ``n_dropped`` are
@@ -46,9 +56,9 @@ def line_dedup(
     """
     df = df.drop("n_lines", "n_dropped")
     host, text = F.col(host_col), F.col(text_col)
-    filled = F.filter(page_lines(text), lambda x: F.trim(x) != "")
+    filled = F.filter(page_lines(text), lambda x: trimmed(x, blanks) != "")
     pages = df.where(host.isNotNull() & text.isNotNull()).select(
-        host.alias("__host"), F.xxhash64(text).alias("__p1"), F.xxhash64(F.lit(1), text).alias("__p2"), F.array_distinct(F.transform(filled, line_key)).alias("__keys")
+        host.alias("__host"), F.xxhash64(text).alias("__p1"), F.xxhash64(F.lit(1), text).alias("__p2"), F.array_distinct(F.transform(filled, lambda x: line_key(x, blanks))).alias("__keys")
     )
     if distinct_pages:
         pages = pages.groupBy("__host", "__p1", "__p2").agg(F.first("__keys").alias("__keys"))
@@ -63,7 +73,7 @@ def line_dedup(
         by_host = F.broadcast(by_host)
     joined = df.join(by_host, host == F.col("__host"), "left")
     lines = page_lines(text)
-    kept = F.filter(lines, lambda x: ~F.array_contains(F.col("__over"), line_key(x)) | (F.trim(x) == ""))
+    kept = F.filter(lines, lambda x: ~F.array_contains(F.col("__over"), line_key(x, blanks)) | (trimmed(x, blanks) == ""))
     untouched = F.col("__over").isNull() | text.isNull()
     n_lines = F.when(text.isNull(), 0).otherwise(F.size(lines)).cast("long")
     out = joined.withColumn("__kept", F.when(~untouched, kept)).withColumn("n_lines", n_lines)

@@ -58,6 +58,16 @@ def test_line_dedup(spark):
     assert line_dedup.line_dedup(copies.limit(0), "doc_id", "source", "text").count() == 0
 
 
+def test_boilerplate_of_small_sources(spark):
+    import corpus_pipeline
+
+    rows = [(i, f"own {i}" + ("\nshared" + "\t\u00a0" * (i % 2) if i < 4 else ""), "small") for i in range(15)]
+    rows += [(20 + i, f"menu\ntext {i}", "tiny") for i in range(2)] + [(30, "menu\nalone", "single")]
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.boilerplate_lines(spark, docs(spark, rows), "").collect()}
+    assert [got[i] for i in range(15)] == [f"own {i}" for i in range(15)]
+    assert (got[20], got[21], got[30]) == ("text 0", "text 1", "menu\nalone")
+
+
 def edf(units, period):
     """Earliest deadline first by hand."""
     done, out = dict.fromkeys(units, 0), []
