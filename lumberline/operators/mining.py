@@ -141,9 +141,11 @@ def replay(routed: DataFrame, config: DrainConfig, stops: DataFrame | None = Non
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, leaf = None, None
 
-        def finals() -> pd.DataFrame:
+        def finals() -> Iterator[pd.DataFrame]:
             c = leaf.clusters
-            return pd.DataFrame({"doc_id": [at[0]] * len(c), "line_no": pd.array([None] * len(c), "Int64"), "birth": pd.array([x.birth for x in c], "Int64"), "template": [" ".join(x.template) for x in c]})
+            if not c:  # births were forbidden before its first line
+                return
+            yield pd.DataFrame({"doc_id": [at[0]] * len(c), "line_no": pd.array([None] * len(c), "Int64"), "birth": pd.array([x.birth for x in c], "Int64"), "template": [" ".join(x.template) for x in c]})
 
         for pdf in batches:
             births = []
@@ -151,7 +153,7 @@ def replay(routed: DataFrame, config: DrainConfig, stops: DataFrame | None = Non
             for doc, key, overflow, line, content, stop in zip(pdf["doc_id"], pdf["leaf"], pdf["overflow"], pdf["line_no"], pdf["content"], pdf["stop"]):
                 if (doc, key) != at:
                     if leaf is not None:
-                        done.append(finals())
+                        done += finals()
                     at, leaf = (doc, key), Leaf(config, False, None if pd.isna(stop) else int(stop))
                 if leaf.overflow != bool(overflow):
                     leaf.overflow = bool(overflow)
@@ -160,7 +162,7 @@ def replay(routed: DataFrame, config: DrainConfig, stops: DataFrame | None = Non
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "line_no": pd.array(pdf["line_no"], "Int64"), "birth": pd.array(births, "Int64"), "template": None})
             yield from done
         if leaf is not None:
-            yield finals()
+            yield from finals()
 
     dealt = rows.repartition("doc_id", "leaf").sortWithinPartitions("doc_id", "leaf", "line_no")
     return dealt.mapInPandas(run, f"doc_id {kind}, line_no bigint, birth bigint, template string")
