@@ -13,6 +13,7 @@ the sequences are numbered in the order of the stretches.
 from __future__ import annotations
 
 import bisect
+import json
 import os
 import re
 import zlib
@@ -21,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,23 +31,105 @@ from .mixing import SEED, mix_sources
 
 CAPACITY = 1024
 END_ID = 2
-#: Words whose ids a Python worker keeps.
-CACHED_WORDS = 1_200_000
+#: Characters of text that a worker encodes at a time, and of the longest word that it merges itself.
+BATCH_CHARS, _LONGEST = 1 << 23, 48
 #: Documents of the mixture that are packed together.
 STRETCH = 4_096
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 # A space between two words starts a token by the tokenizer's own rule, unless white space stands on both its sides.
-_NOT_SPLITTABLE = re.compile(r"\s (?:\s|\Z)")
+_NOT_SPLITTABLE = re.compile(r"(?<=\s) (?:\s|\Z)").search
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
+_PLAIN = re.compile(f"[{_LETTERS}0-9!-/:-@\\[-`{{-~ \n]*").fullmatch
+# Fixed value: how the tokenizer splits a text of these characters.
+_PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^\\s{_LETTERS}0-9]+|\\s+(?!\\S)|\\s+").findall
+_NO_RANK = np.iinfo(np.int32).max
 _SPECIAL = "<|endoftext|>"
 
 
+class BytePairs:
+    """Byte-level BPE of many short strings at once: each round merges the lowest-ranked pair of every string.
+
+    Made from a tokenizer file whose merges have the ids after the 256 bytes, in order. Strings of one length form a
+    matrix; a merge takes one column from each row, so rows of a matrix stay of one length, and a row is done when none
+    of its pairs has a rank.
+    """
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        vocab = model["vocab"]
+        merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        merged = np.array([(vocab[a], vocab[b], vocab[a + b]) for a, b in merges], np.int64).reshape(-1, 3)
+        keys = merged[:, 0] << 32 | merged[:, 1]
+        order = np.argsort(keys)
+        self.pairs, self.ranks, self.ids = keys[order], order.astype(np.int32), merged[:, 2].astype(np.int32)
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]  # these bytes stand for themselves
+        chars = dict.fromkeys(printable)
+        other = (chr(256 + i) for i in range(256))
+        self.bytes = np.array([vocab[chr(b) if b in chars else next(other)] for b in range(256)], np.int32)
+
+    def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        keys = a.astype(np.int64) << 32 | b
+        at = np.searchsorted(self.pairs, keys)
+        at[at == len(self.pairs)] = 0
+        return np.where(self.pairs[at] == keys, self.ranks[at], _NO_RANK)
+
+    def encode(self, strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, where each string's start; one more for the end)."""
+        lengths = np.fromiter(map(len, strings), np.int64, len(strings))
+        flat = np.frombuffer(b"".join(strings), np.uint8)
+        starts = np.r_[0, np.cumsum(lengths)]
+        sizes, found = np.zeros(len(strings), np.int64), []
+        order = np.argsort(lengths, kind="stable")
+        groups = np.split(order, np.flatnonzero(np.diff(lengths[order])) + 1) if len(order) else []
+        for group in groups:
+            n = int(lengths[group[0]])
+            for lo in range(0, len(group) if n else 0, 1 << 15):
+                members = group[lo : lo + (1 << 15)]
+                ids = self.bytes[flat[starts[members][:, None] + np.arange(n)]]
+                for rows, out in self._merge(ids):
+                    sizes[members[rows]] = out.shape[1]
+                    found.append((members[rows], out))
+        ends = np.cumsum(sizes)
+        result = np.empty(int(ends[-1]) if len(ends) else 0, np.int32)
+        for members, out in found:
+            result[(ends - sizes)[members][:, None] + np.arange(out.shape[1])] = out
+        return result, np.r_[0, ends]
+
+    def _merge(self, ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        rows = np.arange(len(ids))
+        rank = self._rank(ids[:, :-1], ids[:, 1:])
+        while len(rows):
+            n = ids.shape[1]
+            if n == 1:
+                yield rows, ids
+                return
+            best = rank.argmin(axis=1)
+            lowest = rank[np.arange(len(rows)), best]
+            done = lowest == _NO_RANK
+            if done.any():
+                yield rows[done], ids[done]
+                rows, ids, rank, best, lowest = rows[~done], ids[~done], rank[~done], best[~done], lowest[~done]
+            if not len(rows):
+                return
+            every = np.arange(len(rows))
+            ids[every, best] = self.ids[lowest]
+            ids = ids[np.arange(n) != best[:, None] + 1].reshape(len(rows), n - 1)
+            rank = rank[np.arange(n - 1) != best[:, None]].reshape(len(rows), n - 2)
+            left = np.flatnonzero(best > 0)
+            rank[left, best[left] - 1] = self._rank(ids[left, best[left] - 1], ids[left, best[left]])
+            right = np.flatnonzero(best < n - 2)
+            rank[right, best[right]] = self._rank(ids[right, best[right]], ids[right, best[right] + 1])
+
+
 class WordEncoder:
-    """Token ids of whole texts, as little-endian 32-bit bytes.
+    """Token ids of whole texts.
 
-    Byte-level BPE never joins across the space before a word, so a text is the concatenation of its words' ids; words
-    met before come from a table of bounded size, the others are encoded together. Texts for which this doesn't hold
-    (white space on both sides of a space, the special token's string) are encoded as they are.
+    Byte-level BPE never joins across the space before a word, so a text is the concatenation of its words' ids: each
+    distinct word of a batch is encoded once. Words of Latin letters, digits and ASCII signs are split by the
+    tokenizer's own rule and merged by ``BytePairs``; all others, and texts for which a space is no safe cut (white space on
+    both its sides, the special token's string), go through the library as they are.
     """
 
     def __init__(self, path: str):
@@ -53,31 +137,69 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split: list[list[str] | None] = []
-        for text in texts:
-            if _SPECIAL in text or _NOT_SPLITTABLE.search(text):
-                split.append(None)
+        self.pairs = BytePairs(path)
+
+    def _library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.int32) for lo in range(0, len(texts), 4096) for e in self.tokenizer.encode_batch_fast(texts[lo : lo + 4096], add_special_tokens=False)]
+
+    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, where each word's start; one more for the end)."""
+        parts: dict[str, int] = {}
+        number = parts.setdefault
+        of_word: list[int] = []
+        counts = np.zeros(len(words), np.int64)
+        other = []
+        for i, word in enumerate(words):
+            if len(word) > _LONGEST or not _PLAIN(word):
+                other.append(i)
                 continue
-            words = text.split(" ")
-            for i in range(1, len(words)):
-                words[i] = " " + words[i]
-            split.append(words)
-        known = self.known
-        new = list({w for words in split if words for w in words if w not in known})
-        ids = self._encode(new)
-        room = CACHED_WORDS - len(known)
-        known.update(zip(new[: max(0, room)], ids))
-        rest = dict(zip(new[max(0, room) :], ids[max(0, room) :]))
-        whole = iter(self._encode([t for t, words in zip(texts, split) if words is None]))
-        if rest:
-            return [next(whole) if words is None else b"".join([known.get(w) or rest.get(w, b"") for w in words]) for words in split]
-        return [next(whole) if words is None else b"".join(map(known.__getitem__, words)) for words in split]
+            split = _PARTS(word)
+            counts[i] = len(split)
+            of_word += [number(p, len(parts)) for p in split]
+        flat, starts = self.pairs.encode([p.encode() for p in parts])
+        joined, ends = gathered(flat, starts, np.array(of_word, np.int64))
+        bounds = np.r_[0, ends][np.r_[0, np.cumsum(counts)]]
+        if not other:
+            return joined, bounds
+        extra = self._library([words[i] for i in other])
+        pool = np.concatenate([joined, *extra])
+        begin, size = bounds[:-1].copy(), np.diff(bounds)
+        size[other] = [len(e) for e in extra]
+        begin[other] = len(joined) + np.cumsum([0, *map(len, extra)])[:-1]
+        at = np.cumsum(size)
+        return pool[np.repeat(begin - (at - size), size) + np.arange(int(at[-1]))], np.r_[0, at]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(the ids of all texts, each followed by the end id; where each text's ids end)."""
+        values = [t or "" for t in texts.to_pylist()]
+        whole = [i for i, t in enumerate(values) if _NOT_SPLITTABLE(t) or _SPECIAL in t]
+        apart = self._library([values[i] for i in whole])
+        for i in whole:
+            values[i] = ""
+        lists = pc.split_pattern(pa.array(values, pa.large_string()), " ")
+        del values
+        bounds = lists.offsets.to_numpy()
+        coded = lists.flatten().dictionary_encode()
+        known = coded.dictionary.to_pylist()
+        place = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        firsts: dict[str, int] = {}  # the first word of a text has no space before it
+        place[bounds[:-1]] = [firsts.setdefault(known[p], len(known) + len(firsts)) for p in place[bounds[:-1]].tolist()]
+        ids, starts = self.words([" " + w for w in known] + list(firsts))
+        pool = np.concatenate([ids, *apart, np.array([END_ID], np.int32)])
+        starts = np.r_[starts[:-1], len(ids) + np.cumsum([0, *map(len, apart)]), len(pool)]
+        place[bounds[:-1][whole]] = len(known) + len(firsts) + np.arange(len(whole))
+        end = len(starts) - 2
+        with_ends = np.insert(place, bounds[1:], end)
+        flat, ends = gathered(pool, starts, with_ends)
+        return flat, ends[bounds[1:] + np.arange(len(texts))]
+
+
+def gathered(pool: np.ndarray, starts: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the stretches ``which`` of ``pool`` one after another, where each ends)."""
+    sizes = np.diff(starts)[which]
+    ends = np.cumsum(sizes)
+    total = int(ends[-1]) if len(ends) else 0
+    return pool[np.repeat(starts[which] - (ends - sizes), sizes) + np.arange(total)], ends
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -94,12 +216,6 @@ def _encoder(name: str) -> WordEncoder:
     return _encoders[name]
 
 
-def piece_starts(n: int, capacity: int) -> list[int]:
-    """Where the pieces of a document of ``n`` ids start: only the first may be shorter than the capacity."""
-    first = n % capacity or min(n, capacity)
-    return [0, *range(first, n, capacity)]
-
-
 def tokenized_pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "byte_bpe_50k.json", capacity: int = CAPACITY, with_ids: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row for each piece of each document: its ids and the end id, cut only where they exceed the capacity.
 
@@ -110,30 +226,30 @@ def tokenized_pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     end = np.array([END_ID], "<u4").tobytes()
 
     def rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        encoder, keys, texts = _encoder(tokenizer), batch.column(0), batch.column(1)
+        encoder, texts = _encoder(tokenizer), batch.column(1)
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         lo = 0
-        while lo < len(keys):  # about 2 MB of text at a time
-            hi, chars = lo, 0
-            some = []
-            while hi < len(keys) and chars < 1 << 21:
-                some.append(texts[hi].as_py() or "")
-                chars += len(some[-1])
-                hi += 1
-            out: dict[str, list] = {"i": [], "piece": [], "start": [], "length": [], "crc": [], "ids": []}
-            for i, data in enumerate(encoder.encode(some)):
-                data += end
-                n = len(data) // 4
-                starts = piece_starts(n, capacity)
-                for p, (a, b) in enumerate(zip(starts, [*starts[1:], n])):
-                    part = data[4 * a : 4 * b]
-                    for name, x in zip(out, (lo + i, p, a, b - a, zlib.crc32(part), np.frombuffer(part, "<i4") if with_ids else None)):
-                        out[name].append(x)
-            columns = [keys.take(pa.array(out["i"], pa.int64())).cast(pa.int64()), pa.array(out["piece"], pa.int32())] + [pa.array(out[c], pa.int64()) for c in ("start", "length", "crc")]
+        while lo < len(texts):
+            before = sizes[lo - 1] if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(sizes, before + BATCH_CHARS, "right")))
+            flat, ends = encoder.encode(texts.slice(lo, hi - lo))
+            n = np.diff(ends, prepend=0)
+            pieces = -(-n // capacity)
+            of_text = np.repeat(np.arange(len(n)), pieces)
+            piece = np.arange(len(of_text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            first = n - (pieces - 1) * capacity  # only the first piece may be shorter
+            start = np.where(piece > 0, first[of_text] + (piece - 1) * capacity, 0)
+            length = np.where(piece > 0, capacity, first[of_text])
+            begin = (ends - n)[of_text] + start
+            data = memoryview(flat.astype("<u4").tobytes())
+            crc = [zlib.crc32(data[4 * a : 4 * (a + k)]) for a, k in zip(begin.tolist(), length.tolist())]
+            taken = pa.array(lo + of_text)
+            columns = [batch.column(0).take(taken).cast(pa.int64()), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())]
             names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-            if with_ids:
-                columns.append(pa.array(out["ids"], pa.list_(pa.int32())))
+            if with_ids:  # pieces of a text follow one another, and so do texts
+                columns.append(pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(length)].astype(np.int32)), pa.array(flat)))
                 names.append("ids")
-            columns += [batch.column(2 + k).take(pa.array(out["i"], pa.int64())) for k in range(len(keep))]
+            columns += [batch.column(2 + k).take(taken) for k in range(len(keep))]
             names += keep
             yield pa.RecordBatch.from_arrays(columns, names)
             lo = hi
