@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -343,7 +344,22 @@ def test_documents_are_packed(spark):
     for r in got:
         assert r["length"] == len(r["ids"]) and r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes())
         assert r["piece"] == 0 or r["length"] == 128
-    assert packing.piece_starts(257, 128) == [0, 1, 129] and packing.piece_starts(128, 128) == [0] and packing.piece_starts(1, 128) == [0]
+    for n, want in ((127, [0]), (128, [0, 1]), (256, [0, 1, 129]), (0, [0])):  # ids before the end id
+        text = "a" + " a" * (n - 1) if n else None
+        one = packing.tokenized_pieces(docs(spark, [(1, text, "z")]), capacity=128).orderBy("piece").collect()
+        assert [r["start"] for r in one] == want and sum(r["length"] for r in one) == n + 1
+
+
+def test_words_get_the_library_s_ids():
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    encoder = packing.WordEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(3)
+    parts = ["a", "b", " ", "  ", "\n", "\t", "'s", "'re", "é", "ñ", "1", "23", "!", "|", "<|endoftext|>", "日", " ", " ", "ß", "İ", "x" * 60, "\x00", "😀", "_", "·", "ª", "²", "'ll", "\r", "thorin."]
+    texts = [None, "", " ", "a", " a", *("".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(5000))]
+    flat, ends = encoder.encode(pa.array(texts, pa.string()))
+    whole = encoder.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)
+    assert [x.tolist() for x in np.split(flat, ends[:-1])] == [w.ids + [2] for w in whole]
+    assert encoder.encode(pa.array([], pa.string()))[0].tolist() == []
 
 
 def test_mixture_reaches_the_sequences(spark, monkeypatch):

@@ -196,16 +196,32 @@ def kernel(a, b):
 
     x, y = weights(a), weights(b)
     norm = math.sqrt(sum(v * v for v in x.values()) * sum(v * v for v in y.values()))
-    return (sum(x[t] * y[t] for t in x) / norm) ** toxicity.POWER if norm else 0.0
+    return sum(x[t] * y[t] for t in x) / norm if norm else 0.0
 
 
 def test_kernel_equals_its_definition():
-    strings = ["^idiot$", "^idxiot$", "^hahaha$", "^worthless$", "^abc$", "^banana$"]
-    found = np.zeros((len(strings), 3))
-    for rows, part in toxicity.kernels(strings, *toxicity.landmark_table(strings[:3])):
-        found[rows] = part
-    want = [[kernel(s, m) for m in strings[:3]] for s in strings]
-    assert found == pytest.approx(np.array(want), abs=1e-5)
+    strings = ["^idiot$", "^idxiot$", "^hahaha$", "^worthless$", "^abc$", "^banana$", "^ananab$", "^réeuxê$", "^réeuxè$", "^日本語$"]
+    want = {(i, j): k for i, s in enumerate(strings) for j, m in enumerate(strings[:4] + strings[7:]) if (k := kernel(s, m)) >= toxicity.FLOOR}
+    found = dict(((i, j), k) for i, j, k in zip(*(x.tolist() for x in toxicity.Landmarks(strings[:4] + strings[7:]).near(strings))))
+    assert found == pytest.approx(want, abs=1e-5)
+    assert (1, 0) in found and (8, 4) in found and (5, 2) not in found
+
+
+def brute_score(model, text):
+    """The machine by its definition: every string of the text against every landmark."""
+    tokens = set((text or "").lower().split()) | {toxicity._OTHER.sub("", m.group()).lower() for m in toxicity._SPELLED.finditer(text or "")}
+    n, m = len(tokens), len(model.marks)
+    total, largest = [0.0] * m, [0.0] * m
+    for token in tokens:
+        for j, mark in enumerate(model.marks):
+            k = max((kernel(s, mark) for s in toxicity.strings_of(token)), default=0.0)
+            t = (k - toxicity.FLOOR) / (1 - toxicity.FLOOR) if k >= toxicity.FLOOR else 0.0
+            total[j] += t
+            largest[j] = max(largest[j], t)
+    x = [*(t / math.sqrt(n + 10) for t in total), *(v / 2 for v in largest), math.sqrt(n) / 20, 1.0]
+    d = sum(a * b for a, b in zip(x, model.coefficients))
+    d = d if any(largest) else min(d, -1.0)
+    return 1 / (1 + math.exp(-(model.slope * d + model.offset)))
 
 
 def test_toxicity_tells_words_and_disguises(spark):
@@ -215,15 +231,27 @@ def test_toxicity_tells_words_and_disguises(spark):
     bad = ["idiot", "worthless", "pathetic"]
     rows = [(plain() + (f" you {rng.choice(bad)} " + plain() if i % 5 == 0 else ""), int(i % 5 == 0)) for i in range(1500)]
     model = toxicity.fit(spark.createDataFrame(rows, "text string, label bigint"))
-    hits = model.scores(["an idiot", "an i d i o t", "id-iot!", "worthlesss", "the patthetic"])
-    clean = max(model.scores([plain() for _ in range(100)] + ["", None]))
-    assert min(hits[:3]) >= toxicity.THRESHOLD > clean
-    assert min(hits) > model.scores(["the thing"])[0]
-    df = spark.createDataFrame([("idiot", 1.5, None), (None, None, "x")], "text string, score double, other string")
+    texts = ["an idiot", "an i d i o t", "id-iot!", "you,idiot", "worthlesss", "the patthetic", "the idxiot"]
+    hits = model.scores(texts)
+    clean = [plain() for _ in range(100)] + ["", None]
+    assert min(hits) >= toxicity.THRESHOLD > max(model.scores(clean))
+    odd = [*texts, *clean, "\x00 idiot", "日本語 idiot", "idiot " * 3000 + plain() * 200]
+    assert model.scores(odd) == pytest.approx([brute_score(model, t) for t in odd], abs=1e-5)
+    df = spark.createDataFrame([("idiot", 1.5, None), (None, None, "x"), ("idiot", 1.5, None)], "text string, score double, `a b` string")
     out = toxicity.with_scores(df, model).collect()
-    assert [r["score"] >= 0.3 for r in out] == [True, False] and out[1]["other"] == "x"
+    assert [r["score"] >= 0.3 for r in out] == [True, False, True] and out[1]["a b"] == "x"
+    assert toxicity.with_scores(df.limit(0), model).count() == 0
+
+
+def test_copies_are_one_training_text(spark):
+    rows = [("a much copied text", 0)] * 500 + [(f"other text {i}", i % 2) for i in range(40)] + [(None, 1), ("", 0), ("x", None)]
+    sample = toxicity.training_texts(spark.createDataFrame(rows, "text string, label bigint"), 10, 12, 5).collect()
+    assert len({r["text"] for r in sample}) == len(sample)
+    assert sum(r["label"] for r in sample) == 10 and len(sample) == 22
 
 
 def test_toxicity_without_labels(spark):
     model = toxicity.fit(spark.createDataFrame([("a b", 0)], "text string, label bigint"))
     assert model.scores(["a", None])[0] < toxicity.THRESHOLD
+    assert toxicity.fit(spark.createDataFrame([], "text string, label bigint")).scores(["idiot"])[0] < toxicity.THRESHOLD
+    assert toxicity.fit(spark.createDataFrame([("a b", None), (None, 1)], "text string, label bigint")).scores([None])[0] < toxicity.THRESHOLD
