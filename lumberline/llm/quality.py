@@ -1,11 +1,13 @@
 """Quality rules whose cutoffs carry a guarantee.
 
-Each rule scores a document by one statistic (higher is worse). For each stratum, half of the labelled good documents
-(the tuning half) gives a ladder of cutoff sets: at rung q, each rule's cutoff is its (1 - q) quantile. The other half
-(the holdout) certifies the ladder from the most lenient rung on: a rung passes if an exact binomial test rejects, at
-level delta / strata, that more than ``alpha`` of good documents would be rejected there. Testing stops at the first
-rung that fails (fixed-sequence testing), and strata share delta (Bonferroni), so that with probability 1 - delta no
-stratum loses more than ``alpha`` of its good documents to the rules.
+Labelled documents that pass the base rules are split in halves by a hash of their text, so that copies are on one side,
+and copies count once. The tuning half gives each statistic's bins and their evidence (log ratio of the bad and the good
+texts' shares); a document's score is the sum over the statistics. In each stratum the scores of the good tuning texts give
+a ladder of cutoffs, from their maximum down. The other half (the holdout) certifies the ladder from the most lenient
+rung on: a rung passes if an exact binomial test rejects, at level delta / strata, that more than ``alpha`` of good texts
+score above it. Testing stops at the first rung that fails (fixed-sequence testing), and strata share delta (Bonferroni),
+so that with probability 1 - delta no stratum loses more than ``alpha`` of its good texts. Of the certified rungs that one
+is taken which, on the tuning half, has the best share of bad texts above it less that of good ones.
 """
 
 from __future__ import annotations
@@ -25,16 +27,18 @@ NAMES = [x.split()[0] for x in STATISTICS.split(", ")]
 SYMBOLS = "#*$%&|<>"
 BREAKS = " \t\n\x0b\x0c\r"
 
-#: Scores of a document, higher is worse.
+#: Statistics that a document's score is made of.
 RULES = {
     "symbols": "n_symbols / greatest(word_chars, 1)",
     "dup_lines": "n_dup_lines / greatest(n_lines, 1)",
     "repeats": "n_repeat_words / greatest(n_words, 1)",
-    "long_words": "word_chars / greatest(n_words, 1)",
-    "short_words": "-(word_chars / greatest(n_words, 1))",
+    "word_length": "word_chars / greatest(n_words, 1)",
 }
-LADDER = (0.0, 0.0005, 0.001, 0.002, 0.003, 0.005, 0.0075, 0.01)
-ALPHA, DELTA = 0.01, 0.05
+#: Quantiles of good texts between the bins of a statistic, and shares of good texts above the cutoffs of the ladder.
+BINS = (0.0, 0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 1.0)
+LADDER = (0.0, 0.001, 0.002, 0.005, 0.01, 0.015, 0.02, 0.03, 0.04, 0.05)
+#: At most this share of a stratum's good texts is lost, but for this probability.
+ALPHA, DELTA = 0.05, 0.05
 
 
 def repeated_words(words: list[bytes], width: int = 3) -> int:
@@ -67,8 +71,14 @@ def statistics(text: str | None) -> tuple[int, int, int, int, int, int]:
 
 
 def with_statistics(df: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The columns ``keep`` and the statistics of each row's whole text."""
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema.fields) + ", " + STATISTICS
+    """The columns ``keep`` and the statistics of each row's whole text, which a task holds.
+
+    A null text counts as empty (all statistics 0). Rows are kept as they are, with nulls and repeats; an empty table gives
+    an empty result. A column of ``keep`` named like a statistic raises a ``ValueError``.
+    """
+    if clash := sorted(set(keep) & set(NAMES)):
+        raise ValueError(f"columns named like statistics: {clash}")
+    ddl = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.select(*keep).schema.fields) + ", " + STATISTICS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,61 +115,101 @@ def certified_rung(losses: list[int], n: int, alpha: float, level: float) -> int
     return best
 
 
+def chosen_rung(last: int, caught: list[int], bad: int, lost: list[int], good: int) -> int:
+    """Of the rungs up to ``last`` the first with the best share of bad texts caught less that of good ones lost."""
+    worth = [caught[i] / max(1, bad) - lost[i] / max(1, good) for i in range(last + 1)]
+    return worth.index(max(worth))
+
+
+def evidence(bad: list[int], good: list[int]) -> list[float]:
+    """Of each bin: the log ratio of the bad and the good texts' shares, with half a text added to each."""
+    return [math.log((b + 0.5) / (sum(bad) + 1)) - math.log((g + 0.5) / (sum(good) + 1)) for b, g in zip(bad, good)]
+
+
 def risk_controlled(
     scored: DataFrame,
-    good: DataFrame,
+    labels: DataFrame,
     rules: dict[str, str] = RULES,
     id_col: str = "doc_id",
+    unit_col: str = "unit",
     stratum_col: str = "lang",
+    label_col: str = "quality",
     eligible: str = "true",
     alpha: float = ALPHA,
     delta: float = DELTA,
     ladder: tuple[float, ...] = LADDER,
+    out: str = "accepted",
 ) -> DataFrame:
-    """``scored`` with ``accepted``: no rule exceeds the certified cutoff of the row's stratum.
-
-    ``good`` has one ``id_col`` for each document labelled good. Only rows for which ``eligible`` holds calibrate. All
-    labelled rows are counted; to the driver go, for each stratum and rung, one count and the cutoffs. Strata are
-    meant to be few (languages, sites' classes). A null stratum is a stratum of its own. Without a certified rung (few
-    labels) a stratum's rows are all accepted. Ids that occur twice calibrate twice; null ids never.
+    """``scored`` with ``out``: the row's score is not above the certified cutoff of its stratum.
+
+    ``labels`` has ``id_col`` and ``label_col`` (1 good, 0 bad). Only rows for which ``eligible`` holds calibrate; rows with
+    equal ``unit_col`` (a hash of the text) are one text, good if one of them is. All labelled rows are counted; to the
+    driver go bins, and for each stratum and rung the cutoff and four counts: strata are meant to be few (languages, classes
+    of sites). A null stratum is a stratum of its own; rows with a null statistic have the evidence of its lowest bin.
+    Strata without a certified rung (too few labels) are accepted whole, and so is an empty table or one without labels.
+    Ids that occur twice calibrate by both texts; null ids and null labels never. A column named like ``out`` is replaced.
     """
-    scores = {f"__r{i}": F.expr(e).cast("double") for i, e in enumerate(rules.values())}
+    names = [f"__r{i}" for i in range(len(rules))]
     stratum = F.coalesce(F.col(stratum_col).cast("string"), F.lit("\u0000"))
-    rows = scored.withColumns(scores | {"__stratum": stratum})
-    known = rows.where(eligible).join(good.select(F.col(id_col).alias("__good")).distinct(), F.col(id_col) == F.col("__good"))
-    known = spool(known.select("__stratum", *scores, (F.pmod(F.crc32(F.encode(F.col(id_col).cast("string"), "UTF-8")), F.lit(2)) == 0).alias("__tune")))
+    scored = scored.drop(out)
+    rows = scored.withColumns({n: F.coalesce(F.expr(e).cast("double"), F.lit(-math.inf)) for n, e in zip(names, rules.values())} | {"__stratum": stratum})
+    by_id = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg((F.max(label_col) > 0).alias("__good"))
+    known = rows.where(eligible).join(by_id, F.col(id_col) == F.col("__id"))
+    known = known.groupBy("__stratum", F.col(unit_col).alias("__unit")).agg(F.max("__good").alias("__good"), *[F.max(n).alias(n) for n in names])
+    tune = F.pmod(F.xxhash64(F.lit(9), F.col("__unit").cast("string")), F.lit(2)) == 0
+    known = spool(known.select("__stratum", "__good", tune.alias("__tune"), *names))
+    tuned = known.where("__tune")
+    at = F.array(*[F.lit(q) for q in BINS])
+    found = tuned.where("__good").agg(*[F.percentile_approx(n, at, 100_000).alias(n) for n in names]).first()
+    if found[0] is None:
+        return scored.withColumn(out, F.lit(True))
+    edges = {n: sorted(set(found[n])) for n in names}
+
+    def bin_of(n: str):
+        column = F.lit(len(edges[n]))
+        for i, edge in reversed(list(enumerate(edges[n]))):
+            column = F.when(F.col(n) <= edge, i).otherwise(column)
+        return column
+
+    cells = [(n, b, good) for n in names for b in range(len(edges[n]) + 1) for good in (True, False)]
+    sums = tuned.agg(*[F.coalesce(F.sum(((bin_of(n) == b) & (F.col("__good") == good)).cast("long")), F.lit(0)) for n, b, good in cells]).first()
+    count = dict(zip(cells, sums))
+    score = F.lit(0.0)
+    for n in names:
+        bins = range(len(edges[n]) + 1)
+        for b, e in enumerate(evidence([count[n, b, False] for b in bins], [count[n, b, True] for b in bins])):
+            score = score + F.when(bin_of(n) == b, e).otherwise(0.0)
+    score = F.round(score, 6)
+    known = known.withColumn("__score", score)
     at = F.array(*[F.lit(1 - q) for q in ladder])
-    tuned = known.where("__tune").groupBy("__stratum").agg(*[F.percentile_approx(r, at, 100_000).alias(r) for r in scores]).collect()
-    if not tuned:
-        return scored.withColumn("accepted", F.lit(True))
-    cutoffs = scored.sparkSession.createDataFrame([(t["__stratum"], i, *[float(t[r][i]) for r in scores]) for t in tuned for i in range(len(ladder))], "__s string, __rung int, " + ", ".join(f"c{r} double" for r in scores))
-    over = F.lit(False)
-    for r in scores:
-        over = over | (F.col(r) > F.col(f"c{r}"))
-    tested = known.where("not __tune").join(F.broadcast(cutoffs), F.col("__stratum") == F.col("__s"))
-    counts = tested.groupBy("__stratum", "__rung").agg(F.count(F.lit(1)).alias("n"), F.sum(over.cast("long")).alias("lost")).collect()
-    by_stratum: dict[str, dict[int, tuple[int, int]]] = {}
-    for c in counts:
-        by_stratum.setdefault(c["__stratum"], {})[c["__rung"]] = (c["n"], c["lost"])
+    cutoffs = {r["__stratum"]: r["c"] for r in known.where("__tune and __good").groupBy("__stratum").agg(F.percentile_approx("__score", at, 100_000).alias("c")).collect()}
+    spark = scored.sparkSession
+    rungs = spark.createDataFrame([(s, i, float(c)) for s, cs in cutoffs.items() for i, c in enumerate(cs)], "__s string, __rung int, __cutoff double")
+    tested = known.join(rungs, F.col("__stratum") == F.col("__s")).groupBy("__s", "__tune", "__good", "__rung").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("__score") > F.col("__cutoff")).cast("long")).alias("over"))
+    n, over = {}, {}
+    for r in tested.collect():
+        side = r["__s"], r["__tune"], r["__good"]
+        n[side] = r["n"]
+        over.setdefault(side, [0] * len(ladder))[r["__rung"]] = r["over"]
     chosen = []
-    for t in tuned:
-        held = by_stratum.get(t["__stratum"], {})
-        if held:
-            rung = certified_rung([held[i][1] for i in range(len(ladder))], held[0][0], alpha, delta / len(tuned))
-            if rung >= 0:
-                chosen.append((t["__stratum"], *[float(t[r][rung]) for r in scores]))
-    final = scored.sparkSession.createDataFrame(chosen, "__s string, " + ", ".join(f"c{r} double" for r in scores))
-    joined = rows.join(F.broadcast(final), F.col("__stratum") == F.col("__s"), "left")
-    return joined.withColumn("accepted", F.col("__s").isNull() | ~over).drop("__stratum", "__s", *scores, *[f"c{r}" for r in scores])
+    none = [0] * len(ladder)
+    for s, cs in cutoffs.items():
+        held, good, bad = (s, False, True), (s, True, True), (s, True, False)
+        last = certified_rung(over.get(held, none), n.get(held, 0), alpha, delta / len(cutoffs))
+        if last >= 0:
+            chosen.append((s, float(cs[chosen_rung(last, over.get(bad, none), n.get(bad, 0), over[good], n[good])])))
+    final = spark.createDataFrame(chosen, "__s string, __cutoff double")
+    joined = rows.withColumn("__score", score).join(final, F.col("__stratum") == F.col("__s"), "left")
+    return joined.select(*[f"`{c.replace('`', '``')}`" for c in scored.columns], (F.col("__cutoff").isNull() | (F.col("__score") <= F.col("__cutoff"))).alias(out))
 
 
 BASE_FAILED = "n_words < 50 or 100 * n_repeat_words > 50 * n_words"
 
 
 def op9_quality_rules(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("unit", F.xxhash64("text"))
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = spool(with_statistics(docs, ["doc_id", "lang"]))
-    judged = risk_controlled(scored, labels.where("quality = 1"), eligible=f"not ({BASE_FAILED})")
+    scored = spool(with_statistics(docs, ["doc_id", "lang", "unit"]))
+    judged = risk_controlled(scored, labels, eligible=f"not ({BASE_FAILED})")
     failed = F.expr(BASE_FAILED)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & F.col("accepted")).alias("kept"))

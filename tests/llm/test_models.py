@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lumberline.llm import hpylm, quality, toxicity
 from lumberline.llm.common import WORD
@@ -166,21 +167,88 @@ def test_binomial_bound_is_exact():
     assert quality.certified_rung([0], 10, 0.01, 0.05) == -1
 
 
+def quantile(values, q):
+    ordered = sorted(values)
+    return ordered[max(0, math.ceil(q * len(ordered)) - 1)]
+
+
+def brute_accepted(spark, rows, labels, alpha, delta):
+    """``risk_controlled`` for (doc_id, lang, unit, statistics), by lists and loops."""
+    rules = {
+        "symbols": lambda s: s[2] / max(s[1], 1),
+        "dup_lines": lambda s: s[3] / max(s[5], 1),
+        "repeats": lambda s: s[4] / max(s[0], 1),
+        "word_length": lambda s: s[1] / max(s[0], 1),
+    }
+    units = {}
+    for i, lang, unit, s in rows:
+        if i in labels and s[0] >= 50 and 100 * s[4] <= 50 * s[0]:
+            known = units.setdefault((lang, unit), [False, [f(s) for f in rules.values()]])
+            known[0] |= labels[i] > 0
+    hashes = {u: h for u, h in spark.createDataFrame([(str(u),) for _, u in units], "u string").select("u", F.pmod(F.xxhash64(F.lit(9), "u"), F.lit(2))).collect()}
+    tune = [(lang, good, x) for (lang, u), (good, x) in units.items() if hashes[str(u)] == 0]
+    held = [(lang, good, x) for (lang, u), (good, x) in units.items() if hashes[str(u)] == 1]
+    edges = [sorted({quantile([x[k] for _, good, x in tune if good], q) for q in quality.BINS}) for k in range(4)]
+    of = lambda k, v: sum(v > e for e in edges[k])
+    value = []
+    for k in range(4):
+        counts = {g: Counter(of(k, x[k]) for _, good, x in tune if good == g) for g in (True, False)}
+        value.append([math.log((counts[False][b] + 0.5) / (sum(counts[False].values()) + 1)) - math.log((counts[True][b] + 0.5) / (sum(counts[True].values()) + 1)) for b in range(len(edges[k]) + 1)])
+    score = lambda x: round(sum(value[k][of(k, x[k])] for k in range(4)), 6)
+    strata = {lang for lang, good, _ in tune if good}
+    cutoff = {}
+    for lang in strata:
+        good = [score(x) for s, g, x in tune if s == lang and g]
+        bad = [score(x) for s, g, x in tune if s == lang and not g]
+        out = [score(x) for s, g, x in held if s == lang and g]
+        cuts = [quantile(good, 1 - q) for q in quality.LADDER]
+        last = -1
+        for c in cuts:
+            lost = sum(x > c for x in out)
+            if not out or lost > len(out) * alpha or sum(math.comb(len(out), j) * alpha**j * (1 - alpha) ** (len(out) - j) for j in range(lost + 1)) > delta / len(strata):
+                break
+            last += 1
+        worth = [sum(x > c for x in bad) / max(1, len(bad)) - sum(x > c for x in good) / len(good) for c in cuts[: last + 1]]
+        if worth:
+            cutoff[lang] = cuts[worth.index(max(worth))]
+    return [lang not in cutoff or score([f(s) for f in rules.values()]) <= cutoff[lang] for _, lang, _, s in rows]
+
+
 def test_rules_keep_good_documents(spark):
     rng = random.Random(7)
-    rows = []
-    for i in range(6000):
+    rows, labels = [], {}
+    for i in range(4000):
         good = i % 4 > 0
-        text = " ".join(rng.choice("abcdefgh") * rng.randint(2, 7) + ("" if good else "%%%") for _ in range(60))
-        rows.append((i, "en" if i % 8 < 4 else None, text))
-    docs = spark.createDataFrame(rows, "doc_id bigint, lang string, text string")
-    labels = spark.createDataFrame([(i,) for i in range(6000) if i % 4 > 0], "doc_id bigint")
-    scored = quality.with_statistics(docs, ["doc_id", "lang"])
-    got = {r["doc_id"]: r["accepted"] for r in quality.risk_controlled(scored, labels, stratum_col="lang").collect()}
-    assert not any(got[i] for i in range(0, 6000, 4))
-    assert sum(not got[i] for i in range(6000) if i % 4) < 0.02 * 4500
-    few = quality.risk_controlled(scored, labels.where("doc_id < 20"))
+        text = " ".join(rng.choice("abcdefgh") * rng.randint(2, 7) + ("" if good else "%%%") * (rng.random() < 0.5) for _ in range(rng.randint(45, 80)))
+        lang = None if i % 8 < 4 else "en" if i % 16 < 12 else "x"
+        if i % 3 == 0 and rows:  # a copy
+            lang, text, good = rows[-1][1], rows[-1][2], labels[i - 1] > 0
+        rows.append((i, lang, text))
+        labels[i] = int(good if rng.random() < 0.99 else not good)
+    rows += [(None, "en", "a %"), (4000, "en", None), (4001, "new", rows[0][2]), (3999, "en", rows[3][2])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, lang string, text string").withColumn("unit", F.xxhash64("text"))
+    known = spark.createDataFrame([*labels.items(), (None, 1), (4001, None)], "doc_id bigint, quality int")
+    scored = quality.with_statistics(docs, ["doc_id", "lang", "unit"])
+    for alpha in (0.05, 0.02):
+        judged = quality.risk_controlled(scored, known, eligible=f"not ({quality.BASE_FAILED})", alpha=alpha).collect()
+        stats = [(r["doc_id"], r["lang"], r["unit"], tuple(r[n] for n in quality.NAMES)) for r in judged]
+        assert [r["accepted"] for r in judged] == brute_accepted(spark, stats, labels, alpha, quality.DELTA)
+    caught = sum(not r["accepted"] for r in judged if r["doc_id"] in labels and not labels[r["doc_id"]])
+    lost = sum(not r["accepted"] for r in judged if r["doc_id"] in labels and labels[r["doc_id"]])
+    assert caught > 500 and lost < 60
+    few = quality.risk_controlled(scored, known.where("doc_id < 20"))
     assert few.where("not accepted").count() == 0
+    assert quality.risk_controlled(scored, known.limit(0)).where("accepted").count() == len(rows)
+    assert quality.risk_controlled(scored.limit(0), known).count() == 0
+    again = quality.risk_controlled(scored.withColumn("accepted", F.lit("x")).withColumn("a.b", F.lit(1)), known)
+    assert dict(again.dtypes)["accepted"] == "boolean" and "a.b" in again.columns
+    with pytest.raises(ValueError):
+        quality.with_statistics(docs.withColumn("n_words", F.lit(1)), ["doc_id", "n_words"])
+
+
+def test_chosen_rung():
+    assert quality.chosen_rung(2, [0, 5, 5, 9], 10, [0, 1, 2, 3], 100) == 1
+    assert quality.chosen_rung(1, [0, 0], 0, [0, 0], 0) == 0
 
 
 def kernel(a, b):
