@@ -14,17 +14,19 @@ WORD_BREAKS = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 _spooled: list[tuple[SparkSession, str]] = []
-_tables: list[tuple[SparkSession, str]] = []
+_tables: list[tuple[SparkSession, str, str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors see.
 
-    A cluster names it in ``spark.checkpoint.dir``; only where that is unset (local tests) a temporary folder is made.
+    A cluster names it in ``spark.checkpoint.dir``; where that is unset a temporary folder is made, on a local master only.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="lumberline-")
         context.setCheckpointDir(folder)
     return folder
@@ -50,18 +52,35 @@ def drop_spool(df: DataFrame) -> None:
             _delete(*entry)
 
 
-def temporary_table(spark: SparkSession, name: str) -> None:
-    """Have the table dropped when the driver ends."""
+def bucketed(df: DataFrame, column: str, buckets: int) -> DataFrame:
+    """``df`` written to the shared folder in buckets by ``column``, so that groups by it need no shuffle."""
+    spark = df.sparkSession
+    name = f"lumberline_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/spool-{name}"
+    df.write.bucketBy(buckets, column).format("parquet").option("path", path).saveAsTable(name)
     if not _tables:
         atexit.register(clear_tables)
-    _tables.append((spark, name))
+    _tables.append((spark, name, path))
+    return spark.table(name)
+
+
+def drop_bucketed(df: DataFrame) -> None:
+    """Delete a bucketed table that nothing reads any more."""
+    files = df.inputFiles()[:1]
+    for entry in [e for e in _tables if files and f"/spool-{e[1]}/" in files[0]]:
+        _tables.remove(entry)
+        _drop(*entry)
+
+
+def _drop(spark: SparkSession, name: str, path: str) -> None:
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    _delete(spark, path)
 
 
 def clear_tables() -> None:
     while _tables:
-        spark, name = _tables.pop()
         try:
-            spark.sql(f"DROP TABLE IF EXISTS {name}")
+            _drop(*_tables.pop())
         except Exception:  # the session may have ended before
             return
 

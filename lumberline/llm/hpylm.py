@@ -1,49 +1,49 @@
 """Scoring of texts by a hierarchical Pitman-Yor bigram model of the corpus.
 
 Each word that occurs as a context has a restaurant whose dishes are the words after it; all these restaurants share the
-unigram restaurant as their parent: each of their tables is one customer there. Given the counts, seatings are sampled
-by blocked Gibbs steps (all customers of a dish leave and are seated anew at once, by the law that single steps tend
-to), and the tables' means over the samples give the averaged predictive probabilities.
-
-Counts never become rows. Texts lie in blocks of some megabytes. A block sends its sorted distinct keys (hashes of words
-and of word pairs), packed, to reducers by ranges of the key; these answer with the corpus counts in the same order, and
-name one block as the owner of each key. Seatings of a pair depend on its counts and on a generator seeded by its key,
-so every block draws the same ones; owners add up the tables by context and by word, and a second exchange sums these.
+unigram restaurant as their parent: each of their tables is one customer there. A sweep of blocked Gibbs sampling seats
+the customers of every dish of every restaurant anew, given the tables of its restaurant and the parent's probability of
+the dish after the sweep before; then the parent's customers, given its own tables. A text's probability is the mean of
+each token's predictive probabilities over the samples.
+
+Counts never become rows. Texts lie in blocks of some megabytes, as numbers of the block's distinct words. A block sends
+its sorted distinct keys (hashes of words and of word pairs), packed, to reducers by ranges of the key; these answer with
+the corpus counts in the same order, and name one block as the owner of each key. Draws for a pair follow from its counts,
+its restaurant's state and a generator seeded by its key, so every block draws the same; in each sweep owners add up the
+tables by context and by word, and an exchange of these sums (words only) gives the next state. There are at most as many
+messages as blocks times ranges, and as keys.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import n_partitions, spool, temporary_table
-from .substring import pack_sorted, unpack_sorted
+from .common import bucketed, drop_bucketed, n_partitions, spool
 
-BLOCK_BYTES = 5 << 20
+BLOCK_BYTES = 4 << 20
+#: Blocks whose keys, about, one range of keys amounts to.
+BLOCKS_PER_RANGE = 2
 #: Discount and strength of the context restaurants, and of the unigram restaurant.
 DISCOUNT, STRENGTH = 0.8, 1.0
 ROOT_DISCOUNT, ROOT_STRENGTH = 0.7, 1.0
-#: Seatings drawn for each dish, and how many draws are left out before: none need be, each draw is from the law itself.
-SAMPLES, BURN_IN = 5, 0
-#: Dishes with more customers get the mean over all seatings instead of the mean over drawn ones.
+#: Sweeps whose probabilities are averaged, and sweeps left out before them.
+SAMPLES, BURN_IN = 3, 1
+#: Up to so many customers of a dish, tables are drawn from the tabulated law; above, from a Poisson or normal law of the
+#: same mean and variance (the table would grow with the square of the customers).
 DRAWN = 128
 START = np.uint64(xxhash.xxh64_intdigest(b"\x00start") & ~1)
 END = np.uint64(xxhash.xxh64_intdigest(b"\x00end") & ~1)
 
 
-def word_keys(words: list[bytes]) -> np.ndarray:
-    """One key for each token (words, then the end); the lowest bit of a word's key is 0."""
-    digest = xxhash.xxh64_intdigest
-    out = np.array([digest(w) for w in words] + [int(END)], np.uint64)
-    return out & ~np.uint64(1)
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -51,35 +51,69 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def pair_keys(contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """One key for each (context, word); the lowest bit is 1."""
+    """One key for each (context, word); the lowest bit is 1, that of a word's key 0."""
     return mixed(contexts * np.uint64(0x9E3779B97F4A7C15) + words) | np.uint64(1)
 
 
-def mean_tables(keys: np.ndarray, customers: np.ndarray, pull: np.ndarray, discount: float) -> np.ndarray:
-    """The mean number of tables that serve a dish to ``customers``, over samples of their seating.
+# Seatings
+
 
-    ``pull`` is the weight of a new table: (strength + discount * tables) * the parent's probability of the dish. One
-    customer sits at one table. The law of the number of tables is the one that Gibbs steps tend to: pull ** tables times
-    the generalised Stirling number. Up to ``DRAWN`` customers it is drawn from; above, its mean is taken.
+def drawn_tables(keys: np.ndarray, customers: np.ndarray, pull: np.ndarray, discount: float, sweep: int) -> np.ndarray:
+    """A draw of the number of tables that serve each dish to its ``customers``.
+
+    ``pull`` is the weight of a new table: (strength + discount * tables) * the parent's probability of the dish. The law is
+    the one that single Gibbs steps tend to while ``pull`` stands: pull ** tables times the generalised Stirling number.
+    One customer sits at one table.
     """
-    tables = np.minimum(customers, 1).astype(np.float64)
-    several = np.flatnonzero((customers > 1) & (customers <= DRAWN))
+    tables = np.minimum(customers, 1).astype(np.int64)
+    offset = np.uint64((sweep + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    several = np.flatnonzero(customers > 1)
     several = several[np.argsort(customers[several], kind="stable")]
-    ends = np.flatnonzero(np.diff(customers[several])) + 1
-    for members in np.split(several, ends):
-        for lo in range(0, len(members), 4096):
-            at = members[lo : lo + 4096]
-            tables[at] = _drawn(keys[at], int(customers[at[0]]), pull[at], discount)
-    many = np.flatnonzero(customers > DRAWN)
-    for lo in range(0, len(many), 2048):
-        at = many[lo : lo + 2048]
-        tables[at] = _expected(customers[at], pull[at], discount)
+    draw = (mixed(keys[several] + offset) >> np.uint64(11)).astype(np.float64) * 2.0**-53 + 2.0**-54
+    few = int(np.searchsorted(customers[several], DRAWN, "right"))
+    for members in np.split(np.arange(few), np.flatnonzero(np.diff(customers[several[:few]])) + 1) if few else []:
+        n = int(customers[several[members[0]]])
+        for lo in range(0, len(members), 8192):
+            some = members[lo : lo + 8192]
+            at = several[some]
+            weight = log_stirling(discount)[n, 1 : n + 1] + np.arange(n) * np.log(pull[at])[:, None]
+            share = np.exp(weight - weight.max(axis=1, keepdims=True)).cumsum(axis=1)
+            tables[at] = 1 + (share[:, :-1] <= draw[some, None] * share[:, -1:]).sum(axis=1)
+    for lo in range(few, len(several), 2048):
+        at = several[lo : lo + 2048]
+        mean = expected_tables(customers[at], pull[at], discount)
+        step = 0.01  # the variance is the slope of the mean by the logarithm of the pull
+        slope = (expected_tables(customers[at], pull[at] * np.exp(step), discount) - expected_tables(customers[at], pull[at] * np.exp(-step), discount)) / (2 * step)
+        tables[at] = np.clip(1 + _quantile(draw[lo : lo + 2048], mean - 1, np.maximum(slope, 0.0)), 1, customers[at])
     return tables
 
 
-def root_pull(tables: float, n_words: float) -> float:
-    """The weight of a new table in the unigram restaurant, whose parent is uniform over the words and an unknown one."""
-    return (ROOT_STRENGTH + ROOT_DISCOUNT * tables) / (n_words + 1)
+def _quantile(u: np.ndarray, mean: np.ndarray, variance: np.ndarray) -> np.ndarray:
+    """Whole numbers at the quantiles ``u``: of a Poisson law up to a mean of 30, of a rounded normal one above."""
+    out = np.rint(mean + np.sqrt(variance) * _normal(u))
+    small = np.flatnonzero(mean <= 30)
+    term = np.exp(-mean[small])
+    total, k = term.copy(), np.zeros(len(small))
+    for i in range(1, 120):
+        more = u[small] > total
+        if not more.any():
+            break
+        term = term * mean[small] / i
+        total += term
+        k += more
+    out[small] = k
+    return np.maximum(out, 0).astype(np.int64)
+
+
+def _normal(u: np.ndarray) -> np.ndarray:
+    """Quantiles of the normal law, by Newton steps on a logistic start."""
+    from math import erf, sqrt
+
+    z = np.log(u / (1 - u)) / 1.702
+    cdf = np.vectorize(lambda x: 0.5 * (1 + erf(x / sqrt(2))), otypes=[float])
+    for _ in range(4):
+        z = z - np.clip((cdf(z) - u) / np.maximum(np.exp(-z * z / 2) / np.sqrt(2 * np.pi), 1e-12), -1, 1)
+    return z
 
 
 _stirling: dict[float, np.ndarray] = {}
@@ -97,20 +131,7 @@ def log_stirling(discount: float) -> np.ndarray:
     return _stirling[discount]
 
 
-def _drawn(keys: np.ndarray, n: int, pull: np.ndarray, discount: float) -> np.ndarray:
-    """Mean tables of ``n`` customers over independent draws of their seating."""
-    weight = log_stirling(discount)[n, 1 : n + 1] + np.arange(n) * np.log(pull)[:, None]
-    share = np.exp(weight - weight.max(axis=1, keepdims=True)).cumsum(axis=1)
-    share = share[:, :-1] / share[:, -1:]
-    kept = np.zeros(len(keys))
-    for step in range(BURN_IN, BURN_IN + SAMPLES):
-        offset = np.uint64(step * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-        draws = (mixed(keys + offset) >> np.uint64(11)).astype(np.float64) * 2.0**-53
-        kept += 1 + (share <= draws[:, None]).sum(axis=1)
-    return kept / SAMPLES
-
-
-def _expected(customers: np.ndarray, pull: np.ndarray, discount: float, nodes: int = 48) -> np.ndarray:
+def expected_tables(customers: np.ndarray, pull: np.ndarray, discount: float, nodes: int = 48) -> np.ndarray:
     """The mean over all seatings, without their number growing into the work.
 
     The summed weights of all seatings of n customers are n! times the nth coefficient of exp(h(z)), with h(z) = pull *
@@ -139,64 +160,112 @@ def _expected(customers: np.ndarray, pull: np.ndarray, discount: float, nodes: i
     return np.clip(mean, 1.0, customers)
 
 
+# Blocks and messages
+
+
+def squeezed(values: np.ndarray) -> bytes:
+    """Whole numbers in planes of bytes, compressed: planes that hardly vary take next to nothing."""
+    raw = values.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+    return pa.compress(raw, codec="zstd", asbytes=True) + len(values).to_bytes(8, "little")
+
+
+def unsqueezed(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[-8:], "little")
+    if not n:
+        return np.zeros(0, np.uint64)
+    raw = pa.decompress(data[:-8], 8 * n, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, n).T).view("<u8").ravel()
+
+
+def squeezed_keys(keys: np.ndarray) -> bytes:
+    return squeezed(np.diff(keys, prepend=np.uint64(0)))
+
+
+def unsqueezed_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(unsqueezed(data), dtype=np.uint64)
+
+
+def coded(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(tokens of each text, sorted keys of the distinct words, the place of each token's word among them); each text
+    ends with the end, and the start is among the words."""
+    words = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts]  # bytes: A-Z only
+    sizes = np.array([len(w) for w in words], np.int64)
+    found = pa.array(list(chain.from_iterable(words)), pa.large_binary()).dictionary_encode()
+    digest = xxhash.xxh64_intdigest
+    hashes = np.array([*map(digest, found.dictionary.to_pylist()), int(START), int(END)], np.uint64) & ~np.uint64(1)
+    keys, place = np.unique(hashes, return_inverse=True)
+    tokens = np.insert(found.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.cumsum(sizes), len(hashes) - 1)
+    return sizes + 1, keys, place[tokens]
+
+
 class Block:
-    """The tokens of a block's texts: keys, contexts, and the distinct keys of both levels."""
-
-    def __init__(self, texts: list[str | None], learn: list[bool]):
-        keys = [word_keys((t or "").encode("utf-8", "surrogatepass").lower().split()) for t in texts]  # bytes: A-Z only
-        self.counts = np.array([len(k) for k in keys])
-        self.words = np.concatenate(keys)
-        self.ends = np.cumsum(self.counts)
-        self.contexts = np.empty_like(self.words)
-        self.contexts[1:] = self.words[:-1]
-        self.contexts[np.r_[0, self.ends[:-1]]] = START
-        pairs = pair_keys(self.contexts, self.words)
-        learnt = np.repeat(np.array(learn, bool), self.counts)
-        starts = np.array([START], np.uint64)
-        self.keys, place = np.unique(np.concatenate([self.words, pairs, starts]), return_inverse=True)
-        n = len(self.words)
-        self.word_at, self.pair_at, self.start_at = place[:n], place[n : 2 * n], int(place[-1])
-        self.context_at = np.empty_like(self.word_at)
-        self.context_at[1:] = self.word_at[:-1]
-        self.context_at[np.r_[0, self.ends[:-1]]] = self.start_at
-        self.own = np.bincount(self.word_at[learnt], minlength=len(self.keys)) + np.bincount(self.pair_at[learnt], minlength=len(self.keys))
-        self.own[self.start_at] = sum(learn)
+    """The tokens of a block's texts, and the distinct keys of both levels in one sorted list."""
 
+    def __init__(self, sizes: np.ndarray, words: np.ndarray, tokens: np.ndarray, learn: np.ndarray):
+        self.sizes, self.words, self.tokens, self.learn = sizes, words, tokens, learn
+        self.ends = np.cumsum(sizes)
+        start = int(np.searchsorted(words, START))
+        self.contexts = np.empty_like(tokens)
+        self.contexts[1:] = tokens[:-1]
+        self.contexts[np.r_[0, self.ends[:-1]]] = start
+        pairs, first, self.pair_of = np.unique(pair_keys(words[self.contexts], words[tokens]), return_index=True, return_inverse=True)
+        self.pairs, self.pair_context, self.pair_word = pairs, self.contexts[first], tokens[first]
+        both = np.concatenate([words, pairs])
+        order = np.argsort(both, kind="stable")
+        self.keys = both[order]
+        place = np.empty(len(both), np.int64)
+        place[order] = np.arange(len(both))
+        self.word_at, self.pair_at, self.start = place[: len(words)], place[len(words) :], start
+
+    def own_counts(self) -> np.ndarray:
+        """How often each key occurs in the texts that are learnt from; the start counts texts."""
+        learnt = np.repeat(self.learn, self.sizes)
+        out = np.zeros(len(self.keys), np.int64)
+        out[self.word_at] = np.bincount(self.tokens[learnt], minlength=len(self.words))
+        out[self.word_at[self.start]] = self.learn.sum()
+        out[self.pair_at] = np.bincount(self.pair_of[learnt], minlength=len(self.pairs))
+        return out
+
+
+def block_of(t: pa.Table) -> tuple[int, Block]:
+    one = lambda c: t.column(c)[0].as_py()
+    return one("g"), Block(unsqueezed(one("sizes")).astype(np.int64), unsqueezed_keys(one("words")), unsqueezed(one("tokens")).astype(np.int64), np.array(one("learn"), bool))
 
-def cuts(keys: np.ndarray, ranges: int) -> np.ndarray:
-    edges = np.array([(r << 64) // ranges for r in range(1, ranges)], np.uint64)
-    return np.r_[0, np.searchsorted(keys, edges), len(keys)]
 
+BLOCK = "g bigint, ids array<bigint>, learn array<boolean>, sizes binary, words binary, tokens binary"
+MESSAGE = "g bigint, r int, keys binary, a binary, b binary, c binary"
+_TYPES = {"g": pa.int64(), "r": pa.int32(), "keys": pa.binary(), "a": pa.binary(), "b": pa.binary(), "c": pa.binary()}
 
-def planes(values: np.ndarray, kind: str) -> bytes:
-    """Numbers in planes of bytes; planes that hardly vary compress away."""
-    values = values.astype(kind)
-    return values.view(np.uint8).reshape(len(values), -1).T.tobytes()
 
+def messages(g: int, parts: list[tuple]) -> pa.Table:
+    rows = [(g, *p, *[None] * (5 - len(p))) for p in parts]
+    return pa.table({n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate(_TYPES.items())})
 
-def from_planes(data: bytes, kind: str) -> np.ndarray:
-    width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(kind).ravel()
+
+def cuts(keys: np.ndarray, ranges: int) -> np.ndarray:
+    edges = np.array([(r << 64) // ranges for r in range(1, ranges)], np.uint64)
+    return np.r_[0, np.searchsorted(keys, edges), len(keys)]
 
 
-def text_blocks(docs: DataFrame, block_bytes: int, buckets: int) -> DataFrame:
-    """The rows of ``docs`` (id, learn, text) in blocks, one row each, bucketed by block so that they are never shuffled."""
-    schema = "g bigint, ids array<bigint>, learn array<boolean>, texts array<string>"
+def in_blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
+    """The rows of ``docs`` (id, learn, text) in blocks, one row each; a text is whole in one block."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
-            t = pa.Table.from_batches(held).combine_chunks()
-            whole = [pa.array([c.to_pylist()], pa.list_(k)) for c, k in zip(t.columns, (pa.int64(), pa.bool_(), pa.string()))]
-            g = uuid.uuid4().int >> 66  # drawn once: the blocks are written before anything reads them
+            ids, learn, texts = (list(chain.from_iterable(b.column(i).to_pylist() for b in held)) for i in range(3))
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([g], pa.int64()), *whole], ["g", "ids", "learn", "texts"])
+            sizes, words, tokens = coded(texts)
+            g = uuid.uuid4().int >> 66  # drawn once: the blocks are written before anything reads them
+            row = {"g": [g], "ids": [ids], "learn": [learn], "sizes": [squeezed(sizes)], "words": [squeezed_keys(words)], "tokens": [squeezed(tokens)]}
+            types = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.binary(), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row.values(), types)], list(row))
 
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
+            for lo in range(0, batch.num_rows, 64):
+                part = batch.slice(lo, 64)
                 held.append(part)
                 size += part.nbytes
                 if size >= block_bytes:
@@ -205,180 +274,174 @@ def text_blocks(docs: DataFrame, block_bytes: int, buckets: int) -> DataFrame:
         if held:
             yield flush()
 
-    name = f"lumberline_blocks_{uuid.uuid4().hex}"
-    docs.select("id", "learn", "text").mapInArrow(gather, schema).write.bucketBy(buckets, "g").format("parquet").saveAsTable(name)
-    temporary_table(docs.sparkSession, name)
-    return docs.sparkSession.table(name)
+    return docs.select("id", "learn", "text").mapInArrow(gather, BLOCK)
+
+
+def merged(t: pa.Table) -> tuple[list[tuple[int, slice]], np.ndarray, np.ndarray, np.ndarray]:
+    """Senders with their stretches, the distinct keys, the place of each sent key, and which is its first sending."""
+    every = [unsqueezed_keys(x.as_py()) for x in t.column("keys")]
+    ends = np.cumsum([len(x) for x in every]).tolist()
+    keys, first, place = np.unique(np.concatenate(every), return_index=True, return_inverse=True)
+    return [(g, slice(e - len(x), e)) for g, e, x in zip(t.column("g").to_pylist(), ends, every)], keys, place, first
 
 
-def packed(g: int, parts: list[tuple]) -> pa.Table:
-    names = ["g", "r", "kind", "keys", "values", "owner"]
-    types = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-    rows = [(g, *p) for p in parts]
-    return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
+def sent(t: pa.Table, column: str) -> np.ndarray:
+    return np.concatenate([unsqueezed(x.as_py()) for x in t.column(column)]).astype(np.float64)
 
 
-MESSAGE = "g bigint, r int, kind int, keys binary, values binary, owner binary"
+def totals_of(df: DataFrame, n: int) -> list[int]:
+    """Sums over the reducers' totals; one short row for each reducer."""
 
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [unsqueezed(x.as_py()) for x in b.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array([int(r[i]) for r in rows], pa.int64()) for i in range(n)], [f"c{i}" for i in range(n)])
 
-def score_texts(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    found = df.where("g = -1").select("a").mapInArrow(unpack, ", ".join(f"c{i} bigint" for i in range(n)))
+    return list(found.agg(*[F.coalesce(F.sum(f"c{i}"), F.lit(0)) for i in range(n)]).first())
+
+
+def score_texts(docs: DataFrame, block_bytes: int = BLOCK_BYTES, with_tokens: bool = False) -> DataFrame:
     """(id, learn, n_tokens, n_known, train_tokens, base_score, score) of each row of ``docs`` (id, learn, text).
 
     The model learns from all rows with ``learn``; ``score`` is the log10 probability of the text's words and its end,
-    ``base_score`` that of an add-one unigram model. Null texts count as empty: they have the end alone. Null ids and
-    repeated rows are kept, each row is learnt from. Other columns are not looked at. An empty table gives an empty
-    result; with nothing learnt every token has the one probability there is. A text of any length is one block's: it
-    must fit a task's memory.
+    ``base_score`` that of an add-one unigram model; ``with_tokens`` adds the log10 probability of each token. Null texts
+    count as empty: they have the end alone. Null ids and repeated rows are kept, each row is learnt from. Other columns
+    are not looked at. An empty table gives an empty result; with nothing learnt every token has the one probability there
+    is. A text of any length is one block's: it must fit a task's memory.
     """
     spark = docs.sparkSession
-    ranges = n_partitions(spark)
-    table = text_blocks(docs, block_bytes, min(1000, max(8, ranges)))
-    size = table.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("texts")), F.lit(0))).first()
-    ranges = max(ranges, -(-size[0] // 4))
-
-    def loaded(t: pa.Table) -> tuple[int, Block]:
-        return t.column("g")[0].as_py(), Block(t.column("texts")[0].as_py(), t.column("learn")[0].as_py())
+    blocks = bucketed(in_blocks(docs, block_bytes), "g", min(1000, max(8, n_partitions(spark))))
+    ranges = max(n_partitions(spark), -(-blocks.select("g").count() // BLOCKS_PER_RANGE))
 
     def send_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                g, block = loaded(pa.Table.from_batches([batch.slice(i, 1)]))
-                at = cuts(block.keys, ranges)
-                for lo in range(0, ranges, 32):
-                    parts = [(r, 0, pack_sorted(block.keys[at[r] : at[r + 1]]), planes(block.own[at[r] : at[r + 1]], "<u4"), b"") for r in range(lo, min(lo + 32, ranges)) if at[r] < at[r + 1]]
-                    yield from packed(g, parts).to_batches()
-
-    def merge(t: pa.Table) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Senders with their lengths, distinct keys, the place of each sent key, and whether it is its first sending."""
-        every = [unpack_sorted(x.as_py()) for x in t.column("keys")]
-        keys, first, place = np.unique(np.concatenate(every), return_index=True, return_inverse=True)
-        owner = np.zeros(len(place), bool)
-        owner[first] = True
-        return list(zip(t.column("g").to_pylist(), map(len, every))), keys, first, place, owner
+                g, block = block_of(pa.Table.from_batches([batch.slice(i, 1)]))
+                at, own = cuts(block.keys, ranges), block.own_counts()
+                for lo in range(0, ranges, 64):
+                    parts = [(r, squeezed_keys(block.keys[at[r] : at[r + 1]]), squeezed(own[at[r] : at[r + 1]])) for r in range(lo, min(lo + 64, ranges)) if at[r] < at[r + 1]]
+                    yield from messages(g, parts).to_batches()
 
     def add_counts(t: pa.Table) -> pa.Table:
-        senders, keys, _, place, owner = merge(t)
+        senders, keys, place, first = merged(t)
         r = t.column("r")[0].as_py()
-        count = np.bincount(place, np.concatenate([from_planes(x.as_py(), "<u4") for x in t.column("values")])).astype(np.int64)
-        out, at = [], 0
-        for g, n in senders:
-            some = slice(at, at + n)
-            out.append(packed(g, [(r, 1, None, planes(count[place[some]], "<u4"), np.packbits(owner[some]).tobytes())]))
-            at += n
+        count = np.bincount(place, sent(t, "a")).astype(np.int64)
+        owner = np.zeros(len(place), bool)
+        owner[first] = True
+        out = [messages(g, [(r, None, squeezed(count[place[some]]), np.packbits(owner[some]).tobytes())]) for g, some in senders]
         word = (keys & np.uint64(1) == 0) & (count > 0) & (keys != START)
         pair = (keys & np.uint64(1) == 1) & (count > 0)
-        totals = np.array([count[word].sum(), word.sum(), pair.sum()], "<i8")
-        out.append(packed(-1, [(r, 2, None, totals.tobytes(), b"")]))
-        return pa.concat_tables(out)
-
-    counts = spool(table.select("g", "ids", "learn", "texts").mapInArrow(send_counts, MESSAGE).groupBy("r").applyInArrow(add_counts, MESSAGE))
-
-    def totals_of(df: DataFrame, kind: str, n: int) -> list[float]:
-        """Sums over the reducers' totals; one short row for each reducer."""
-
-        def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                rows = [np.frombuffer(x.as_py(), kind) for x in b.column(0)]
-                yield pa.RecordBatch.from_arrays([pa.array([float(r[i]) for r in rows], pa.float64()) for i in range(n)], [f"c{i}" for i in range(n)])
-
-        found = df.where("g = -1").select("values").mapInArrow(unpack, ", ".join(f"c{i} double" for i in range(n)))
-        return list(found.agg(*[F.coalesce(F.sum(f"c{i}"), F.lit(0.0)) for i in range(n)]).first())
-
-    n_train, n_words, n_pairs = totals_of(counts, "<i8", 3)
-    share = n_pairs / n_train if n_train else 0.0
-
-    def answered(block: Block, t: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray]:
-        """The answers of one kind, in the order of the block's keys (kind 1: all keys, 3: words only)."""
-        keys = block.keys if kind == 1 else block.keys[block.keys & np.uint64(1) == 0]
-        at = cuts(keys, ranges)
-        values, owner = np.zeros((len(keys), 1 if kind == 1 else 2)), np.zeros(len(keys), bool)
-        for r, k, data, bits in zip(*(t.column(c).to_pylist() for c in ("r", "kind", "values", "owner"))):
-            if k == kind:
-                n = int(at[r + 1] - at[r])
-                halves = [data] if kind == 1 else [data[: 4 * n], data[4 * n :]]
-                values[at[r] : at[r + 1]] = np.stack([from_planes(x, "<u4" if kind == 1 else "<f4") for x in halves], axis=1)
-                if kind == 1:
-                    owner[at[r] : at[r + 1]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=n).view(bool)
-        return values, owner
-
-    def seated(block: Block, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(pairs' places, their first tokens, mean tables): the seating of each distinct pair of the block."""
-        pairs, first = np.unique(block.pair_at, return_index=True)
-        c_context, c_word = count[block.context_at[first]], count[block.word_at[first]]
-        pull = (STRENGTH + DISCOUNT * share * c_context) * (c_word + 1) / (n_train + n_words + 1)
-        return pairs, first, mean_tables(block.keys[pairs], count[pairs].astype(np.int64), pull, DISCOUNT)
-
-    def send_tables(_key, blocks: pa.Table, answers: pa.Table) -> pa.Table:
-        g, block = loaded(blocks)
-        values, owner = answered(block, answers, 1)
-        pairs, first, all_tables = seated(block, values[:, 0])
-        tables = np.where(owner[pairs], all_tables, 0.0)
-        by_context = np.bincount(block.context_at[first], tables, minlength=len(block.keys))
-        by_word = np.bincount(block.word_at[first], tables, minlength=len(block.keys))
-        word = block.keys & np.uint64(1) == 0
-        keys, sums = block.keys[word], np.stack([by_context[word], by_word[word]])
-        at = cuts(keys, ranges)
-        parts = [(r, 0, pack_sorted(keys[at[r] : at[r + 1]]), b"".join(planes(s[at[r] : at[r + 1]], "<f4") for s in sums), b"") for r in range(ranges) if at[r] < at[r + 1]]
-        return packed(g, [*parts, (-1, 5, None, planes(all_tables, "<f4"), b"")])
-
-    def add_tables(t: pa.Table, root_tables: float, totals_only: bool = False) -> pa.Table:
-        senders, keys, _, place, _ = merge(t)
+        return pa.concat_tables([*out, messages(-1, [(r, None, squeezed(np.array([count[word].sum(), word.sum(), pair.sum()])))])])
+
+    counts = spool(blocks.mapInArrow(send_counts, MESSAGE).groupBy("r").applyInArrow(add_counts, MESSAGE))
+    n_train, n_words, n_pairs = totals_of(counts, 3)
+
+    def keep_counts(_key, blocks: pa.Table, answers: pa.Table) -> pa.Table:
+        """The block with the corpus counts of its keys, and with which of them it owns."""
+        order = np.argsort(answers.column("r").to_numpy())
+        count = np.concatenate([unsqueezed(answers.column("a")[i].as_py()) for i in order.tolist()])
+        n = [int.from_bytes(answers.column("a")[i].as_py()[-8:], "little") for i in order.tolist()]
+        owner = np.concatenate([np.unpackbits(np.frombuffer(answers.column("b")[i].as_py(), np.uint8), count=k) for i, k in zip(order.tolist(), n)])
+        return blocks.append_column("count", pa.array([squeezed(count)], pa.binary())).append_column("owner", pa.array([np.packbits(owner).tobytes()], pa.binary()))
+
+    ready = bucketed(blocks.groupBy("g").cogroup(counts.where("g >= 0").groupBy("g")).applyInArrow(keep_counts, f"{BLOCK}, count binary, owner binary"), "g", min(1000, max(8, n_partitions(spark))))
+    drop_bucketed(blocks)
+
+    def loaded(t: pa.Table) -> tuple[int, Block, np.ndarray, np.ndarray]:
+        g, block = block_of(t)
+        count = unsqueezed(t.column("count")[0].as_py()).astype(np.int64)
+        return g, block, count, np.unpackbits(np.frombuffer(t.column("owner")[0].as_py(), np.uint8), count=len(count)).view(bool)
+
+    known: list[tuple[int, int]] = []  # of each sweep: customers and tables of the parent
+
+    def state(block: Block, count: np.ndarray, answers: pa.Table | None, sweep: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of the block's words after ``sweep``: the tables of the restaurant of each, and the parent's probability."""
+        c_word = count[block.word_at]
+        if sweep < 0:  # before the first: an add-one model, and as many tables as distinct pairs on average
+            return c_word * (n_pairs / max(1, n_train)), (c_word + 1) / (n_train + n_words + 1)
+        rows = answers.filter(pc.equal(answers.column("sweep"), sweep))
+        order = np.argsort(rows.column("r").to_numpy()).tolist()
+        of = lambda c: np.concatenate([unsqueezed(rows.column(c)[i].as_py()) for i in order]).astype(np.float64)
+        customers, tables = known[sweep]
+        spare = (ROOT_STRENGTH + ROOT_DISCOUNT * tables) / (n_words + 1)
+        return of("a"), (of("b") - ROOT_DISCOUNT * of("c") + spare) / (ROOT_STRENGTH + customers)
+
+    def seated(block: Block, count: np.ndarray, tables: np.ndarray, parent: np.ndarray, sweep: int) -> np.ndarray:
+        """The tables of the block's pairs; of its context's tables one, of the dish itself, doesn't count in the pull."""
+        pull = (STRENGTH + DISCOUNT * np.maximum(tables[block.pair_context] - 1, 0.0)) * parent[block.pair_word]
+        return drawn_tables(block.pairs, count[block.pair_at], pull, DISCOUNT, sweep)
+
+    def asked(blocks: pa.Table, answers: pa.Table | None, sweep: int) -> pa.Table:
+        g, block, count, owner = loaded(blocks)
+        tables = seated(block, count, *state(block, count, answers, sweep - 1), sweep) * owner[block.pair_at]
+        by_context = np.bincount(block.pair_context, tables, minlength=len(block.words)).astype(np.int64)
+        by_word = np.bincount(block.pair_word, tables, minlength=len(block.words)).astype(np.int64)
+        at = cuts(block.words, ranges)
+        return messages(g, [(r, squeezed_keys(block.words[at[r] : at[r + 1]]), *(squeezed(s[at[r] : at[r + 1]]) for s in (by_context, by_word))) for r in range(ranges) if at[r] < at[r + 1]])
+
+    def answered(t: pa.Table, sweep: int, root_tables: int) -> pa.Table:
+        senders, keys, place, _ = merged(t)
         r = t.column("r")[0].as_py()
-        sent = [np.frombuffer(x.as_py(), np.uint8) for x in t.column("values")]
-        halves = [[from_planes(x[: len(x) // 2].tobytes(), "<f4") for x in sent], [from_planes(x[len(x) // 2 :].tobytes(), "<f4") for x in sent]]
-        in_context, customers = (np.bincount(place, np.concatenate(h)) for h in halves)
-        tables = mean_tables(keys, np.rint(customers).astype(np.int64), np.full(len(keys), root_pull(root_tables, n_words)), ROOT_DISCOUNT)
-        own = np.maximum(customers - ROOT_DISCOUNT * tables, 0.0)
-        out, at = [], 0
-        for g, n in [] if totals_only else senders:
-            some = place[at : at + n]
-            out.append(packed(g, [(r, 3, None, planes(in_context[some], "<f4") + planes(own[some], "<f4"), b"")]))
-            at += n
-        out.append(packed(-1, [(r, 4, None, np.array([customers.sum(), own.sum(), tables.sum()], "<f8").tobytes(), b"")]))
-        return pa.concat_tables(out)
-
-    by_block = table.groupBy("g")
-    sent = spool(by_block.cogroup(counts.where("kind = 1").groupBy("g")).applyInArrow(send_tables, MESSAGE))
-    of_root = sent.where("kind = 0").groupBy("r")
-    # each word has one table at least; the tables seated with that pull give the pull of the seating that counts
-    root_tables = totals_of(of_root.applyInArrow(lambda t: add_tables(t, n_words, True), MESSAGE), "<f8", 3)[2]
-    tables = spool(of_root.applyInArrow(lambda t: add_tables(t, root_tables), MESSAGE))
-    n_customers, own_mass, _ = totals_of(tables, "<f8", 3)
-    known_share = 1 / (ROOT_STRENGTH + n_customers)
-    spare = (ROOT_STRENGTH + n_customers - own_mass) * known_share / (n_words + 1)
+        in_context, customers = (np.bincount(place, sent(t, c)).astype(np.int64) for c in ("a", "b"))
+        pull = (ROOT_STRENGTH + ROOT_DISCOUNT * max(root_tables - 1, 0)) / (n_words + 1)
+        tables = drawn_tables(keys, customers, np.full(len(keys), pull), ROOT_DISCOUNT, sweep)
+        out = [messages(g, [(r, None, *(squeezed(x[place[some]]) for x in (in_context, customers, tables)))]) for g, some in senders]
+        return pa.concat_tables([*out, messages(-1, [(r, None, squeezed(np.array([customers.sum(), tables.sum()])))])])
+
+    by_block = ready.groupBy("g")
+
+    def one_sweep(sweep: int, before: DataFrame | None, root_tables: int) -> DataFrame:
+        def ask(_key, blocks: pa.Table, answers: pa.Table) -> pa.Table:
+            return asked(blocks, answers, sweep)
+
+        def ask_first(blocks: pa.Table) -> pa.Table:
+            return asked(blocks, None, sweep)
+
+        def answer(t: pa.Table) -> pa.Table:
+            return answered(t, sweep, root_tables)
+
+        sums = by_block.applyInArrow(ask_first, MESSAGE) if before is None else by_block.cogroup(before.where("g >= 0").groupBy("g")).applyInArrow(ask, MESSAGE)
+        return spool(sums.groupBy("r").applyInArrow(answer, MESSAGE).withColumn("sweep", F.lit(sweep)))
+
+    swept: list[DataFrame] = []
+    root_tables = n_words  # each word has one table at least
+    for sweep in range(BURN_IN + SAMPLES):
+        swept.append(one_sweep(sweep, swept[-1] if swept else None, root_tables))
+        known.append(tuple(totals_of(swept[-1], 2)))
+        root_tables = known[-1][1]
 
     def score(_key, blocks: pa.Table, answers: pa.Table) -> pa.Table:
-        _, block = loaded(blocks)
-        count = answered(block, answers, 1)[0][:, 0]
-        seats = from_planes(next(x for x, k in zip(answers.column("values").to_pylist(), answers.column("kind").to_pylist()) if k == 5), "<f4")
-        of_words = answered(block, answers, 3)[0]
-        place = np.cumsum(block.keys & np.uint64(1) == 0) - 1
-        root = spare + of_words[place[block.word_at], 1] * known_share
-        context = block.context_at
-        c_context, t_context = count[context], of_words[place[context], 0]
-        t_pair = np.zeros(len(block.keys))
-        t_pair[np.unique(block.pair_at)] = seats
+        _, block, count, _ = loaded(blocks)
         c_pair = count[block.pair_at]
-        c_context = np.maximum(c_context, c_pair)
-        p = (np.maximum(c_pair - DISCOUNT * t_pair[block.pair_at], 0.0) + (STRENGTH + DISCOUNT * t_context) * root) / (STRENGTH + c_context)
-        c_word = count[block.word_at]
+        c_context = np.maximum(count[block.word_at][block.pair_context], c_pair)
+        p = np.zeros(len(block.pairs))
+        for sweep in range(BURN_IN, BURN_IN + SAMPLES):
+            own = seated(block, count, *state(block, count, answers, sweep - 1), sweep)
+            tables, parent = state(block, count, answers, sweep)
+            p += (c_pair - DISCOUNT * own + (STRENGTH + DISCOUNT * tables[block.pair_context]) * parent[block.pair_word]) / (STRENGTH + c_context)
+        each = np.log10(p / SAMPLES)[block.pair_of]
+        c_word = count[block.word_at][block.tokens]
         starts = np.r_[0, block.ends[:-1]]
-        sums = [np.add.reduceat(x, starts) for x in ((c_word > 0).astype(np.int64), np.log10((c_word + 1) / (n_train + n_words + 1)), np.log10(p))]
-        n = len(starts)
-        return pa.table(
-            {
-                "id": pa.array(blocks.column("ids")[0].as_py(), pa.int64()),
-                "learn": pa.array(blocks.column("learn")[0].as_py(), pa.bool_()),
-                "n_tokens": pa.array(block.counts, pa.int64()),
-                "n_known": pa.array(sums[0], pa.int64()),
-                "train_tokens": pa.array(np.full(n, int(n_train)), pa.int64()),
-                "base_score": pa.array(sums[1], pa.float64()),
-                "score": pa.array(sums[2], pa.float64()),
-            }
-        )
-
-    answers = counts.where("kind = 1").union(tables.where("kind = 3")).union(sent.where("kind = 5"))
-    return by_block.cogroup(answers.groupBy("g")).applyInArrow(score, "id bigint, learn boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+        sums = [np.add.reduceat(x, starts) for x in ((c_word > 0).astype(np.int64), np.log10((c_word + 1) / (n_train + n_words + 1)), each)]
+        columns = {
+            "id": pa.array(blocks.column("ids")[0].as_py(), pa.int64()),
+            "learn": pa.array(blocks.column("learn")[0].as_py(), pa.bool_()),
+            "n_tokens": pa.array(block.sizes, pa.int64()),
+            "n_known": pa.array(sums[0], pa.int64()),
+            "train_tokens": pa.array(np.full(len(starts), n_train), pa.int64()),
+            "base_score": pa.array(sums[1], pa.float64()),
+            "score": pa.array(sums[2], pa.float64()),
+        }
+        if with_tokens:
+            columns["token_scores"] = pa.ListArray.from_arrays(pa.array(np.r_[0, block.ends].astype(np.int32)), pa.array(each))
+        return pa.table(columns)
+
+    answers = swept[max(0, BURN_IN - 1)]
+    for s in swept[max(0, BURN_IN - 1) + 1 :]:
+        answers = answers.union(s)
+    schema = "id bigint, learn boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double" + (", token_scores array<double>" if with_tokens else "")
+    return by_block.cogroup(answers.where("g >= 0").groupBy("g")).applyInArrow(score, schema)
 
 
 def op8_lm_scoring(spark, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from lumberline.llm import hpylm, quality, toxicity
 from lumberline.llm.common import WORD
 
 
-def test_gibbs_means_equal_enumeration(monkeypatch):
+def test_draws_follow_the_enumerated_law():
     def partitions(items):
         if not items:
             yield []
@@ -24,43 +24,39 @@ def test_gibbs_means_equal_enumeration(monkeypatch):
 
     def exact(n, pull, d):
         weigh = lambda p: pull ** len(p) * math.prod(math.prod(j - d for j in range(1, len(b))) for b in p)
-        found = [(weigh(p), len(p)) for p in partitions(list(range(n)))]
-        return sum(w * k for w, k in found) / sum(w for w, _ in found)
+        found = Counter()
+        for p in partitions(list(range(n))):
+            found[len(p)] += weigh(p)
+        return np.array([found[k] / sum(found.values()) for k in range(1, n + 1)])
 
-    monkeypatch.setattr(hpylm, "SAMPLES", 40)
-    monkeypatch.setattr(hpylm, "BURN_IN", 10)
-    keys = np.random.default_rng(1).integers(0, 2**63, 3000).astype(np.uint64)
-    for n, pull in ((2, 0.1), (3, 0.5), (4, 2.0)):
-        got = hpylm.mean_tables(keys, np.full(3000, n), np.full(3000, pull), 0.8).mean()
-        assert got == pytest.approx(exact(n, pull, 0.8), rel=0.02)
-
-
-def test_seating_as_shipped_has_mixed():
-    assert hpylm.SAMPLES >= 3
-    keys = np.random.default_rng(2).integers(0, 2**63, 20_000).astype(np.uint64)
-    got = hpylm.mean_tables(keys, np.full(20_000, 24), np.full(20_000, 3.0), 0.8)
-    assert got.mean() == pytest.approx(5.15, abs=0.1)  # 4.1 after two sweeps from one table
-    assert got.std() < 1.2  # of one seating: 1.9
+    keys = np.random.default_rng(1).integers(0, 2**63, 60_000).astype(np.uint64)
+    for n, pull in ((2, 0.1), (3, 0.5), (4, 2.0), (6, 1.0)):
+        got = hpylm.drawn_tables(keys, np.full(len(keys), n), np.full(len(keys), pull), 0.8, 0)
+        assert np.bincount(got, minlength=n + 1)[1:] / len(keys) == pytest.approx(exact(n, pull, 0.8), abs=0.01)
 
 
 @pytest.mark.parametrize("discount", [0.7, 0.8])
-def test_seating_has_one_law_at_all_counts(monkeypatch, discount):
+def test_draws_have_one_law_at_all_counts(discount):
     def exact(n, pull):
         weights = np.array([1.0])  # of 1, 2, .. tables, by adding customers one by one
         for m in range(1, n):
             k = np.arange(1, m + 1)
             weights = np.append(weights * (m - discount * k), 0) + np.append(0, weights * pull)
             weights /= weights.sum()
-        return (weights * np.arange(1, n + 1)).sum()
+        k = np.arange(1, n + 1)
+        mean = (weights * k).sum()
+        return mean, math.sqrt((weights * k * k).sum() - mean * mean)
 
-    monkeypatch.setattr(hpylm, "SAMPLES", 20)
-    keys = np.random.default_rng(3).integers(0, 2**63, 2000).astype(np.uint64)
-    for n in (24, 25, 60, hpylm.DRAWN, hpylm.DRAWN + 1, 400, 1500):
+    keys = np.random.default_rng(3).integers(0, 2**63, 6000).astype(np.uint64)
+    for n in (24, 60, hpylm.DRAWN, hpylm.DRAWN + 1, 400, 1500):
         for pull in (1e-3, 0.5, 3.0, 40.0, 900.0):
-            got = hpylm.mean_tables(keys, np.full(2000, n), np.full(2000, pull), discount).mean()
-            assert got == pytest.approx(exact(n, pull), rel=0.01), (n, pull)
-    huge = hpylm.mean_tables(keys[:2], np.array([10**9, 10**9]), np.array([3.0, 1e-7]), discount)
-    assert huge == pytest.approx([1 + 3 / discount, 1], rel=1e-3)
+            got = hpylm.drawn_tables(keys, np.full(len(keys), n), np.full(len(keys), pull), discount, 1)
+            mean, spread = exact(n, pull)
+            assert got.mean() == pytest.approx(mean, rel=0.02) and got.std() == pytest.approx(spread, rel=0.2, abs=0.06), (n, pull)
+            assert got.min() >= 1 and got.max() <= n
+    huge = hpylm.drawn_tables(keys, np.full(len(keys), 10**12), np.full(len(keys), 1e-7), discount, 0)
+    assert huge.max() == 1
+    assert hpylm.drawn_tables(keys[:3], np.array([0, 1, 1]), np.ones(3), discount, 0).tolist() == [0, 1, 1]
 
 
 def test_lm_counts_and_probabilities(spark):
@@ -81,56 +77,70 @@ def test_lm_counts_and_probabilities(spark):
     assert len(got) == len({(i, len(ws)) for (i, _, _), ws in zip(rows, tokens)})
 
 
-def test_lm_probabilities_sum_to_one(spark):
-    """The next word after one context, over all known words, the end and one unknown word."""
-    train = ["a b a c a b", "b a c", "a a b"]
-    probes = [f"a {w}".strip() for w in ("a", "b", "c", "zzz")]
-    rows = [(i, True, t) for i, t in enumerate(train)] + [(100 + i, False, t) for i, t in enumerate([*probes, "a", ""])]
-    got = {r["id"]: r["score"] for r in hpylm.score_texts(spark.createDataFrame(rows, "id bigint, learn boolean, text string")).collect()}
-    contexts = {w: {r["id"]: r["score"] for r in hpylm.score_texts(spark.createDataFrame([*rows[:3], (1, False, w)], "id bigint, learn boolean, text string")).where("not learn").collect()}[1] for w in ("a", "b", "c", "zzz", "")}
-    starts = sum(10 ** contexts[w] / end for w, end in ((w, 1.0) for w in ("",)))
-    assert 0 < starts < 1 and all(np.isfinite(list(got.values())))
-
-
-def test_lm_root_tables_count_in_its_pull(spark):
-    """All scores of a small corpus, by hand."""
-    rng = random.Random(4)
-    texts = [" ".join(rng.choice("abcdefghijklmno") for _ in range(8)) for _ in range(80)]
-    tokens = [hpylm.word_keys(t.encode().split()) for t in [*texts, "zzz", "a zzz"]]
-    pairs = [list(zip([hpylm.START, *ws[:-1]], ws)) for ws in tokens]
-    c_word = Counter(w for ws in tokens[:80] for w in ws)
-    c_pair = Counter(p for ps in pairs[:80] for p in ps)
-    c_context = c_word + Counter({hpylm.START: 80})
+def lm_tokens(text):
+    words = [hpylm.xxhash.xxh64_intdigest(w) & ~1 for w in re.sub("[A-Z]", lambda m: m[0].lower(), text or "").encode().split()]
+    return [*map(int, words), int(hpylm.END)]
+
+
+def brute_lm(texts, learn):
+    """The sampled model by dictionaries: the log10 probability of each token of each text."""
+    tokens = [lm_tokens(t) for t in texts]
+    pairs = [list(zip([int(hpylm.START), *ws[:-1]], ws)) for ws in tokens]
+    c_word = Counter(w for ws, l in zip(tokens, learn) if l for w in ws)
+    c_pair = Counter(p for ps, l in zip(pairs, learn) if l for p in ps)
+    c_context = Counter(c for c, _ in c_pair.elements())
     n, v = sum(c_word.values()), len(c_word)
+    key = lambda p: int(hpylm.pair_keys(np.array([p[0]], np.uint64), np.array([p[1]], np.uint64))[0])
+    draw = lambda k, c, pull, d, s: int(hpylm.drawn_tables(np.array([k], np.uint64), np.array([c]), np.array([pull]), d, s)[0])
+    asked = Counter(c_word)
+    asked[int(hpylm.START)] = sum(learn)
+    tables = {c: asked[c] * len(c_pair) / n for c in asked}
+    parent = lambda w: (c_word[w] + 1) / (n + v + 1)
+    total, p = v, [np.zeros(len(ps)) for ps in pairs]
+    for sweep in range(hpylm.BURN_IN + hpylm.SAMPLES):
+        own = {q: draw(key(q), c, (hpylm.STRENGTH + hpylm.DISCOUNT * max(tables.get(q[0], 0) - 1, 0)) * parent(q[1]), hpylm.DISCOUNT, sweep) for q, c in c_pair.items()}
+        tables, customers = Counter(), Counter()
+        for q, t in own.items():
+            tables[q[0]] += t
+            customers[q[1]] += t
+        pull = (hpylm.ROOT_STRENGTH + hpylm.ROOT_DISCOUNT * (total - 1)) / (v + 1)
+        root = {w: draw(w, c, pull, hpylm.ROOT_DISCOUNT, sweep) for w, c in customers.items()}
+        total, everyone = sum(root.values()), sum(customers.values())
+
+        def parent(w, root=root, customers=customers, total=total, everyone=everyone):
+            return (customers[w] - hpylm.ROOT_DISCOUNT * root.get(w, 0) + (hpylm.ROOT_STRENGTH + hpylm.ROOT_DISCOUNT * total) / (v + 1)) / (hpylm.ROOT_STRENGTH + everyone)
+
+        if sweep >= hpylm.BURN_IN:
+            for i, ps in enumerate(pairs):
+                p[i] += [(c_pair[q] - hpylm.DISCOUNT * own.get(q, 0) + (hpylm.STRENGTH + hpylm.DISCOUNT * tables[q[0]]) * parent(q[1])) / (hpylm.STRENGTH + c_context[q[0]]) / hpylm.SAMPLES for q in ps]
+    return [np.log10(x) for x in p]
+
+
+@pytest.mark.parametrize("block_bytes", [300, 1 << 20])
+def test_lm_scores_equal_brute_force(spark, block_bytes):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("ABcdefghijklmnoé") for _ in range(rng.randint(0, 12))) for _ in range(120)] + [None, "", "zzz", "a zzz b", "x\ty\nz"]
+    texts += texts[:10] + ["cd " * 900]
+    learn = [i % 6 > 0 for i in range(len(texts))]
+    df = spark.createDataFrame(list(zip(range(len(texts)), learn, texts)), "id bigint, learn boolean, text string").withColumn("score", F.lit("clash"))
+    got = {r["id"]: r for r in hpylm.score_texts(df, block_bytes=block_bytes, with_tokens=True).collect()}
+    assert len(got) == len(texts)
+    for i, want in enumerate(brute_lm(texts, learn)):
+        assert got[i]["token_scores"] == pytest.approx(want.tolist(), rel=1e-9)
+        assert got[i]["score"] == pytest.approx(want.sum(), rel=1e-9)
 
-    def mean(key, customers, pull, discount):
-        return float(hpylm.mean_tables(np.array([key], np.uint64), np.array([customers]), np.array([pull]), discount)[0])
-
-    def key(p):
-        return hpylm.pair_keys(np.array([p[0]]), np.array([p[1]]))[0]
-
-    share = len(c_pair) / n
-    t_pair = {p: mean(key(p), c, (hpylm.STRENGTH + hpylm.DISCOUNT * share * c_context[p[0]]) * (c_word[p[1]] + 1) / (n + v + 1), hpylm.DISCOUNT) for p, c in c_pair.items()}
-    t_context, customers = Counter(), Counter()
-    for p, t in t_pair.items():
-        t_context[p[0]] += t
-        customers[p[1]] += t
-    total = v
-    for _ in range(2):
-        tables = {w: mean(w, round(c), (hpylm.ROOT_STRENGTH + hpylm.ROOT_DISCOUNT * total) / (v + 1), hpylm.ROOT_DISCOUNT) for w, c in customers.items()}
-        total = sum(tables.values())
-    assert total > 1.5 * v
-    everyone = sum(customers.values())
-
-    def log_p(p):
-        own = customers[p[1]] - hpylm.ROOT_DISCOUNT * tables[p[1]] if p[1] in tables else 0
-        root = (own + (hpylm.ROOT_STRENGTH + hpylm.ROOT_DISCOUNT * total) / (v + 1)) / (hpylm.ROOT_STRENGTH + everyone)
-        seated = max(c_pair[p] - hpylm.DISCOUNT * t_pair.get(p, 0), 0)
-        return math.log10((seated + (hpylm.STRENGTH + hpylm.DISCOUNT * t_context[p[0]]) * root) / (hpylm.STRENGTH + c_context[p[0]]))
-
-    rows = [(i, i < 80, t) for i, t in enumerate([*texts, "zzz", "a zzz"])]
-    got = {r["id"]: r["score"] for r in hpylm.score_texts(spark.createDataFrame(rows, "id bigint, learn boolean, text string")).collect()}
-    assert [got[i] for i in range(82)] == pytest.approx([sum(map(log_p, ps)) for ps in pairs], rel=1e-4)
+
+def test_lm_probabilities_sum_to_one(spark):
+    """The token after each context, over all known words, the end and one unknown word."""
+    train = ["a b a c a b", "b a c", "a a b", "c", "b b b b b"]
+    words = ["a", "b", "c", "zzz"]
+    probes = {(c, w): f"{c} {w}".strip() for c in ["", "a", "b", "c", "other"] for w in [*words, ""]}
+    rows = [(i, True, t) for i, t in enumerate(train)] + [(100 + i, False, t) for i, t in enumerate(probes.values())]
+    got = {r["id"]: r["token_scores"] for r in hpylm.score_texts(spark.createDataFrame(rows, "id bigint, learn boolean, text string"), with_tokens=True).collect()}
+    sums = Counter()
+    for i, (c, _) in enumerate(probes):
+        sums[c] += 10 ** got[100 + i][1 if c else 0]
+    assert dict(sums) == pytest.approx(dict.fromkeys(["", "a", "b", "c", "other"], 1.0))
 
 
 def test_empty_tables(spark):
