@@ -172,41 +172,86 @@ class CustomFormat:
             raise ValueError(f"missing named groups: {', '.join(missing)}")
         return found
 
-    def extract(self, line: str) -> tuple[int, tuple[int, int]] | None:
-        """(epoch ms, span); None without a match; ``ValueError`` for values out of range."""
+    def components(self, line: str) -> tuple[dict[str, int], tuple[int, int]] | None:
+        """(year, month, day, hour of 24, min, sec, ms; span); None without a match; ``ValueError`` for values out of
+        range. Numbers are read as they stand: ``ms`` "5" is 5 milliseconds."""
         m = self.compiled().search(line.encode()[:WINDOW_BYTES].decode("utf-8", "ignore"))
         if not m:
             return None
         g = m.groupdict()
-        year, month, day, hour, minute, sec = (int(g[k]) for k in self.REQUIRED)
-        ms = int((g.get("ms") or "0")[:3].ljust(3, "0")) if g.get("ms") else 0
-        if ampm := (g.get("ampm") or "").strip().lower():
+        out = {}
+        for name in (*self.REQUIRED, "ms"):
+            text = (g.get(name) or "").strip()
+            if re.fullmatch(r"[+-]?[0-9]+", text):
+                out[name] = int(text)
+            elif name == "ms":
+                out[name] = 0
+            else:
+                raise ValueError(f"missing required group '{name}'")
+        if not (1 <= out["month"] <= 12 and 1 <= out["day"] <= 31 and 0 <= out["min"] <= 59 and 0 <= out["sec"] <= 60 and 0 <= out["ms"] <= 999):
+            raise ValueError("out of range: month 1-12, day 1-31, min 0-59, sec 0-60, ms 0-999")
+        if g.get("ampm") is not None:
+            ampm = g["ampm"].strip().lower()
             if ampm not in ("am", "pm"):
                 raise ValueError("group 'ampm' must be AM or PM")
-            if not 1 <= hour <= 12:
+            if not 1 <= out["hour"] <= 12:
                 raise ValueError("with 'ampm' the hour must be 1-12")
-            hour = hour % 12 + 12 * (ampm == "pm")
-        return int(datetime(year, month, day, hour, minute, min(sec, 59), tzinfo=UTC).timestamp()) * 1000 + (sec - min(sec, 59)) * 1000 + ms, m.span()
+            out["hour"] = out["hour"] % 12 + 12 * (ampm == "pm")
+        elif not 0 <= out["hour"] <= 23:
+            raise ValueError("the hour must be 0-23, or needs a group 'ampm'")
+        return out, m.span()
+
+    def extract(self, line: str) -> tuple[int, tuple[int, int]] | None:
+        """(epoch ms, span) of the line's first match; a day beyond its month's end runs into the next."""
+        found = self.components(line)
+        if not found:
+            return None
+        c, span = found
+        first = (datetime(c["year"], c["month"], 1) - datetime(1970, 1, 1)).days
+        return ((((first + c["day"] - 1) * 24 + c["hour"]) * 60 + c["min"]) * 60 + c["sec"]) * 1000 + c["ms"], span
+
+    def describe(self, line: str) -> str:
+        """The parts that the format reads from a sample line, one by one."""
+        found = self.components(line)
+        if not found:
+            return "no match"
+        c = found[0]
+        # Fixed value: the labels and their order.
+        return f"Year: {c['year']}, Month: {c['month']}, Date: {c['day']}, Hour: {c['hour']}, Min: {c['min']}, Sec: {c['sec']}, MILLI SECOND: {c['ms']}"
 
     def preview(self, line: str) -> str:
         """What the format makes of a sample line, as text."""
         found = self.extract(line)
         return format_ms(found[0]) if found else "no match"
 
+    @property
+    def java(self) -> str:
+        return re.sub(r"\(\?P?<([A-Za-z]\w*)>", "(", self.pattern)
+
     def column(self, text: Column) -> Column:
         """The format as a native expression (null without a match or with values out of range)."""
-        groups, java = self.compiled().groupindex, re.sub(r"\(\?P?<(\w+)>", "(", self.pattern)
+        groups, java, head = self.compiled().groupindex, self.java, search_window(text)
 
         def part(name: str) -> Column:
-            return F.regexp_extract(F.substring(text, 1, WINDOW_BYTES), java, groups[name]) if name in groups else F.lit("")
+            return F.trim(F.regexp_extract(head, java, groups[name]))
 
-        hour = _whole(part("hour"))
+        year, month, day, hour, minute, sec = (_whole(part(name)) for name in self.REQUIRED)
         if "ampm" in groups:
-            ap = F.lower(F.trim(part("ampm")))
-            hour = F.when(ap == "", hour).when(hour.between(1, 12) & ap.isin("am", "pm"), hour % 12 + F.when(ap == "pm", 12).otherwise(0))
-        ms = F.coalesce(_whole(F.rpad(F.substring(part("ms"), 1, 3), 3, "0")), F.lit(0)) if "ms" in groups else F.lit(0)
-        at = F.try_make_timestamp(_whole(part("year")), _whole(part("month")), _whole(part("day")), hour, _whole(part("min")), _whole(part("sec")).cast("decimal(8,6)"), F.lit("UTC"))
-        return (F.unix_millis(at) + ms).cast("bigint")
+            ap = F.lower(part("ampm"))
+            of_12 = F.when(hour.between(1, 12) & ap.isin("am", "pm"), hour % 12 + F.when(ap == "pm", 12).otherwise(0))
+            hour = F.when(ap == "", F.when(hour.between(0, 23), hour)).otherwise(of_12)
+        else:
+            hour = F.when(hour.between(0, 23), hour)
+        ms = F.coalesce(part("ms").try_cast("int"), F.lit(0)) if "ms" in groups else F.lit(0)
+        first = F.unix_date(F.when(month.between(1, 12) & year.between(1, 9999), F.make_date(F.greatest(F.least(year, F.lit(9999)), F.lit(1)), F.greatest(F.least(month, F.lit(12)), F.lit(1)), F.lit(1)))).cast("bigint")
+        valid = day.between(1, 31) & minute.between(0, 59) & sec.between(0, 60) & ms.between(0, 999)
+        return F.when(valid, ((((first + day - 1) * 24 + hour) * 60 + minute) * 60 + sec) * 1000 + ms).cast("bigint")
+
+    def without(self, text: Column) -> Column:
+        """The line with the first match cut out, if it starts within the search window."""
+        if self.pattern.startswith("^"):
+            return F.regexp_replace(text, self.java, "")
+        return F.regexp_replace(text, f"(?s)^(.{{0,{WINDOW_BYTES}}}?)(?:{self.java})", "$1")
 
 
 def least_hits(n: int) -> int:
@@ -223,12 +268,16 @@ def detect_family(sample: DataFrame, families: tuple[Family, ...] = FAMILIES, no
 
 def parse_time_param(value: str | int) -> int | None:
     """A time argument in epoch ms: numbers are ms; texts are whole seconds (up to 11 characters) or ms, RFC 3339,
-    ``Y-m-d H:M:S[.f]`` or ``Y-m-d``."""
+    ``Y-m-d H:M:S[.f]`` (also with a ``T``) or ``Y-m-d``."""
     if isinstance(value, int):
         return value
     text = value.strip()
     if re.fullmatch(r"[+-]?[0-9]+", text):
         return int(text) * (1000 if len(text) <= 11 else 1)
+    if not re.search(r"(Z|[+-][0-9]{2}:[0-9]{2})$", text, re.I):
+        text = text.replace("T", " ")  # without a zone
+    else:
+        text = re.sub("^([0-9-]{10})[ t]", r"\1T", re.sub("z$", "Z", text))
     for shape in ("%Y-%m-%dT%H:%M:%S.%f%z", "%Y-%m-%dT%H:%M:%S%z", "%Y-%m-%d %H:%M:%S.%f", "%Y-%m-%d %H:%M:%S", "%Y-%m-%d"):
         try:
             when = datetime.strptime(re.sub(r"(\.[0-9]{6})[0-9]+", r"\1", text), shape)

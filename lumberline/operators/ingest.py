@@ -6,17 +6,19 @@ import os
 from dataclasses import dataclass, field
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.formats import PLAIN, LogFormat, detect_format, learn_header, normalized
+from ..functions.formats import FORMATS, PLAIN, LogFormat, detect_format, learn_header, normalized
 from ..functions.masking import MaskConfig
-from ..functions.timefmt import CustomFormat, Family, detect_family, epoch_ms, least_hits, without_time
+from ..functions.timefmt import CustomFormat, Family, epoch_ms, least_hits, without_time
+from ..sources.spool import spooled
 from ..sources.text import FileState, forward_filled, read_lines
 from .mining import DrainConfig, mine, template_counts
 from .search import trimmed
 
-SAMPLE_LINES = 512
+#: Lines that aren't blank that a format is found from, and lines at the head of a file that are looked at for them.
+SAMPLE_LINES, HEAD_LINES = 512, 2_048
 
 
 @dataclass(frozen=True)
@@ -65,43 +67,69 @@ class AnalysedLog:
         return AnalysedLog(lines, template_counts(lines, self.templates), self.fmt, self.family, self.header, self.path, self.state, (start + lo, start + hi), self.custom)
 
 
-def analyse(lines: DataFrame, config: ParsingConfig = ParsingConfig(), custom: tuple[CustomFormat, ...] = (), path: str = "", state: FileState | None = None) -> AnalysedLog:
-    """Analyse ``lines`` (doc_id, line_no, text, n_bytes) of one log.
+def head_of(lines: DataFrame, config: ParsingConfig) -> tuple[list[str], list[str]]:
+    """(the first 512 lines that aren't blank, the lines that the header is learnt from), as texts."""
+    first = max(HEAD_LINES, config.header_sample_lines)
+    rows = lines.where(F.col("line_no") < first).orderBy("line_no").select("line_no", "text").collect()
+    sample = [r["text"] for r in rows if (r["text"] or "").strip(" ")][:SAMPLE_LINES]
+    if len(sample) < SAMPLE_LINES and len(rows) == first:  # many blank lines: look at all
+        found = lines.where(F.trim("text") != "").orderBy("line_no").limit(SAMPLE_LINES).select("text").collect()
+        sample = [r["text"] for r in found]
+    return sample, [r["text"] for r in rows if r["line_no"] < config.header_sample_lines and r["text"] is not None]
 
-    Format, family and header come from samples of up to 512 and 200 lines; the rest is one pass of native parsing and
-    Arrow-batched normalising, forward filling by chunks, and parallel mining.
+
+def detect_time(sample: DataFrame, families: tuple[Family, ...], custom: tuple[CustomFormat, ...], now: date | None = None) -> Family | CustomFormat | None:
+    """What most of the sampled lines have: families before custom formats, earlier before later among equals."""
+    candidates = (*families, *custom)
+    if not candidates:
+        return None
+    columns = [c.column(F.col("text")) if isinstance(c, CustomFormat) else epoch_ms(F.col("text"), c, now) for c in candidates]
+    n, *hits = sample.agg(F.count(F.lit(1)), *[F.count(c) for c in columns]).first()
+    best = max(range(len(candidates)), key=lambda i: (hits[i], -i))
+    return candidates[best] if n and hits[best] >= least_hits(n) else None
+
+
+def time_of(text: Column, family: Family | CustomFormat, now: date | None = None) -> Column:
+    return family.column(text) if isinstance(family, CustomFormat) else epoch_ms(text, family, now)
+
+
+def untimed(text: Column, fmt: LogFormat, family: Family | CustomFormat | None, now: date | None = None) -> Column:
+    """What is mined of a line: plain lines lose the time that was read from them."""
+    if fmt is not PLAIN or family is None:
+        return text
+    rest = family.without(text) if isinstance(family, CustomFormat) else without_time(text, family)
+    return F.when(time_of(text, family, now).isNotNull(), rest).otherwise(text)
+
+
+def analyse(
+    lines: DataFrame, config: ParsingConfig = ParsingConfig(), custom: tuple[CustomFormat, ...] = (), path: str = "", state: FileState | None = None, formats: tuple[LogFormat, ...] = FORMATS, families: tuple[Family, ...] = ()
+) -> AnalysedLog:
+    """Analyse ``lines`` (doc_id, line_no, text, n_bytes) of one log. ``formats`` are tried before plain text; ``families``
+    are further families of plain lines.
+
+    Format, family and header come from the first lines (512 that aren't blank, and 200). Lines are normalised in one
+    Arrow-batched pass, and written; times are filled forward by chunks and templates mined in parallel, and written.
+    Queries of the result read what was written last.
     """
-    sample = lines.where(F.trim("text") != "").orderBy("line_no").limit(SAMPLE_LINES).select("text").cache()
-    fmt = detect_format(sample)
-    families = fmt.families
-    family: Family | CustomFormat | None = detect_family(sample, families, config.now) if families else None
-    if family is None and fmt is PLAIN and custom:
-        hits = sample.agg(F.count(F.lit(1)), *[F.count(c.column(F.col("text"))) for c in custom]).first()
-        best = max(range(len(custom)), key=lambda i: (hits[i + 1], -i))
-        if hits[0] and hits[best + 1] >= least_hits(hits[0]):
-            family = custom[best]
+    sample, head = head_of(lines, config)
+    spark = lines.sparkSession
+    table = spark.createDataFrame([(x,) for x in sample], "text string")
+    fmt = detect_format(table, formats)
+    family = detect_time(table, (*fmt.families, *families) if fmt is PLAIN else fmt.families, custom, config.now)
     header: tuple[str | None, ...] = ()
-    rest = F.col("text")
-    if fmt is PLAIN:
-        if isinstance(family, Family):
-            rest = F.when(epoch_ms(F.col("text"), family, config.now).isNotNull(), without_time(F.col("text"), family)).otherwise(F.col("text"))
-        heads = lines.where(F.col("line_no") < config.header_sample_lines).select(rest.alias("x")).where(F.trim("x") != "").collect()
+    rest = untimed(F.col("text"), fmt, family, config.now)
+    if fmt is PLAIN and head:
+        heads = spark.createDataFrame([(x,) for x in head], "text string").select(rest.alias("x")).where(F.trim("x") != "").collect()
         header = learn_header([r["x"] for r in heads])
-    sample.unpersist()
     raw = lines.withColumn("__mined", rest)
     done = normalized(raw, fmt, header, config.masks, "__mined").drop("__mined")
-    if isinstance(family, Family):
-        done = done.withColumn("ts_raw_ms", epoch_ms(F.col("text"), family, config.now))
-    elif isinstance(family, CustomFormat):
-        done = done.withColumn("ts_raw_ms", family.column(F.col("text")))
-    else:
-        done = done.withColumn("ts_raw_ms", F.col("field_ms"))
-    done = forward_filled(done.drop("field_ms")).persist()
-    mined_lines, templates = mine(done, config.drain)
-    return AnalysedLog(mined_lines, templates, fmt, family, header, path, state, None, tuple(custom))
-
-
-def open_log(spark: SparkSession, path: str, config: ParsingConfig = ParsingConfig(), custom: tuple[CustomFormat, ...] = ()) -> AnalysedLog:
-    """Read and analyse one log file of any extension."""
+    done = done.withColumn("ts_raw_ms", time_of(F.col("text"), family, config.now) if family is not None else F.col("field_ms")).drop("field_ms")
+    written = spooled(done)
+    mined_lines, templates = mine(forward_filled(written), config.drain)
+    return AnalysedLog(mined_lines, spooled(templates), fmt, family, header, path, state, None, tuple(custom))
+
+
+def open_log(spark: SparkSession, path: str, config: ParsingConfig = ParsingConfig(), custom: tuple[CustomFormat, ...] = (), **more) -> AnalysedLog:
+    """Read and analyse one log file of any extension (``more``: parameters of ``analyse``)."""
     state = FileState.of(path) if os.path.exists(path) else None
-    return analyse(read_lines(spark, path), config, custom, path, state)
+    return analyse(read_lines(spark, path), config, custom, path, state, **more)

@@ -10,11 +10,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructType
 
 from ..functions.masking import SPACE, split_tokens
+from ..sources.spool import release, spooled
 
 WILD = "<*>"
 EMPTY = "<EMPTY>"
@@ -103,14 +105,21 @@ def mined(text):
     return F.when(F.octet_length(text) <= MINED_BYTES, text).otherwise(F.regexp_replace(head, "�+$", ""))
 
 
+def tokens_of(content):
+    return F.filter(F.split(mined(content), SPACE), lambda t: t != "")
+
+
+def has_tokens(content):
+    return F.coalesce(F.size(tokens_of(content)) > 0, F.lit(False))
+
+
 def route(lines: DataFrame, config: DrainConfig) -> DataFrame:
     """``lines`` (doc_id, line_no, content) without blank ones, with ``leaf`` (a path of keys) and ``overflow``.
 
     At each level a node keeps its first ``max_children`` keys, by first occurrence; later ones share "*". The first
     occurrences are aggregated before they are ranked, and ranking stops at the limit inside each task.
     """
-    tokens = F.filter(F.split(mined(F.col("content")), SPACE), lambda t: t != "")
-    out = lines.withColumn("__t", tokens).where(F.size("__t") > 0)
+    out = lines.withColumn("__t", tokens_of(F.col("content"))).where(F.size("__t") > 0)
     keys = [F.size("__t").cast("string")] + [F.coalesce(F.get("__t", F.lit(i)), F.lit("*")) for i in range(config.depth - 2)]
     out = out.select(*lines.columns, F.lit("").alias("leaf"), F.lit(False).alias("overflow"), *[k.alias(f"__k{i}") for i, k in enumerate(keys)])
     for i in range(len(keys)):
@@ -128,70 +137,81 @@ def route(lines: DataFrame, config: DrainConfig) -> DataFrame:
 
 
 def replay(routed: DataFrame, config: DrainConfig, stops: DataFrame | None = None) -> DataFrame:
-    """(doc_id, line_no, birth, template): each line's cluster by its birth line (null: the blank cluster). On the last
-    row of a leaf for each cluster ``template`` is its final form (line_no null).
+    """The columns of ``routed`` without its leaf, with ``birth``, the birth line of each line's cluster (null: the blank
+    cluster). On the last rows of a leaf, one for each cluster, ``template`` is its final form and ``line_no`` is null.
 
-    Lines of a leaf stand together, sorted, and stream through; memory is the leaf's clusters, not its lines.
+    Lines of a leaf stand together, sorted, and stream through with all their columns, so nothing is joined afterwards;
+    memory is the leaf's clusters, not its lines.
     """
-    rows = routed.select("doc_id", "leaf", "overflow", "line_no", mined(F.col("content")).alias("content"))
-    rows = rows.join(stops, "doc_id", "left") if stops is not None else rows.withColumn("stop", F.lit(None).cast("long"))
+    out = [f for f in routed.schema.fields if f.name not in ("leaf", "overflow")]
+    rows = routed.withColumn("__mined", mined(F.col("content")))
+    rows = rows.join(stops.withColumnRenamed("doc_id", "__d"), F.col("doc_id") == F.col("__d"), "left").drop("__d") if stops is not None else rows.withColumn("stop", F.lit(None).cast("long"))
     # the overflow flag is the leaf's: a "*" child that is shared by literal and late keys overflows for the late ones
-    kind = routed.schema["doc_id"].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, leaf = None, None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, leaf, names = None, None, [f.name for f in out]
 
-        def finals() -> Iterator[pd.DataFrame]:
-            c = leaf.clusters
-            if not c:  # births were forbidden before its first line
+        def finals(like: pa.Schema) -> Iterator[pa.RecordBatch]:
+            n = len(leaf.clusters)
+            if not n:  # births were forbidden before its first line
                 return
-            yield pd.DataFrame({"doc_id": [at[0]] * len(c), "line_no": pd.array([None] * len(c), "Int64"), "birth": pd.array([x.birth for x in c], "Int64"), "template": [" ".join(x.template) for x in c]})
-
-        for pdf in batches:
-            births = []
-            done = []
-            for doc, key, overflow, line, content, stop in zip(pdf["doc_id"], pdf["leaf"], pdf["overflow"], pdf["line_no"], pdf["content"], pdf["stop"]):
+            columns = [pa.array([at[0]] * n, like.field(c).type) if c == "doc_id" else pa.nulls(n, like.field(c).type) for c in names]
+            births, forms = pa.array([c.birth for c in leaf.clusters], pa.int64()), pa.array([" ".join(c.template) for c in leaf.clusters], pa.string())
+            yield pa.RecordBatch.from_arrays([*columns, births, forms], [*names, "birth", "template"])
+
+        schema = None
+        for b in batches:
+            schema, births, done = b.schema, [], []
+            for doc, key, overflow, line, content, stop in zip(*(b.column(schema.get_field_index(c)).to_pylist() for c in ("doc_id", "leaf", "overflow", "line_no", "__mined", "stop"))):
                 if (doc, key) != at:
                     if leaf is not None:
-                        done += finals()
-                    at, leaf = (doc, key), Leaf(config, False, None if pd.isna(stop) else int(stop))
-                if leaf.overflow != bool(overflow):
-                    leaf.overflow = bool(overflow)
+                        done += finals(schema)
+                    at, leaf = (doc, key), Leaf(config, False, stop)
+                if leaf.overflow != overflow:
+                    leaf.overflow = overflow
                     leaf.memo.clear()
-                births.append(leaf.add(int(line), content))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "line_no": pd.array(pdf["line_no"], "Int64"), "birth": pd.array(births, "Int64"), "template": None})
+                births.append(leaf.add(line, content))
+            columns = [b.column(schema.get_field_index(c)) for c in names]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(births, pa.int64()), pa.nulls(len(births), pa.string())], [*names, "birth", "template"])
             yield from done
         if leaf is not None:
-            yield from finals()
+            yield from finals(schema)
 
     dealt = rows.repartition("doc_id", "leaf").sortWithinPartitions("doc_id", "leaf", "line_no")
-    return dealt.mapInPandas(run, f"doc_id {kind}, line_no bigint, birth bigint, template string")
+    schema = StructType([*out]).add("birth", LongType()).add("template", StringType())
+    for f in schema.fields:  # of a template's row all columns but the document are null
+        f.nullable = True
+    return dealt.mapInArrow(run, schema)
 
 
 def mine(lines: DataFrame, config: DrainConfig = DrainConfig()) -> tuple[DataFrame, DataFrame]:
     """(``lines`` with ``template_id``, templates): template ids follow the order of birth inside each document, 0 is
     the blank template. Templates: doc_id, template_id, pattern, count, example_line.
 
-    With more than ``max_clusters`` births in a document, leaves are replayed with births forbidden from the first line
-    that may not have one.
+    ``lines`` (doc_id, line_no, content, ...) is read several times: spool it if it is dear. With more than ``max_clusters``
+    births in a document, leaves are replayed with births forbidden from the first line that may not have one. What was
+    mined is written to the shared folder, so queries of the result start from there.
     """
-    lines = lines.persist()
-    routed = route(lines.select("doc_id", "line_no", "content"), config).persist()
-    found = replay(routed, config).persist()
-    births = found.where("line_no is null").select("doc_id", "birth")
+    routed = route(lines, config)
+    found = spooled(replay(routed, config))
     rank = Window.partitionBy("doc_id").orderBy("birth")
-    ranked = births.withColumn("nth", F.row_number().over(rank))
-    over = ranked.where(F.col("nth") == config.max_clusters).select("doc_id", F.col("birth").alias("stop"))
+
+    def ranked(found: DataFrame) -> DataFrame:
+        return found.where("line_no is null").select("doc_id", "birth", "template").withColumn("nth", F.row_number().over(rank))
+
+    ids = spooled(ranked(found))  # a row for each template
+    over = ids.where(F.col("nth") == config.max_clusters).select("doc_id", F.col("birth").alias("stop"))
     if over.limit(1).count():
-        found = replay(routed, config, over).persist()
-        births = found.where("line_no is null").select("doc_id", "birth")
-        ranked = births.withColumn("nth", F.row_number().over(rank))
-    ids = ranked.select(F.col("doc_id").alias("__d"), F.col("birth").alias("__b"), F.col("nth").cast("int").alias("template_id"))
-    of_lines = found.where("line_no is not null").join(ids, (F.col("doc_id") == F.col("__d")) & (F.col("birth") == F.col("__b")), "left")
-    of_lines = of_lines.select(F.col("doc_id").alias("__d"), F.col("line_no").alias("__n"), "template_id")
-    out = lines.join(of_lines, (F.col("doc_id") == F.col("__d")) & (F.col("line_no") == F.col("__n")), "left").select(*lines.columns, F.coalesce("template_id", F.lit(0)).alias("template_id"))
+        again = spooled(replay(routed, config, over))
+        release(found)
+        release(ids)
+        found, ids = again, spooled(ranked(again))
+    numbers = ids.select(F.col("doc_id").alias("__d"), F.col("birth").alias("__b"), F.col("nth").cast("int").alias("template_id"))
+    of_lines = found.where("line_no is not null").join(numbers, (F.col("doc_id") == F.col("__d")) & (F.col("birth") == F.col("__b")), "left")
+    blank_lines = lines.where(~has_tokens(F.col("content"))).select(*lines.columns, F.lit(0).alias("template_id"))
+    out = of_lines.select(*lines.columns, F.coalesce("template_id", F.lit(0)).alias("template_id")).union(blank_lines)
     counts = out.groupBy("doc_id", "template_id").agg(F.count(F.lit(1)).alias("count"))
-    patterns = found.where("line_no is null").join(ids, (F.col("doc_id") == F.col("__d")) & (F.col("birth") == F.col("__b"))).select("doc_id", "template_id", F.col("template").alias("pattern"), F.col("birth").alias("example_line"))
+    patterns = ids.select("doc_id", F.col("nth").cast("int").alias("template_id"), F.col("template").alias("pattern"), F.col("birth").alias("example_line"))
     blank = lines.select("doc_id").distinct().select("doc_id", F.lit(0).alias("template_id"), F.lit(EMPTY).alias("pattern"), F.lit(0).cast("long").alias("example_line"))
     templates = patterns.union(blank).join(counts, ["doc_id", "template_id"], "left").select("doc_id", "template_id", "pattern", F.coalesce("count", F.lit(0)).alias("count"), "example_line")
     return out, templates
