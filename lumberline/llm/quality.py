@@ -39,6 +39,8 @@ BINS = (0.0, 0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 1.0)
 LADDER = (0.0, 0.001, 0.002, 0.005, 0.01, 0.015, 0.02, 0.03, 0.04, 0.05)
 #: At most this share of a stratum's good texts is lost, but for this probability.
 ALPHA, DELTA = 0.05, 0.05
+#: Tables of cutoffs up to this size are broadcast.
+BROADCAST_ROWS = 100_000
 
 
 def repeated_words(words: list[bytes], width: int = 3) -> int:
@@ -184,8 +186,9 @@ def risk_controlled(
     at = F.array(*[F.lit(1 - q) for q in ladder])
     cutoffs = {r["__stratum"]: r["c"] for r in known.where("__tune and __good").groupBy("__stratum").agg(F.percentile_approx("__score", at, 100_000).alias("c")).collect()}
     spark = scored.sparkSession
+    small = (lambda df: F.broadcast(df)) if len(cutoffs) * len(ladder) <= BROADCAST_ROWS else (lambda df: df)
     rungs = spark.createDataFrame([(s, i, float(c)) for s, cs in cutoffs.items() for i, c in enumerate(cs)], "__s string, __rung int, __cutoff double")
-    tested = known.join(rungs, F.col("__stratum") == F.col("__s")).groupBy("__s", "__tune", "__good", "__rung").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("__score") > F.col("__cutoff")).cast("long")).alias("over"))
+    tested = known.join(small(rungs), F.col("__stratum") == F.col("__s")).groupBy("__s", "__tune", "__good", "__rung").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("__score") > F.col("__cutoff")).cast("long")).alias("over"))
     n, over = {}, {}
     for r in tested.collect():
         side = r["__s"], r["__tune"], r["__good"]
@@ -199,7 +202,7 @@ def risk_controlled(
         if last >= 0:
             chosen.append((s, float(cs[chosen_rung(last, over.get(bad, none), n.get(bad, 0), over[good], n[good])])))
     final = spark.createDataFrame(chosen, "__s string, __cutoff double")
-    joined = rows.withColumn("__score", score).join(final, F.col("__stratum") == F.col("__s"), "left")
+    joined = rows.withColumn("__score", score).join(small(final), F.col("__stratum") == F.col("__s"), "left")
     return joined.select(*[f"`{c.replace('`', '``')}`" for c in scored.columns], (F.col("__cutoff").isNull() | (F.col("__score") <= F.col("__cutoff"))).alias(out))
 
 
