@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,8 +13,8 @@ from ..functions.formats import FORMATS, PLAIN, LogFormat, detect_format, learn_
 from ..functions.masking import MaskConfig
 from ..functions.timefmt import CustomFormat, Family, epoch_ms, least_hits, without_time
 from ..sources.spool import spooled
-from ..sources.text import FileState, forward_filled, read_lines
-from .mining import DrainConfig, mine, template_counts
+from ..sources.text import FileChange, FileState, forward_filled, read_lines
+from .mining import DrainConfig, Mined, mine_on, template_counts
 from .search import trimmed
 
 #: Lines that aren't blank that a format is found from, and lines at the head of a file that are looked at for them.
@@ -50,6 +50,8 @@ class AnalysedLog:
     state: FileState | None = None
     window: tuple[int, int] | None = None
     custom: tuple[CustomFormat, ...] = field(default=())
+    mined: Mined | None = None
+    config: ParsingConfig = ParsingConfig()
 
     @property
     def format_summary(self) -> str:
@@ -64,7 +66,7 @@ class AnalysedLog:
             return self
         start = self.window[0] if self.window else 0
         lines = trimmed(self.lines, lo, hi)
-        return AnalysedLog(lines, template_counts(lines, self.templates), self.fmt, self.family, self.header, self.path, self.state, (start + lo, start + hi), self.custom)
+        return replace(self, lines=lines, templates=template_counts(lines, self.templates), window=(start + lo, start + hi))
 
 
 def head_of(lines: DataFrame, config: ParsingConfig) -> tuple[list[str], list[str]]:
@@ -121,12 +123,51 @@ def analyse(
     if fmt is PLAIN and head:
         heads = spark.createDataFrame([(x,) for x in head], "text string").select(rest.alias("x")).where(F.trim("x") != "").collect()
         header = learn_header([r["x"] for r in heads])
-    raw = lines.withColumn("__mined", rest)
+    done = parsed(lines, fmt, family, header, config)
+    found = mine_on(forward_filled(spooled(done)), config.drain)
+    return AnalysedLog(found.lines, found.templates, fmt, family, header, path, state, None, tuple(custom), found, config)
+
+
+def parsed(lines: DataFrame, fmt: LogFormat, family: Family | CustomFormat | None, header: tuple[str | None, ...], config: ParsingConfig) -> DataFrame:
+    """``lines`` with ``content`` and ``ts_raw_ms``."""
+    raw = lines.withColumn("__mined", untimed(F.col("text"), fmt, family, config.now))
     done = normalized(raw, fmt, header, config.masks, "__mined").drop("__mined")
-    done = done.withColumn("ts_raw_ms", time_of(F.col("text"), family, config.now) if family is not None else F.col("field_ms")).drop("field_ms")
-    written = spooled(done)
-    mined_lines, templates = mine(forward_filled(written), config.drain)
-    return AnalysedLog(mined_lines, spooled(templates), fmt, family, header, path, state, None, tuple(custom))
+    return done.withColumn("ts_raw_ms", time_of(F.col("text"), family, config.now) if family is not None else F.col("field_ms")).drop("field_ms")
+
+
+def append(log: AnalysedLog, lines: DataFrame, state: FileState | None = None) -> AnalysedLog:
+    """The log with further ``lines`` (numbered on), read by the format, family and header that it has. Only these lines are
+    parsed and mined; earlier templates may become more general."""
+    if log.window is not None:
+        raise ValueError("a trimmed view can't be appended to")
+    last = log.lines.where("ts_ms is not null").agg(F.max_by("ts_ms", "line_no")).first()[0]
+    filled = forward_filled(spooled(parsed(lines, log.fmt, log.family, log.header, log.config)))
+    filled = filled.withColumn("ts_ms", F.coalesce("ts_ms", F.lit(last).cast("bigint")))
+    found = mine_on(filled, log.config.drain, log.mined)
+    every = log.lines.unionByName(found.lines)
+    return replace(log, lines=every, templates=found.templates, mined=replace(found, lines=every), state=state)
+
+
+def refreshed(spark: SparkSession, log: AnalysedLog) -> AnalysedLog:
+    """The log of a file that may have grown: itself if nothing changed, with the appended lines if only these are new.
+
+    A file that has shrunk, was edited in place, or whose last line had no end yet raises a ``ValueError`` that says which;
+    it has to be opened anew.
+    """
+    now = FileState.of(log.path)
+    change = log.state.change(now)
+    if change is FileChange.UNCHANGED:
+        return log
+    if change is FileChange.SHRUNK:
+        raise ValueError(f"{log.path} has shrunk; a full reload is required")
+    if change is FileChange.MODIFIED:
+        raise ValueError(f"{log.path} was modified in place; a full reload is required")
+    with open(log.path, "rb") as f:
+        f.seek(max(0, log.state.size - 1))
+        if log.state.size and f.read(1) != b"\n":
+            raise ValueError(f"the last line of {log.path} has grown; a full reload is required")
+    n = log.lines.count()
+    return append(log, read_lines(spark, log.path).where(F.col("line_no") >= n), now)
 
 
 def open_log(spark: SparkSession, path: str, config: ParsingConfig = ParsingConfig(), custom: tuple[CustomFormat, ...] = (), **more) -> AnalysedLog:

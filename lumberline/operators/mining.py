@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..functions.masking import SPACE, split_tokens
 from ..sources.spool import release, spooled
@@ -113,108 +113,149 @@ def has_tokens(content):
     return F.coalesce(F.size(tokens_of(content)) > 0, F.lit(False))
 
 
-def route(lines: DataFrame, config: DrainConfig) -> DataFrame:
-    """``lines`` (doc_id, line_no, content) without blank ones, with ``leaf`` (a path of keys) and ``overflow``.
+def route(lines: DataFrame, config: DrainConfig, before: DataFrame | None = None) -> tuple[DataFrame, list[DataFrame]]:
+    """``lines`` (doc_id, line_no, content, ...) without blank ones, with ``leaf`` (a path of keys) and ``overflow``; and
+    of each level the children that nodes keep (doc_id, level, path, key, first).
 
     At each level a node keeps its first ``max_children`` keys, by first occurrence; later ones share "*". The first
-    occurrences are aggregated before they are ranked, and ranking stops at the limit inside each task.
+    occurrences are aggregated before they are ranked, and ranking stops at the limit inside each task. ``before`` are the
+    children kept of earlier lines.
     """
     out = lines.withColumn("__t", tokens_of(F.col("content"))).where(F.size("__t") > 0)
     keys = [F.size("__t").cast("string")] + [F.coalesce(F.get("__t", F.lit(i)), F.lit("*")) for i in range(config.depth - 2)]
     out = out.select(*lines.columns, F.lit("").alias("leaf"), F.lit(False).alias("overflow"), *[k.alias(f"__k{i}") for i, k in enumerate(keys)])
+    children = []
     for i in range(len(keys)):
         key = F.col(f"__k{i}")
-        first = out.groupBy("doc_id", "leaf", key.alias("__key")).agg(F.min("line_no").alias("__first"))
-        rank = Window.partitionBy("doc_id", "leaf").orderBy("__first")
+        first = out.groupBy("doc_id", F.col("leaf").alias("path"), key.alias("key")).agg(F.min("line_no").alias("first"))
+        if before is not None:
+            known = before.where(F.col("level") == i).select("doc_id", "path", "key", "first")
+            first = first.union(known).groupBy("doc_id", "path", "key").agg(F.min("first").alias("first"))
+        rank = Window.partitionBy("doc_id", "path").orderBy("first")
         kept = first.withColumn("__rank", F.row_number().over(rank)).where(F.col("__rank") <= config.max_children)
-        kept = kept.select(F.col("doc_id").alias("__d"), F.col("leaf").alias("__l"), "__key", F.lit(True).alias("__own"))
+        children.append(kept.select("doc_id", F.lit(i).alias("level"), "path", "key", "first"))
+        kept = kept.select(F.col("doc_id").alias("__d"), F.col("path").alias("__l"), F.col("key").alias("__key"), F.lit(True).alias("__own"))
         out = out.join(kept, (F.col("doc_id") == F.col("__d")) & (F.col("leaf") == F.col("__l")) & (key == F.col("__key")), "left")
         own = F.col("__own").isNotNull() | (key == "*")
         step = F.when(own, key).otherwise(F.lit("*"))
         overflow = F.col("overflow") | (~own if i else F.lit(False))
         out = out.withColumn("leaf", F.concat_ws("\u0001", "leaf", step)).withColumn("overflow", overflow).drop("__d", "__l", "__key", "__own")
-    return out.drop(*[f"__k{i}" for i in range(len(keys))])
+    return out.drop(*[f"__k{i}" for i in range(len(keys))]), children
 
 
-def replay(routed: DataFrame, config: DrainConfig, stops: DataFrame | None = None) -> DataFrame:
-    """The columns of ``routed`` without its leaf, with ``birth``, the birth line of each line's cluster (null: the blank
-    cluster). On the last rows of a leaf, one for each cluster, ``template`` is its final form and ``line_no`` is null.
+def replay(routed: DataFrame, config: DrainConfig, stops: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
+    """The columns of ``routed`` with ``birth``, the birth line of each line's cluster (null: the blank cluster). On the last
+    rows of a leaf, one for each cluster, ``template`` and ``size`` are its final form, and ``line_no`` is null.
 
     Lines of a leaf stand together, sorted, and stream through with all their columns, so nothing is joined afterwards;
-    memory is the leaf's clusters, not its lines.
+    memory is the leaf's clusters, not its lines. ``known`` (doc_id, leaf, birth, template, size) are clusters of earlier
+    lines; they come before the lines of their leaf.
     """
-    out = [f for f in routed.schema.fields if f.name not in ("leaf", "overflow")]
-    rows = routed.withColumn("__mined", mined(F.col("content")))
+    out = [f for f in routed.schema.fields if f.name != "overflow"]
+    rows = routed.withColumn("__mined", mined(F.col("content"))).withColumns({"birth": F.lit(None).cast("long"), "template": F.lit(None).cast("string"), "size": F.lit(None).cast("long")})
+    if known is not None:
+        rows = rows.unionByName(known.select("doc_id", "leaf", "birth", "template", "size"), allowMissingColumns=True)
     rows = rows.join(stops.withColumnRenamed("doc_id", "__d"), F.col("doc_id") == F.col("__d"), "left").drop("__d") if stops is not None else rows.withColumn("stop", F.lit(None).cast("long"))
     # the overflow flag is the leaf's: a "*" child that is shared by literal and late keys overflows for the late ones
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, leaf, names = None, None, [f.name for f in out]
+        every = [*names, "birth", "template", "size"]
 
         def finals(like: pa.Schema) -> Iterator[pa.RecordBatch]:
             n = len(leaf.clusters)
             if not n:  # births were forbidden before its first line
                 return
-            columns = [pa.array([at[0]] * n, like.field(c).type) if c == "doc_id" else pa.nulls(n, like.field(c).type) for c in names]
-            births, forms = pa.array([c.birth for c in leaf.clusters], pa.int64()), pa.array([" ".join(c.template) for c in leaf.clusters], pa.string())
-            yield pa.RecordBatch.from_arrays([*columns, births, forms], [*names, "birth", "template"])
+            own = dict(zip(("doc_id", "leaf"), at))
+            columns = [pa.array([own[c]] * n, like.field(c).type) if c in own else pa.nulls(n, like.field(c).type) for c in names]
+            columns += [pa.array([c.birth for c in leaf.clusters], pa.int64()), pa.array([" ".join(c.template) for c in leaf.clusters], pa.string()), pa.array([c.size for c in leaf.clusters], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, every)
 
         schema = None
         for b in batches:
-            schema, births, done = b.schema, [], []
-            for doc, key, overflow, line, content, stop in zip(*(b.column(schema.get_field_index(c)).to_pylist() for c in ("doc_id", "leaf", "overflow", "line_no", "__mined", "stop"))):
+            schema, births, done, lines = b.schema, [], [], []
+            of = lambda c: b.column(schema.get_field_index(c)).to_pylist()  # noqa: B023, E731
+            for i, (doc, key, overflow, line, content, stop, birth, template, size) in enumerate(zip(*map(of, ("doc_id", "leaf", "overflow", "line_no", "__mined", "stop", "birth", "template", "size")))):
                 if (doc, key) != at:
                     if leaf is not None:
                         done += finals(schema)
                     at, leaf = (doc, key), Leaf(config, False, stop)
+                if line is None:
+                    tokens = template.split(" ")
+                    leaf.clusters.append(Cluster(birth, tokens, size, tokens.count(WILD)))
+                    continue
                 if leaf.overflow != overflow:
                     leaf.overflow = overflow
                     leaf.memo.clear()
+                lines.append(i)
                 births.append(leaf.add(line, content))
-            columns = [b.column(schema.get_field_index(c)) for c in names]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(births, pa.int64()), pa.nulls(len(births), pa.string())], [*names, "birth", "template"])
+            columns = [b.column(schema.get_field_index(c)).take(pa.array(lines, pa.int64())) for c in names]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(births, pa.int64()), pa.nulls(len(births), pa.string()), pa.nulls(len(births), pa.int64())], every)
             yield from done
         if leaf is not None:
             yield from finals(schema)
 
-    dealt = rows.repartition("doc_id", "leaf").sortWithinPartitions("doc_id", "leaf", "line_no")
-    schema = StructType([*out]).add("birth", LongType()).add("template", StringType())
-    for f in schema.fields:  # of a template's row all columns but the document are null
-        f.nullable = True
+    dealt = rows.repartition("doc_id", "leaf").sortWithinPartitions("doc_id", "leaf", F.col("line_no").asc_nulls_first(), "birth")
+    schema = StructType([StructField(f.name, f.dataType) for f in out]).add("birth", LongType()).add("template", StringType()).add("size", LongType())
     return dealt.mapInArrow(run, schema)
 
 
-def mine(lines: DataFrame, config: DrainConfig = DrainConfig()) -> tuple[DataFrame, DataFrame]:
-    """(``lines`` with ``template_id``, templates): template ids follow the order of birth inside each document, 0 is
-    the blank template. Templates: doc_id, template_id, pattern, count, example_line.
+@dataclass(frozen=True)
+class Mined:
+    """What mining has found: ``lines`` with template_id, and what later lines need. ``clusters``: doc_id, leaf, birth,
+    template, size, nth; ``children``: those that nodes keep; ``blanks``: lines of the blank template by document."""
+
+    lines: DataFrame
+    clusters: DataFrame
+    children: DataFrame
+    blanks: DataFrame
+
+    @property
+    def templates(self) -> DataFrame:
+        """doc_id, template_id, pattern, count, example_line; template ids follow the order of birth in each document."""
+        found = self.clusters.select("doc_id", F.col("nth").cast("int").alias("template_id"), F.col("template").alias("pattern"), F.col("size").alias("count"), F.col("birth").alias("example_line"))
+        return found.union(self.blanks.select("doc_id", F.lit(0), F.lit(EMPTY), "count", F.lit(0).cast("long")))
 
-    ``lines`` (doc_id, line_no, content, ...) is read several times: spool it if it is dear. With more than ``max_clusters``
-    births in a document, leaves are replayed with births forbidden from the first line that may not have one. What was
-    mined is written to the shared folder, so queries of the result start from there.
+
+def mine_on(lines: DataFrame, config: DrainConfig = DrainConfig(), before: Mined | None = None) -> Mined:
+    """Mine ``lines`` (doc_id, line_no, content, ...), after those that ``before`` has.
+
+    ``lines`` is read several times: spool it if it is dear. With more than ``max_clusters`` births in a document, leaves are
+    replayed with births forbidden from the first line that may not have one. What was mined is written to the shared
+    folder, so queries of the result start from there.
     """
-    routed = route(lines, config)
-    found = spooled(replay(routed, config))
+    routed, children = route(lines, config, before.children if before else None)
+    known = before.clusters if before else None
     rank = Window.partitionBy("doc_id").orderBy("birth")
 
     def ranked(found: DataFrame) -> DataFrame:
-        return found.where("line_no is null").select("doc_id", "birth", "template").withColumn("nth", F.row_number().over(rank))
+        return spooled(found.where("line_no is null").select("doc_id", "leaf", "birth", "template", "size", F.row_number().over(rank).alias("nth")))
 
-    ids = spooled(ranked(found))  # a row for each template
-    over = ids.where(F.col("nth") == config.max_clusters).select("doc_id", F.col("birth").alias("stop"))
+    found = spooled(replay(routed, config, None, known))
+    clusters = ranked(found)  # a row for each template
+    over = clusters.where(F.col("nth") == config.max_clusters).select("doc_id", F.col("birth").alias("stop"))
     if over.limit(1).count():
-        again = spooled(replay(routed, config, over))
+        again = spooled(replay(routed, config, over, known))
         release(found)
-        release(ids)
-        found, ids = again, spooled(ranked(again))
-    numbers = ids.select(F.col("doc_id").alias("__d"), F.col("birth").alias("__b"), F.col("nth").cast("int").alias("template_id"))
+        release(clusters)
+        found, clusters = again, ranked(again)
+    numbers = clusters.select(F.col("doc_id").alias("__d"), F.col("birth").alias("__b"), F.col("nth").cast("int").alias("template_id"))
     of_lines = found.where("line_no is not null").join(numbers, (F.col("doc_id") == F.col("__d")) & (F.col("birth") == F.col("__b")), "left")
-    blank_lines = lines.where(~has_tokens(F.col("content"))).select(*lines.columns, F.lit(0).alias("template_id"))
-    out = of_lines.select(*lines.columns, F.coalesce("template_id", F.lit(0)).alias("template_id")).union(blank_lines)
-    counts = out.groupBy("doc_id", "template_id").agg(F.count(F.lit(1)).alias("count"))
-    patterns = ids.select("doc_id", F.col("nth").cast("int").alias("template_id"), F.col("template").alias("pattern"), F.col("birth").alias("example_line"))
-    blank = lines.select("doc_id").distinct().select("doc_id", F.lit(0).alias("template_id"), F.lit(EMPTY).alias("pattern"), F.lit(0).cast("long").alias("example_line"))
-    templates = patterns.union(blank).join(counts, ["doc_id", "template_id"], "left").select("doc_id", "template_id", "pattern", F.coalesce("count", F.lit(0)).alias("count"), "example_line")
-    return out, templates
+    blank = lines.where(~has_tokens(F.col("content"))).select(*lines.columns, F.lit(0).alias("template_id"))
+    out = of_lines.select(*lines.columns, F.coalesce("template_id", F.lit(0)).alias("template_id")).union(blank)
+    kept = children[0]  # with those of the lines before
+    for c in children[1:]:
+        kept = kept.union(c)
+    blanks = out.groupBy("doc_id").agg(F.count_if(F.col("template_id") == 0).alias("count"))
+    if before:
+        blanks = blanks.union(before.blanks).groupBy("doc_id").agg(F.sum("count").alias("count"))
+    return Mined(out, clusters, spooled(kept), spooled(blanks))
+
+
+def mine(lines: DataFrame, config: DrainConfig = DrainConfig()) -> tuple[DataFrame, DataFrame]:
+    """(``lines`` with ``template_id``, templates), by ``mine_on``; 0 is the blank template."""
+    found = mine_on(lines, config)
+    return found.lines, found.templates
 
 
 class Tree:
@@ -273,4 +314,4 @@ def degraded(templates: DataFrame) -> DataFrame:
     return templates.where(10 * F.size(F.filter(words, lambda w: w == WILD)) > 7 * F.size(words))
 
 
-__all__ = ["DrainConfig", "Tree", "degraded", "mine", "mine_in_order", "replay", "route", "template_counts"]
+__all__ = ["DrainConfig", "Mined", "Tree", "degraded", "mine", "mine_in_order", "mine_on", "replay", "route", "template_counts"]

@@ -10,6 +10,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.timefmt import format_ms
 from .analysis import CHUNK, with_previous
 
 #: Runs of so many lines or more are shown as one entry.
@@ -147,45 +148,147 @@ def pin_text(lines: DataFrame, pinned: DataFrame) -> DataFrame:
     return body.select("pin_id", F.concat_ws("\n", F.when(F.col("comment") != "", F.col("comment")), F.concat_ws("\n", F.transform("rows", lambda r: r["text"]))).alias("card"))
 
 
-def format_duration_ms(ms: Column) -> Column:
-    """A length of time in its largest units: 1d 2h, 3h 4m, 5m 6s, 7.890s, 12ms."""
-    day, hour, minute = 86_400_000, 3_600_000, 60_000
+def tenths(x: Column) -> Column:
+    """A number that isn't negative with one decimal, rounded by its exact binary value, halves to even.
 
-    def pair(big: int, small: int, a: str, b: str) -> Column:
-        return F.concat(F.floor(ms / big).cast("string"), F.lit(f"{a} "), F.floor(ms % big / small).cast("string"), F.lit(b))
+    Ten times the number is split into a rounded product and its exact error, so the digit after the first is seen whole.
+    """
+    product = x * 10
+    high = x * 134_217_729.0  # splits the number in halves whose products are exact
+    high = high - (high - x)
+    error = (high * 10 - product) + (x - high) * 10
+    whole = F.floor(product)
+    beyond = (product - whole - 0.5) + error
+    up = (beyond > 0) | ((beyond == 0) & (whole % 2 == 1))
+    n = whole + up.cast("bigint")
+    return F.concat(F.floor(n / 10).cast("string"), F.lit("."), (n % 10).cast("string"))
+
+
+def _parts(ms: Column, unit: int, small: int) -> tuple[Column, Column]:
+    return F.floor(ms / unit).cast("string"), F.floor(ms % unit / small).cast("string")
+
+
+def format_delta_ms(ms: Column) -> Column:
+    """The time between two lines: hours and minutes, minutes and seconds, seconds, or milliseconds."""
+    h, m = _parts(ms, 3_600_000, 60_000)
+    minutes, s = _parts(ms, 60_000, 1_000)
+    text = F.when(ms >= 3_600_000, F.concat(h, F.lit("h "), m, F.lit("m"))).when(ms >= 60_000, F.concat(minutes, F.lit("m "), s, F.lit("s")))
+    return F.concat(F.lit("Δ "), text.when(ms >= 1_000, F.concat(tenths(ms / 1000.0), F.lit("s"))).otherwise(F.concat(ms.cast("string"), F.lit("ms"))))
+
+
+def format_human_ms(ms: Column) -> Column:
+    """The same in words of a sentence; a second unit of zero is left out, and less than nothing is nothing."""
+    ms = F.greatest(ms, F.lit(0))
+    h, m = _parts(ms, 3_600_000, 60_000)
+    minutes, s = _parts(ms, 60_000, 1_000)
+    hours = F.when(m == "0", F.concat(h, F.lit("h"))).otherwise(F.concat(h, F.lit("h "), m, F.lit("m")))
+    short = F.when(s == "0", F.concat(minutes, F.lit("m"))).otherwise(F.concat(minutes, F.lit("m "), s, F.lit("sec")))
+    return F.when(ms >= 3_600_000, hours).when(ms >= 60_000, short).when(ms >= 1_000, F.concat(tenths(ms / 1000.0), F.lit("sec"))).otherwise(F.concat(ms.cast("string"), F.lit("ms")))
+
+
+def format_pin_ms(ms: Column) -> Column:
+    """The time between pins in its largest unit, up to days; from a second on without a sign."""
+    seconds = F.abs(ms) / 1000.0
+    minutes = seconds / 60.0
+    hours = minutes / 60.0
+    out = F.when(F.abs(ms) < 1_000, F.concat(ms.cast("string"), F.lit(" ms"))).when(seconds < 60, F.concat(tenths(seconds), F.lit(" sec")))
+    return out.when(minutes < 60, F.concat(tenths(minutes), F.lit(" min"))).when(hours < 24, F.concat(tenths(hours), F.lit(" hr"))).otherwise(F.concat(tenths(hours / 24.0), F.lit(" days")))
+
+
+def occurrence_text(occurring: DataFrame, by_time: bool = True) -> DataFrame:
+    """``occurrences`` with ``label``: the place among the filter's matches and the way to its neighbours, in time (in
+    lines where a time is missing, or for a log without times)."""
+    w = Window.partitionBy("filter_id").orderBy("line_no")
+    before, after = F.col("line_no") - F.lag("line_no").over(w), F.lead("line_no").over(w) - F.col("line_no")
+
+    def way(lines: Column, ms: Column) -> Column:
+        in_lines = F.concat(lines.cast("string"), F.lit(" lines"))
+        return F.when(ms.isNotNull(), format_human_ms(ms)).otherwise(in_lines) if by_time else in_lines
+
+    return occurring.withColumn("__b", before).withColumn("__a", after).withColumn(
+        "label",
+        F.concat(
+            F.lit("Occurrence "),
+            F.col("k").cast("string"),
+            F.lit(" / "),
+            F.col("n").cast("string"),
+            F.when(F.col("k") > 1, F.concat(F.lit(" | prev "), way(F.col("__b"), F.col("prev_delta_ms")), F.lit(" ago"))).otherwise(""),
+            F.when(F.col("k") < F.col("n"), F.concat(F.lit(" | next "), way(F.col("__a"), F.col("next_delta_ms")), F.lit(" after"))).otherwise(""),
+        ),
+    ).drop("__a", "__b")
+
+
+def axis_labels(start: int, end: int, by_time: bool = True, ticks: int = 7) -> list[tuple[int, str]]:
+    """(value, label) of the marks of a timeline's axis; times leave out the date or the hour that all marks share."""
+    values = [start + int(i / (ticks - 1) * (end - start)) for i in range(ticks)]
+    if not by_time:
+        return [(v, f"L{v}") for v in values]
+    texts = [format_ms(v) for v in values]
+    if texts[0][:13] == texts[-1][:13]:
+        cut = 14
+    else:
+        cut = 11 if texts[0][:10] == texts[-1][:10] else 0
+    return [(v, t[cut:]) for v, t in zip(values, texts)]
+
+
+def effective_zoom(zoom: tuple[int, int] | None, start: int, end: int) -> tuple[int, int]:
+    """What is shown of a domain: a zoomed range inside it, or all."""
+    return (max(zoom[0], start), min(zoom[1], end)) if zoom else (start, end)
+
+
+def place_of_line(by_time: bool = True) -> Column:
+    """Where a line stands on the timeline: its time, or its number from 1."""
+    return F.col("ts_ms") if by_time else F.col("line_no") + 1
 
-    return F.when(ms >= day, pair(day, hour, "d", "h")).when(ms >= hour, pair(hour, minute, "h", "m")).when(ms >= minute, pair(minute, 1000, "m", "s")).when(ms >= 1000, F.format_string("%.3fs", ms / 1000)).otherwise(F.concat(ms.cast("string"), F.lit("ms")))
 
+def caption(value: int, by_time: bool = True) -> str:
+    return format_ms(value) if by_time else f"~line {value}"
 
-def keyword_at(text: Column, position: int) -> Column:
-    """The word (letters, digits, ``_ - .`` and ``/``) around a 0-based character position; empty on a delimiter."""
-    head = F.regexp_extract(F.substring(text, 1, position), r"[\w./-]*$", 0)
-    tail = F.regexp_extract(F.substring(text, position + 1, 2**31 - 1), r"^[\w./-]+", 0)
-    return F.when(tail == "", F.lit("")).otherwise(F.concat(head, tail))
+
+# Fixed value: what ends a word under the pointer, besides white space.
+DELIMITERS = r"""\s\p{IsWhite_Space}\-\[\]{}(),"'"""
+
+
+def keyword_at(text: Column, position: int | Column) -> Column:
+    """The word around a 0-based character position; null on a delimiter and outside the line."""
+    at = F.lit(position) if isinstance(position, int) else position
+    head = F.regexp_extract(F.substring(text, F.lit(1), at), f"[^{DELIMITERS}]*$", 0)
+    tail = F.regexp_extract(F.substring(text, at + 1, F.length(text)), f"^[^{DELIMITERS}]+", 0)
+    return F.when((at >= 0) & (tail != ""), F.concat(head, tail))
 
 
 def highlight_spans(text: Column, search: str = "", keyword: str = "", filters: list[str] | None = None) -> Column:
-    """array<struct<start, stop, kind>> of matches: search before keyword before filters; a span that overlaps one of a
-    higher kind is left out."""
+    """array<struct<start, stop, kind>> of matches: search before keyword before filters. What a span shares with one
+    before it is left to that one, and its other parts stay."""
     spans = F.array().cast("array<struct<start:int,stop:int,kind:string>>")
     for kind, words in (("search", [search]), ("keyword", [keyword]), ("filter", filters or [])):
         for word in words:
             if word.strip():
-                spans = F.concat(spans, _new_spans(text, word.strip(), kind, spans))
-    return F.array_sort(spans)
+                spans = F.array_sort(F.concat(spans, _uncovered(_matches(text, word.strip(), kind == "keyword"), spans, kind)))
+    return spans
 
 
-def _new_spans(text: Column, word: str, kind: str, spans: Column) -> Column:
-    """Spans of the word (keywords in any case) that overlap none of ``spans``."""
-    parts = F.split(text, ("(?i)" if kind == "keyword" else "") + re.escape(word), -1)
+def _matches(text: Column, word: str, any_case: bool) -> Column:
+    """array<struct<a, b>>: where the word stands."""
+    parts = F.split(text, ("(?i)" if any_case else "") + re.escape(word), -1)
     places = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
 
-    def start(_: Column, i: Column) -> Column:
+    def found(_: Column, i: Column) -> Column:
         before = F.slice(parts, F.lit(1), i + 1)
-        return F.aggregate(before, F.lit(0), lambda a, x: a + F.length(x)) + i * len(word)
+        at = F.aggregate(before, F.lit(0), lambda a, x: a + F.length(x)) + i * len(word)
+        return F.struct(at.cast("int").alias("a"), (at + len(word)).cast("int").alias("b"))
+
+    return F.transform(places, found)
+
+
+def _uncovered(matches: Column, spans: Column, kind: str) -> Column:
+    """The parts of the matches that none of the sorted ``spans`` covers."""
 
-    def span(at: Column) -> Column:
-        return F.struct(at.cast("int").alias("start"), (at + len(word)).cast("int").alias("stop"), F.lit(kind).alias("kind"))
+    def parts(m: Column) -> Column:
+        over = F.filter(spans, lambda s: (s["start"] < m["b"]) & (m["a"] < s["stop"]))
+        starts = F.concat(F.array(m["a"]), F.transform(over, lambda s: s["stop"]))
+        stops = F.concat(F.transform(over, lambda s: s["start"]), F.array(m["b"]))
+        pieces = F.zip_with(starts, stops, lambda a, b: F.struct(a.alias("start"), b.alias("stop"), F.lit(kind).alias("kind")))
+        return F.filter(pieces, lambda p: p["start"] < p["stop"])
 
-    found = F.transform(F.transform(places, start), span)
-    return F.filter(found, lambda a: ~F.exists(spans, lambda b: (a["start"] < b["stop"]) & (b["start"] < a["stop"])))
+    return F.flatten(F.transform(matches, parts))

@@ -469,11 +469,11 @@ def time_texts(spark, sf_dir):
 
 @register(
     "durations",
-    f"WITH {E_SQL}, g AS (SELECT line_no, ts_ms - lag(ts_ms) OVER (ORDER BY line_no) AS g FROM l) SELECT line_no, CASE WHEN g >= 86400000 THEN g // 86400000 || 'd ' || g % 86400000 // 3600000 || 'h' WHEN g >= 3600000 THEN g // 3600000 || 'h ' || g % 3600000 // 60000 || 'm' WHEN g >= 60000 THEN g // 60000 || 'm ' || g % 60000 // 1000 || 's' WHEN g >= 1000 THEN printf('%.3fs', g / 1000) ELSE g || 'ms' END AS length FROM g WHERE g IS NOT NULL",
+    f"WITH {E_SQL}, g AS (SELECT line_no, ts_ms - lag(ts_ms) OVER (ORDER BY line_no) AS g FROM l) SELECT line_no, 'Δ ' || CASE WHEN g >= 3600000 THEN g // 3600000 || 'h ' || g // 60000 % 60 || 'm' WHEN g >= 60000 THEN g // 60000 || 'm ' || g // 1000 % 60 || 's' WHEN g >= 1000 THEN format('{{:.1f}}', CAST(g AS DOUBLE) / 1000.0::DOUBLE) || 's' ELSE g || 'ms' END AS length FROM g WHERE g IS NOT NULL",
 )
 def durations(spark, sf_dir):
     seen = analysis.with_previous(event_lines(spark, sf_dir).select("line_no", "ts_ms"), ["ts_ms"]).where("prev_ts_ms is not null")
-    return seen.select("line_no", sequence.format_duration_ms(F.col("ts_ms") - F.col("prev_ts_ms")).alias("length"))
+    return seen.select("line_no", sequence.format_delta_ms(F.col("ts_ms") - F.col("prev_ts_ms")).alias("length"))
 
 
 # ---- masking, formats, mining ----
@@ -565,11 +565,21 @@ def drain_documents(spark, sf_dir):
     return templates.select("doc_id", "template_id", "pattern", "count", "example_line")
 
 
-@register("keyword_at", f"WITH {E_SQL} SELECT line_no, regexp_extract(substr(text, 1, 3), '[A-Za-z0-9_./-]*$') || regexp_extract(substr(text, 4), '^[A-Za-z0-9_./-]+') AS word FROM l")
+WORDLESS = "[^\\s\\-\\[\\]{{}}(),\"'']"
+
+
+@register(
+    "keyword_at",
+    f"WITH {E_SQL}, p AS (SELECT line_no, text, CAST(line_no * 7 % (length(text) + 2) AS INTEGER) AS p FROM l) SELECT line_no, CASE WHEN regexp_matches(substr(text, p + 1, 1), '{WORDLESS}') THEN regexp_extract(substr(text, 1, p), '{WORDLESS}*$') || regexp_extract(substr(text, p + 1), '^{WORDLESS}+') END AS word FROM p".replace("{{}}", "{}").replace("\\\\", "\\"),
+)
 def keyword_at(spark, sf_dir):
-    return event_lines(spark, sf_dir).select("line_no", sequence.keyword_at(F.col("text"), 3).alias("word"))
+    at = (F.col("line_no") * 7 % (F.length("text") + 2)).cast("int")
+    return event_lines(spark, sf_dir).select("line_no", sequence.keyword_at(F.col("text"), at).alias("word"))
 
 
 @register("bench_log_levels", "SELECT ['INFO', 'DEBUG', 'WARN', 'ERROR'][(i % 97 // 24) % 4 + 1] AS level, count(*) AS cnt FROM range(20000) r(i) GROUP BY 1")
 def bench_log_levels(spark, sf_dir):
     return sources.bench_log(spark, 20_000).select(F.split("text", " ")[1].alias("level")).groupBy("level").agg(F.count(F.lit(1)).alias("cnt"))
+
+
+from . import files  # noqa: E402, F401  (registers its queries)

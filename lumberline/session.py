@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 
 from .functions.timefmt import CustomFormat, format_ms, parse_time_param
 from .operators import analysis, search, sequence
-from .operators.ingest import AnalysedLog, ParsingConfig, open_log
+from .operators.ingest import AnalysedLog, ParsingConfig, open_log, refreshed
+from .sources.spool import release
+from .sources.text import FileChange
 
 NO_LOG = {"comment": "no log", "reason": "no filter is set; add one, or ask with with_filtered_log=False"}
 
@@ -58,8 +60,6 @@ class Session:
     def add(self, log: AnalysedLog) -> dict[str, Any]:
         """Register an analysed log, for instance one made from a table."""
         log_id = f"log_{next(self._ids)}"
-        log.lines.persist()
-        log.templates.persist()
         self.logs[log_id] = Loaded(log, log)
         self.active = log_id
         return {"log_id": log_id, **self.stats(log_id)}
@@ -80,13 +80,30 @@ class Session:
             "trimmed": doc.log.window is not None,
         }
 
+    def refresh(self, log_id: str | None = None) -> dict[str, Any]:
+        """Look at the file of a log again and take in what was appended; filters and tools then see it. A trimmed view becomes
+        the whole file. A file that can't be followed gives an error that says why."""
+        doc = self._get(log_id)
+        if doc.whole.state is None:
+            raise ToolError("the log is not a file")
+        before = doc.whole
+        try:
+            doc.whole = refreshed(self.spark, before)
+        except (OSError, ValueError) as e:
+            return ToolError(str(e)).payload()
+        if doc.whole is before:
+            return {"change": FileChange.UNCHANGED.value, **self.stats(log_id)}
+        doc.log = doc.whole
+        return {"change": FileChange.APPENDED.value, "appended": doc.whole.lines.count() - before.lines.count(), **self.stats(log_id)}
+
     def list_logs(self) -> list[dict[str, Any]]:
         return [{"log_id": i, "path": d.log.path} for i, d in self.logs.items()]
 
     def close_log(self, log_id: str) -> None:
         doc = self.logs.pop(self._id(log_id))
-        doc.whole.lines.unpersist()
-        doc.whole.templates.unpersist()
+        if doc.whole.mined:
+            release(doc.whole.lines)
+            release(doc.whole.templates)
         if self.active == log_id:
             self.active = next(reversed(self.logs), None)
 

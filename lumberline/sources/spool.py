@@ -34,6 +34,17 @@ def spooled(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def text_file(df: DataFrame) -> str:
+    """The path of ``df`` (value) as text in the shared folder."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/text-{uuid.uuid4().hex}"
+    df.write.text(path)
+    if not _written:
+        atexit.register(release_all)
+    _written.append((spark, path))
+    return path
+
+
 def release(df: DataFrame) -> None:
     """Delete the spooled tables that ``df`` reads."""
     for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:

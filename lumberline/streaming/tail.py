@@ -3,42 +3,57 @@
 from __future__ import annotations
 
 import os
+import zlib
+from typing import BinaryIO
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, InputPartition, SimpleDataSourceStreamReader
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from ..functions.formats import LogFormat, normalized
-from ..functions.masking import MaskConfig
 from ..functions.timefmt import Family, epoch_ms
-from ..operators.mining import DrainConfig, Tree
+from ..operators.ingest import AnalysedLog, ParsingConfig, analyse, append
+from ..sources.spool import spooled
 from ..sources.text import FileChange, FileState
 
+#: Bytes of a file that one batch reads, and bytes before an offset that are checked.
+STEP_BYTES, SEEN_BYTES = 32 << 20, 1 << 16
 SCHEMA = StructType([StructField("doc_id", StringType()), StructField("line_no", LongType()), StructField("text", StringType())])
 
 
 class TailReader(SimpleDataSourceStreamReader):
-    """Whole lines between two offsets; an unfinished last line is held back. A file that shrinks or is edited in place
-    raises: it has to be read anew, with a new checkpoint."""
+    """Whole lines between two offsets; an unfinished last line is held back. A batch reads ``STEP_BYTES`` at most. A file
+    that shrinks, or whose bytes before an offset are others than when they were read, raises: it has to be read anew, with
+    a new checkpoint. (Offsets carry a checksum of the last ``SEEN_BYTES`` before them; an edit further up isn't seen.)"""
 
     def __init__(self, path: str):
         self.path = path
 
     def initialOffset(self) -> dict:
-        return {"byte": 0, "line": 0}
+        return {"byte": 0, "line": 0, "seen": 0}
 
     def _lines(self, start: dict, stop: int | None) -> tuple[list[tuple], dict]:
         size = os.path.getsize(self.path)
         if size < start["byte"]:
             raise ValueError(f"{self.path} has shrunk; a full reload is required")
         with open(self.path, "rb") as f:
+            if self._seen(f, start["byte"]) != start["seen"]:
+                raise ValueError(f"{self.path} was modified in place; a full reload is required")
             f.seek(start["byte"])
-            data = f.read((stop or size) - start["byte"])
-        data = data[: data.rfind(b"\n") + 1]
+            limit = (stop or size) - start["byte"]
+            data = f.read(limit if stop else min(limit, STEP_BYTES))
+            while not stop and b"\n" not in data and len(data) < limit:  # a line longer than a step
+                data += f.read(min(limit - len(data), STEP_BYTES))
+            data = data[: data.rfind(b"\n") + 1]
+            seen = self._seen(f, start["byte"] + len(data))
         texts = [x.rstrip(b"\r").decode("utf-8", "replace") for x in data.split(b"\n")[:-1]]
         rows = [(self.path, start["line"] + i, t) for i, t in enumerate(texts)]
-        return rows, {"byte": start["byte"] + len(data), "line": start["line"] + len(texts)}
+        return rows, {"byte": start["byte"] + len(data), "line": start["line"] + len(texts), "seen": seen}
+
+    @staticmethod
+    def _seen(f: BinaryIO, at: int) -> int:
+        f.seek(max(0, at - SEEN_BYTES))
+        return zlib.crc32(f.read(min(at, SEEN_BYTES)))
 
     def read(self, start: dict):
         rows, end = self._lines(start, None)
@@ -86,27 +101,25 @@ def minute_counts(stream: DataFrame, family: Family, watermark: str = "10 minute
 
 
 class TailAnalysis:
-    """What a follower keeps between batches: the last time, and the tree of templates.
+    """A log that a stream of its lines keeps adding to.
 
-    Use with ``writeStream.foreachBatch(analysis.batch)``. A batch is what was appended since the last one; appended
-    lines are normalised in parallel, and only their contents are mined in order on the driver, as a tree's ids depend
-    on the order of all lines. For a first load use ``open_log``, which mines in parallel.
+    Use with ``writeStream.foreachBatch(analysis.batch)``. The first batch is analysed like a file (format, time family,
+    header, templates) unless a ``log`` is given; every further one is appended: parsed, filled on from the last time and
+    mined on in parallel from the clusters that are known, so templates are those of one load of all lines. Batches are
+    written to the shared folder; the driver keeps plans only. A batch that comes again after a restart is left out.
     """
 
-    def __init__(self, fmt: LogFormat, family: Family | None, header: tuple[str | None, ...] = (), config: DrainConfig = DrainConfig(), masks: MaskConfig = MaskConfig()):
-        self.fmt, self.family, self.header, self.masks = fmt, family, header, masks
-        self.tree = Tree(config)
-        self.last_ms: int | None = None
-        self.rows: list[tuple[int, int | None, int]] = []
-
-    @property
-    def templates(self) -> list[str]:
-        return self.tree.patterns
+    def __init__(self, config: ParsingConfig = ParsingConfig(), log: AnalysedLog | None = None, **more):
+        self.config, self.log, self.more = config, log, more
+        self.lines = log.lines.count() if log else 0
 
     def batch(self, df: DataFrame, _batch_id: int) -> None:
-        parsed = normalized(df, self.fmt, self.header, self.masks)
-        ms = F.coalesce(epoch_ms(F.col("text"), self.family), F.col("field_ms")) if self.family else F.col("field_ms")
-        new = parsed.select("line_no", "content", ms.alias("ms")).orderBy("line_no").collect()
-        for r in new:
-            self.last_ms = r["ms"] if r["ms"] is not None else self.last_ms
-            self.rows.append((r["line_no"], self.last_ms, self.tree.add(r["content"])))
+        new = df.where(F.col("line_no") >= self.lines)
+        if "n_bytes" not in df.columns:
+            new = new.withColumn("n_bytes", F.octet_length("text"))
+        new = spooled(new)
+        n = new.agg(F.max("line_no")).first()[0]
+        if n is None:
+            return
+        self.log = append(self.log, new) if self.log else analyse(new, self.config, **self.more)
+        self.lines = n + 1

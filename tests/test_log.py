@@ -3,6 +3,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from lumberline.functions.timefmt import CustomFormat, parse_time_param
 from lumberline.operators import analysis, search, sequence
 from lumberline.operators.ingest import open_log
 from lumberline.session import NO_LOG, SavedFilter, Session, Store, ToolError
@@ -144,9 +145,36 @@ def test_samples_are_fixed():
 
 def test_highlights_and_words(spark):
     df = spark.createDataFrame([("disk error on /dev/sda error",)], "text string")
-    spans = df.select(sequence.highlight_spans(F.col("text"), "error", "DISK", ["or", "dev"]).alias("s")).first()["s"]
-    assert [(x["start"], x["stop"], x["kind"]) for x in spans] == [(0, 4, "keyword"), (5, 10, "search"), (15, 18, "filter"), (23, 28, "search")]
-    assert df.select(sequence.keyword_at(F.col("text"), 16)).first()[0] == "/dev/sda"
+    spans = df.select(sequence.highlight_spans(F.col("text"), "error", "DISK", ["or o", "dev"]).alias("s")).first()["s"]
+    assert [(x["start"], x["stop"], x["kind"]) for x in spans] == [(0, 4, "keyword"), (5, 10, "search"), (10, 12, "filter"), (15, 18, "filter"), (23, 28, "search")]
+    spans = df.select(sequence.highlight_spans(F.col("text"), "rr", "error", ["sk error on"]).alias("s")).first()["s"]
+    assert [(x["start"], x["stop"], x["kind"]) for x in spans] == [(2, 5, "filter"), (5, 6, "keyword"), (6, 8, "search"), (8, 10, "keyword"), (10, 13, "filter"), (23, 24, "keyword"), (24, 26, "search"), (26, 28, "keyword")]
+
+    def word(text, at):
+        return spark.createDataFrame([(text,)], "t string").select(sequence.keyword_at(F.col("t"), at)).first()[0]
+
+    assert word("disk error on /dev/sda error", 16) == "/dev/sda"
+    assert word("go (user=42;x.y:z) now", 6) == "user=42;x.y:z"
+    assert word("long-term plan", 2) == "long" and word("long-term plan", 6) == "term" and word("long-term plan", 4) is None
+    assert word("a\u00a0b", 1) is None and word("ab", 2) is None and word("", 0) is None
+
+
+def test_durations_and_axis(spark):
+    rows = [0, 999, 1000, 1049, 1050, 1150, 1250, 1350, 1750, 59_949, 59_950, 60_000, 61_000, 3_600_000, 3_660_000, 100_000_000, -5, 90_000, 5_400_000, 129_600_000]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(rows)], "i int, ms bigint")
+    found = df.select("ms", sequence.format_delta_ms(F.col("ms")).alias("d"), sequence.format_human_ms(F.col("ms")).alias("h"), sequence.format_pin_ms(F.col("ms")).alias("p")).orderBy("i").collect()
+    for r in found:
+        ms = r["ms"]  # Python rounds the exact binary value too
+        assert r["d"] == "Δ " + (f"{ms // 3_600_000}h {ms % 3_600_000 // 60_000}m" if ms >= 3_600_000 else f"{ms // 60_000}m {ms % 60_000 // 1000}s" if ms >= 60_000 else f"{ms / 1000:.1f}s" if ms >= 1000 else f"{ms}ms")
+    human = {r["ms"]: r["h"] for r in found}
+    assert [human[x] for x in (-5, 999, 1250, 60_000, 61_000, 3_600_000, 3_660_000)] == ["0ms", "999ms", "1.2sec", "1m", "1m 1sec", "1h", "1h 1m"]
+    pin = {r["ms"]: r["p"] for r in found}
+    assert [pin[x] for x in (-5, 1750, 90_000, 5_400_000, 129_600_000)] == ["-5 ms", "1.8 sec", "1.5 min", "1.5 hr", "1.5 days"]
+    assert [t for _, t in sequence.axis_labels(0, 60_000)][:2] == ["00:00.000", "00:10.000"]
+    assert sequence.axis_labels(0, 7_200_000)[-1] == (7_200_000, "02:00:00.000") and sequence.axis_labels(0, 90_000_000)[0][1] == "1970-01-01 00:00:00.000"
+    assert sequence.axis_labels(1, 13, False)[1] == (3, "L3")
+    assert sequence.effective_zoom((-5, 10), 0, 8) == (0, 8) and sequence.effective_zoom(None, 0, 8) == (0, 8)
+    assert sequence.caption(5, False) == "~line 5" and sequence.caption(0) == "1970-01-01 00:00:00.000"
 
 
 def test_tail(spark, tmp_path):
@@ -154,36 +182,67 @@ def test_tail(spark, tmp_path):
     path.write_text("one\ntwo\npart")
     reader = TailReader(str(path))
     rows, end = reader.read(reader.initialOffset())
-    assert [r[2] for r in rows] == ["one", "two"] and end == {"byte": 8, "line": 2}
+    assert [r[2] for r in rows] == ["one", "two"] and (end["byte"], end["line"]) == (8, 2)
     state = FileState.of(str(path))
     with path.open("a") as f:
         f.write("ial\nnext\n")
     assert check_change(str(path), state) is FileChange.APPENDED
     rows, end = reader.read(end)
     assert [(r[1], r[2]) for r in rows] == [(2, "partial"), (3, "next")]
+    path.write_text(path.read_text().replace("two", "TWO") + "more\n")
+    with pytest.raises(ValueError, match="modified in place"):
+        reader.read(end)
     path.write_text("x\n")
-    with pytest.raises(ValueError):
+    with pytest.raises(ValueError, match="shrunk"):
         reader.read(end)
     with pytest.raises(ValueError):
         check_change(str(path), state)
 
 
-def test_tail_stream_mines(spark, tmp_path):
-    from lumberline.functions.formats import PLAIN
+def numbered(i, what):
+    return f"2026-07-19 10:{i // 60:02d}:{i % 60:02d} {what}\n"
+
 
-    path = tmp_path / "s.log"
-    path.write_text("".join(f"job {i} done\n" for i in range(5)))
-    follower = TailAnalysis(PLAIN, None)
+def test_tail_equals_one_load(spark, tmp_path):
+    words = ["job {} done", "disk {} full", "user bob in", "user eve in", "", "net down {}"]
+    lines = [numbered(i, words[(i * 7) % 6].format(i)) if i % 5 else f"  at frame {i}\n" for i in range(120)]
+    path, whole = tmp_path / "s.log", tmp_path / "whole.log"
+    whole.write_text("".join(lines))
+    path.write_text("".join(lines[:40]))
+    follower = TailAnalysis()
     query = tail(spark, str(path)).writeStream.foreachBatch(follower.batch).option("checkpointLocation", str(tmp_path / "cp")).start()
     try:
         query.processAllAvailable()
-        with path.open("a") as f:
-            f.write("job 9 done\ndisk full\n")
-        query.processAllAvailable()
+        for part in (lines[40:41], lines[41:120]):
+            with path.open("a") as f:
+                f.write("".join(part))
+            query.processAllAvailable()
     finally:
         query.stop()
-    assert [t for _, _, t in follower.rows] == [1] * 6 + [2]
-    assert follower.templates == ["<EMPTY>", "job <NUM> done", "disk full"]
+    once = open_log(spark, str(whole))
+    got, want = ([(r["line_no"], r["ts_ms"], r["template_id"]) for r in log.lines.orderBy("line_no").collect()] for log in (follower.log, once))
+    assert got == want
+    got, want = ([(r["template_id"], r["pattern"], r["count"], r["example_line"]) for r in log.templates.orderBy("template_id").collect()] for log in (follower.log, once))
+    assert got == want
+
+
+def test_refresh_of_a_session(spark, tmp_path):
+    path = tmp_path / "r.log"
+    path.write_text("".join(numbered(i, f"tick {i}") for i in range(30)))
+    s = Session(spark)
+    s.load_log(str(path))
+    s.add_filter("boom")
+    assert s.refresh()["change"] == "unchanged"
+    with path.open("a") as f:
+        f.write(numbered(30, "boom now") + "stack line\n")
+    after = s.refresh()
+    assert (after["change"], after["appended"], after["lines"]) == ("appended", 2, 32)
+    assert s.find_occurrences("boom", with_filtered_log=True)["total"] == 1
+    assert s.find_occurrences("stack")["results"][0]["line"] == 32
+    path.write_text(path.read_text()[:-1] + "!")
+    assert "modified" in s.refresh()["message"]
+    path.write_text("x\n")
+    assert "shrunk" in s.refresh()["message"]
 
 
 def test_generators_and_store(spark, tmp_path):
@@ -202,3 +261,22 @@ def test_custom_and_stack_traces(spark, tmp_path):
     path = write(tmp_path / "j.log", ["2026-07-19 10:00:00 start", "\tat com.app.Main(Main.java:10)", "2026-07-19 10:00:05 end"])
     log = open_log(spark, path)
     assert [r["ts_ms"] for r in log.lines.orderBy("line_no").collect()][1] == 1784455200000
+
+
+def test_custom_times(spark, tmp_path):
+    own = CustomFormat("own", r"(?P<day>\d+)\|(?P<month>\d+)\|(?<year>\d{4}) (?P<hour>\d+)h(?P<min>\d+)m(?P<sec>\d+)s(?:(?P<ms>\d+))?")
+    lines = [f"{1 + i % 28}|7|2026 {i % 24}h{i % 60}m{i % 60}s{i} unit {'ok' if i % 2 else 'bad'}" for i in range(40)] + ["2026-07-19 10:00:00 other"] * 3 + ["31|2|2026 1h2m60s5 rolls", "1|13|2026 1h1m1s no", "1|1|2026 24h1m1s no", "1|1|2026 1h1m1s1000 no"]
+    log = open_log(spark, write(tmp_path / "c.log", lines), custom=(own,))
+    assert log.family is own
+    rows = log.lines.orderBy("line_no").collect()
+    for r, line in zip(rows, lines):
+        try:
+            found = own.extract(line)
+        except ValueError:
+            found = None
+        assert r["ts_raw_ms"] == (found[0] if found else None), line
+    assert own.extract("31|2|2026 1h2m60s5 x")[0] == own.extract("3|3|2026 1h3m0s5 x")[0]
+    assert own.extract("1|1|2026 1h1m1s5 x")[0] % 1000 == 5
+    assert own.describe("1|2|2026 3h4m5s6") == "Year: 2026, Month: 2, Date: 1, Hour: 3, Min: 4, Sec: 5, MILLI SECOND: 6"
+    assert {r["pattern"] for r in log.templates.collect()} >= {"unit <*>"} or {r["pattern"] for r in log.templates.collect()} >= {"unit ok", "unit bad"}
+    assert parse_time_param("2026-07-19T10:15:30") == parse_time_param("2026-07-19 10:15:30") == 1784456130000
