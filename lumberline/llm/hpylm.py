@@ -16,6 +16,7 @@ messages as blocks times ranges, and as keys.
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Iterator
 from itertools import chain
@@ -79,15 +80,33 @@ def drawn_tables(keys: np.ndarray, customers: np.ndarray, pull: np.ndarray, disc
             weight = log_stirling(discount)[n, 1 : n + 1] + np.arange(n) * np.log(pull[at])[:, None]
             share = np.exp(weight - weight.max(axis=1, keepdims=True)).cumsum(axis=1)
             tables[at] = 1 + (share[:, :-1] <= draw[some, None] * share[:, -1:]).sum(axis=1)
-    for lo in range(few, len(several), 2048):
-        at = several[lo : lo + 2048]
-        mean = expected_tables(customers[at], pull[at], discount)
-        step = 0.01  # the variance is the slope of the mean by the logarithm of the pull
-        slope = (expected_tables(customers[at], pull[at] * np.exp(step), discount) - expected_tables(customers[at], pull[at] * np.exp(-step), discount)) / (2 * step)
-        tables[at] = np.clip(1 + _quantile(draw[lo : lo + 2048], mean - 1, np.maximum(slope, 0.0)), 1, customers[at])
+    at = several[few:]
+    mean, variance = _moments(customers[at], pull[at], discount)
+    tables[at] = np.clip(1 + _quantile(draw[few:], mean, variance), 1, customers[at])
     return tables
 
 
+_grids: dict[float, tuple[np.ndarray, np.ndarray]] = {}
+_PULLS, _CUSTOMERS = np.arange(-4.0, 10.01, 0.125) * math.log(10), np.arange(math.log(DRAWN), math.log(1e13), math.log(2) / 2)
+
+
+def _moments(customers: np.ndarray, pull: np.ndarray, discount: float) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and variance of the tables beyond the first, for more than ``DRAWN`` customers: interpolated on a grid of the
+    logarithms of both arguments, and carried on in a line below it (tiny pulls), where both grow with the pull."""
+    if discount not in _grids:
+        n, p = (x.ravel() for x in np.meshgrid(np.exp(_CUSTOMERS), np.exp(_PULLS), indexing="ij"))
+        mean = np.concatenate([expected_tables(n[i : i + 2048], p[i : i + 2048], discount) for i in range(0, len(n), 2048)]).reshape(len(_CUSTOMERS), len(_PULLS)) - 1
+        variance = np.gradient(mean, _PULLS, axis=1)  # the slope of the mean by the logarithm of the pull
+        mean, variance = np.maximum(mean, 1e-12), np.maximum(variance, 1e-12)
+        _grids[discount] = np.log(mean), np.log(variance)
+    u = np.clip((np.log(customers) - _CUSTOMERS[0]) / (_CUSTOMERS[1] - _CUSTOMERS[0]), 0, len(_CUSTOMERS) - 1.001)
+    v = np.minimum((np.log(pull) - _PULLS[0]) / (_PULLS[1] - _PULLS[0]), len(_PULLS) - 1.001)
+    i, j = u.astype(np.int64), np.maximum(v, 0).astype(np.int64)
+    u, v = u - i, v - j
+    mean, variance = (np.exp((1 - u) * ((1 - v) * g[i, j] + v * g[i, j + 1]) + u * ((1 - v) * g[i + 1, j] + v * g[i + 1, j + 1])) for g in _grids[discount])
+    return mean, variance
+
+
 def _quantile(u: np.ndarray, mean: np.ndarray, variance: np.ndarray) -> np.ndarray:
     """Whole numbers at the quantiles ``u``: of a Poisson law up to a mean of 30, of a rounded normal one above."""
     out = np.rint(mean + np.sqrt(variance) * _normal(u))
@@ -198,38 +217,42 @@ def coded(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return sizes + 1, keys, place[tokens]
 
 
-class Block:
-    """The tokens of a block's texts, and the distinct keys of both levels in one sorted list."""
-
-    def __init__(self, sizes: np.ndarray, words: np.ndarray, tokens: np.ndarray, learn: np.ndarray):
-        self.sizes, self.words, self.tokens, self.learn = sizes, words, tokens, learn
-        self.ends = np.cumsum(sizes)
-        start = int(np.searchsorted(words, START))
-        self.contexts = np.empty_like(tokens)
-        self.contexts[1:] = tokens[:-1]
-        self.contexts[np.r_[0, self.ends[:-1]]] = start
-        pairs, first, self.pair_of = np.unique(pair_keys(words[self.contexts], words[tokens]), return_index=True, return_inverse=True)
-        self.pairs, self.pair_context, self.pair_word = pairs, self.contexts[first], tokens[first]
-        both = np.concatenate([words, pairs])
-        order = np.argsort(both, kind="stable")
+class Pairs:
+    """The distinct pairs of a block's tokens, found again from the place of the first token of each, and the sorted list of
+    the distinct keys of both levels."""
+
+    def __init__(self, sizes: np.ndarray, words: np.ndarray, tokens: np.ndarray, first: np.ndarray | None):
+        self.sizes, self.words, self.tokens, self.ends = sizes, words, tokens, np.cumsum(sizes)
+        self.start = int(np.searchsorted(words, START))
+        contexts = np.empty_like(tokens)
+        contexts[1:] = tokens[:-1]
+        contexts[np.r_[0, self.ends[:-1]]] = self.start
+        if first is None:
+            self.pairs, first, self.pair_of = np.unique(pair_keys(words[contexts], words[tokens]), return_index=True, return_inverse=True)
+        self.first, self.pair_context, self.pair_word = first, contexts[first], tokens[first]
+        self.pairs = pair_keys(words[self.pair_context], words[self.pair_word])
+        both = np.concatenate([words, self.pairs])
+        order = np.argsort(both, kind="stable")  # two sorted runs
         self.keys = both[order]
         place = np.empty(len(both), np.int64)
         place[order] = np.arange(len(both))
-        self.word_at, self.pair_at, self.start = place[: len(words)], place[len(words) :], start
+        self.word_at, self.pair_at = place[: len(words)], place[len(words) :]
 
-    def own_counts(self) -> np.ndarray:
+    def own_counts(self, learn: np.ndarray) -> np.ndarray:
         """How often each key occurs in the texts that are learnt from; the start counts texts."""
-        learnt = np.repeat(self.learn, self.sizes)
+        learnt = np.repeat(learn, self.sizes)
         out = np.zeros(len(self.keys), np.int64)
         out[self.word_at] = np.bincount(self.tokens[learnt], minlength=len(self.words))
-        out[self.word_at[self.start]] = self.learn.sum()
+        out[self.word_at[self.start]] = learn.sum()
         out[self.pair_at] = np.bincount(self.pair_of[learnt], minlength=len(self.pairs))
         return out
 
 
-def block_of(t: pa.Table) -> tuple[int, Block]:
+def block_of(t: pa.Table, whole: bool = True) -> tuple[int, Pairs]:
+    """The block of a row; not ``whole``: without the pair of each token, which needs sorting."""
     one = lambda c: t.column(c)[0].as_py()
-    return one("g"), Block(unsqueezed(one("sizes")).astype(np.int64), unsqueezed_keys(one("words")), unsqueezed(one("tokens")).astype(np.int64), np.array(one("learn"), bool))
+    first = None if whole else unsqueezed(one("first")).astype(np.int64)
+    return one("g"), Pairs(unsqueezed(one("sizes")).astype(np.int64), unsqueezed_keys(one("words")), unsqueezed(one("tokens")).astype(np.int64), first)
 
 
 BLOCK = "g bigint, ids array<bigint>, learn array<boolean>, sizes binary, words binary, tokens binary"
@@ -318,7 +341,7 @@ def score_texts(docs: DataFrame, block_bytes: int = BLOCK_BYTES, with_tokens: bo
         for batch in batches:
             for i in range(batch.num_rows):
                 g, block = block_of(pa.Table.from_batches([batch.slice(i, 1)]))
-                at, own = cuts(block.keys, ranges), block.own_counts()
+                at, own = cuts(block.keys, ranges), block.own_counts(np.array(batch.column(batch.schema.get_field_index("learn"))[i].as_py(), bool))
                 for lo in range(0, ranges, 64):
                     parts = [(r, squeezed_keys(block.keys[at[r] : at[r + 1]]), squeezed(own[at[r] : at[r + 1]])) for r in range(lo, min(lo + 64, ranges)) if at[r] < at[r + 1]]
                     yield from messages(g, parts).to_batches()
@@ -343,19 +366,21 @@ def score_texts(docs: DataFrame, block_bytes: int = BLOCK_BYTES, with_tokens: bo
         count = np.concatenate([unsqueezed(answers.column("a")[i].as_py()) for i in order.tolist()])
         n = [int.from_bytes(answers.column("a")[i].as_py()[-8:], "little") for i in order.tolist()]
         owner = np.concatenate([np.unpackbits(np.frombuffer(answers.column("b")[i].as_py(), np.uint8), count=k) for i, k in zip(order.tolist(), n)])
+        first = block_of(blocks)[1].first
+        blocks = blocks.append_column("first", pa.array([squeezed(first)], pa.binary()))
         return blocks.append_column("count", pa.array([squeezed(count)], pa.binary())).append_column("owner", pa.array([np.packbits(owner).tobytes()], pa.binary()))
 
-    ready = bucketed(blocks.groupBy("g").cogroup(counts.where("g >= 0").groupBy("g")).applyInArrow(keep_counts, f"{BLOCK}, count binary, owner binary"), "g", min(1000, max(8, n_partitions(spark))))
+    ready = bucketed(blocks.groupBy("g").cogroup(counts.where("g >= 0").groupBy("g")).applyInArrow(keep_counts, f"{BLOCK}, first binary, count binary, owner binary"), "g", min(1000, max(8, n_partitions(spark))))
     drop_bucketed(blocks)
 
-    def loaded(t: pa.Table) -> tuple[int, Block, np.ndarray, np.ndarray]:
-        g, block = block_of(t)
+    def loaded(t: pa.Table, whole: bool = False) -> tuple[int, Pairs, np.ndarray, np.ndarray]:
+        g, block = block_of(t, whole)
         count = unsqueezed(t.column("count")[0].as_py()).astype(np.int64)
         return g, block, count, np.unpackbits(np.frombuffer(t.column("owner")[0].as_py(), np.uint8), count=len(count)).view(bool)
 
     known: list[tuple[int, int]] = []  # of each sweep: customers and tables of the parent
 
-    def state(block: Block, count: np.ndarray, answers: pa.Table | None, sweep: int) -> tuple[np.ndarray, np.ndarray]:
+    def state(block: Pairs, count: np.ndarray, answers: pa.Table | None, sweep: int) -> tuple[np.ndarray, np.ndarray]:
         """Of the block's words after ``sweep``: the tables of the restaurant of each, and the parent's probability."""
         c_word = count[block.word_at]
         if sweep < 0:  # before the first: an add-one model, and as many tables as distinct pairs on average
@@ -367,7 +392,7 @@ def score_texts(docs: DataFrame, block_bytes: int = BLOCK_BYTES, with_tokens: bo
         spare = (ROOT_STRENGTH + ROOT_DISCOUNT * tables) / (n_words + 1)
         return of("a"), (of("b") - ROOT_DISCOUNT * of("c") + spare) / (ROOT_STRENGTH + customers)
 
-    def seated(block: Block, count: np.ndarray, tables: np.ndarray, parent: np.ndarray, sweep: int) -> np.ndarray:
+    def seated(block: Pairs, count: np.ndarray, tables: np.ndarray, parent: np.ndarray, sweep: int) -> np.ndarray:
         """The tables of the block's pairs; of its context's tables one, of the dish itself, doesn't count in the pull."""
         pull = (STRENGTH + DISCOUNT * np.maximum(tables[block.pair_context] - 1, 0.0)) * parent[block.pair_word]
         return drawn_tables(block.pairs, count[block.pair_at], pull, DISCOUNT, sweep)
@@ -412,7 +437,7 @@ def score_texts(docs: DataFrame, block_bytes: int = BLOCK_BYTES, with_tokens: bo
         root_tables = known[-1][1]
 
     def score(_key, blocks: pa.Table, answers: pa.Table) -> pa.Table:
-        _, block, count, _ = loaded(blocks)
+        _, block, count, _ = loaded(blocks, True)
         c_pair = count[block.pair_at]
         c_context = np.maximum(count[block.word_at][block.pair_context], c_pair)
         p = np.zeros(len(block.pairs))
