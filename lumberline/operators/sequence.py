@@ -107,21 +107,27 @@ def nearest_in_time(lines: DataFrame, ts_ms: int) -> DataFrame:
 
 
 def nearest_each(probes: DataFrame, lines: DataFrame, bucket_ms: int = 3_600_000) -> DataFrame:
-    """(probe_id, ts_ms, line_no): for each probe (probe_id, probe_ms) the line nearest in time.
+    """(probe_id, ts_ms, line_no): for each probe (probe_id, probe_ms) the line nearest in time; the earlier of two equally
+    near, and the first line of that time. Probes without a time, or beside no line with one, are left out.
 
-    Both sides are cut into buckets of time. The last line before and the first line after each bucket come from a table
-    with one row for each bucket, so probes meet only lines of their bucket and those two.
+    Lines of one millisecond are one row. Probes and lines are put in order together, inside buckets of time (so a task
+    sorts no more milliseconds than a bucket has, and its probes); what lies before and after a bucket comes from a table
+    with one row for each.
     """
-    timed = lines.where("ts_ms is not null").select("ts_ms", "line_no").withColumn("b", F.floor(F.col("ts_ms") / bucket_ms))
-    edge = timed.groupBy("b").agg(F.min(F.struct("ts_ms", "line_no")).alias("lo"), F.max(F.struct("ts_ms", (-F.col("line_no")).alias("neg"))).alias("hi"))
-    asked = probes.withColumn("b", F.floor(F.col("probe_ms") / bucket_ms))
-    both = edge.select("b", "lo", "hi").join(asked.select("b").distinct(), "b", "full")
+    first = lines.where("ts_ms is not null").groupBy("ts_ms").agg(F.min("line_no").alias("line_no")).select(F.struct("ts_ms", "line_no").alias("at"))
+    bucket = lambda ms: F.floor(ms / bucket_ms)
+    rows = first.select(F.lit(None).alias("probe_id"), F.col("at.ts_ms").alias("ms"), "at").unionByName(
+        probes.where("probe_ms is not null").select("probe_id", F.col("probe_ms").alias("ms")), allowMissingColumns=True
+    ).withColumn("b", bucket(F.col("ms")))
+    edges = rows.groupBy("b").agg(F.min("at").alias("lo"), F.max("at").alias("hi"))
     before, after = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1), Window.orderBy("b").rowsBetween(1, Window.unboundedFollowing)
-    edges = both.select("b", F.last("hi", True).over(before).alias("p"), F.first("lo", True).over(after).alias("q"))
-    far = asked.join(edges, "b").select("probe_id", "probe_ms", F.explode(F.array(F.struct(F.col("p.ts_ms").alias("ts_ms"), (-F.col("p.neg")).alias("line_no")), F.struct(F.col("q.ts_ms").alias("ts_ms"), F.col("q.line_no").alias("line_no")))).alias("c")).select("probe_id", "probe_ms", "c.ts_ms", "c.line_no")
-    own = asked.join(timed, "b").select("probe_id", "probe_ms", "ts_ms", "line_no")
-    rank = Window.partitionBy("probe_id").orderBy(F.abs(F.col("ts_ms") - F.col("probe_ms")), "ts_ms", "line_no")
-    return own.union(far).where("ts_ms is not null").withColumn("r", F.row_number().over(rank)).where("r = 1").select("probe_id", "ts_ms", "line_no")
+    edges = edges.select("b", F.last("hi", True).over(before).alias("p"), F.first("lo", True).over(after).alias("q"))
+    inside = Window.partitionBy("b").orderBy("ms", F.col("at").isNull())  # a line comes before a probe of its time
+    seen = rows.withColumn("prev", F.last("at", True).over(inside.rowsBetween(Window.unboundedPreceding, 0))).withColumn("next", F.first("at", True).over(inside.rowsBetween(0, Window.unboundedFollowing)))
+    asked = seen.where("at is null").join(edges, "b").select("probe_id", "ms", F.coalesce("prev", "p").alias("prev"), F.coalesce("next", "q").alias("next"))
+    nearer = F.col("next").isNotNull() & (F.col("prev").isNull() | (F.col("next.ts_ms") - F.col("ms") < F.col("ms") - F.col("prev.ts_ms")))
+    found = asked.select("probe_id", F.when(nearer, F.col("next")).otherwise(F.col("prev")).alias("at")).where("at is not null")
+    return found.select("probe_id", "at.ts_ms", "at.line_no")
 
 
 def approximate_line(lines: DataFrame, ts_ms: int) -> DataFrame:

@@ -87,14 +87,14 @@ def _pick(seed: int, salt: int, options: list[str]) -> Column:
 # The words of the two synthetic logs.
 BENCH_LEVELS = ["INFO", "DEBUG", "WARN", "ERROR"]
 BENCH_EVENTS = [
-    "request completed in {n}ms",
-    "user_id={n} logged in",
-    "cache miss for key item:{n}",
-    "connection timeout after {n}ms",
-    "disk usage at {n} blocks",
-    "retrying operation attempt {n}",
-    "GET /api/items/{n} 200",
-    "queue depth {n}",
+    "request completed path=/api/users status=200",
+    "db query took {n}ms sql=SELECT * FROM sessions",
+    "cache miss for key user:{n}",
+    "retry attempt {n} for job sync-photos",
+    "connection timeout to backend-{n}:8443 after 3000ms",
+    "ERROR unhandled exception in worker-{n}: NullPointerException",
+    "payment authorized order_id=ORD-{n} amount=99.99",
+    "user login user_id=42 session=sess-{n}",
 ]
 IOS_LEVELS = ["ERROR"] * 5 + ["FAULT"] + ["WARNING"] * 10 + ["NOTICE"] * 14 + ["INFO"] * 45 + ["DEBUG"] * 25
 
