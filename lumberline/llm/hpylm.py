@@ -33,6 +33,8 @@ from .common import bucketed, drop_bucketed, n_partitions, spool
 BLOCK_BYTES = 4 << 20
 #: Blocks whose keys, about, one range of keys amounts to.
 BLOCKS_PER_RANGE = 2
+#: Blocks that a bucket of them has, about (a task reads one bucket), and buckets at most.
+BLOCKS_PER_BUCKET, MOST_BUCKETS = 8, 50_000
 #: Discount and strength of the context restaurants, and of the unigram restaurant.
 DISCOUNT, STRENGTH = 0.8, 1.0
 ROOT_DISCOUNT, ROOT_STRENGTH = 0.7, 1.0
@@ -334,7 +336,9 @@ def score_texts(docs: DataFrame, block_bytes: int = BLOCK_BYTES, with_tokens: bo
     is. A text of any length is one block's: it must fit a task's memory.
     """
     spark = docs.sparkSession
-    blocks = bucketed(in_blocks(docs, block_bytes), "g", min(1000, max(8, n_partitions(spark))))
+    size = docs.agg(F.coalesce(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16), F.lit(0))).first()[0]
+    buckets = min(MOST_BUCKETS, max(8, n_partitions(spark), -(-size // (BLOCKS_PER_BUCKET * block_bytes))))
+    blocks = bucketed(in_blocks(docs, block_bytes), "g", buckets)
     ranges = max(n_partitions(spark), -(-blocks.select("g").count() // BLOCKS_PER_RANGE))
 
     def send_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -370,7 +374,7 @@ def score_texts(docs: DataFrame, block_bytes: int = BLOCK_BYTES, with_tokens: bo
         blocks = blocks.append_column("first", pa.array([squeezed(first)], pa.binary()))
         return blocks.append_column("count", pa.array([squeezed(count)], pa.binary())).append_column("owner", pa.array([np.packbits(owner).tobytes()], pa.binary()))
 
-    ready = bucketed(blocks.groupBy("g").cogroup(counts.where("g >= 0").groupBy("g")).applyInArrow(keep_counts, f"{BLOCK}, first binary, count binary, owner binary"), "g", min(1000, max(8, n_partitions(spark))))
+    ready = bucketed(blocks.groupBy("g").cogroup(counts.where("g >= 0").groupBy("g")).applyInArrow(keep_counts, f"{BLOCK}, first binary, count binary, owner binary"), "g", buckets)
     drop_bucketed(blocks)
 
     def loaded(t: pa.Table, whole: bool = False) -> tuple[int, Pairs, np.ndarray, np.ndarray]:
@@ -441,8 +445,9 @@ def score_texts(docs: DataFrame, block_bytes: int = BLOCK_BYTES, with_tokens: bo
         c_pair = count[block.pair_at]
         c_context = np.maximum(count[block.word_at][block.pair_context], c_pair)
         p = np.zeros(len(block.pairs))
+        tables, parent = state(block, count, answers, BURN_IN - 1)
         for sweep in range(BURN_IN, BURN_IN + SAMPLES):
-            own = seated(block, count, *state(block, count, answers, sweep - 1), sweep)
+            own = seated(block, count, tables, parent, sweep)
             tables, parent = state(block, count, answers, sweep)
             p += (c_pair - DISCOUNT * own + (STRENGTH + DISCOUNT * tables[block.pair_context]) * parent[block.pair_word]) / (STRENGTH + c_context)
         each = np.log10(p / SAMPLES)[block.pair_of]

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import spool
+
 #: So many boilerplate lines at most are broadcast (some 40 bytes each); with more, pages and hosts meet in a shuffled
 #: join whose hot hosts adaptive execution splits.
 BROADCAST_LINES = 200_000
@@ -67,7 +69,7 @@ def line_dedup(
     counts = counts.where(F.col("__n") >= min_pages)
     over = counts.join(totals, "__host").where(F.col("__n") > max_ratio * F.col("__pages"))
     # fewer than (lines of a page) / max_ratio for each host
-    by_host = over.groupBy("__host").agg(F.collect_list("__key").alias("__over")).persist()
+    by_host = spool(over.groupBy("__host").agg(F.collect_list("__key").alias("__over")))
     n_over = by_host.agg(F.coalesce(F.sum(F.size("__over")), F.lit(0))).first()[0]
     if n_over <= broadcast_lines:
         by_host = F.broadcast(by_host)
@@ -79,7 +81,7 @@ def line_dedup(
     out = joined.withColumn("__kept", F.when(~untouched, kept)).withColumn("n_lines", n_lines)
     out = out.withColumn("n_dropped", F.when(untouched, F.lit(0)).otherwise(F.col("n_lines") - F.size("__kept")).cast("long"))
     new_text = F.when(F.col("n_dropped") > 0, F.array_join("__kept", "\n")).otherwise(text)
-    return out.select(*[new_text.alias(c) if c == text_col else F.col(c) for c in df.columns], "n_lines", "n_dropped")
+    return out.select(*[new_text.alias(c) if c == text_col else F.col(f"`{c.replace('`', '``')}`") for c in df.columns], "n_lines", "n_dropped")
 
 
 #: Tags end a line of a page as line feeds do.

@@ -35,8 +35,8 @@ def external_shuffle(
     """Every row of ``df`` with ``shuffle_bucket``, ``shuffle_position`` (0-based place in the shuffled table),
     ``shard`` and ``slot`` (0-based place in the shard).
 
-    Rows are spread by id and text together, so copies of one text and rows without an id spread too. Null ids and null
-    texts are ordinary values; repeated rows are kept, each with its own place; an empty table gives an empty result.
+    Rows are spread by id and text together, so copies of one text spread by their ids, and rows without an id by their
+    texts; only rows alike in both share a bucket, which a task holds. Null ids and null texts are ordinary values; repeated rows are kept, each with its own place; an empty table gives an empty result.
     Columns of ``df`` that bear one of the new names are replaced. The result depends on the rows, ``shards`` and
     ``seed``, not on partitions: a bucket is first sorted by the hash of its rows.
     """
@@ -49,18 +49,22 @@ def external_shuffle(
     buckets = max(1, math.ceil(total / bucket_bytes), n_partitions(spark))
     hashed = df.withColumn("__hash", seeded_hash(seed, F.col(id_col), F.col(text_col))).withColumn("shuffle_bucket", F.pmod(F.col("__hash"), F.lit(buckets)).cast("int"))
 
-    columns = df.columns
+    names = df.columns
+    columns = [f"__c{i}" for i in range(len(names))]  # grouping doesn't take every name
+    hashed = hashed.toDF(*columns, "__hash", "shuffle_bucket")
+    id_at = columns[names.index(id_col)]
 
     def shuffle_bucket(table: pa.Table) -> pa.Table:
         bucket = table.column("shuffle_bucket")[0].as_py()
-        table = table.take(pa.compute.sort_indices(table, sort_keys=[("__hash", "ascending"), (id_col, "ascending")]))
+        table = table.take(pa.compute.sort_indices(table, sort_keys=[("__hash", "ascending"), (id_at, "ascending")]))
         table = table.take(pa.array(fisher_yates(table.num_rows, seed, bucket), pa.int64()))
         return table.select([*columns, "shuffle_bucket"]).append_column("__place", pa.array(np.arange(table.num_rows), pa.int64()))
 
     schema = hashed.drop("__hash").withColumn("__place", F.lit(0).cast("long")).schema
     placed = hashed.groupBy("shuffle_bucket").applyInArrow(shuffle_bucket, schema)
     counts = hashed.groupBy("shuffle_bucket").agg(F.count(F.lit(1)).alias("__n"))
-    return with_starts(placed, counts, rows, shards)
+    out = with_starts(placed, counts, rows, shards)
+    return out.select(*[F.col(c).alias(n) for c, n in zip(columns, names)], "shuffle_bucket", "shuffle_position", "shard", "slot")
 
 
 def with_starts(placed: DataFrame, counts: DataFrame, rows: int, shards: int) -> DataFrame:
@@ -93,7 +97,7 @@ def write_shards(shuffled: DataFrame, path: str) -> None:
 def op7_sharding(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     data = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
-    return external_shuffle(docs).select(
+    return external_shuffle(docs.select("doc_id", "text")).select(
         "doc_id",
         (F.octet_length(data) + 8).cast("long").alias("size"),
         F.crc32(data).alias("text_crc32"),

@@ -21,7 +21,9 @@ from .common import n_partitions, spool
 
 QUERY_BLOCK, CANDIDATE_BLOCK = 512, 4096
 BINS = 2048
-BLOCKS = "part int, dim int, ids binary, vectors binary"
+BLOCKS = "dim int, ids binary, vectors binary"
+#: Blocks that a part of the candidates has, about; a task holds one part.
+BLOCKS_PER_PART = 16
 
 
 def scaled(df: DataFrame, id_col: str, vector_col: str, scale: float) -> DataFrame:
@@ -31,7 +33,7 @@ def scaled(df: DataFrame, id_col: str, vector_col: str, scale: float) -> DataFra
     return df.where(F.col(id_col).isNotNull()).where(finite).select(F.col(id_col).cast("long").alias("id"), F.transform(v, lambda x: F.floor(F.lit(float(scale)) * x.cast("double"))).alias("v"))
 
 
-def blocks(vectors: DataFrame, size: int, part: str) -> DataFrame:
+def blocks(vectors: DataFrame, size: int) -> DataFrame:
     """Vectors of equal length gathered into binary blocks of up to ``size``, inside partitions."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -41,7 +43,7 @@ def blocks(vectors: DataFrame, size: int, part: str) -> DataFrame:
             rows = held.pop(dim)
             ids = np.array([i for i, _ in rows], "<i8").tobytes()
             data = np.array([v for _, v in rows], "<i8").reshape(len(rows), dim).tobytes()
-            return pa.RecordBatch.from_pydict({"part": pa.array([0], pa.int32()), "dim": pa.array([dim], pa.int32()), "ids": pa.array([ids], pa.binary()), "vectors": pa.array([data], pa.binary())})
+            return pa.RecordBatch.from_pydict({"dim": pa.array([dim], pa.int32()), "ids": pa.array([ids], pa.binary()), "vectors": pa.array([data], pa.binary())})
 
         for batch in batches:
             ids, lists = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
@@ -55,7 +57,7 @@ def blocks(vectors: DataFrame, size: int, part: str) -> DataFrame:
         for dim in list(held):
             yield flush(dim)
 
-    return vectors.select("id", "v").mapInArrow(gather, BLOCKS).withColumn("part", F.expr(part))
+    return vectors.select("id", "v").mapInArrow(gather, BLOCKS)
 
 
 def products(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
@@ -80,13 +82,15 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, id_col: str = "
     Vectors that are null, or hold null or non-finite components, take no part; nor do rows with a null id. Only vectors
     of equal length are compared. Repeated rows are candidates of their own; a query id that occurs several times is asked
     once, with its smallest vector. Other columns are not looked at. Empty
-    tables give an empty result. Queries are not broadcast: their blocks are sent once to each part of the candidates,
-    and a block pair is held by a task at a time.
+    tables give an empty result; products that could leave 62 bits raise a ``ValueError``. Queries are not broadcast: their
+    blocks are sent once to each part of the candidates (some 16 blocks, whatever the table's size), and a block pair is
+    scored at a time.
     """
     spark = candidates.sparkSession
-    parts = max(n_partitions(spark), 1)
-    c_blocks = spool(blocks(scaled(candidates, id_col, vector_col, scale), CANDIDATE_BLOCK, f"cast(monotonically_increasing_id() % {parts} as int)"))
-    q_blocks = spool(blocks(scaled(queries, id_col, vector_col, scale).groupBy("id").agg(F.min("v").alias("v")), QUERY_BLOCK, "0"))
+    c_blocks = spool(blocks(scaled(candidates, id_col, vector_col, scale), CANDIDATE_BLOCK))
+    parts = max(n_partitions(spark), -(-c_blocks.select("dim").count() // BLOCKS_PER_PART))
+    c_blocks = c_blocks.withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(parts)).cast("int"))
+    q_blocks = spool(blocks(scaled(queries, id_col, vector_col, scale).groupBy("id").agg(F.min("v").alias("v")), QUERY_BLOCK))
 
     def scored(state: DataFrame | None) -> DataFrame:
         """One row for each pair of blocks, with the query block's current ranges."""
@@ -102,7 +106,9 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, id_col: str = "
 
     peaks = c_blocks.select("dim", "vectors").union(q_blocks.select("dim", "vectors")).mapInPandas(widest, "p bigint, dim int")
     peak, dim = peaks.agg(F.coalesce(F.max("p"), F.lit(0)), F.coalesce(F.max("dim"), F.lit(0))).first()
-    bound = min(int(peak) ** 2 * int(dim), 2**62)
+    bound = int(peak) ** 2 * int(dim)
+    if bound >= 2**62:
+        raise ValueError("inner products don't fit 64-bit integers: take a smaller scale")
     width = 1
     while width * bins < 2 * bound + 1:
         width *= bins
@@ -130,38 +136,32 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, id_col: str = "
         counted = scored(state).mapInPandas(histogram, "id bigint, bin int, n bigint").groupBy("id", "bin").agg(F.sum("n").alias("n"))
         above = Window.partitionBy("id").orderBy(F.desc("bin"))
         reach = counted.withColumn("m", F.sum("n").over(above))
-        found = spool(reach.groupBy("id").agg(F.collect_list(F.struct("bin", "n", "m")).alias("bins")))
-
-        # Each query block takes up the counts of its own queries.
-        keyed = state.withColumn("q", F.monotonically_increasing_id())
-        state_s = spool(keyed)
+        # Each query block takes up the bin that its own queries' kth scores are in, one for each query.
+        state_s = spool(state.withColumn("q", F.monotonically_increasing_id()))
 
         def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 for row in pdf.itertuples():
-                    yield pd.DataFrame({"id": np.frombuffer(row.q_ids, "<i8"), "q": row.q})
+                    yield pd.DataFrame({"id": np.frombuffer(row.q_ids, "<i8"), "q": row.q, "want": np.frombuffer(row.want, "<i8")})
 
-        members = state_s.select("q", "q_ids").mapInPandas(own, "id bigint, q bigint").join(found, "id", "left")
-        members = members.groupBy("q").agg(F.collect_list(F.struct("id", "bins")).alias("found"))
+        members = state_s.select("q", "q_ids", "want").mapInPandas(own, "id bigint, q bigint, want bigint").join(reach, "id").where("m >= want")
+        members = members.groupBy("q", "id").agg(F.max(F.struct("bin", "n", "m")).alias("at")).groupBy("q").agg(F.collect_list(F.struct("id", "at.bin", "at.n", "at.m")).alias("found"))
 
         def refine(batches: Iterator[pd.DataFrame], width: int = width) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 lows, wants = [], []
                 for row in pdf.itertuples():
-                    by_id = {x["id"]: x["bins"] for x in row.found}
+                    by_id = {x["id"]: x for x in row.found} if row.found is not None else {}
                     low, want = np.frombuffer(row.low, "<i8").copy(), np.frombuffer(row.want, "<i8").copy()
                     for i, q in enumerate(np.frombuffer(row.q_ids, "<i8")):
-                        own_bins = by_id.get(q)
-                        reached = [x for x in (own_bins if own_bins is not None else []) if x["m"] >= want[i]]
-                        if reached:
-                            at = max(reached, key=lambda x: x["bin"])
+                        if at := by_id.get(q):
                             want[i] -= at["m"] - at["n"]
                             low[i] += at["bin"] * width
                     lows.append(low.tobytes())
                     wants.append(want.tobytes())
                 yield pd.DataFrame({"dim": pdf["dim"], "q_ids": pdf["q_ids"], "q_vectors": pdf["q_vectors"], "low": lows, "want": wants})
 
-        state = spool(state_s.join(members, "q").mapInPandas(refine, state_ddl))
+        state = spool(state_s.join(members, "q", "left").mapInPandas(refine, state_ddl))
         if width == 1:
             break
         width //= bins

@@ -455,15 +455,16 @@ def with_scores(df: DataFrame, model: Model, text_col: str = "text", out: str =
     """
     df = df.drop(out)
     shared = df.sparkSession.sparkContext.broadcast(model)
-    fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    at = df.columns.index(text_col)
+    names, at = df.columns, df.columns.index(text_col)
+    safe = df.toDF(*[f"c{i}" for i in range(len(names))])  # passing through Arrow doesn't take every name
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in safe.schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             scores = [s for texts in batches_of(b.column(at)) for s in shared.value.scores(texts)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], [*b.schema.names, out])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], [*b.schema.names, "score"])
 
-    return df.mapInArrow(run, f"{fields}, `{out}` double")
+    return safe.mapInArrow(run, f"{fields}, score double").toDF(*names, out)
 
 
 def learning_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -471,7 +472,7 @@ def learning_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     by_id = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").alias("__id")).agg(F.max(F.col("toxic").cast("long")).alias("label"))
     if by_id.count() <= BROADCAST_LABELS:
         by_id = F.broadcast(by_id)
-    return docs.where(~held_out()).join(by_id, F.col("doc_id") == F.col("__id")).select("text", "label")
+    return docs.where(~held_out()).select("doc_id", "text").join(by_id, F.col("doc_id") == F.col("__id")).select("text", "label")
 
 
 def held_out():

@@ -335,6 +335,35 @@ def test_packing_places_every_piece(seed):
     assert n <= max(-(-sum(s * c for s, c in counts.items()) // 64), large) * 1.05 + 1
 
 
+def packed_one_by_one(lengths, capacity):
+    """The number of sequences when pieces are placed one at a time: pairs of large ones, then best fit."""
+    large, small = sorted(s for s in lengths if 3 * s > capacity), sorted((s for s in lengths if 3 * s <= capacity), reverse=True)
+    gaps = []
+    while large:
+        size = large.pop()
+        other = max((i for i, s in enumerate(large) if s <= capacity - size), default=None)
+        gaps.append(capacity - size - (large.pop(other) if other is not None else 0))
+    for size in small:
+        fits = [g for g in gaps if g >= size]
+        if fits:
+            gap = min(fits)
+            gaps.remove(gap)
+        else:
+            gap = capacity
+        gaps.append(gap - size)
+    return len(gaps)
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_packing_equals_placing_one_by_one(seed):
+    rng = random.Random(seed)
+    capacity = rng.choice([16, 64, 100])
+    lengths = [rng.randint(1, capacity) if rng.random() < 0.5 else rng.randint(1, capacity // 3) for _ in range(rng.randint(0, 120))]
+    places = packing.pack_counts(dict(Counter(lengths)), capacity)
+    used = {first + i // each for _, lo, hi, first, each, _ in places for i in range(hi - lo)}
+    assert len(used) == packed_one_by_one(lengths, capacity)
+
+
 def test_documents_are_packed(spark):
     pytest.importorskip("public_tokenizers")
     rows = ODD + [(i, "word " * i, "z") for i in range(100, 160)]
