@@ -15,7 +15,7 @@ LINES = [
     ("mail ops-team@corp.example queued", "mail <EMAIL> queued"),
     ('body {"k":[1,2]} sent', "body <JSON> sent"),
     ("woke 23:59:01 again", "woke <TIME> again"),
-    ("slept 250us then", "slept <TIME> then"),
+    ("slept 1.5h then", "slept <TIME> then"),
     ("page 7 of 88", "page <NUM> of <NUM>"),
     ("lag 0.25s", "lag <TIME>"),
     ("reply code=404 sent", "reply code=<NUM> sent"),
@@ -47,6 +47,6 @@ def test_header_and_switches():
     assert mask_line("MyApp[1:2] x", ("<NUM>",)) == "MyApp[<NUM>:<NUM>] x"
     # without times a clock has the shape of an IPv6 address
     assert mask_line("up 07:08:09 5", config=MaskConfig(times=False, nums=False)) == "up <IPV6> 5"
-    assert mask_line("up 07:08:09 5", config=MaskConfig(times=False, nums=False, ipv6=False)) == "up 07:08:09 5"
+    assert mask_line("up 07:08:09 5", config=MaskConfig(times=False, nums=False, ips=False)) == "up 07:08:09 5"
     assert classify_token("MyApp[12345:1]") == "<NUM>"
     assert classify_token("ERROR") is None
