@@ -13,11 +13,14 @@ from ..operators import ingest, mining, search, sequence
 from ..sources import spool, text as sources
 from .catalogue import ANY_SQL, E_SQL, FILTERS, event_lines, register
 
-ISO = F.date_format(F.timestamp_millis("ts_ms"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
 N_SQL = f"{E_SQL}, n AS (SELECT row_number() OVER (ORDER BY line_no) - 1 AS line_no, line_no AS id, ts_ms, text, split_part(text, ' ', 1) AS type FROM l)"
 MASKED_SQL = "type || ' user=<NUM> {\"k\": <NUM>}'"
 
 
+def iso() -> Column:
+    return F.date_format(F.timestamp_millis("ts_ms"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
 def log_file(spark: SparkSession, sf_dir: str, line: Column, also: DataFrame | None = None) -> str:
     """A file with ``line`` of each event, in order; deleted when the driver ends."""
     rows = (event_lines(spark, sf_dir) if also is None else also).select("line_no", line.alias("value"))
@@ -32,7 +35,7 @@ def file_lines(spark, sf_dir):
 
 def _traced(spark, sf_dir) -> ingest.AnalysedLog:
     """A log in which some lines are continuations, without a time."""
-    line = F.when(F.col("line_no") % 7 == 3, F.concat(F.lit("  at "), F.col("line_no").cast("string"), F.lit(" "), "text")).otherwise(F.concat(ISO, F.lit(" "), "text"))
+    line = F.when(F.col("line_no") % 7 == 3, F.concat(F.lit("  at "), F.col("line_no").cast("string"), F.lit(" "), "text")).otherwise(F.concat(iso(), F.lit(" "), "text"))
     return ingest.open_log(spark, log_file(spark, sf_dir, line))
 
 
@@ -61,13 +64,13 @@ def _lines_of_formats() -> dict[str, Column]:
     micros = F.date_format(F.timestamp_millis("ts_ms"), "yyyy-MM-dd HH:mm:ss.SSS'456+0000'")
     say = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
     return {
-        "json": say('{"time": "', ISO, '", "lvl": 30, "msg": "', kind, " by ", n, '"}'),
+        "json": say('{"time": "', iso(), '", "lvl": 30, "msg": "', kind, " by ", n, '"}'),
         "cef": say("CEF:0|Acme|Gate|2.4|", n, "|", kind, " seen|3|who=", n),
-        "rfc5424": say("<134>1 ", ISO, " edge-9 ", kind, " 4410 id_31 - ", text),
+        "rfc5424": say("<134>1 ", iso(), " edge-9 ", kind, " 4410 id_31 - ", text),
         "logcat_brief": say("D/", kind, ": ", text),
         "os_log": say(micros, " 0x9f3e1d Error 0x0 777 5 org.tool: ", text),
         "oslog_console": say("[Disk:", kind, "] WARNING: ", text),
-        "plain": say(ISO, " ", text),
+        "plain": say(iso(), " ", text),
     }
 
 
@@ -101,7 +104,7 @@ def file_formats(spark, sf_dir):
 def file_header(spark, sf_dir):
     """The masks learnt for the head of an app's lines: process and thread, a constant, and the place in a source file."""
     n = F.col("line_no")
-    line = F.concat(ISO, F.lit(" Shop["), (n % 4 + 4711).cast("string"), F.lit(":"), n.cast("string"), F.lit("] <INFO> Cart.swift:"), n.cast("string"), F.lit(" item"), n.cast("string"), F.lit("x "), "text")
+    line = F.concat(iso(), F.lit(" Shop["), (n % 4 + 4711).cast("string"), F.lit(":"), n.cast("string"), F.lit("] <INFO> Cart.swift:"), n.cast("string"), F.lit(" item"), n.cast("string"), F.lit("x "), "text")
     header = ingest.open_log(spark, log_file(spark, sf_dir, line)).header
     return spark.createDataFrame(list(enumerate(header))[:3], "position int, mask string")
 
@@ -128,7 +131,7 @@ def file_custom_templates(spark, sf_dir):
 @register("file_appended", f"WITH {N_SQL}, f AS (SELECT type, CAST(row_number() OVER (ORDER BY min(line_no)) AS INTEGER) AS template_id FROM n GROUP BY 1) SELECT line_no, ts_ms, template_id FROM n JOIN f USING (type)")
 def file_appended(spark, sf_dir):
     """A log opened with a tenth of its lines, then appended to."""
-    lines = sources.read_lines(spark, log_file(spark, sf_dir, F.concat(ISO, F.lit(" "), "text")))
+    lines = sources.read_lines(spark, log_file(spark, sf_dir, F.concat(iso(), F.lit(" "), "text")))
     cut = lines.count() // 10
     log = ingest.append(ingest.analyse(lines.where(F.col("line_no") < cut)), lines.where(F.col("line_no") >= cut))
     return log.lines.select("line_no", "ts_ms", "template_id")
@@ -136,7 +139,7 @@ def file_appended(spark, sf_dir):
 
 @register("file_find", f"WITH {N_SQL} SELECT line_no, ts_ms FROM n WHERE {ANY_SQL}")
 def file_find(spark, sf_dir):
-    log = ingest.open_log(spark, log_file(spark, sf_dir, F.concat(ISO, F.lit(" "), "text")))
+    log = ingest.open_log(spark, log_file(spark, sf_dir, F.concat(iso(), F.lit(" "), "text")))
     return search.filtered(log.lines, FILTERS).select("line_no", "ts_ms")
 
 
