@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import hpylm, line_dedup, mixing, packing, quality, sharding, simhash, substring, topk, toxicity
+from . import bpe, filter_audit, hpylm, line_dedup, mixing, packing, quality, sharding, simhash, substring, topk, toxicity, whitening
 
 QUERIES = {
     "op1_topk": topk.op1_topk,
@@ -15,10 +15,14 @@ QUERIES = {
     "op8_lm_scoring": hpylm.op8_lm_scoring,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_line_dedup": line_dedup.op10_line_dedup,
+    "op11_whitening": whitening.op11_whitening,
+    "op12_filter_audit": filter_audit.op12_filter_audit,
+    "op13_bpe": bpe.op13_bpe,
 }
 
 ORACLE_SQL = {
     "op1_topk": topk.OP1_SQL,
     "op3_substring": substring.OP3_SQL,
     "op10_line_dedup": line_dedup.OP10_SQL,
+    "op12_filter_audit": filter_audit.OP12_SQL,
 }
