@@ -12,7 +12,9 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,12 +24,15 @@ from .common import read
 
 TOKENIZER = "word_bpe_49k.json"
 NEVER = 1 << 62
-#: Entries of a worker's tables of pairs and of words, which start anew beyond it; longer words are not kept.
-REMEMBERED, LONG_WORD = 1 << 20, 64
+#: Entries of a worker's tables (of pairs and pieces, and of stretches), which start anew beyond it (some 200 MB in all);
+#: longer words are not kept.
+REMEMBERED, STRETCHES, LONG_WORD = 1 << 20, 1 << 19, 64
 #: Distance of the code points that stand for a word's last byte.
 FINAL = 0x1000
-#: Fixed value: how the tokenizer splits a lower-case ASCII word.
-ASCII_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t\n\x0b\x0c\ra-z0-9]+").findall
+#: Stretches of which the normaliser only lowers the letters (no white space beyond ASCII, nothing to compose) ...
+LATIN = re.compile("[!-~À-ÖØ-öø-įı-ſ]*").fullmatch
+#: ... and, a fixed value, how the tokenizer splits them then.
+LATIN_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^a-zß-öø-ſ0-9]+").findall
 
 
 class PairMerges:
@@ -59,7 +64,7 @@ class PairMerges:
             self.rank[left, right], self.parts[whole], self.text[whole] = rank, (rank, left, right), self.text[left] + self.text[right]
         self._ends: dict[int, tuple[list[tuple[int, int]], list[tuple[int, int]]]] = {}
         self._sound: dict[int, bool] = {}
-        self._pairs: dict[tuple[int, int], bool] = {}
+        self._pairs: dict[int, bool] = {}
         self.tokens = ahocorasick.Automaton()
         for i, t in self.text.items():
             if self.sound(i):
@@ -109,11 +114,9 @@ class PairMerges:
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether merging the two tokens' texts together gives these two."""
-        known = self._pairs.get((left, right))
-        if known is None:
-            if len(self._pairs) >= REMEMBERED:
-                self._pairs.clear()
-            known = self._pairs[left, right] = not self._crossed(left, right, NEVER)
+        if len(self._pairs) >= REMEMBERED:
+            self._pairs.clear()
+        known = self._pairs[left << 32 | right] = not self._crossed(left, right, NEVER)
         return known
 
     def encode(self, word: str) -> list[int]:
@@ -123,9 +126,18 @@ class PairMerges:
         units = word[:-1] + chr(ord(word[-1]) + FINAL)
         last = [-1] * len(units)  # of the prefix that ends here
         size = [0] * len(units)
+        known = self._pairs.get
         for end, (token, n) in self.tokens.iter(units):
-            if last[end] < 0 and (n == end + 1 or (last[end - n] >= 0 and self.compatible(last[end - n], token))):
-                last[end], size[end] = token, n
+            if last[end] >= 0:
+                continue
+            if n <= end:
+                before = last[end - n]
+                if before < 0:
+                    continue
+                fits = known(before << 32 | token)
+                if not (self.compatible(before, token) if fits is None else fits):
+                    continue
+            last[end], size[end] = token, n
         out, at = [], len(units) - 1
         while at >= 0:
             if last[at] < 0:
@@ -155,26 +167,36 @@ class TextEncoder:
         others = (b for b in range(256) if b not in set(printable))
         self.chars = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
         self.known: dict[bytes, bytes] = {}
+        self.merged: dict[str, bytes] = {}
 
     def _pieces(self, text: str) -> list[str]:
-        if text.isascii():
-            return [p.translate(self.chars) for p in ASCII_PIECES(text.lower())]
+        """The pieces of a stretch that are merged on their own, in the tokenizer's characters for bytes."""
+        if LATIN(text):
+            return [p if p.isascii() else p.encode().decode("latin-1").translate(self.chars) for p in LATIN_PIECES(text.lower())]
         return [p for p, _ in self.rules.pre_tokenizer.pre_tokenize_str(self.rules.normalizer.normalize_str(text))]
 
+    def _piece(self, piece: str) -> bytes:
+        found = self.merged.get(piece)
+        if found is None:
+            found = array("I", self.merges.encode(piece)).tobytes()
+            if len(piece) <= LONG_WORD:
+                if len(self.merged) >= REMEMBERED:
+                    self.merged.clear()
+                self.merged[piece] = found
+        return found
+
     def stretch(self, raw: bytes) -> bytes:
         """The packed ids of a stretch without ASCII white space."""
         found = self.known.get(raw)
         if found is None:
-            text, ids = raw.decode("utf-8", "replace"), []
-            for part in self._special.split(text) if self._special else [text]:
-                if part in self.special:
-                    ids.append(self.special[part])
-                else:
-                    for piece in self._pieces(part):
-                        ids += self.merges.encode(piece)
-            found = b"".join(i.to_bytes(4, "little") for i in ids)
+            text = raw.decode("utf-8", "replace")
+            if self._special and self._special.search(text):
+                parts = [[array("I", [self.special[p]]).tobytes()] if p in self.special else map(self._piece, self._pieces(p)) for p in self._special.split(text)]
+                found = b"".join(chain.from_iterable(parts))
+            else:
+                found = b"".join(map(self._piece, self._pieces(text)))
             if len(raw) <= LONG_WORD:
-                if len(self.known) >= REMEMBERED:
+                if len(self.known) >= STRETCHES:
                     self.known.clear()
                 self.known[raw] = found
         return found
@@ -187,7 +209,10 @@ class TextEncoder:
         """The text of packed ids. The tokenizer has no decoder, so that is its tokens' names between spaces; ids that it
         doesn't have are left out."""
         numbers = memoryview(ids or b"").cast("I").tolist()
-        return " ".join([self.names[i] for i in numbers if i in self.names])
+        try:
+            return " ".join(map(self.names.__getitem__, numbers))
+        except KeyError:
+            return " ".join([self.names[i] for i in numbers if i in self.names])
 
 
 _encoders: dict[str, TextEncoder] = {}

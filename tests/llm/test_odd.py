@@ -12,7 +12,7 @@ from lumberline.llm import queries
 #: Names that operators use for columns of their own.
 CLASHES = ["id", "label", "score", "length", "piece", "offset", "sequence_id", "accepted", "unit", "component", "fingerprint", "h", "g", "r", "b", "hash", "row", "stretch", "n_words", "rank", "q", "size", "shard", "host", "line", "a.b"]
 TOKENS = importlib.util.find_spec("public_tokenizers") is not None
-NAMES = [n for n in queries.QUERIES if TOKENS or n != "op4_packing"]
+NAMES = [n for n in queries.QUERIES if TOKENS or n not in ("op4_packing", "op13_bpe")]
 
 
 def tables(spark, folder, clashing):
