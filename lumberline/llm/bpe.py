@@ -13,7 +13,7 @@ import json
 import os
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import pyarrow as pa
@@ -24,9 +24,11 @@ from .common import read
 
 TOKENIZER = "word_bpe_49k.json"
 NEVER = 1 << 62
-#: Entries of a worker's tables (of pairs and pieces, and of stretches), which start anew beyond it (some 200 MB in all);
+#: Entries of a worker's tables (of pairs and pieces, and of stretches), which start anew beyond it (some 150 MB in all);
 #: longer words are not kept.
-REMEMBERED, STRETCHES, LONG_WORD = 1 << 20, 1 << 19, 64
+REMEMBERED, STRETCHES, LONG_WORD = 1 << 19, 1 << 18, 64
+#: Bytes of results that a worker sends back together.
+SENT_BYTES = 1 << 22
 #: Distance of the code points that stand for a word's last byte.
 FINAL = 0x1000
 #: Stretches of which the normaliser only lowers the letters (no white space beyond ASCII, nothing to compose) ...
@@ -148,7 +150,7 @@ class PairMerges:
 
 
 class TextEncoder:
-    """Ids and decoded texts of whole texts. White space ends words in this tokenizer, so a text's ids are those of its
+    """Ids of whole texts. White space ends words in this tokenizer, so a text's ids are those of its
     stretches between ASCII white space, one after another; each distinct stretch is encoded once while it is remembered."""
 
     def __init__(self, path: str):
@@ -162,7 +164,6 @@ class TextEncoder:
         self.merges = PairMerges(model["vocab"], model["merges"], model["end_of_word_suffix"])
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self._special = re.compile(f"({'|'.join(map(re.escape, self.special))})") if self.special else None
-        self.names = {i: t for t, i in model["vocab"].items()} | {i: t for t, i in self.special.items()}
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]  # these bytes stand for themselves
         others = (b for b in range(256) if b not in set(printable))
         self.chars = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
@@ -205,9 +206,17 @@ class TextEncoder:
         """The ids of a text as unsigned 32-bit little-endian numbers; null counts as empty."""
         return b"".join(map(self.stretch, (text or "").encode("utf-8", "replace").split()))
 
+
+class IdDecoder:
+    """Texts of packed ids. The tokenizer has no decoder, so that is its tokens' names between spaces; ids that it doesn't have
+    are left out, and null counts as no ids."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.names = {i: t for t, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+
     def decode(self, ids: bytes | None) -> str:
-        """The text of packed ids. The tokenizer has no decoder, so that is its tokens' names between spaces; ids that it
-        doesn't have are left out."""
         numbers = memoryview(ids or b"").cast("I").tolist()
         try:
             return " ".join(map(self.names.__getitem__, numbers))
@@ -215,35 +224,40 @@ class TextEncoder:
             return " ".join([self.names[i] for i in numbers if i in self.names])
 
 
-_encoders: dict[str, TextEncoder] = {}
+_loaded: dict[tuple[type, str], TextEncoder | IdDecoder] = {}
 
 
-def encoder(name: str) -> TextEncoder:
-    """The encoder of a tokenizer's file, or of a public one's name; one for each worker."""
-    if name not in _encoders:
+def loaded(kind: type, name: str):
+    """The encoder or decoder of a tokenizer's file, or of a public one's name; one for each worker."""
+    if (kind, name) not in _loaded:
         path = name
         if not os.path.exists(path):
             import public_tokenizers
 
             path = public_tokenizers.path(name)
-        _encoders[name] = TextEncoder(path)
-    return _encoders[name]
+        _loaded[kind, name] = kind(path)
+    return _loaded[kind, name]
 
 
-def _mapped(df: DataFrame, column: str, keep: list[str], out: str, kind: str, arrow: pa.DataType, tokenizer: str, one: str) -> DataFrame:
+def _mapped(df: DataFrame, column: str, keep: list[str], out: str, kind: str, arrow: pa.DataType, one: Callable) -> DataFrame:
     if out in keep:
         raise ValueError(f"a column is already named {out}")
-    quoted = ["`" + k.replace("`", "``") + "`" for k in keep]
-    fields = [f"{q} {df.schema[k].dataType.simpleString()}" for q, k in zip(quoted, keep)]
+    quoted, plain = ["`" + k.replace("`", "``") + "`" for k in keep], [f"k{i}" for i in range(len(keep))]  # any name goes through Arrow
+    fields = [f"{p} {df.schema[k].dataType.simpleString()}" for p, k in zip(plain, keep)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = getattr(encoder(tokenizer), one)
+        f = one()
         for b in batches:
-            done = pa.array([f(x.as_py()) for x in b.column(len(keep))], arrow)
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], done], [*keep, out])
+            done, size, start = [], 0, 0
+            for i, x in enumerate(b.column(len(plain)), 1):
+                done.append(f(x.as_py()))
+                size += len(done[-1])
+                if size >= SENT_BYTES or i == b.num_rows:
+                    yield pa.RecordBatch.from_arrays([*(c.slice(start, i - start) for c in b.columns[: len(plain)]), pa.array(done, arrow)], [*plain, "done"])
+                    done, size, start = [], 0, i
 
-    rows = df.select(*quoted, F.col(column).alias("__in"))
-    return rows.mapInArrow(run, ", ".join([*fields, f"{out} {kind}"]))
+    rows = df.select(*[F.col(q).alias(p) for q, p in zip(quoted, plain)], F.col(column).alias("given"))
+    return rows.mapInArrow(run, ", ".join([*fields, f"done {kind}"])).toDF(*keep, out)
 
 
 def encode_texts(df: DataFrame, keep: list[str], text_col: str = "text", out: str = "ids", tokenizer: str = TOKENIZER) -> DataFrame:
@@ -254,12 +268,12 @@ def encode_texts(df: DataFrame, keep: list[str], text_col: str = "text", out: st
     the special tokens give these tokens. Lone surrogates count as question marks. A column of ``keep`` named like ``out``
     raises a ``ValueError``.
     """
-    return _mapped(df, text_col, keep, out, "binary", pa.binary(), tokenizer, "encode")
+    return _mapped(df, text_col, keep, out, "binary", pa.binary(), lambda: loaded(TextEncoder, tokenizer).encode)
 
 
 def decode_ids(df: DataFrame, keep: list[str], ids_col: str = "ids", out: str = "decoded", tokenizer: str = TOKENIZER) -> DataFrame:
     """The columns ``keep`` of each row and ``out``: the text of its packed ids; no ids give the empty text, as does null."""
-    return _mapped(df, ids_col, keep, out, "string", pa.string(), tokenizer, "decode")
+    return _mapped(df, ids_col, keep, out, "string", pa.string(), lambda: loaded(IdDecoder, tokenizer).decode)
 
 
 def op13_bpe(spark, sf_dir: str) -> DataFrame:
