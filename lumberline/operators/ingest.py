@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 from ..functions.formats import FORMATS, PLAIN, LogFormat, detect_format, learn_header, normalized
 from ..functions.masking import MaskConfig
 from ..functions.timefmt import CustomFormat, Family, epoch_ms, least_hits, without_time
-from ..sources.spool import spooled
-from ..sources.text import FileChange, FileState, forward_filled, read_lines
-from .mining import DrainConfig, Mined, mine_on, template_counts
+from ..sources.spool import release, spooled
+from ..sources.stored import StoredLines, completed, store
+from ..sources.text import FileChange, FileState, lines_from, read_lines
+from .mining import DrainConfig, Mined, mine_keyed, template_counts, with_keys
 from .search import trimmed
 
 #: Lines that aren't blank that a format is found from, and lines at the head of a file that are looked at for them.
@@ -38,8 +39,9 @@ class ParsingConfig:
 
 @dataclass(frozen=True)
 class AnalysedLog:
-    """``lines``: doc_id, line_no, text, n_bytes, ts_raw_ms, ts_ms, content, template_id. ``templates``: doc_id,
-    template_id, pattern, count, example_line. Views share them; trimming only narrows."""
+    """``lines``: doc_id, line_no, text, n_bytes, content, ts_raw_ms, ts_ms, template_id. ``templates``: doc_id,
+    template_id, pattern, count, example_line. Views share them; trimming only narrows. ``stored`` are the written lines,
+    in order, with their chunks; ``mined`` is what later lines need."""
 
     lines: DataFrame
     templates: DataFrame
@@ -52,6 +54,7 @@ class AnalysedLog:
     custom: tuple[CustomFormat, ...] = field(default=())
     mined: Mined | None = None
     config: ParsingConfig = ParsingConfig()
+    stored: StoredLines | None = None
 
     @property
     def format_summary(self) -> str:
@@ -60,7 +63,7 @@ class AnalysedLog:
 
     def trim(self, lo: int, hi: int) -> AnalysedLog:
         """The lines from ``lo`` to ``hi`` (not included) of this view, numbered anew, templates counted anew."""
-        n = self.lines.count()
+        n = self.stored.count() if self.stored and not self.window else self.lines.count()
         lo, hi = max(0, min(lo, n - 1)), min(hi, n)
         if lo >= hi:
             return self
@@ -68,6 +71,13 @@ class AnalysedLog:
         lines = trimmed(self.lines, lo, hi)
         return replace(self, lines=lines, templates=template_counts(lines, self.templates), window=(start + lo, start + hi))
 
+    def release(self) -> None:
+        """Delete what the log has written."""
+        if self.stored:
+            self.stored.release()
+        if self.mined:
+            self.mined.release()
+
 
 def head_of(lines: DataFrame, config: ParsingConfig) -> tuple[list[str], list[str]]:
     """(the first 512 lines that aren't blank, the lines that the header is learnt from), as texts."""
@@ -110,8 +120,8 @@ def analyse(
     are further families of plain lines.
 
     Format, family and header come from the first lines (512 that aren't blank, and 200). Lines are normalised in one
-    Arrow-batched pass, and written; times are filled forward by chunks and templates mined in parallel, and written.
-    Queries of the result read what was written last.
+    Arrow-batched pass, and written; templates are mined from numbers and contents, in parallel; then lines, filled times and
+    templates are written once, in order, and all queries of the result read that.
     """
     sample, head = head_of(lines, config)
     spark = lines.sparkSession
@@ -123,9 +133,17 @@ def analyse(
     if fmt is PLAIN and head:
         heads = spark.createDataFrame([(x,) for x in head], "text string").select(rest.alias("x")).where(F.trim("x") != "").collect()
         header = learn_header([r["x"] for r in heads])
-    done = parsed(lines, fmt, family, header, config)
-    found = mine_on(forward_filled(spooled(done)), config.drain)
-    return AnalysedLog(found.lines, found.templates, fmt, family, header, path, state, None, tuple(custom), found, config)
+    found, own = _mined_and_stored(parsed(lines, fmt, family, header, config), config)
+    return AnalysedLog(own.lines, found.templates, fmt, family, header, path, state, None, tuple(custom), found, config, own)
+
+
+def _mined_and_stored(done: DataFrame, config: ParsingConfig, before: Mined | None = None, start: int | None = None) -> tuple[Mined, StoredLines]:
+    keyed = spooled(with_keys(done, config.drain))
+    found = mine_keyed(keyed, config.drain, before)
+    own = store(completed(keyed.select(*done.columns), found.births, start))
+    release(keyed)
+    release(found.births)
+    return found, own
 
 
 def parsed(lines: DataFrame, fmt: LogFormat, family: Family | CustomFormat | None, header: tuple[str | None, ...], config: ParsingConfig) -> DataFrame:
@@ -140,19 +158,17 @@ def append(log: AnalysedLog, lines: DataFrame, state: FileState | None = None) -
     parsed and mined; earlier templates may become more general."""
     if log.window is not None:
         raise ValueError("a trimmed view can't be appended to")
-    last = log.lines.where("ts_ms is not null").agg(F.max_by("ts_ms", "line_no")).first()[0]
-    filled = forward_filled(spooled(parsed(lines, log.fmt, log.family, log.header, log.config)))
-    filled = filled.withColumn("ts_ms", F.coalesce("ts_ms", F.lit(last).cast("bigint")))
-    found = mine_on(filled, log.config.drain, log.mined)
-    every = log.lines.unionByName(found.lines)
-    return replace(log, lines=every, templates=found.templates, mined=replace(found, lines=every), state=state)
+    before = log.stored.last_time()
+    found, more = _mined_and_stored(parsed(lines, log.fmt, log.family, log.header, log.config), log.config, log.mined, before)
+    every = log.stored.with_more(more)
+    return replace(log, lines=every.lines, templates=found.templates, mined=found, state=state, stored=every)
 
 
 def refreshed(spark: SparkSession, log: AnalysedLog) -> AnalysedLog:
     """The log of a file that may have grown: itself if nothing changed, with the appended lines if only these are new.
 
     A file that has shrunk, was edited in place, or whose last line had no end yet raises a ``ValueError`` that says which;
-    it has to be opened anew.
+    it has to be opened anew. Bytes that were read before are not read again.
     """
     now = FileState.of(log.path)
     change = log.state.change(now)
@@ -166,8 +182,8 @@ def refreshed(spark: SparkSession, log: AnalysedLog) -> AnalysedLog:
         f.seek(max(0, log.state.size - 1))
         if log.state.size and f.read(1) != b"\n":
             raise ValueError(f"the last line of {log.path} has grown; a full reload is required")
-    n = log.lines.count()
-    return append(log, read_lines(spark, log.path).where(F.col("line_no") >= n), now)
+    known = log.stored.chunks.select("doc_id").first()
+    return append(log, lines_from(spark, log.path, log.state.size, log.stored.count(), now.size, known and known[0]), now)
 
 
 def open_log(spark: SparkSession, path: str, config: ParsingConfig = ParsingConfig(), custom: tuple[CustomFormat, ...] = (), **more) -> AnalysedLog:

@@ -1,8 +1,9 @@
 """Template mining: an exact, parallel form of the Drain tree.
 
 Lines only ever meet clusters of their own leaf, and a leaf follows from the first occurrences of keys, so the tree needs
-no shared state: each level's kept children are found by an aggregate and a limited ranking, lines are dealt by leaf, and
-each leaf replays its lines in order with nothing in memory but its clusters. Ids follow the order of birth.
+no shared state: one pass gives the first line of each path of keys, the children that nodes keep follow from that table,
+lines are dealt by leaf, and each leaf replays its lines in order with nothing in memory but its clusters. Ids follow the
+order of birth.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -109,103 +111,147 @@ def tokens_of(content):
     return F.filter(F.split(mined(content), SPACE), lambda t: t != "")
 
 
-def has_tokens(content):
-    return F.coalesce(F.size(tokens_of(content)) > 0, F.lit(False))
+def with_keys(lines: DataFrame, config: DrainConfig) -> DataFrame:
+    """``lines`` with the keys that lead to a line's leaf (``__k0``, ...): its number of tokens, then its first ones. Blank
+    lines have none."""
+    t = F.col("__t")
+    keys = [F.size(t).cast("string")] + [F.coalesce(F.get(t, F.lit(i)), F.lit("*")) for i in range(config.depth - 2)]
+    rows = lines.withColumn("__t", tokens_of(F.col("content")))
+    return rows.select(*lines.columns, *[F.when(F.size(t) > 0, k).alias(f"__k{i}") for i, k in enumerate(keys)])
 
 
-def route(lines: DataFrame, config: DrainConfig, before: DataFrame | None = None) -> tuple[DataFrame, list[DataFrame]]:
-    """``lines`` (doc_id, line_no, content, ...) without blank ones, with ``leaf`` (a path of keys) and ``overflow``; and
-    of each level the children that nodes keep (doc_id, level, path, key, first).
+def route(keyed: DataFrame, config: DrainConfig, before: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The leaf of each path of keys (doc_id, __k0, ..., leaf, overflow), and of each level the children that nodes keep
+    (doc_id, level, path, key, first). Both are written.
 
-    At each level a node keeps its first ``max_children`` keys, by first occurrence; later ones share "*". The first
-    occurrences are aggregated before they are ranked, and ranking stops at the limit inside each task. ``before`` are the
-    children kept of earlier lines.
+    At each level a node keeps its first ``max_children`` keys, by first occurrence; later ones share "*". Lines are read
+    once, for the first occurrence of each path; the levels work on that table alone, and ranking stops at the limit inside
+    each task. ``before`` are the children kept of earlier lines.
     """
-    out = lines.withColumn("__t", tokens_of(F.col("content"))).where(F.size("__t") > 0)
-    keys = [F.size("__t").cast("string")] + [F.coalesce(F.get("__t", F.lit(i)), F.lit("*")) for i in range(config.depth - 2)]
-    out = out.select(*lines.columns, F.lit("").alias("leaf"), F.lit(False).alias("overflow"), *[k.alias(f"__k{i}") for i, k in enumerate(keys)])
-    children = []
-    for i in range(len(keys)):
-        key = F.col(f"__k{i}")
-        first = out.groupBy("doc_id", F.col("leaf").alias("path"), key.alias("key")).agg(F.min("line_no").alias("first"))
+    names = [c for c in keyed.columns if c.startswith("__k")]
+    paths = spooled(keyed.where(F.col("__k0").isNotNull()).groupBy("doc_id", *names).agg(F.min("line_no").alias("__first")))
+    out, children, written = paths.withColumns({"leaf": F.lit(""), "overflow": F.lit(False)}), None, [paths]
+    for i, name in enumerate(names):
+        key = F.col(name)
+        first = out.groupBy("doc_id", F.col("leaf").alias("path"), key.alias("key")).agg(F.min("__first").alias("first"))
         if before is not None:
             known = before.where(F.col("level") == i).select("doc_id", "path", "key", "first")
             first = first.union(known).groupBy("doc_id", "path", "key").agg(F.min("first").alias("first"))
         rank = Window.partitionBy("doc_id", "path").orderBy("first")
-        kept = first.withColumn("__rank", F.row_number().over(rank)).where(F.col("__rank") <= config.max_children)
-        children.append(kept.select("doc_id", F.lit(i).alias("level"), "path", "key", "first"))
-        kept = kept.select(F.col("doc_id").alias("__d"), F.col("path").alias("__l"), F.col("key").alias("__key"), F.lit(True).alias("__own"))
-        out = out.join(kept, (F.col("doc_id") == F.col("__d")) & (F.col("leaf") == F.col("__l")) & (key == F.col("__key")), "left")
-        own = F.col("__own").isNotNull() | (key == "*")
-        step = F.when(own, key).otherwise(F.lit("*"))
-        overflow = F.col("overflow") | (~own if i else F.lit(False))
-        out = out.withColumn("leaf", F.concat_ws("\u0001", "leaf", step)).withColumn("overflow", overflow).drop("__d", "__l", "__key", "__own")
-    return out.drop(*[f"__k{i}" for i in range(len(keys))]), children
+        kept = spooled(first.withColumn("__rank", F.row_number().over(rank)).where(F.col("__rank") <= config.max_children).select("doc_id", F.lit(i).alias("level"), "path", "key", "first"))
+        written.append(kept)
+        children = kept if children is None else children.union(kept)
+        own = kept.select(F.col("doc_id").alias("__d"), F.col("path").alias("__l"), F.col("key").alias("__key"), F.lit(True).alias("__own"))
+        out = out.join(own, (F.col("doc_id") == F.col("__d")) & (F.col("leaf") == F.col("__l")) & (key == F.col("__key")), "left")
+        step = F.col("__own").isNotNull() | (key == "*")
+        overflow = F.col("overflow") | (~step if i else F.lit(False))
+        out = out.withColumns({"leaf": F.concat_ws("\u0001", "leaf", F.when(step, key).otherwise(F.lit("*"))), "overflow": overflow}).drop("__d", "__l", "__key", "__own")
+    done = spooled(out.drop("__first")), spooled(children)
+    for table in written:
+        release(table)
+    return done
+
+
+#: Lines of a leaf that are looked up in its memo together.
+TOGETHER = 4096
+
+
+def _replayed(leaf: Leaf, lines: np.ndarray, codes: np.ndarray, contents: list[str], overflow: np.ndarray) -> np.ndarray:
+    """The births that a leaf's next lines join (-1: the blank cluster). Stretches whose contents are all in the memo change
+    nothing but sizes, so they are looked up by their distinct contents."""
+    out = np.empty(len(lines), np.int64)
+    for lo in range(0, len(lines), TOGETHER):
+        here = slice(lo, lo + TOGETHER)
+        if (overflow[here] == leaf.overflow).all():
+            distinct, place, counts = np.unique(codes[here], return_inverse=True, return_counts=True)
+            found = [leaf.memo.get(contents[c], leaf) for c in distinct]
+            if leaf not in found:
+                for cluster, n in zip(found, counts.tolist()):
+                    if cluster:
+                        cluster.size += n
+                out[here] = np.array([c.birth if c else -1 for c in found], np.int64)[place]
+                continue
+        for i in range(lo, min(lo + TOGETHER, len(lines))):
+            if leaf.overflow != overflow[i]:
+                leaf.overflow = bool(overflow[i])
+                leaf.memo.clear()
+            birth = leaf.add(int(lines[i]), contents[codes[i]])
+            out[i] = -1 if birth is None else birth
+    return out
+
+
+REPLAYED = StructType([StructField("doc_id", StringType()), StructField("leaf", StringType()), StructField("line_no", LongType()), StructField("birth", LongType()), StructField("template", StringType()), StructField("size", LongType())])
 
 
 def replay(routed: DataFrame, config: DrainConfig, stops: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
-    """The columns of ``routed`` with ``birth``, the birth line of each line's cluster (null: the blank cluster). On the last
-    rows of a leaf, one for each cluster, ``template`` and ``size`` are its final form, and ``line_no`` is null.
+    """(doc_id, leaf, line_no, birth, template, size): of each line of ``routed`` (doc_id, leaf, overflow, line_no, content)
+    the birth line of its cluster (null: the blank cluster); and of each cluster a row without ``line_no`` that has its final
+    ``template`` and ``size``.
 
-    Lines of a leaf stand together, sorted, and stream through with all their columns, so nothing is joined afterwards;
-    memory is the leaf's clusters, not its lines. ``known`` (doc_id, leaf, birth, template, size) are clusters of earlier
-    lines; they come before the lines of their leaf.
+    Only these narrow rows are shuffled. Lines of a leaf stand together, sorted, and stream through; memory is the leaf's
+    clusters and a batch. ``known`` (doc_id, leaf, birth, template, size) are clusters of earlier lines; they come before the
+    lines of their leaf.
     """
-    out = [f for f in routed.schema.fields if f.name != "overflow"]
-    rows = routed.withColumn("__mined", mined(F.col("content"))).withColumns({"birth": F.lit(None).cast("long"), "template": F.lit(None).cast("string"), "size": F.lit(None).cast("long")})
+    kind = routed.schema["doc_id"].dataType
+    rows = routed.select("doc_id", "leaf", "line_no", "overflow", mined(F.col("content")).alias("content"), F.lit(None).cast("long").alias("birth"), F.lit(None).cast("long").alias("size"))
     if known is not None:
-        rows = rows.unionByName(known.select("doc_id", "leaf", "birth", "template", "size"), allowMissingColumns=True)
+        rows = rows.union(known.select("doc_id", "leaf", F.lit(None).cast("long"), F.lit(False), F.col("template"), "birth", "size"))
     rows = rows.join(stops.withColumnRenamed("doc_id", "__d"), F.col("doc_id") == F.col("__d"), "left").drop("__d") if stops is not None else rows.withColumn("stop", F.lit(None).cast("long"))
     # the overflow flag is the leaf's: a "*" child that is shared by literal and late keys overflows for the late ones
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, leaf, names = None, None, [f.name for f in out]
-        every = [*names, "birth", "template", "size"]
+        at, leaf, names = None, None, [f.name for f in REPLAYED]
+
+        def rows_of(doc, key, like: pa.Schema, lines: pa.Array, births: pa.Array, templates: list | None, sizes: list | None) -> pa.RecordBatch:
+            n = len(lines)
+            columns = [pa.array([doc] * n, like.field("doc_id").type), pa.array([key if templates else None] * n, pa.string()), lines, births, pa.array(templates or [None] * n, pa.string()), pa.array(sizes or [None] * n, pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, names)
 
         def finals(like: pa.Schema) -> Iterator[pa.RecordBatch]:
-            n = len(leaf.clusters)
-            if not n:  # births were forbidden before its first line
-                return
-            own = dict(zip(("doc_id", "leaf"), at))
-            columns = [pa.array([own[c]] * n, like.field(c).type) if c in own else pa.nulls(n, like.field(c).type) for c in names]
-            columns += [pa.array([c.birth for c in leaf.clusters], pa.int64()), pa.array([" ".join(c.template) for c in leaf.clusters], pa.string()), pa.array([c.size for c in leaf.clusters], pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, every)
+            if leaf.clusters:  # none if births were forbidden before its first line
+                yield rows_of(*at, like, pa.nulls(len(leaf.clusters), pa.int64()), pa.array([c.birth for c in leaf.clusters], pa.int64()), [" ".join(c.template) for c in leaf.clusters], [c.size for c in leaf.clusters])
 
         schema = None
         for b in batches:
-            schema, births, done, lines = b.schema, [], [], []
-            of = lambda c: b.column(schema.get_field_index(c)).to_pylist()  # noqa: B023, E731
-            for i, (doc, key, overflow, line, content, stop, birth, template, size) in enumerate(zip(*map(of, ("doc_id", "leaf", "overflow", "line_no", "__mined", "stop", "birth", "template", "size")))):
-                if (doc, key) != at:
+            schema = b.schema
+            if not b.num_rows:
+                continue
+            coded = {c: b.column(schema.get_field_index(c)).dictionary_encode() for c in ("doc_id", "leaf", "content")}
+            code = {c: x.indices.fill_null(-1).to_numpy(zero_copy_only=False) for c, x in coded.items()}
+            doc_names, leaf_names, contents = (coded[c].dictionary.to_pylist() for c in ("doc_id", "leaf", "content"))
+            flags = b.column(schema.get_field_index("overflow")).to_numpy(zero_copy_only=False)
+            line_column = b.column(schema.get_field_index("line_no"))
+            old = line_column.is_null().to_numpy(zero_copy_only=False)
+            lines = line_column.fill_null(-1).to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero((np.diff(code["doc_id"]) != 0) | (np.diff(code["leaf"]) != 0)) + 1
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), b.num_rows]):
+                d = int(code["doc_id"][lo])
+                place = (doc_names[d] if d >= 0 else None, leaf_names[code["leaf"][lo]])
+                if place != at:
                     if leaf is not None:
-                        done += finals(schema)
-                    at, leaf = (doc, key), Leaf(config, False, stop)
-                if line is None:
-                    tokens = template.split(" ")
-                    leaf.clusters.append(Cluster(birth, tokens, size, tokens.count(WILD)))
-                    continue
-                if leaf.overflow != overflow:
-                    leaf.overflow = overflow
-                    leaf.memo.clear()
-                lines.append(i)
-                births.append(leaf.add(line, content))
-            columns = [b.column(schema.get_field_index(c)).take(pa.array(lines, pa.int64())) for c in names]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(births, pa.int64()), pa.nulls(len(births), pa.string()), pa.nulls(len(births), pa.int64())], every)
-            yield from done
+                        yield from finals(schema)
+                    at, leaf = place, Leaf(config, False, b.column(schema.get_field_index("stop"))[lo].as_py())
+                while lo < hi and old[lo]:
+                    tokens = contents[code["content"][lo]].split(" ")
+                    leaf.clusters.append(Cluster(b.column(schema.get_field_index("birth"))[lo].as_py(), tokens, b.column(schema.get_field_index("size"))[lo].as_py(), tokens.count(WILD)))
+                    lo += 1
+                if lo < hi:
+                    births = _replayed(leaf, lines[lo:hi], code["content"][lo:hi], contents, flags[lo:hi])
+                    yield rows_of(*at, schema, line_column.slice(lo, hi - lo), pa.array(births, pa.int64(), mask=births < 0), None, None)
         if leaf is not None:
             yield from finals(schema)
 
     dealt = rows.repartition("doc_id", "leaf").sortWithinPartitions("doc_id", "leaf", F.col("line_no").asc_nulls_first(), "birth")
-    schema = StructType([StructField(f.name, f.dataType) for f in out]).add("birth", LongType()).add("template", StringType()).add("size", LongType())
-    return dealt.mapInArrow(run, schema)
+    return dealt.mapInArrow(run, StructType([StructField("doc_id", kind), *REPLAYED.fields[1:]]))
 
 
 @dataclass(frozen=True)
 class Mined:
-    """What mining has found: ``lines`` with template_id, and what later lines need. ``clusters``: doc_id, leaf, birth,
-    template, size, nth; ``children``: those that nodes keep; ``blanks``: lines of the blank template by document."""
+    """What mining has found: ``births`` (doc_id, line_no, template_id) of the lines that have tokens, and what later lines
+    need. ``clusters``: doc_id, leaf, birth, template, size, nth; ``children``: those that nodes keep; ``blanks``: lines of the
+    blank template by document. All are written; ``release`` deletes them."""
 
-    lines: DataFrame
+    births: DataFrame
     clusters: DataFrame
     children: DataFrame
     blanks: DataFrame
@@ -216,15 +262,36 @@ class Mined:
         found = self.clusters.select("doc_id", F.col("nth").cast("int").alias("template_id"), F.col("template").alias("pattern"), F.col("size").alias("count"), F.col("birth").alias("example_line"))
         return found.union(self.blanks.select("doc_id", F.lit(0), F.lit(EMPTY), "count", F.lit(0).cast("long")))
 
+    def of(self, lines: DataFrame) -> DataFrame:
+        """``lines`` with ``template_id``, by document and number."""
+        own = self.births.select(F.col("doc_id").alias("__d"), F.col("line_no").alias("__n"), "template_id")
+        joined = lines.join(own, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("line_no") == F.col("__n")), "left")
+        return joined.select(*lines.columns, F.coalesce("template_id", F.lit(0)).alias("template_id"))
+
+    def release(self) -> None:
+        for table in (self.births, self.clusters, self.children, self.blanks):
+            release(table)
+
 
 def mine_on(lines: DataFrame, config: DrainConfig = DrainConfig(), before: Mined | None = None) -> Mined:
     """Mine ``lines`` (doc_id, line_no, content, ...), after those that ``before`` has.
 
-    ``lines`` is read several times: spool it if it is dear. With more than ``max_clusters`` births in a document, leaves are
-    replayed with births forbidden from the first line that may not have one. What was mined is written to the shared
-    folder, so queries of the result start from there.
+    ``lines`` is evaluated once: numbers, contents and keys are written, and read twice, for the paths and for the replay.
+    With more than ``max_clusters`` births in a document, leaves are replayed with births forbidden from the first line that
+    may not have one.
     """
-    routed, children = route(lines, config, before.children if before else None)
+    return mine_keyed(spooled(with_keys(lines.select("doc_id", "line_no", "content"), config)), config, before, True)
+
+
+def mine_keyed(keyed: DataFrame, config: DrainConfig = DrainConfig(), before: Mined | None = None, own: bool = False) -> Mined:
+    """``mine_on`` of a written table of lines ``with_keys``; with ``own`` it is deleted afterwards."""
+    names = [c for c in keyed.columns if c.startswith("__k")]
+    leaves, children = route(keyed, config, before.children if before else None)
+    to = leaves.select(F.col("doc_id").alias("__d"), *[F.col(n).alias(f"_{n}") for n in names], "leaf", "overflow")
+    same = F.col("doc_id").eqNullSafe(F.col("__d"))
+    for n in names:
+        same = same & (F.col(n) == F.col(f"_{n}"))
+    routed = keyed.select("doc_id", "line_no", "content", *names).join(to, same).select("doc_id", "leaf", "overflow", "line_no", "content")
     known = before.clusters if before else None
     rank = Window.partitionBy("doc_id").orderBy("birth")
 
@@ -240,22 +307,21 @@ def mine_on(lines: DataFrame, config: DrainConfig = DrainConfig(), before: Mined
         release(clusters)
         found, clusters = again, ranked(again)
     numbers = clusters.select(F.col("doc_id").alias("__d"), F.col("birth").alias("__b"), F.col("nth").cast("int").alias("template_id"))
-    of_lines = found.where("line_no is not null").join(numbers, (F.col("doc_id") == F.col("__d")) & (F.col("birth") == F.col("__b")), "left")
-    blank = lines.where(~has_tokens(F.col("content"))).select(*lines.columns, F.lit(0).alias("template_id"))
-    out = of_lines.select(*lines.columns, F.coalesce("template_id", F.lit(0)).alias("template_id")).union(blank)
-    kept = children[0]  # with those of the lines before
-    for c in children[1:]:
-        kept = kept.union(c)
-    blanks = out.groupBy("doc_id").agg(F.count_if(F.col("template_id") == 0).alias("count"))
+    births = found.where("line_no is not null and birth is not null").join(numbers, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("birth") == F.col("__b"))).select("doc_id", "line_no", "template_id")
+    births = spooled(births)
+    blanks = keyed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("count")).union(births.groupBy("doc_id").agg((-F.count(F.lit(1))).alias("count")))
     if before:
-        blanks = blanks.union(before.blanks).groupBy("doc_id").agg(F.sum("count").alias("count"))
-    return Mined(out, clusters, spooled(kept), spooled(blanks))
+        blanks = blanks.union(before.blanks)
+    blanks = spooled(blanks.groupBy("doc_id").agg(F.sum("count").alias("count")))
+    for table in (leaves, found, *([keyed] if own else [])):
+        release(table)
+    return Mined(births, clusters, children, blanks)
 
 
 def mine(lines: DataFrame, config: DrainConfig = DrainConfig()) -> tuple[DataFrame, DataFrame]:
     """(``lines`` with ``template_id``, templates), by ``mine_on``; 0 is the blank template."""
     found = mine_on(lines, config)
-    return found.lines, found.templates
+    return found.of(lines), found.templates
 
 
 class Tree:
@@ -314,4 +380,4 @@ def degraded(templates: DataFrame) -> DataFrame:
     return templates.where(10 * F.size(F.filter(words, lambda w: w == WILD)) > 7 * F.size(words))
 
 
-__all__ = ["DrainConfig", "Mined", "Tree", "degraded", "mine", "mine_in_order", "mine_on", "replay", "route", "template_counts"]
+__all__ = ["DrainConfig", "Mined", "Tree", "degraded", "mine", "mine_in_order", "mine_keyed", "mine_on", "replay", "route", "template_counts", "with_keys"]

@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from .functions.timefmt import CustomFormat, format_ms, parse_time_param
 from .operators import analysis, search, sequence
 from .operators.ingest import AnalysedLog, ParsingConfig, open_log, refreshed
-from .sources.spool import release
 from .sources.text import FileChange
 
 NO_LOG = {"comment": "no log", "reason": "no filter is set; add one, or ask with with_filtered_log=False"}
@@ -101,9 +100,7 @@ class Session:
 
     def close_log(self, log_id: str) -> None:
         doc = self.logs.pop(self._id(log_id))
-        if doc.whole.mined:
-            release(doc.whole.lines)
-            release(doc.whole.templates)
+        doc.whole.release()
         if self.active == log_id:
             self.active = next(reversed(self.logs), None)
 

@@ -28,9 +28,7 @@ def spooled(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/log-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if not _written:
-        atexit.register(release_all)
-    _written.append((spark, path))
+    remembered(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -39,10 +37,15 @@ def text_file(df: DataFrame) -> str:
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/text-{uuid.uuid4().hex}"
     df.write.text(path)
+    remembered(spark, path)
+    return path
+
+
+def remembered(spark: SparkSession, path: str) -> None:
+    """Delete ``path`` when the driver ends, if it isn't released before."""
     if not _written:
         atexit.register(release_all)
     _written.append((spark, path))
-    return path
 
 
 def release(df: DataFrame) -> None:

@@ -6,6 +6,7 @@ import os
 from dataclasses import dataclass
 from enum import Enum
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +31,58 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return numbered.select("doc_id", (F.col("start") + F.col("id") - F.col("first")).alias("line_no"), "text", F.octet_length("text").alias("n_bytes"))
 
 
+#: Bytes of a file that one task reads when a part of it is read.
+RANGE_BYTES = 32 << 20
+
+
+def range_lines(path: str, start: int, lo: int, hi: int) -> list[bytes]:
+    """The lines of a file that begin from byte ``lo`` up to ``hi`` (not included); at ``start`` a line begins."""
+    with open(path, "rb") as f:
+        if lo > start:
+            f.seek(lo - 1)
+            f.readline()  # its line began before, or ends just here
+        else:
+            f.seek(lo)
+        at = f.tell()
+        if at >= hi:
+            return []
+        data = f.read(hi - at)
+        if not data.endswith(b"\n"):
+            data += f.readline()
+    lines = data.split(b"\n")
+    return lines[:-1] if not lines[-1] else lines
+
+
+def decoded(lines: list[bytes]) -> pa.Array:
+    return pa.array([x.rstrip(b"\r").decode("utf-8", "replace") for x in lines], pa.string())
+
+
+def numbered(ranges: DataFrame, first_line: int) -> DataFrame:
+    """(doc_id, line_no, text, n_bytes) of lines (doc_id, block, nth, text) that are counted within their ranges: a range's
+    first number follows from the counts of those before, one row for each."""
+    counts = ranges.groupBy("doc_id", "block").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("doc_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("doc_id", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    return ranges.join(starts, ["doc_id", "block"]).select("doc_id", (F.lit(first_line) + F.col("start") + F.col("nth")).alias("line_no"), "text", F.octet_length("text").alias("n_bytes"))
+
+
+def lines_from(spark: SparkSession, path: str, start: int, first_line: int, end: int, doc_id: str | None = None, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """(doc_id, line_no, text, n_bytes): the lines of a file from byte ``start``, where a line begins, to ``end``, numbered on
+    from ``first_line``. Tasks read ranges of bytes and nothing before ``start`` is read; all executors must see the file."""
+    name = doc_id or f"file://{os.path.abspath(path)}"
+    n = max(1, -(-(end - start) // range_bytes))
+
+    def run(batches):
+        for b in batches:
+            for i in b.column(0).to_pylist():
+                lo = start + i * range_bytes
+                lines = range_lines(path, start, lo, min(end, lo + range_bytes))
+                yield pa.RecordBatch.from_arrays([pa.array([lo] * len(lines), pa.int64()), pa.array(range(len(lines)), pa.int64()), decoded(lines)], ["block", "nth", "text"])
+
+    found = spark.range(0, n, 1, n).mapInArrow(run, "block bigint, nth bigint, text string")
+    return numbered(found.withColumn("doc_id", F.lit(name)), first_line)
+
+
 def split_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, line_no, text, n_bytes): the lines of texts held in a table; a last empty line doesn't count."""
     lines = F.posexplode(F.split(F.regexp_replace(text_col, "\n$", ""), "\n"))
