@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .masking import MaskConfig, classify_token, mask_line, split_tokens
+from .masking import MaskConfig, classify_token, mask_line, masked_lines, split_tokens
 from .timefmt import BY_NAME, FAMILIES, Family, least_hits, parse, parse_time_param
 
 # Word lists of the formats.
@@ -180,7 +180,9 @@ def learn_header(sample: list[str]) -> tuple[str | None, ...]:
 
 def normalized(df: DataFrame, fmt: LogFormat, header: tuple[str | None, ...] = (), config: MaskConfig = MaskConfig(), text_col: str = "text") -> DataFrame:
     """``df`` with ``content`` and ``field_ms``: Arrow batches of the text column alone go through Python, with the
-    masks of tokens kept in a bounded table."""
+    masks of tokens kept in a bounded table. Plain lines are masked by the distinct tokens of a batch."""
+    if fmt is PLAIN:
+        return df.withColumns({"content": masked_lines(F.col(text_col), header, config), "field_ms": F.lit(None).cast("bigint")})
 
     @F.pandas_udf("content string, field_ms bigint")
     def convert(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

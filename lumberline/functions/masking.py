@@ -6,6 +6,9 @@ import re
 from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -107,6 +110,59 @@ def mask_line(line: str, header: tuple[str | None, ...] = (), config: MaskConfig
     return " ".join(tokens) if changed else line
 
 
+#: Control characters that Arrow takes for white space, but tokens may hold.
+_KEPT = re.compile("[\x1c-\x1f]")
+
+
+def mask_lines(lines: pa.Array, header: tuple[str | None, ...] = (), config: MaskConfig = MaskConfig()) -> pa.Array:
+    """``mask_line`` of each line (null stays null): the distinct tokens of all lines are masked once."""
+    tokens = pc.utf8_split_whitespace(pc.fill_null(lines, ""))
+    ends = tokens.offsets.to_numpy().astype(np.int64)
+    coded = tokens.flatten().dictionary_encode()
+    names = coded.dictionary.to_pylist()
+    code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    line_of = np.repeat(np.arange(len(lines)), np.diff(ends))
+    there = np.array([bool(n) for n in names], bool)[code]  # empty ones stand beside white space at the ends of a line
+    code, line_of = code[there], line_of[there]
+    counts = np.bincount(line_of, minlength=len(lines))
+    starts = np.r_[0, np.cumsum(counts)]
+    known, new = list(names), np.zeros(len(names), bool)
+    for i, t in enumerate(known):
+        if (masked := mask_token(t, config) if t else None) is not None:
+            names[i], new[i] = masked, True
+    changed = new[code]
+    for at, forced in enumerate(header):
+        if forced:
+            places = starts[:-1][counts > at] + at
+            own: dict[int, int] = {}
+            for c in set(code[places].tolist()):
+                own[c] = len(names)
+                names.append(mask_runs(known[c], config) or forced)
+            code[places] = [own[c] for c in code[places].tolist()]
+            changed[places] = True
+    touched = np.zeros(len(lines), bool)
+    touched[line_of[changed]] = True
+    words = pa.array(names, pa.string()).take(pa.array(code))
+    texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(starts, pa.int32()), words), " ")
+    out = pc.if_else(pa.array(touched), texts, lines)
+    if odd := [i for i, x in enumerate(pc.match_substring_regex(lines, _KEPT.pattern).to_pylist()) if x]:
+        values = out.to_pylist()
+        for i in odd:
+            values[i] = mask_line(lines[i].as_py(), header, config)
+        out = pa.array(values, pa.string())
+    return out
+
+
+def masked_lines(text: Column, header: tuple[str | None, ...] = (), config: MaskConfig = MaskConfig()) -> Column:
+    """``mask_line`` of a column, by Arrow batches."""
+
+    @F.arrow_udf("string")
+    def masked_batch(lines: pa.Array) -> pa.Array:
+        return mask_lines(lines, header, config)
+
+    return masked_batch(text)
+
+
 def classify_token(token: str) -> str | None:
     """The mask class of a header token."""
     for pattern, name in HEADER:

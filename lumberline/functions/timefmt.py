@@ -70,14 +70,29 @@ def epoch_ms(text: Column, family: Family, now: date | None = None) -> Column:
     """Epoch milliseconds of the family's first match in the line's first 96 characters; null if there is none or the
     parts are no valid date. Fractions beyond milliseconds are cut off. Yearless families take the year of ``now``, or
     the year before if that lies more than a day ahead."""
-    at, head = family.groups, search_window(text)
+    return F.get(F.transform(F.array(_groups(text, family)), lambda g: _millis_of(g, family, now)), F.lit(0))
+
+
+#: Characters between and before the groups of a match; those of a line are put aside by another control character.
+_CUT, _FOUND, _ASIDE = "\u0001", "\u0002", "\u0003"
+
+
+def _groups(text: Column, family: Family) -> Column:
+    """The groups of the family's first match, behind a mark; the pattern runs once for a line."""
+    clean = F.translate(search_window(text), _CUT + _FOUND, _ASIDE * 2)
+    whole = _CUT.join([_FOUND, *(f"${i}" for i in range(1, len(family.groups) + 1))])
+    return F.split(F.regexp_replace(clean, f"(?s)^.*?(?:{family.java}).*$", whole), _CUT)
+
+
+def _millis_of(groups: Column, family: Family, now: date | None) -> Column:
+    at = family.groups
 
     def part(name: str) -> Column:
-        return F.regexp_extract(head, family.java, at[name]) if name in at else F.lit("")
+        return F.coalesce(F.get(groups, F.lit(at[name])), F.lit("")) if name in at else F.lit("")
 
     if "epoch" in at:
         digits = part("epoch")
-        value = digits.try_cast("bigint")
+        value = digits.try_cast("bigint")  # no digits without a match
         return F.when((F.length(digits) == 13) & value.between(10**12, 5 * 10**12 - 1), value).when((F.length(digits) == 10) & value.between(10**9, 5 * 10**9 - 1), value * 1000)
     month = _whole(part("M"))
     if "mon" in at:
@@ -104,7 +119,7 @@ def epoch_ms(text: Column, family: Family, now: date | None = None) -> Column:
     if "dow" in at:
         local = F.timestamp_millis(out + offset)
         out = F.when(F.lower(F.date_format(local, "EEE")) == F.lower(part("dow")), out)
-    return F.when(F.regexp_extract(head, family.java, 0) != "", out).cast("bigint")
+    return F.when(F.get(groups, F.lit(0)) == _FOUND, out).cast("bigint")
 
 
 def without_time(text: Column, family: Family) -> Column:

@@ -107,10 +107,14 @@ def time_of(text: Column, family: Family | CustomFormat, now: date | None = None
 
 def untimed(text: Column, fmt: LogFormat, family: Family | CustomFormat | None, now: date | None = None) -> Column:
     """What is mined of a line: plain lines lose the time that was read from them."""
-    if fmt is not PLAIN or family is None:
+    return text if family is None else _rest(text, time_of(text, family, now), fmt, family)
+
+
+def _rest(text: Column, ts: Column, fmt: LogFormat, family: Family | CustomFormat) -> Column:
+    if fmt is not PLAIN:
         return text
     rest = family.without(text) if isinstance(family, CustomFormat) else without_time(text, family)
-    return F.when(time_of(text, family, now).isNotNull(), rest).otherwise(text)
+    return F.when(ts.isNotNull(), rest).otherwise(text)
 
 
 def analyse(
@@ -148,9 +152,12 @@ def _mined_and_stored(done: DataFrame, config: ParsingConfig, before: Mined | No
 
 def parsed(lines: DataFrame, fmt: LogFormat, family: Family | CustomFormat | None, header: tuple[str | None, ...], config: ParsingConfig) -> DataFrame:
     """``lines`` with ``content`` and ``ts_raw_ms``."""
-    raw = lines.withColumn("__mined", untimed(F.col("text"), fmt, family, config.now))
-    done = normalized(raw, fmt, header, config.masks, "__mined").drop("__mined")
-    return done.withColumn("ts_raw_ms", time_of(F.col("text"), family, config.now) if family is not None else F.col("field_ms")).drop("field_ms")
+    if family is None:
+        return normalized(lines, fmt, header, config.masks).withColumnRenamed("field_ms", "ts_raw_ms")
+    timed = lines.withColumn("ts_raw_ms", time_of(F.col("text"), family, config.now))  # read once, used twice
+    raw = timed.withColumn("__mined", _rest(F.col("text"), F.col("ts_raw_ms"), fmt, family))
+    done = normalized(raw, fmt, header, config.masks, "__mined")
+    return done.select(*lines.columns, "content", "ts_raw_ms")
 
 
 def append(log: AnalysedLog, lines: DataFrame, state: FileState | None = None) -> AnalysedLog:

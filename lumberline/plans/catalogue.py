@@ -505,11 +505,12 @@ DUCK_SHAPES = (
 SELECT cls, count(*) AS cnt FROM (SELECT {_duck_class('t')} AS cls FROM t WHERE t <> '') WHERE cls IS NOT NULL GROUP BY 1""",
 )
 def mask_class_counts(spark, sf_dir):
-    tokens = document_lines(spark, sf_dir).select(F.explode(masking.tokens_of(F.col("text"))).alias("t"))
+    words = document_lines(spark, sf_dir).select(F.explode(masking.tokens_of(F.col("text"))).alias("t"))
+    tokens = words.groupBy("t").agg(F.count(F.lit(1)).alias("n"))  # each distinct token is matched once
     names = sorted({n for _, n in DUCK_SHAPES})
     cls = masking.token_class(F.col("t"), masking.MaskConfig(paths=False, nums=False, hex=False))
-    shown = tokens.select(F.when(~F.col("t").rlike(masking.DURATION), cls).otherwise(F.lit(None)).alias("cls"))
-    return shown.where(F.col("cls").isin(names)).groupBy("cls").agg(F.count(F.lit(1)).alias("cnt"))
+    shown = tokens.select(F.when(~F.col("t").rlike(masking.DURATION), cls).otherwise(F.lit(None)).alias("cls"), "n")
+    return shown.where(F.col("cls").isin(names)).groupBy("cls").agg(F.sum("n").alias("cnt"))
 
 
 @register("mask_numbers", f"WITH {E_SQL} SELECT regexp_replace(regexp_replace(text, 'user=[0-9]+', 'user=<NUM>'), '[0-9]+\\}}', '<NUM>}}') AS masked, count(*) AS cnt FROM l GROUP BY 1")
@@ -519,7 +520,7 @@ def mask_numbers(spark, sf_dir):
 
 @register("masked_line_counts")
 def masked_line_counts(spark, sf_dir):
-    masked = document_lines(spark, sf_dir).select(masking.masked(F.col("text")).alias("content"))
+    masked = document_lines(spark, sf_dir).select(masking.masked_lines(F.col("text")).alias("content"))
     return masked.groupBy("content").agg(F.count(F.lit(1)).alias("cnt"))
 
 
@@ -544,7 +545,7 @@ def header_position_stats(spark, sf_dir):
 
 
 def _mined_events(spark, sf_dir):
-    lines = event_lines(spark, sf_dir).select(F.lit("e").alias("doc_id"), "line_no", "ts_ms", "text", masking.masked(F.col("text")).alias("content"))
+    lines = event_lines(spark, sf_dir).select(F.lit("e").alias("doc_id"), "line_no", "ts_ms", "text", masking.masked_lines(F.col("text")).alias("content"))
     return mining.mine(lines)
 
 
@@ -560,7 +561,7 @@ def drain_template_ids(spark, sf_dir):
 
 @register("drain_documents")
 def drain_documents(spark, sf_dir):
-    lines = document_lines(spark, sf_dir).select("doc_id", "line_no", masking.masked(F.col("text")).alias("content"))
+    lines = document_lines(spark, sf_dir).select("doc_id", "line_no", masking.masked_lines(F.col("text")).alias("content"))
     templates = mining.mine(lines)[1]
     return templates.select("doc_id", "template_id", "pattern", "count", "example_line")
 

@@ -146,7 +146,7 @@ def file_find(spark, sf_dir):
 @register("drain_budget", f"WITH {N_SQL}, f AS (SELECT type, row_number() OVER (ORDER BY min(line_no)) AS nth FROM n GROUP BY 1) SELECT id AS line_no, CAST(CASE WHEN nth <= 3 THEN nth ELSE 0 END AS INTEGER) AS template_id FROM n JOIN f USING (type)")
 def drain_budget(spark, sf_dir):
     """With a budget of four templates, the blank one included, later kinds of lines get the blank one."""
-    lines = event_lines(spark, sf_dir).select(F.lit("e").alias("doc_id"), "line_no", masking.masked(F.col("text")).alias("content"))
+    lines = event_lines(spark, sf_dir).select(F.lit("e").alias("doc_id"), "line_no", masking.masked_lines(F.col("text")).alias("content"))
     return mining.mine(lines, mining.DrainConfig(max_clusters=4))[0].select("line_no", "template_id")
 
 

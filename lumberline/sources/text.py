@@ -11,6 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Partitions of a reader up to which the counts of its splits are broadcast.
+BROADCAST_SPLITS = 4_096
+
+
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(doc_id, line_no, text, n_bytes): every physical line of the files, numbered from 0 in file order.
 
@@ -27,7 +31,8 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     blocks = raw.groupBy("doc_id", "block").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
     before = Window.partitionBy("doc_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     starts = blocks.select("doc_id", "block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    numbered = raw.join(starts, ["doc_id", "block"])  # one row for each split of 128 MB: broadcast while small
+    small = raw.rdd.getNumPartitions() <= BROADCAST_SPLITS  # one row for each split of 128 MB, or small file
+    numbered = raw.join(F.broadcast(starts) if small else starts, ["doc_id", "block"])
     return numbered.select("doc_id", (F.col("start") + F.col("id") - F.col("first")).alias("line_no"), "text", F.octet_length("text").alias("n_bytes"))
 
 

@@ -1,6 +1,10 @@
+import random
+
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from lumberline.functions import masking
 from lumberline.functions.masking import MaskConfig, classify_token, mask_line, mask_token, masked, masked_token
 
 LINES = [
@@ -50,3 +54,16 @@ def test_header_and_switches():
     assert mask_line("up 07:08:09 5", config=MaskConfig(times=False, nums=False, ips=False)) == "up 07:08:09 5"
     assert classify_token("MyApp[12345:1]") == "<NUM>"
     assert classify_token("ERROR") is None
+
+
+def test_lines_of_a_batch_are_masked_like_one():
+    rng = random.Random(8)
+    pieces = ["user=42", "10.0.0.1", "/a/b.c", "x", "id_7", "4a5b6c7d8e", "{a:1}", "é9", "\x1cq", "12:30", "a-7-b", ""]
+    gaps = [" ", "  ", "\t", "\u3000", "\x85", "\x1d"]
+    lines = ["".join(rng.choice(pieces) + rng.choice(gaps) for _ in range(rng.randrange(9))) for _ in range(500)] + ["", " ", None, "7", " 7 x"]
+    for header in ((), ("<NUM>", None, "<HEX>"), (None, None, None, "<TIME>")):
+        for config in (masking.MaskConfig(), masking.MaskConfig(nums=False, paths=False)):
+            got = masking.mask_lines(pa.array(lines, pa.string()), header, config).to_pylist()
+            assert got == [None if x is None else masking.mask_line(x, header, config) for x in lines]
+    assert masking.mask_lines(pa.array([], pa.string())).to_pylist() == []
+    assert masking.mask_lines(pa.array(["a 1", "b"], pa.string()).slice(1)).to_pylist() == ["b"]
