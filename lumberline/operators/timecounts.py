@@ -57,7 +57,7 @@ class TimeCounts:
         width = -(-(hi - lo + 1) // CELLS)
         last = (hi - lo) // width
         cell = F.expr(f"(x - {lo}) div {width}")
-        rows = spooled(counts.withColumn("cell", cell).repartitionByRange("cell").sortWithinPartitions("lane", "cell", "x"))
+        rows = spooled(counts.withColumn("cell", cell))
         sums = rows.groupBy("lane", "cell").agg(F.sum("n").alias("n"))
         every = rows.select("lane").distinct().crossJoin(F.broadcast(spark.range(last + 2).select(F.col("id").alias("cell"))))  # lanes are few: 20 filters at most
         before = Window.partitionBy("lane").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)

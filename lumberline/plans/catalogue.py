@@ -578,9 +578,10 @@ def keyword_at(spark, sf_dir):
     return event_lines(spark, sf_dir).select("line_no", sequence.keyword_at(F.col("text"), at).alias("word"))
 
 
-@register("bench_log_levels", "SELECT ['INFO', 'DEBUG', 'WARN', 'ERROR'][(i % 97 // 24) % 4 + 1] AS level, count(*) AS cnt FROM range(20000) r(i) GROUP BY 1")
+@register("bench_log_levels", "SELECT ['INFO', 'DEBUG', 'WARN', 'ERROR'][(i % 97 // 24) % 4 + 1] AS level, count(*) AS cnt FROM (SELECT row_number() OVER (ORDER BY event_id) - 1 AS i FROM events) GROUP BY 1")
 def bench_log_levels(spark, sf_dir):
-    return sources.bench_log(spark, 20_000).select(F.split("text", " ")[1].alias("level")).groupBy("level").agg(F.count(F.lit(1)).alias("cnt"))
+    """Levels of a synthetic log of as many lines as there are events."""
+    return sources.bench_log(spark, table(spark, sf_dir, "events").count()).select(F.split("text", " ")[1].alias("level")).groupBy("level").agg(F.count(F.lit(1)).alias("cnt"))
 
 
-from . import files  # noqa: E402, F401  (registers its queries)
+from . import files, indexed  # noqa: E402, F401  (they register their queries)
