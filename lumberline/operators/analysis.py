@@ -113,6 +113,13 @@ def error_templates(lines: DataFrame, templates: DataFrame, top: int = 20) -> Da
     return counts.crossJoin(F.broadcast(total)).orderBy(F.desc("cnt"), "template_id").limit(top)
 
 
+def error_counts(lines: DataFrame, templates: DataFrame) -> DataFrame:
+    """One row (templates, lines): the templates in the view whose pattern speaks of errors, and their lines."""
+    bad = templates.where(F.lower("pattern").rlike("|".join(ERROR_WORDS))).select("template_id")
+    counts = lines.groupBy("template_id").agg(F.count(F.lit(1)).alias("n")).join(bad, "template_id")
+    return counts.agg(F.count(F.lit(1)).alias("templates"), F.coalesce(F.sum("n"), F.lit(0)).alias("lines"))
+
+
 def summary(lines: DataFrame) -> DataFrame:
     """One row: lines, first and last time, templates, longest line, and an estimate of the sequence's size."""
     return lines.agg(

@@ -134,6 +134,23 @@ class MatchBitmaps:
         self.tables, self.known = [], set()
 
 
+def cut(selection: DataFrame, lo: int, hi: int) -> DataFrame:
+    """The part of a set from line ``lo`` to ``hi`` (not included)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for bucket, bits in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                ones = np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little")
+                ones[: max(0, lo - bucket * BITS)] = 0
+                ones[max(0, hi - bucket * BITS) :] = 0
+                out.append(np.packbits(ones, bitorder="little").tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["bucket", "bits"])
+
+    near = selection.where(F.col("bucket").between(lo // BITS, max(lo, hi - 1) // BITS)).select("bucket", "bits")
+    return near.mapInArrow(run, "bucket bigint, bits binary").withColumn("n", F.bitmap_count("bits")).where("n > 0")
+
+
 def numbers(selection: DataFrame) -> DataFrame:
     """(line_no): the lines of a set."""
 

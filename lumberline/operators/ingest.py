@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from datetime import date
 
@@ -22,6 +23,10 @@ from .search import trimmed
 SAMPLE_LINES, HEAD_LINES = 512, 2_048
 
 
+#: What analysing a log goes through.
+PHASES = ("sampling", "parsing", "mining", "writing")
+
+
 @dataclass(frozen=True)
 class ParsingConfig:
     """Similarity and depth of mining, and how many lines the header is learnt from."""
@@ -118,15 +123,16 @@ def _rest(text: Column, ts: Column, fmt: LogFormat, family: Family | CustomForma
 
 
 def analyse(
-    lines: DataFrame, config: ParsingConfig = ParsingConfig(), custom: tuple[CustomFormat, ...] = (), path: str = "", state: FileState | None = None, formats: tuple[LogFormat, ...] = FORMATS, families: tuple[Family, ...] = ()
+    lines: DataFrame, config: ParsingConfig = ParsingConfig(), custom: tuple[CustomFormat, ...] = (), path: str = "", state: FileState | None = None, formats: tuple[LogFormat, ...] = FORMATS, families: tuple[Family, ...] = (), enter: Callable[[str], None] = lambda phase: None
 ) -> AnalysedLog:
     """Analyse ``lines`` (doc_id, line_no, text, n_bytes) of one log. ``formats`` are tried before plain text; ``families``
-    are further families of plain lines.
+    are further families of plain lines. ``enter`` is called with the name of each phase as it begins.
 
     Format, family and header come from the first lines (512 that aren't blank, and 200). Lines are normalised in one
     Arrow-batched pass, and written; templates are mined from numbers and contents, in parallel; then lines, filled times and
     templates are written once, in order, and all queries of the result read that.
     """
+    enter("sampling")
     sample, head = head_of(lines, config)
     spark = lines.sparkSession
     table = spark.createDataFrame([(x,) for x in sample], "text string")
@@ -137,13 +143,16 @@ def analyse(
     if fmt is PLAIN and head:
         heads = spark.createDataFrame([(x,) for x in head], "text string").select(rest.alias("x")).where(F.trim("x") != "").collect()
         header = learn_header([r["x"] for r in heads])
-    found, own = _mined_and_stored(parsed(lines, fmt, family, header, config), config)
+    found, own = _mined_and_stored(parsed(lines, fmt, family, header, config), config, enter=enter)
     return AnalysedLog(own.lines, found.templates, fmt, family, header, path, state, None, tuple(custom), found, config, own)
 
 
-def _mined_and_stored(done: DataFrame, config: ParsingConfig, before: Mined | None = None, start: int | None = None) -> tuple[Mined, StoredLines]:
+def _mined_and_stored(done: DataFrame, config: ParsingConfig, before: Mined | None = None, start: int | None = None, enter: Callable[[str], None] = lambda phase: None) -> tuple[Mined, StoredLines]:
+    enter("parsing")
     keyed = spooled(with_keys(done, config.drain))
+    enter("mining")
     found = mine_keyed(keyed, config.drain, before)
+    enter("writing")
     own = store(completed(keyed.select(*done.columns), found.births, start))
     release(keyed)
     release(found.births)

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.timefmt import format_ms_column, parse_time_param
+from ..sources.stored import StoredLines
 
 MAX_FILTERS = 20
 
@@ -108,21 +109,31 @@ class Range:
 def resolve_range(lines: DataFrame, start: int | str | None = None, end: int | str | None = None) -> Range:
     """Bounds are 1-based lines (clamped) or times; a start time is the first line at or after it, an end time the last
     line at or before it, both clamped to existing lines. All come from one aggregate."""
-
-    def time_of(bound) -> int | None:
-        if not isinstance(bound, str):
-            return None
-        if (ms := parse_time_param(bound)) is None:
-            raise ValueError(f"can't read the time {bound!r}")
-        return ms
-
-    t0, t1 = time_of(start), time_of(end)
+    t0, t1 = _time_of(start), _time_of(end)
     known = F.coalesce(F.col("ts_ms"), F.lit(-1).cast("long"))
     n, lo, hi = lines.agg(
         F.count(F.lit(1)),
         F.min(F.when(F.col("ts_ms") >= t0, F.col("line_no"))) if t0 is not None else F.lit(None),
         F.max(F.when(known <= t1, F.col("line_no"))) if t1 is not None else F.lit(None),
     ).first()
+    return _range_of(start, end, n, lo, hi)
+
+
+def resolve_stored(log: StoredLines, start: int | str | None = None, end: int | str | None = None) -> Range:
+    """``resolve_range`` of a whole stored log: from its table of chunks, and one chunk for each time."""
+    t0, t1 = _time_of(start), _time_of(end)
+    return _range_of(start, end, log.count(), None if t0 is None else log.first_at_or_after(t0), None if t1 is None else log.last_at_or_before(t1))
+
+
+def _time_of(bound: int | str | None) -> int | None:
+    if not isinstance(bound, str):
+        return None
+    if (ms := parse_time_param(bound)) is None:
+        raise ValueError(f"can't read the time {bound!r}")
+    return ms
+
+
+def _range_of(start: int | str | None, end: int | str | None, n: int, lo: int | None, hi: int | None) -> Range:
     if not n:
         raise ValueError("the log is empty")
     for bound in (start, end):

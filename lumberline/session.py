@@ -8,6 +8,8 @@ from __future__ import annotations
 import itertools
 import json
 import os
+import threading
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, field, replace
 from typing import Any
 
@@ -15,8 +17,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.timefmt import CustomFormat, format_ms, parse_time_param
-from .operators import analysis, search, sequence
+from .functions.masking import MaskConfig
+from .loading import Cancelled, Load
+from .operators import analysis, bitmaps, search, sequence
 from .operators.ingest import AnalysedLog, ParsingConfig, open_log, refreshed
+from .operators.mining import template_counts
+from .operators.timecounts import TimeCounts
 from .sources.text import FileChange
 
 NO_LOG = {"comment": "no log", "reason": "no filter is set; add one, or ask with with_filtered_log=False"}
@@ -33,6 +39,42 @@ class Loaded:
     whole: AnalysedLog
     filters: search.FilterSet = field(default_factory=search.FilterSet)
     pins: list[dict] = field(default_factory=list)
+    applied: str | None = None  # the saved filters that were applied
+    matches: bitmaps.MatchBitmaps | None = None  # of the whole log; kept until it is closed, and taken further as it grows
+    counts: TimeCounts | None = None
+
+    @property
+    def stored(self):
+        """The written lines, if the view is the whole log."""
+        return self.log.stored if self.log.window is None else None
+
+    def bitmaps(self) -> bitmaps.MatchBitmaps:
+        if self.matches is None:
+            self.matches = bitmaps.MatchBitmaps(self.whole.lines)
+        return self.matches
+
+    def time_counts(self) -> TimeCounts:
+        if self.counts is None:
+            self.counts = TimeCounts.of(self.whole.lines)
+        return self.counts
+
+    def grown(self, log: AnalysedLog) -> None:
+        """The log has more lines: what was made of it is taken further by these alone."""
+        first, count = self.whole.stored.count(), log.stored.count()
+        more = log.stored.range(first, count)
+        if self.matches is not None:
+            self.matches = self.matches.extended(log.lines, more)
+        if self.counts is not None:
+            try:
+                self.counts = self.counts.extended(more)
+            except ValueError:  # the first times came
+                self.counts = None
+        self.whole = self.log = log
+
+    def release(self) -> None:
+        for made in (self.matches, self.counts, self.whole):
+            if made is not None:
+                made.release()
 
 
 def _rows(df: DataFrame) -> list[dict[str, Any]]:
@@ -42,8 +84,12 @@ def _rows(df: DataFrame) -> list[dict[str, Any]]:
 class Session:
     """Logs by id (``log_1``, ``log_2``, ...); the last one loaded or chosen is the active one."""
 
-    def __init__(self, spark: SparkSession, config: ParsingConfig = ParsingConfig(), custom: tuple[CustomFormat, ...] = ()):
-        self.spark, self.config, self.custom = spark, config, custom
+    def __init__(self, spark: SparkSession, config: ParsingConfig | None = None, custom: tuple[CustomFormat, ...] | None = None, store: Store | None = None):
+        """``store`` gives saved filters and settings, and where no others are given the configuration and date formats."""
+        self.spark, self.store, self.lock = spark, store, threading.RLock()
+        self.config = config or (store.parsing() if store else ParsingConfig())
+        self.custom = custom if custom is not None else tuple(store.date_formats()) if store else ()
+        self.loads: dict[str, tuple[Load, str]] = {}
         self.logs: dict[str, Loaded] = {}
         self.active: str | None = None
         self._ids = itertools.count(1)
@@ -53,14 +99,51 @@ class Session:
     def load_log(self, path: str) -> dict[str, Any]:
         if not os.path.exists(path):
             raise ToolError(f"no such file: {path}")
-        log = open_log(self.spark, path, self.config, self.custom)
-        return self.add(log)
+        return self.add(open_log(self.spark, path, self.config, self.custom))
+
+    def load_start(self, path: str) -> dict[str, Any]:
+        """Open a log in the background; ask ``load_status`` for its progress, ``load_cancel`` stops it."""
+        if not os.path.exists(path):
+            raise ToolError(f"no such file: {path}")
+        load_id = f"load_{next(self._ids)}"
+        self.loads[load_id] = (Load(self.spark, lambda enter: open_log(self.spark, path, self.config, self.custom, enter=enter)), path)
+        return {"load_id": load_id, **self.loads[load_id][0].progress()}
+
+    def _load(self, load_id: str) -> Load:
+        if load_id not in self.loads:
+            raise ToolError(f"unknown load: {load_id}")
+        return self.loads[load_id][0]
+
+    def load_status(self, load_id: str) -> dict[str, Any]:
+        """The progress of a load; when it is done the log is added and its statistics are given, once."""
+        load = self._load(load_id)
+        found = {"load_id": load_id, **load.progress()}
+        if load.running:
+            return found
+        del self.loads[load_id]
+        try:
+            return found | self.add(load.result())
+        except Cancelled:
+            return found
+        except Exception as e:
+            raise ToolError(f"the log can't be loaded: {e}") from e
+
+    def load_cancel(self, load_id: str) -> dict[str, Any]:
+        """Stop a load; nothing of it is left."""
+        load = self._load(load_id)
+        load.cancel()
+        return self.load_status(load_id)
 
     def add(self, log: AnalysedLog) -> dict[str, Any]:
         """Register an analysed log, for instance one made from a table."""
         log_id = f"log_{next(self._ids)}"
         self.logs[log_id] = Loaded(log, log)
         self.active = log_id
+        if self.store:
+            if log.path:
+                self.store.add_recent(log.path)
+            if (name := self.store.setting("default_filter")) in self.store.list_filters():
+                self.apply_filters(name, log_id)
         return {"log_id": log_id, **self.stats(log_id)}
 
     def stats(self, log_id: str | None = None) -> dict[str, Any]:
@@ -87,20 +170,40 @@ class Session:
             raise ToolError("the log is not a file")
         before = doc.whole
         try:
-            doc.whole = refreshed(self.spark, before)
+            now = refreshed(self.spark, before)
         except (OSError, ValueError) as e:
             return ToolError(str(e)).payload()
-        if doc.whole is before:
+        if now is before:
             return {"change": FileChange.UNCHANGED.value, **self.stats(log_id)}
-        doc.log = doc.whole
-        return {"change": FileChange.APPENDED.value, "appended": doc.whole.lines.count() - before.lines.count(), **self.stats(log_id)}
+        doc.grown(now)
+        return {"change": FileChange.APPENDED.value, "appended": now.stored.count() - before.stored.count(), **self.stats(log_id)}
+
+    def poll(self) -> dict[str, dict[str, Any]]:
+        """``refresh`` every log that is a file and has changed: what was found by log."""
+        with self.lock:
+            files = [i for i, d in self.logs.items() if d.whole.state is not None]
+            found = {i: self.refresh(i) for i in files}
+        return {i: r for i, r in found.items() if r.get("change") != FileChange.UNCHANGED.value}
+
+    def watch(self, seconds: float = 2.0, told: Callable[[dict], None] = lambda found: None) -> Callable[[], None]:
+        """``poll`` again and again in the background; ``told`` gets what changed. Returns a function that ends it."""
+        over = threading.Event()
+
+        def run() -> None:
+            while not over.wait(seconds):
+                if found := self.poll():
+                    told(found)
+
+        thread = threading.Thread(target=run, daemon=True)
+        thread.start()
+        return lambda: (over.set(), thread.join())[0]
 
     def list_logs(self) -> list[dict[str, Any]]:
         return [{"log_id": i, "path": d.log.path} for i, d in self.logs.items()]
 
     def close_log(self, log_id: str) -> None:
         doc = self.logs.pop(self._id(log_id))
-        doc.whole.release()
+        doc.release()
         if self.active == log_id:
             self.active = next(reversed(self.logs), None)
 
@@ -121,22 +224,23 @@ class Session:
             return None
         lines = doc.log.lines
         if start is not None or end is not None:
-            try:
-                lines = search.resolve_range(lines, start, end).lines(lines)
-            except ValueError as e:
-                raise ToolError(str(e)) from e
+            r = self._range(doc, start, end)
+            lines = doc.stored.range(r.lo, r.hi) if doc.stored else r.lines(lines)
         return search.filtered(lines, doc.filters.keywords) if with_filtered_log else lines
 
+    def _range(self, doc: Loaded, start, end) -> search.Range:
+        try:
+            return search.resolve_stored(doc.stored, start, end) if doc.stored else search.resolve_range(doc.log.lines, start, end)
+        except ValueError as e:
+            raise ToolError(str(e)) from e
+
     def trim(self, start=None, end=None, log_id: str | None = None) -> dict[str, Any]:
         """Narrow the view; bounds count inside the present view; without bounds the whole file is back."""
         doc = self._get(log_id)
         if start is None and end is None:
             doc.log = doc.whole
         else:
-            try:
-                r = search.resolve_range(doc.log.lines, start, end)
-            except ValueError as e:
-                raise ToolError(str(e)) from e
+            r = self._range(doc, start, end)
             doc.log = doc.log.trim(r.lo, r.hi)
         return self.stats(log_id)
 
@@ -163,6 +267,47 @@ class Session:
     def get_filters(self, log_id: str | None = None) -> list[str]:
         return list(self._get(log_id).filters.keywords)
 
+    def filter_hits(self, start=None, end=None, log_id: str | None = None) -> list[dict[str, Any]]:
+        """How many lines each filter matches, in a range of lines or times if one is given."""
+        doc = self._get(log_id)
+        names = doc.filters.keywords
+        if not names:
+            return []
+        if not doc.stored:
+            lines = self._view(log_id, False, start, end)
+            counts = lines.agg(*[F.count_if(search.contains(k)) for k in names]).first()
+            return [{"keyword": k, "hits": n} for k, n in zip(names, counts)]
+        r = self._range(doc, start, end)
+        hits = {x["filter_id"]: x["hits"] for x in doc.bitmaps().hits(names, r.lo, r.hi).collect()}
+        return [{"keyword": k, "hits": hits[i]} for i, k in enumerate(names)]
+
+    def _store(self) -> Store:
+        if self.store is None:
+            raise ToolError("there is no folder for saved filters")
+        return self.store
+
+    def saved_filters(self) -> list[str]:
+        """The names of the saved filters."""
+        return self._store().list_filters()
+
+    def save_filters(self, name: str, log_id: str | None = None) -> list[str]:
+        """Save a log's filters under a name."""
+        try:
+            self._store().save_filter(SavedFilter(name, tuple(self._get(log_id).filters.keywords)))
+        except ValueError as e:
+            raise ToolError(str(e)) from e
+        return self.saved_filters()
+
+    def apply_filters(self, name: str, log_id: str | None = None) -> list[str]:
+        """A log gets the filters that were saved under a name, instead of its own."""
+        doc = self._get(log_id)
+        try:
+            doc.filters = search.FilterSet(list(self._store().load_filter(name).keywords))
+        except (OSError, ValueError, KeyError, TypeError) as e:
+            raise ToolError(f"no filters are saved as {name!r}") from e
+        doc.applied = name
+        return self.get_filters(log_id)
+
     # ---- tools ----
 
     def find_occurrences(self, keyword: str, max_results: int = 50, offset: int = 0, after=None, before=None, context: int = 0, refs: bool = False, with_filtered_log: bool = False, log_id: str | None = None) -> dict[str, Any]:
@@ -182,6 +327,13 @@ class Session:
     def raw_log(self, start, end, max_lines: int = 2000, with_filtered_log: bool = False, log_id: str | None = None) -> dict[str, Any]:
         if start is None or end is None:
             raise ToolError("both bounds are required")
+        doc = self._get(log_id)
+        if with_filtered_log and doc.filters.keywords and doc.stored:  # from bitmaps and the chunks of the lines shown
+            r, names = self._range(doc, start, end), doc.filters.keywords
+            view = bitmaps.cut(doc.bitmaps().lanes(names, [True] * len(names), False), r.lo, r.hi)
+            total, shown = bitmaps.total(view), bitmaps.page_numbers(view, 0, max_lines)
+            rows = _rows(search.payload(doc.stored.at(shown).orderBy("line_no")))
+            return {"total": total, "returned": len(rows), "truncated": len(rows) < total, "lines": rows}
         lines = self._view(log_id, with_filtered_log, start, end)
         if lines is None:
             return dict(NO_LOG)
@@ -203,8 +355,15 @@ class Session:
         templates = self._get(log_id).log.templates
         names = templates.select("template_id", "pattern")
         errors = _rows(analysis.error_templates(lines, templates))
+        overview = analysis.summary(lines).first().asDict()
+        patterns = templates.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("template_id", "pattern", "count", "example_line")))), F.lit(0))).first()
         return {
-            "overview": analysis.summary(lines).first().asDict(),
+            "overview": overview,
+            "template_count": patterns[0],
+            "matched_template_count": overview["templates"],
+            "error_template_count": analysis.error_counts(lines, templates).first()["templates"],
+            "template_size_bytes": patterns[1],
+            "sequence_estimate_bytes": overview["sequence_estimate_bytes"],
             "top_templates": _rows(analysis.ranked_templates(lines).join(F.broadcast(names), "template_id").orderBy(F.desc("cnt"), "template_id")),
             "error_templates": [{k: e[k] for k in ("template_id", "pattern", "cnt")} for e in errors],
             "error_lines": errors[0]["error_lines"] if errors else 0,
@@ -212,9 +371,18 @@ class Session:
             "densest_minute": next(iter(_rows(analysis.densest_minute(lines))), None),
         }
 
-    def get_template(self, ids: list[int | str] | None = None, log_id: str | None = None) -> dict[str, Any]:
+    def get_template(self, ids: list[int | str] | None = None, with_filtered_log: bool = False, log_id: str | None = None) -> dict[str, Any]:
+        """Templates by id, all without ``ids``; with ``with_filtered_log`` their counts are those of the filtered view."""
         t = self._get(log_id).log.templates
-        wanted = [int(i) for i in ids] if ids is not None else None
+        if with_filtered_log:
+            lines = self._view(log_id, True)
+            if lines is None:
+                return dict(NO_LOG)
+            t = template_counts(lines, t)
+        try:
+            wanted = [int(i) for i in ids] if ids is not None else None
+        except ValueError as e:
+            raise ToolError("template ids are whole numbers") from e
         rows = _rows((t if wanted is None else t.where(F.col("template_id").isin(wanted))).orderBy("template_id").select("template_id", "pattern", "count", (F.col("example_line") + 1).alias("example_line")))
         return {"template_count": len(rows) if wanted is None else len(wanted), "templates": {r.pop("template_id"): r for r in rows}}
 
@@ -240,6 +408,10 @@ class Session:
             return dict(NO_LOG)
         if keyword is not None and template_id is not None:
             raise ToolError("give a keyword or a template, not both")
+        doc = self._get(log_id)
+        if keyword is None and template_id is None and start is None and end is None and not with_filtered_log and doc.stored and doc.stored.count():
+            counts = doc.time_counts()
+            return {"domain": "time" if counts.by_time else "sequence", "buckets": _rows(counts.histogram(min(buckets, 1024)).orderBy("bucket"))}
         chosen = search.find(lines, keyword) if keyword is not None else lines.where(F.col("template_id") == template_id) if template_id is not None else None
         return {"domain": "time" if analysis.domain(lines).first()["by_time"] else "sequence", "buckets": _rows(analysis.histogram(lines, chosen, buckets, most=1024).orderBy("bucket"))}
 
@@ -282,6 +454,10 @@ class Store:
         return SavedFilter(data["name"], tuple(data["keywords"])[: search.MAX_FILTERS])
 
     def rename_filter(self, old: str, new: str) -> None:
+        if old == new:
+            return
+        if os.path.exists(self._filter_path(new)):
+            raise ValueError(f"filters are already saved as {new!r}")
         self.save_filter(replace(self.load_filter(old), name=new))
         os.remove(self._filter_path(old))
 
@@ -314,6 +490,38 @@ class Store:
     def save_date_formats(self, formats: list[CustomFormat]) -> None:
         self._write("date_formats.json", [{"name": f.name, "pattern": f.pattern} for f in formats])
 
+    def settings(self) -> dict[str, Any]:
+        """What was set; a file that can't be read counts as none."""
+        found = self._read("settings.json", {})
+        return found if isinstance(found, dict) else {}
+
+    def setting(self, name: str, default: Any = None) -> Any:
+        return self.settings().get(name, default)
+
+    def set(self, **changes: Any) -> dict[str, Any]:
+        """Change settings (None takes one back): ``default_filter``, or a field of ``ParsingConfig``, checked first."""
+        now = {k: v for k, v in (self.settings() | changes).items() if v is not None}
+        self._parsing(now)
+        self._write("settings.json", now)
+        return now
+
+    @staticmethod
+    def _parsing(found: dict[str, Any]) -> ParsingConfig:
+        kinds = {"similarity": float, "header_sample_lines": int, "depth": int}
+        known = {k: kinds[k](v) for k, v in found.items() if k in kinds}
+        config = ParsingConfig(**known, masks=MaskConfig(**{k: bool(v) for k, v in found.get("masks", {}).items() if hasattr(MaskConfig, k)}))
+        if not 0 <= config.similarity <= 1 or config.header_sample_lines < 0:
+            raise ValueError("similarity is from 0 to 1, header_sample_lines not negative")
+        config.drain  # checks the depth
+        return config
+
+    def parsing(self) -> ParsingConfig:
+        """The stored configuration; the usual one where that is none."""
+        try:
+            return self._parsing(self.settings())
+        except (TypeError, ValueError, AttributeError):
+            return ParsingConfig()
+
     def recent(self) -> list[str]:
         return self._read("recent.json", [])
 

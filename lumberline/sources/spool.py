@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list[tuple[SparkSession, str]] = []
+_scopes = threading.local()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -27,8 +31,8 @@ def spooled(df: DataFrame) -> DataFrame:
     """``df`` as Parquet in the shared folder: its plan is computed once, and a lost executor loses nothing."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/log-{uuid.uuid4().hex}"
-    df.write.parquet(path)
     remembered(spark, path)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -36,8 +40,8 @@ def text_file(df: DataFrame) -> str:
     """The path of ``df`` (value) as text in the shared folder."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/text-{uuid.uuid4().hex}"
-    df.write.text(path)
     remembered(spark, path)
+    df.write.text(path)
     return path
 
 
@@ -46,6 +50,38 @@ def remembered(spark: SparkSession, path: str) -> None:
     if not _written:
         atexit.register(release_all)
     _written.append((spark, path))
+    if (own := getattr(_scopes, "paths", None)) is not None:
+        own.append(path)
+
+
+@contextlib.contextmanager
+def undone_if_failed() -> Iterator[None]:
+    """What this thread writes inside is deleted if it ends with an error, unless that was released before."""
+    outer, own = getattr(_scopes, "paths", None), []
+    _scopes.paths = own
+    try:
+        yield
+    except BaseException:
+        for entry in [e for e in _written if e[1] in own]:
+            _written.remove(entry)
+            _delete(*entry)
+        own.clear()
+        raise
+    finally:
+        _scopes.paths = outer
+        if outer is not None:
+            outer += own
+
+
+def kept(paths: list[str]) -> None:
+    """These folders stay when the driver ends."""
+    _written[:] = [e for e in _written if e[1] not in paths]
+
+
+def folders(df: DataFrame) -> list[str]:
+    """The written folders that a table reads, as they were written."""
+    names = {f.rsplit("/", 1)[0].rsplit("/", 1)[-1] for f in df.inputFiles()}
+    return sorted(e[1] for e in _written if e[1].rsplit("/", 1)[-1] in names)
 
 
 def release(df: DataFrame) -> None:

@@ -7,19 +7,27 @@ from __future__ import annotations
 
 import inspect
 import json
+import threading
 import types
 import typing
 from collections.abc import Callable
-from http.server import BaseHTTPRequestHandler, HTTPServer
+from http.server import BaseHTTPRequestHandler, HTTPServer, ThreadingHTTPServer
 from typing import IO, Any
 
 from .functions.timefmt import parse_time_param
 from .session import Session, ToolError
 
-PROTOCOL = "2025-06-18"
+#: Versions of the protocol that are spoken, the last one if a client asks for another.
+PROTOCOLS = ("2024-11-05", "2025-03-26", "2025-06-18")
+#: Characters of a request that are read.
+LARGEST_REQUEST = 4 << 20
+PARSE_ERROR, BAD_REQUEST, NO_METHOD, BAD_PARAMS, INTERNAL = -32700, -32600, -32601, -32602, -32603
 #: The tools by name, and the methods that answer them.
 TOOLS = {
     "load_log": Session.load_log,
+    "load_start": Session.load_start,
+    "load_status": Session.load_status,
+    "load_cancel": Session.load_cancel,
     "list_logs": Session.list_logs,
     "close_log": Session.close_log,
     "refresh": Session.refresh,
@@ -35,8 +43,16 @@ TOOLS = {
     "filters_get": Session.get_filters,
     "filters_add": Session.add_filter,
     "filters_remove": Session.remove_filter,
+    "filters_hits": Session.filter_hits,
+    "filters_saved": Session.saved_filters,
+    "filters_save": Session.save_filters,
+    "filters_apply": Session.apply_filters,
     "save_pin": Session.save_pin,
 }
+#: Tools that change the session, those of them that drop something, and those that give the same again.
+CHANGING = {"load_log", "load_start", "load_cancel", "close_log", "refresh", "filters_add", "filters_remove", "filters_save", "filters_apply", "trim", "save_pin"}
+DROPPING = {"close_log", "trim"}
+REPEATABLE = {"list_logs", "filters_get", "filters_hits", "filters_saved", "summarize_log", "get_timeline_histogram", "get_template", "get_template_samples", "get_template_anomalies", "log_sequence", "raw_log", "find_occurrences", "load_status"}
 _KINDS = {str: "string", int: "integer", bool: "boolean"}
 #: Arguments that are a time or a line: a whole number or a text.
 BOUNDS = ("start", "end", "after", "before")
@@ -60,7 +76,8 @@ def tool(name: str) -> dict[str, Any]:
         properties[p.name] = {"anyOf": [{"type": "integer"}, {"type": "string"}]} if p.name in BOUNDS else _schema(hints[p.name])
         if p.default is p.empty:
             required.append(p.name)
-    return {"name": name, "description": inspect.getdoc(method) or name.replace("_", " "), "inputSchema": {"type": "object", "properties": properties, "required": required}}
+    notes = {"readOnlyHint": name not in CHANGING, "destructiveHint": name in DROPPING, "idempotentHint": name in REPEATABLE, "openWorldHint": False}
+    return {"name": name, "description": inspect.getdoc(method) or name.replace("_", " "), "inputSchema": {"type": "object", "properties": properties, "required": required}, "annotations": notes}
 
 
 def _fits(value: Any, schema: dict[str, Any]) -> bool:
@@ -92,7 +109,8 @@ def checked(name: str, arguments: dict[str, Any]) -> dict[str, Any]:
 
 
 def _initialize(_session: Session, params: dict) -> dict:
-    return {"protocolVersion": params.get("protocolVersion", PROTOCOL), "capabilities": {"tools": {}}, "serverInfo": {"name": "lumberline", "version": "1"}}
+    wanted = params.get("protocolVersion")
+    return {"protocolVersion": wanted if wanted in PROTOCOLS else PROTOCOLS[-1], "capabilities": {"tools": {}}, "serverInfo": {"name": "lumberline", "version": "1"}}
 
 
 def _list(_session: Session, _params: dict) -> dict:
@@ -100,32 +118,56 @@ def _list(_session: Session, _params: dict) -> dict:
 
 
 def _call(session: Session, params: dict) -> dict:
-    name = params.get("name")
+    """A tool's result. What the tool refuses, and what fails while it runs, is a result too, marked as an error."""
+    name, arguments = params.get("name"), params.get("arguments")
+    if not isinstance(name, str) or not isinstance(arguments, dict | None):
+        raise TypeError("name must be a text, arguments an object")
     try:
         if name not in TOOLS:
             raise ToolError(f"unknown tool: {name}")
-        found, failed = TOOLS[name](session, **checked(name, params.get("arguments") or {})), False
+        found, failed = TOOLS[name](session, **checked(name, arguments or {})), False
     except ToolError as e:
         found, failed = e.payload(), True
+    except Exception as e:  # of Spark or the file system, for instance: the server goes on
+        found, failed = {"error": "internal", "message": f"{type(e).__name__}: {e}"[:1000], "retryable": True}, True
     return {"content": [{"type": "text", "text": json.dumps(found, default=str)}], "isError": failed}
 
 
 METHODS: dict[str, Callable[[Session, dict], dict]] = {"initialize": _initialize, "ping": lambda _session, _params: {}, "tools/list": _list, "tools/call": _call}
 
 
+def _failure(code: int, message: str, request_id: Any = None) -> dict[str, Any]:
+    return {"jsonrpc": "2.0", "id": request_id, "error": {"code": code, "message": message}}
+
+
 def answer(session: Session, text: str) -> dict[str, Any] | None:
-    """The response to one request; None for a notification and for what is no JSON object."""
+    """The response to one request, an error for what is none; None for a notification and a blank line."""
+    if not text.strip():
+        return None
+    if len(text) > LARGEST_REQUEST:
+        return _failure(BAD_REQUEST, "the request is too long")
     try:
         message = json.loads(text)
-    except ValueError:
+    except (ValueError, RecursionError):
+        return _failure(PARSE_ERROR, "no JSON")
+    if not isinstance(message, dict):
+        return _failure(BAD_REQUEST, "a request is an object")
+    if "id" not in message:
         return None
-    if not isinstance(message, dict) or "id" not in message:
-        return None
-    reply = {"jsonrpc": "2.0", "id": message["id"]}
-    method = METHODS.get(message.get("method"))
-    if method is None:
-        return reply | {"error": {"code": -32601, "message": f"method not found: {message.get('method')}"}}
-    return reply | {"result": method(session, message.get("params") or {})}
+    own = message["id"] if isinstance(message["id"], str | int | float) else None
+    name, params = message.get("method"), message.get("params")
+    if not isinstance(name, str):
+        return _failure(BAD_REQUEST, "method must be a text", own)
+    if name not in METHODS:
+        return _failure(NO_METHOD, f"method not found: {name}", own)
+    if not isinstance(params, dict | None):
+        return _failure(BAD_PARAMS, "params must be an object", own)
+    try:
+        return {"jsonrpc": "2.0", "id": own, "result": METHODS[name](session, params or {})}
+    except TypeError as e:
+        return _failure(BAD_PARAMS, str(e), own)
+    except Exception as e:
+        return _failure(INTERNAL, f"{type(e).__name__}: {e}"[:1000], own)
 
 
 def serve(session: Session, requests: IO[str], responses: IO[str]) -> None:
@@ -136,22 +178,56 @@ def serve(session: Session, requests: IO[str], responses: IO[str]) -> None:
             responses.flush()
 
 
-def http_server(session: Session, port: int = 0, host: str = "127.0.0.1", path: str = "/mcp") -> HTTPServer:
-    """A server that answers POSTed requests one at a time; start it with ``serve_forever``."""
+def http_server(session: Session, port: int = 0, host: str = "127.0.0.1", secret: str | None = None) -> HTTPServer:
+    """A server to start with ``serve_forever``: requests are POSTed to /, /mcp or /messages, /health answers, and /sse names
+    the place to POST to. With a ``secret`` all paths stand below it and others aren't found. Tools run one at a time."""
+    prefix, lock = f"/{secret}" if secret else "", threading.Lock()
 
     class Handler(BaseHTTPRequestHandler):
-        def do_POST(self) -> None:
-            if self.path != path:
-                return self.send_error(404)
-            reply = answer(session, self.rfile.read(int(self.headers.get("Content-Length") or 0)).decode("utf-8", "replace"))
-            body = b"" if reply is None else json.dumps(reply).encode()
-            self.send_response(202 if reply is None else 200)
-            self.send_header("Content-Type", "application/json")
+        def place(self) -> str | None:
+            path = self.path.split("?")[0]
+            return (path[len(prefix) :] or "/") if path == prefix or path.startswith(f"{prefix}/") or not prefix else None
+
+        def reply(self, status: int, body: bytes = b"", kind: str = "application/json") -> None:
+            self.send_response(status)
+            self.send_header("Content-Type", kind)
             self.send_header("Content-Length", str(len(body)))
             self.end_headers()
             self.wfile.write(body)
 
+        def do_OPTIONS(self) -> None:
+            self.reply(204 if self.place() else 404)
+
+        def do_GET(self) -> None:
+            at = self.place()
+            if at in ("/", "/health"):
+                self.reply(200, b'{"status": "ok", "server": "lumberline"}')
+            elif at == "/sse":
+                self.reply(200, f"event: endpoint\r\ndata: {prefix}/messages\r\n\r\n".encode(), "text/event-stream")
+            else:
+                self.reply(404)
+
+        def do_POST(self) -> None:
+            if self.place() not in ("/", "/mcp", "/messages"):
+                return self.reply(404)
+            length = self.headers.get("Content-Length") or ""
+            if not length.isascii() or not length.isdigit():
+                return self.reply(411)
+            if int(length) > LARGEST_REQUEST:
+                return self.reply(413)
+            text = self.rfile.read(int(length)).decode("utf-8", "replace")
+            with lock:
+                found = answer(session, text)
+            self.reply(202) if found is None else self.reply(200, json.dumps(found).encode())
+
+        def do_PUT(self) -> None:
+            self.reply(405)
+
+        do_DELETE = do_PATCH = do_PUT
+
         def log_message(self, *_args) -> None:
             return
 
-    return HTTPServer((host, port), Handler)
+    server = ThreadingHTTPServer((host, port), Handler)
+    server.daemon_threads = True
+    return server
