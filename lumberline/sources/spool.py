@@ -16,7 +16,10 @@ _scopes = threading.local()
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where that is unset, on a local master only, a temporary folder."""
+    """``spark.checkpoint.dir``; where that is unset, on a local master only, a temporary folder. Inside ``spooling_in`` the
+    folder that was given."""
+    if (own := getattr(_scopes, "folder", None)) is not None:
+        return own
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder is None:
@@ -73,15 +76,21 @@ def undone_if_failed() -> Iterator[None]:
             outer += own
 
 
-def kept(paths: list[str]) -> None:
-    """These folders stay when the driver ends."""
-    _written[:] = [e for e in _written if e[1] not in paths]
+@contextlib.contextmanager
+def spooling_in(folder: str) -> Iterator[None]:
+    """What this thread writes inside goes to a folder of the caller's, which all executors must see."""
+    outer = getattr(_scopes, "folder", None)
+    _scopes.folder = folder
+    try:
+        yield
+    finally:
+        _scopes.folder = outer
 
 
-def folders(df: DataFrame) -> list[str]:
-    """The written folders that a table reads, as they were written."""
-    names = {f.rsplit("/", 1)[0].rsplit("/", 1)[-1] for f in df.inputFiles()}
-    return sorted(e[1] for e in _written if e[1].rsplit("/", 1)[-1] in names)
+def kept(paths: list[str]) -> None:
+    """These folders stay when the driver ends, and what is released doesn't include them."""
+    names = {p.rsplit("/", 1)[-1] for p in paths}
+    _written[:] = [e for e in _written if e[1].rsplit("/", 1)[-1] not in names]
 
 
 def release(df: DataFrame) -> None:

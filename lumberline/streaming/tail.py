@@ -4,70 +4,89 @@ from __future__ import annotations
 
 import os
 import zlib
+from dataclasses import dataclass
 from typing import BinaryIO
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..functions.timefmt import Family, epoch_ms
 from ..operators.ingest import AnalysedLog, ParsingConfig, analyse, append
-from ..sources.spool import spooled
-from ..sources.text import FileChange, FileState
+from ..sources.spool import undone_if_failed
+from ..sources.text import RANGE_BYTES, FileChange, FileState, decoded, numbered, range_lines
+from ..sources.versions import LogFolder
 
-#: Bytes of a file that one batch reads, and bytes before an offset that are checked.
-STEP_BYTES, SEEN_BYTES = 32 << 20, 1 << 16
-SCHEMA = StructType([StructField("doc_id", StringType()), StructField("line_no", LongType()), StructField("text", StringType())])
+#: Bytes before an offset that are checked.
+SEEN_BYTES = 1 << 16
+SCHEMA = StructType([StructField("doc_id", StringType()), StructField("block", LongType()), StructField("nth", LongType()), StructField("text", StringType())])
 
 
-class TailReader(SimpleDataSourceStreamReader):
-    """Whole lines between two offsets; an unfinished last line is held back. A batch reads ``STEP_BYTES`` at most. A file
-    that shrinks, or whose bytes before an offset are others than when they were read, raises: it has to be read anew, with
-    a new checkpoint. (Offsets carry a checksum of the last ``SEEN_BYTES`` before them; an edit further up isn't seen.)"""
+@dataclass
+class ByteRange(InputPartition):
+    """Lines that begin from byte ``lo`` up to ``hi``; the batch begins at ``start``, with a line."""
 
-    def __init__(self, path: str):
-        self.path = path
+    start: int
+    lo: int
+    hi: int
 
-    def initialOffset(self) -> dict:
-        return {"byte": 0, "line": 0, "seen": 0}
 
-    def _lines(self, start: dict, stop: int | None) -> tuple[list[tuple], dict]:
-        size = os.path.getsize(self.path)
-        if size < start["byte"]:
-            raise ValueError(f"{self.path} has shrunk; a full reload is required")
-        with open(self.path, "rb") as f:
-            if self._seen(f, start["byte"]) != start["seen"]:
-                raise ValueError(f"{self.path} was modified in place; a full reload is required")
-            f.seek(start["byte"])
-            limit = (stop or size) - start["byte"]
-            data = f.read(limit if stop else min(limit, STEP_BYTES))
-            while not stop and b"\n" not in data and len(data) < limit:  # a line longer than a step
-                data += f.read(min(limit - len(data), STEP_BYTES))
-            data = data[: data.rfind(b"\n") + 1]
-            seen = self._seen(f, start["byte"] + len(data))
-        texts = [x.rstrip(b"\r").decode("utf-8", "replace") for x in data.split(b"\n")[:-1]]
-        rows = [(self.path, start["line"] + i, t) for i, t in enumerate(texts)]
-        return rows, {"byte": start["byte"] + len(data), "line": start["line"] + len(texts), "seen": seen}
+class TailReader(DataSourceStreamReader):
+    """Whole lines between two byte offsets, read by as many tasks as there are ranges of bytes; an unfinished last line is
+    held back. The driver reads no more than the end of the file and the bytes that it checks: a file that shrinks, or whose
+    bytes before an offset are others than when they were read, raises, as it has to be read anew with a new checkpoint.
+    (Offsets carry a checksum of the last ``SEEN_BYTES`` before them; an edit further up isn't seen.)"""
+
+    def __init__(self, path: str, range_bytes: int):
+        self.path, self.range_bytes = path, range_bytes
+
+    def initialOffset(self) -> dict:
+        return {"byte": 0, "seen": 0}
 
     @staticmethod
     def _seen(f: BinaryIO, at: int) -> int:
         f.seek(max(0, at - SEEN_BYTES))
         return zlib.crc32(f.read(min(at, SEEN_BYTES)))
 
-    def read(self, start: dict):
-        rows, end = self._lines(start, None)
-        return iter(rows), end
+    @staticmethod
+    def _last_end(f: BinaryIO, size: int) -> int:
+        """The byte after the last line feed."""
+        at = size
+        while at > 0:
+            lo = max(0, at - SEEN_BYTES)
+            f.seek(lo)
+            found = f.read(at - lo).rfind(b"\n")
+            if found >= 0:
+                return lo + found + 1
+            at = lo
+        return 0
+
+    def latestOffset(self) -> dict:
+        size = os.path.getsize(self.path)
+        with open(self.path, "rb") as f:
+            end = self._last_end(f, size)
+            return {"byte": end, "seen": self._seen(f, end)}
 
-    def readBetweenOffsets(self, start: dict, end: dict):
-        return iter(self._lines(start, end["byte"])[0])
+    def partitions(self, start: dict, end: dict) -> list[ByteRange]:
+        a, b = start["byte"], end["byte"]
+        if b < a or os.path.getsize(self.path) < b:
+            raise ValueError(f"{self.path} has shrunk; a full reload is required")
+        with open(self.path, "rb") as f:
+            if self._seen(f, a) != start["seen"]:
+                raise ValueError(f"{self.path} was modified in place; a full reload is required")
+        return [ByteRange(a, lo, min(b, lo + self.range_bytes)) for lo in range(a, b, self.range_bytes)]
 
-    def partitions(self, start: dict, end: dict):
-        return [InputPartition(0)]
+    def read(self, partition: ByteRange):
+        lines = range_lines(self.path, partition.start, partition.lo, partition.hi)
+        n = len(lines)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([self.path] * n), pa.array([partition.lo] * n, pa.int64()), pa.array(range(n), pa.int64()), decoded(lines)], [f.name for f in SCHEMA])
 
 
 class TailSource(DataSource):
-    """``spark.readStream.format("lumberline-tail").option("path", ...)``"""
+    """``spark.readStream.format("lumberline-tail").option("path", ...).option("range_bytes", ...)``"""
 
     @classmethod
     def name(cls) -> str:
@@ -76,14 +95,15 @@ class TailSource(DataSource):
     def schema(self) -> StructType:
         return SCHEMA
 
-    def simpleStreamReader(self, schema: StructType) -> TailReader:
-        return TailReader(self.options["path"])
+    def streamReader(self, schema: StructType) -> TailReader:
+        return TailReader(self.options["path"], int(self.options.get("range_bytes", RANGE_BYTES)))
 
 
-def tail(spark: SparkSession, path: str) -> DataFrame:
-    """A stream of (doc_id, line_no, text) of a growing local file."""
+def tail(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """A stream of (doc_id, block, nth, text) of a growing file that all executors see: the range of bytes that a line begins
+    in, by its first byte, and the line's place there. ``numbered`` makes numbers of them in a batch."""
     spark.dataSource.register(TailSource)
-    return spark.readStream.format(TailSource.name()).option("path", path).load()
+    return spark.readStream.format(TailSource.name()).option("path", path).option("range_bytes", range_bytes).load()
 
 
 def check_change(path: str, before: FileState) -> FileChange:
@@ -101,25 +121,35 @@ def minute_counts(stream: DataFrame, family: Family, watermark: str = "10 minute
 
 
 class TailAnalysis:
-    """A log that a stream of its lines keeps adding to.
-
-    Use with ``writeStream.foreachBatch(analysis.batch)``. The first batch is analysed like a file (format, time family,
-    header, templates) unless a ``log`` is given; every further one is appended: parsed, filled on from the last time and
-    mined on in parallel from the clusters that are known, so templates are those of one load of all lines. Batches are
-    written to the shared folder; the driver keeps plans only. A batch that comes again after a restart is left out.
+    """A log that a stream of its lines keeps adding to, in a folder of versions.
+
+    Use with ``tail(...)`` and ``writeStream.foreachBatch(analysis.batch)``. The first batch with lines is analysed like a file
+    (format, time family, header, templates); every further one is appended: numbered, parsed, filled on from the last time
+    and mined on in parallel from the clusters and children that are known, so templates are those of one load of all lines.
+    All state is in the folder's last version, with the batch that made it: a restarted query goes on from there, a batch
+    that comes again is left out, one that was cut short left nothing, and readers see whole batches only. The driver keeps no
+    plans. Work follows a batch's lines, and the tables of templates and chunks.
     """
 
-    def __init__(self, config: ParsingConfig = ParsingConfig(), log: AnalysedLog | None = None, **more):
-        self.config, self.log, self.more = config, log, more
-        self.lines = log.lines.count() if log else 0
-
-    def batch(self, df: DataFrame, _batch_id: int) -> None:
-        new = df.where(F.col("line_no") >= self.lines)
-        if "n_bytes" not in df.columns:
-            new = new.withColumn("n_bytes", F.octet_length("text"))
-        new = spooled(new)
-        n = new.agg(F.max("line_no")).first()[0]
-        if n is None:
+    def __init__(self, spark: SparkSession, folder: str, config: ParsingConfig = ParsingConfig(), keep: int = 3, **more):
+        self.versions, self.config, self.keep, self.more = LogFolder(spark, folder, **{k: v for k, v in more.items() if k == "formats"}), config, keep, more
+
+    def batch(self, df: DataFrame, batch_id: int) -> None:
+        known = self.versions.versions()
+        log, note = self.versions.open() if known else (None, {"batch": -1})
+        if batch_id <= note["batch"]:
             return
-        self.log = append(self.log, new) if self.log else analyse(new, self.config, **self.more)
-        self.lines = n + 1
+        first = log.stored.count() if log else 0
+        with self.versions.writing(), undone_if_failed():
+            lines = numbered(df, first)
+            if lines.limit(1).count() == 0:
+                return
+            now = append(log, lines) if log else analyse(lines, self.config, **self.more)
+            self.versions.commit(now, {"batch": batch_id}, known[-1] if known else 0)
+        if len(known) > 2 * self.keep:
+            self.versions.clean(self.keep)
+
+    @property
+    def log(self) -> AnalysedLog | None:
+        """The log as the last batch left it."""
+        return self.versions.open()[0] if self.versions.versions() else None

@@ -5,9 +5,10 @@ from pyspark.sql import functions as F
 
 from lumberline.functions.timefmt import CustomFormat, parse_time_param
 from lumberline.operators import analysis, search, sequence
-from lumberline.operators.ingest import open_log
+from lumberline.operators.ingest import open_log, refreshed
 from lumberline.session import NO_LOG, SavedFilter, Session, Store, ToolError
-from lumberline.sources.text import FileChange, FileState, forward_filled, ios_log, read_lines
+from lumberline.sources.text import FileChange, FileState, forward_filled, ios_log, lines_from, read_lines
+from lumberline.sources.versions import Conflict, LogFolder
 from lumberline.streaming.tail import TailAnalysis, TailReader, check_change, tail
 
 
@@ -177,26 +178,45 @@ def test_durations_and_axis(spark):
     assert sequence.caption(5, False) == "~line 5" and sequence.caption(0) == "1970-01-01 00:00:00.000"
 
 
-def test_tail(spark, tmp_path):
+def told(reader, start, end):
+    return [x.as_py() for p in reader.partitions(start, end) for b in reader.read(p) for x in b.column("text")]
+
+
+@pytest.mark.parametrize("range_bytes", [1, 3, 1 << 20])
+def test_tail(spark, tmp_path, range_bytes):
     path = tmp_path / "t.log"
-    path.write_text("one\ntwo\npart")
-    reader = TailReader(str(path))
-    rows, end = reader.read(reader.initialOffset())
-    assert [r[2] for r in rows] == ["one", "two"] and (end["byte"], end["line"]) == (8, 2)
+    path.write_text("one\ntwo\n\r\npart")
+    reader = TailReader(str(path), range_bytes)
+    start, end = reader.initialOffset(), reader.latestOffset()
+    assert told(reader, start, end) == ["one", "two", ""] and end["byte"] == 10
+    assert len(reader.partitions(start, end)) == -(-10 // range_bytes) and reader.partitions(end, end) == []
     state = FileState.of(str(path))
     with path.open("a") as f:
         f.write("ial\nnext\n")
     assert check_change(str(path), state) is FileChange.APPENDED
-    rows, end = reader.read(end)
-    assert [(r[1], r[2]) for r in rows] == [(2, "partial"), (3, "next")]
+    more = reader.latestOffset()
+    assert told(reader, end, more) == ["partial", "next"]
     path.write_text(path.read_text().replace("two", "TWO") + "more\n")
     with pytest.raises(ValueError, match="modified in place"):
-        reader.read(end)
+        reader.partitions(more, reader.latestOffset())
     path.write_text("x\n")
     with pytest.raises(ValueError, match="shrunk"):
-        reader.read(end)
+        reader.partitions(more, reader.latestOffset())
     with pytest.raises(ValueError):
         check_change(str(path), state)
+    path.write_text("y" * 200_000)
+    assert reader.latestOffset()["byte"] == 0
+
+
+def test_parts_of_a_file(spark, tmp_path):
+    path = tmp_path / "p.log"
+    lines = [f"line {i}" + "z" * (i % 13) for i in range(200)] + ["", "last"]
+    path.write_bytes("\r\n".join(lines).encode())
+    size, start = path.stat().st_size, len("\r\n".join(lines[:50])) + 2
+    for range_bytes in (7, 64, 10**6):
+        got = lines_from(spark, str(path), start, 50, size, "d", range_bytes).orderBy("line_no").collect()
+        assert [(r["doc_id"], r["line_no"], r["text"], r["n_bytes"]) for r in got] == [("d", 50 + i, x, len(x)) for i, x in enumerate(lines[50:])]
+    assert lines_from(spark, str(path), size, 9, size).count() == 0
 
 
 def numbered(i, what):
@@ -209,16 +229,26 @@ def test_tail_equals_one_load(spark, tmp_path):
     path, whole = tmp_path / "s.log", tmp_path / "whole.log"
     whole.write_text("".join(lines))
     path.write_text("".join(lines[:40]))
-    follower = TailAnalysis()
-    query = tail(spark, str(path)).writeStream.foreachBatch(follower.batch).option("checkpointLocation", str(tmp_path / "cp")).start()
-    try:
-        query.processAllAvailable()
-        for part in (lines[40:41], lines[41:120]):
-            with path.open("a") as f:
-                f.write("".join(part))
+    follower = TailAnalysis(spark, str(tmp_path / "log"), keep=2)
+
+    def run(analysis):
+        query = tail(spark, str(path), 200).writeStream.foreachBatch(analysis.batch).option("checkpointLocation", str(tmp_path / "cp")).start()
+        try:
             query.processAllAvailable()
-    finally:
-        query.stop()
+        finally:
+            query.stop()
+
+    assert follower.log is None
+    run(follower)
+    early = follower.log
+    for part in (lines[40:41], lines[41:90], lines[90:119], lines[119:]):
+        with path.open("a") as f:
+            f.write("".join(part))
+        follower = TailAnalysis(spark, str(tmp_path / "log"), keep=2)  # a new driver, which knows the folder only
+        run(follower)
+    assert early.lines.count() == 40 and early.templates.agg(F.sum("count")).first()[0] == 40  # readers keep their version
+    follower.batch(early.lines.limit(1), 0)  # a batch that comes again
+    assert len(follower.versions.versions()) == 5
     once = open_log(spark, str(whole))
     got, want = ([(r["line_no"], r["ts_ms"], r["template_id"]) for r in log.lines.orderBy("line_no").collect()] for log in (follower.log, once))
     assert got == want
@@ -226,6 +256,38 @@ def test_tail_equals_one_load(spark, tmp_path):
     assert got == want
 
 
+def test_versions_of_a_log(spark, tmp_path, monkeypatch):
+    path = tmp_path / "v.log"
+    path.write_text("".join(numbered(i, f"job {i} done") for i in range(30)))
+    folder = LogFolder(spark, str(tmp_path / "versions"))
+    with pytest.raises(FileNotFoundError):
+        folder.open()
+    custom = (CustomFormat("own", r"(?P<year>\d+)/(?P<month>\d+)/(?P<day>\d+) (?P<hour>\d+):(?P<min>\d+):(?P<sec>\d+)"),)
+    with folder.writing():
+        log = open_log(spark, str(path), custom=custom)
+    assert folder.commit(log, {"who": "me"}) == 1
+    same = lambda x: sorted(tuple(r) for r in x.lines.collect()) + sorted(tuple(r) for r in x.templates.collect())
+    again, note = LogFolder(spark, str(tmp_path / "versions")).open()
+    assert note == {"who": "me"} and same(again) == same(log)
+    assert (again.fmt, again.family, again.header, again.custom, again.config, again.state) == (log.fmt, log.family, log.header, custom, log.config, log.state)
+    with path.open("a") as f:
+        f.write(numbered(30, "disk 7 full"))
+    with folder.writing():
+        grown = refreshed(spark, again)
+    with pytest.raises(Conflict):
+        folder.commit(grown, after=0)
+    assert folder.versions() == [1] and same(folder.open()[0]) == same(log)
+    assert folder.commit(grown) == 2 and folder.open()[0].stored.count() == 31 and folder.open(1)[0].stored.count() == 30
+    # an append that is killed while it writes leaves files, but no version
+    before = same(folder.open()[0])
+    with folder.writing():
+        monkeypatch.setattr(LogFolder, "commit", lambda *_a, **_k: pytest.fail("killed"))
+        refreshed(spark, folder.open(1)[0])
+    assert folder.versions() == [1, 2] and same(folder.open()[0]) == before
+    dropped = folder.clean(1)
+    assert dropped and folder.versions() == [2] and same(folder.open()[0]) == before and folder.clean(1) == []
+
+
 def test_refresh_of_a_session(spark, tmp_path):
     path = tmp_path / "r.log"
     path.write_text("".join(numbered(i, f"tick {i}") for i in range(30)))
