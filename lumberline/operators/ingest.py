@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 from ..functions.formats import FORMATS, PLAIN, LogFormat, detect_format, learn_header, normalized
 from ..functions.masking import MaskConfig
-from ..functions.timefmt import CustomFormat, Family, epoch_ms, least_hits, without_time
+from ..functions.timefmt import CustomFormat, Family, epoch_ms, least_hits, parse, without_time
 from ..sources.spool import release, spooled
 from ..sources.stored import StoredLines, completed, store
-from ..sources.text import FileChange, FileState, lines_from, read_lines
+from ..sources.text import FileChange, FileState, first_lines, lines_from, read_lines
 from .mining import DrainConfig, Mined, mine_keyed, template_counts, with_keys
 from .search import trimmed
 
@@ -84,10 +84,13 @@ class AnalysedLog:
             self.mined.release()
 
 
-def head_of(lines: DataFrame, config: ParsingConfig) -> tuple[list[str], list[str]]:
-    """(the first 512 lines that aren't blank, the lines that the header is learnt from), as texts."""
+def head_of(lines: DataFrame, config: ParsingConfig, path: str | None = None) -> tuple[list[str], list[str]]:
+    """(the first 512 lines that aren't blank, the lines that the header is learnt from), as texts; with the ``path`` of the
+    only file that they are of, from its first bytes."""
     first = max(HEAD_LINES, config.header_sample_lines)
-    rows = lines.where(F.col("line_no") < first).orderBy("line_no").select("line_no", "text").collect()
+    rows = first_lines(lines.sparkSession, path, first) if path else None
+    if rows is None:
+        rows = lines.where(F.col("line_no") < first).orderBy("line_no").select("line_no", "text").collect()
     sample = [r["text"] for r in rows if (r["text"] or "").strip(" ")][:SAMPLE_LINES]
     if len(sample) < SAMPLE_LINES and len(rows) == first:  # many blank lines: look at all
         found = lines.where(F.trim("text") != "").orderBy("line_no").limit(SAMPLE_LINES).select("text").collect()
@@ -95,6 +98,23 @@ def head_of(lines: DataFrame, config: ParsingConfig) -> tuple[list[str], list[st
     return sample, [r["text"] for r in rows if r["line_no"] < config.header_sample_lines and r["text"] is not None]
 
 
+def time_family(sample: list[str], families: tuple[Family, ...], custom: tuple[CustomFormat, ...], now: date | None = None) -> Family | CustomFormat | None:
+    """``detect_time`` of a few texts, on the driver."""
+
+    def has(text: str, candidate: Family | CustomFormat) -> bool:
+        if isinstance(candidate, Family):
+            return parse(text, candidate, now) is not None
+        try:
+            return candidate.components(text) is not None
+        except ValueError:
+            return False
+
+    candidates = (*families, *custom)
+    hits = [sum(has(x, c) for x in sample) for c in candidates]
+    best = max(range(len(candidates)), key=lambda i: (hits[i], -i), default=None)
+    return candidates[best] if sample and best is not None and hits[best] >= least_hits(len(sample)) else None
+
+
 def detect_time(sample: DataFrame, families: tuple[Family, ...], custom: tuple[CustomFormat, ...], now: date | None = None) -> Family | CustomFormat | None:
     """What most of the sampled lines have: families before custom formats, earlier before later among equals."""
     candidates = (*families, *custom)
@@ -123,21 +143,21 @@ def _rest(text: Column, ts: Column, fmt: LogFormat, family: Family | CustomForma
 
 
 def analyse(
-    lines: DataFrame, config: ParsingConfig = ParsingConfig(), custom: tuple[CustomFormat, ...] = (), path: str = "", state: FileState | None = None, formats: tuple[LogFormat, ...] = FORMATS, families: tuple[Family, ...] = (), enter: Callable[[str], None] = lambda phase: None
+    lines: DataFrame, config: ParsingConfig = ParsingConfig(), custom: tuple[CustomFormat, ...] = (), path: str = "", state: FileState | None = None, formats: tuple[LogFormat, ...] = FORMATS, families: tuple[Family, ...] = (), enter: Callable[[str], None] = lambda phase: None, one_file: bool = False
 ) -> AnalysedLog:
     """Analyse ``lines`` (doc_id, line_no, text, n_bytes) of one log. ``formats`` are tried before plain text; ``families``
-    are further families of plain lines. ``enter`` is called with the name of each phase as it begins.
+    are further families of plain lines. ``enter`` is called with the name of each phase as it begins. With ``one_file`` the lines are those of the file ``path``.
 
     Format, family and header come from the first lines (512 that aren't blank, and 200). Lines are normalised in one
     Arrow-batched pass, and written; templates are mined from numbers and contents, in parallel; then lines, filled times and
     templates are written once, in order, and all queries of the result read that.
     """
     enter("sampling")
-    sample, head = head_of(lines, config)
+    sample, head = head_of(lines, config, path if one_file else None)
     spark = lines.sparkSession
     table = spark.createDataFrame([(x,) for x in sample], "text string")
     fmt = detect_format(table, formats)
-    family = detect_time(table, (*fmt.families, *families) if fmt is PLAIN else fmt.families, custom, config.now)
+    family = time_family(sample, (*fmt.families, *families) if fmt is PLAIN else fmt.families, custom, config.now)
     header: tuple[str | None, ...] = ()
     rest = untimed(F.col("text"), fmt, family, config.now)
     if fmt is PLAIN and head:
@@ -155,7 +175,7 @@ def _mined_and_stored(done: DataFrame, config: ParsingConfig, before: Mined | No
     enter("writing")
     own = store(completed(keyed.select(*done.columns), found.births, start))
     release(keyed)
-    release(found.births)
+    release(found.found)
     return found, own
 
 
@@ -205,4 +225,4 @@ def refreshed(spark: SparkSession, log: AnalysedLog) -> AnalysedLog:
 def open_log(spark: SparkSession, path: str, config: ParsingConfig = ParsingConfig(), custom: tuple[CustomFormat, ...] = (), **more) -> AnalysedLog:
     """Read and analyse one log file of any extension (``more``: parameters of ``analyse``)."""
     state = FileState.of(path) if os.path.exists(path) else None
-    return analyse(read_lines(spark, path), config, custom, path, state, **more)
+    return analyse(read_lines(spark, path), config, custom, path, state, one_file=os.path.isfile(path), **more)

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
 from ..functions.masking import SPACE, split_tokens
 from ..sources.spool import release, spooled
@@ -120,16 +120,53 @@ def with_keys(lines: DataFrame, config: DrainConfig) -> DataFrame:
     return rows.select(*lines.columns, *[F.when(F.size(t) > 0, k).alias(f"__k{i}") for i, k in enumerate(keys)])
 
 
+CHILD = StructType([StructField("level", IntegerType()), StructField("path", StringType()), StructField("key", StringType()), StructField("first", LongType())])
+#: Paths of keys (and children known before) up to which the driver goes through the levels: a few MB.
+FEW_PATHS = 20_000
+
+
+def few_levels(paths: list[tuple], config: DrainConfig, before: list[tuple]) -> tuple[list[tuple], list[tuple]]:
+    """What ``route`` gives, of few paths (doc_id, key, ..., first line): rows of leaves, and of children."""
+    rows = [(*p[:-1], "", False) for p in paths]
+    firsts, kept = [p[-1] for p in paths], []
+    for level in range(config.depth - 1):
+        first: dict[tuple, int] = {(d, path, key): n for d, at, path, key, n in before if at == level}
+        for r, n in zip(rows, firsts):
+            node = (r[0], r[-2], r[1 + level])
+            first[node] = min(n, first.get(node, n))
+        own: dict[tuple, int] = {}
+        held = set()
+        for node, n in sorted(first.items(), key=lambda x: x[1]):
+            own[node[:2]] = own.get(node[:2], 0) + 1
+            if own[node[:2]] <= config.max_children:
+                held.add(node)
+                kept.append((node[0], level, node[1], node[2], n))
+        for i, r in enumerate(rows):
+            key = r[1 + level]
+            there = (r[0], r[-2], key) in held or key == "*"
+            leaf = f"{r[-2]}\u0001{key if there else '*'}"
+            rows[i] = (*r[:-2], leaf, r[-1] or (level > 0 and not there))
+    return rows, kept
+
+
 def route(keyed: DataFrame, config: DrainConfig, before: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """The leaf of each path of keys (doc_id, __k0, ..., leaf, overflow), and of each level the children that nodes keep
     (doc_id, level, path, key, first). Both are written.
 
     At each level a node keeps its first ``max_children`` keys, by first occurrence; later ones share "*". Lines are read
     once, for the first occurrence of each path; the levels work on that table alone, and ranking stops at the limit inside
-    each task. ``before`` are the children kept of earlier lines.
+    each task. Few paths are gone through on the driver. ``before`` are the children kept of earlier lines.
     """
     names = [c for c in keyed.columns if c.startswith("__k")]
+    kinds = keyed.select("doc_id", *names).schema
     paths = spooled(keyed.where(F.col("__k0").isNotNull()).groupBy("doc_id", *names).agg(F.min("line_no").alias("__first")))
+    if paths.limit(FEW_PATHS + 1).count() <= FEW_PATHS and (before is None or before.limit(FEW_PATHS + 1).count() <= FEW_PATHS):
+        rows, kept = few_levels([tuple(r) for r in paths.collect()], config, [tuple(r) for r in before.collect()] if before is not None else [])
+        release(paths)
+        spark = keyed.sparkSession
+        leaves = StructType([*kinds.fields, StructField("leaf", StringType()), StructField("overflow", BooleanType())])
+        known = StructType([kinds["doc_id"], *CHILD.fields])
+        return spark.createDataFrame(rows, leaves).coalesce(1), spooled(spark.createDataFrame(kept, known).coalesce(1))
     out, children, written = paths.withColumns({"leaf": F.lit(""), "overflow": F.lit(False)}), None, [paths]
     for i, name in enumerate(names):
         key = F.col(name)
@@ -247,15 +284,22 @@ def replay(routed: DataFrame, config: DrainConfig, stops: DataFrame | None = Non
 
 @dataclass(frozen=True)
 class Mined:
-    """What mining has found: ``births`` (doc_id, line_no, template_id) of the lines that have tokens, and what later lines
-    need. ``clusters``: doc_id, leaf, birth, template, size, nth; ``children``: those that nodes keep; ``blanks``: lines of the
-    blank template by document. All are written; ``release`` deletes them."""
+    """What mining has found: ``found`` (doc_id, line_no, birth) of the lines, and what later lines need. ``clusters``: doc_id,
+    leaf, birth, template, size, nth; ``children``: those that nodes keep; ``blanks``: lines of the blank template by document.
+    All are written; ``release`` deletes them."""
 
-    births: DataFrame
+    found: DataFrame
     clusters: DataFrame
     children: DataFrame
     blanks: DataFrame
 
+    @property
+    def births(self) -> DataFrame:
+        """doc_id, line_no, template_id of the lines that are in a cluster."""
+        numbers = self.clusters.select(F.col("doc_id").alias("__d"), F.col("birth").alias("__b"), F.col("nth").cast("int").alias("template_id"))
+        same = F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("birth") == F.col("__b"))
+        return self.found.where("line_no is not null and birth is not null").join(numbers, same).select("doc_id", "line_no", "template_id")
+
     @property
     def templates(self) -> DataFrame:
         """doc_id, template_id, pattern, count, example_line; template ids follow the order of birth in each document."""
@@ -269,7 +313,7 @@ class Mined:
         return joined.select(*lines.columns, F.coalesce("template_id", F.lit(0)).alias("template_id"))
 
     def release(self) -> None:
-        for table in (self.births, self.clusters, self.children, self.blanks):
+        for table in (self.found, self.clusters, self.children, self.blanks):
             release(table)
 
 
@@ -306,16 +350,14 @@ def mine_keyed(keyed: DataFrame, config: DrainConfig = DrainConfig(), before: Mi
         release(found)
         release(clusters)
         found, clusters = again, ranked(again)
-    numbers = clusters.select(F.col("doc_id").alias("__d"), F.col("birth").alias("__b"), F.col("nth").cast("int").alias("template_id"))
-    births = found.where("line_no is not null and birth is not null").join(numbers, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("birth") == F.col("__b"))).select("doc_id", "line_no", "template_id")
-    births = spooled(births)
-    blanks = keyed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("count")).union(births.groupBy("doc_id").agg((-F.count(F.lit(1))).alias("count")))
+    joined = found.where("line_no is not null and birth is not null").groupBy("doc_id").agg((-F.count(F.lit(1))).alias("count"))
+    blanks = keyed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("count")).union(joined)
     if before:
         blanks = blanks.union(before.blanks)
     blanks = spooled(blanks.groupBy("doc_id").agg(F.sum("count").alias("count")))
-    for table in (leaves, found, *([keyed] if own else [])):
+    for table in (leaves, *([keyed] if own else [])):
         release(table)
-    return Mined(births, clusters, children, blanks)
+    return Mined(found, clusters, children, blanks)
 
 
 def mine(lines: DataFrame, config: DrainConfig = DrainConfig()) -> tuple[DataFrame, DataFrame]:

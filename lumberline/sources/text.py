@@ -36,6 +36,13 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return numbered.select("doc_id", (F.col("start") + F.col("id") - F.col("first")).alias("line_no"), "text", F.octet_length("text").alias("n_bytes"))
 
 
+def first_lines(spark: SparkSession, path: str, n: int) -> list[dict] | None:
+    """The first ``n`` lines of one file ({"line_no", "text"}), from its first split alone; None if that has fewer."""
+    split = spark.read.text(path, lineSep="\n").where("_metadata.file_block_start = 0")
+    rows = split.select(F.regexp_replace("value", "\r+$", "").alias("text")).limit(n).collect()
+    return [{"line_no": i, "text": r["text"]} for i, r in enumerate(rows)] if len(rows) == n else None
+
+
 #: Bytes of a file that one task reads when a part of it is read.
 RANGE_BYTES = 32 << 20
 

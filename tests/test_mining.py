@@ -1,7 +1,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from lumberline.operators import mining
 from lumberline.operators.mining import DrainConfig, mine, mine_in_order
 
 
@@ -12,8 +14,10 @@ def run(spark, contents, config):
     return ids, [r["pattern"] for r in templates.orderBy("template_id").collect()], {r["template_id"]: r["count"] for r in templates.collect()}
 
 
+@pytest.mark.parametrize("few", [0, 20_000])
 @pytest.mark.parametrize("seed", range(6))
-def test_parallel_mining_equals_the_tree(spark, seed):
+def test_parallel_mining_equals_the_tree(spark, seed, few, monkeypatch):
+    monkeypatch.setattr(mining, "FEW_PATHS", few)
     rng = random.Random(seed)
     words = ["a", "b", "c", "d", "*", "<*>", "e1", "f2"]
     contents = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 5))) for _ in range(300)]
@@ -37,3 +41,39 @@ def test_documents_are_mined_apart(spark):
     df = spark.createDataFrame([("x", 0, "a b"), ("y", 0, "c d"), ("y", 1, "a b")], "doc_id string, line_no bigint, content string")
     got = {(r["doc_id"], r["line_no"]): r["template_id"] for r in mine(df)[0].collect()}
     assert got == {("x", 0): 1, ("y", 0): 1, ("y", 1): 2}
+
+
+@pytest.mark.parametrize("few", [0, 20_000])
+def test_mining_on_equals_one_run(spark, few, monkeypatch):
+    monkeypatch.setattr(mining, "FEW_PATHS", few)
+    rng = random.Random(11)
+    contents = [" ".join(rng.choice("abcdefgh*") for _ in range(rng.randint(0, 4))) for _ in range(240)]
+    config = DrainConfig(max_children=3)
+    want, patterns = mine_in_order(contents, config)
+    rows = lambda lo, hi: spark.createDataFrame([("d", i, contents[i]) for i in range(lo, hi)], "doc_id string, line_no bigint, content string")
+    before, births = None, {}
+    for lo, hi in ((0, 50), (50, 51), (51, 240)):
+        before = mining.mine_on(rows(lo, hi), config, before)
+        births |= {r["line_no"]: r["template_id"] for r in before.births.collect()}
+    assert [births.get(i, 0) for i in range(240)] == want
+    got = {r["template_id"]: (r["pattern"], r["count"]) for r in before.templates.collect()}
+    assert got == {i: (p, want.count(i)) for i, p in enumerate(patterns)}
+
+
+def test_lines_are_read_twice_and_evaluated_once(spark):
+    """The table of lines is scanned for the paths and for the replay; routing works on the table of paths alone."""
+    contents = [f"job {i % 9} is {'done' if i % 2 else 'late'}" for i in range(100)]
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(x):
+        calls.add(1)
+        return x
+
+    lines = spark.createDataFrame([("d", i, c) for i, c in enumerate(contents)], "doc_id string, line_no bigint, content string")
+    mining.mine_on(lines.select("doc_id", "line_no", seen("content").alias("content")))
+    assert calls.value == 100
+    keyed = mining.spooled(mining.with_keys(lines, DrainConfig()))
+    leaves, _ = mining.route(keyed, DrainConfig())
+    scans = [x for x in leaves._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Relation" in x]
+    assert len(scans) <= 1 and len(leaves.columns) == 6
