@@ -14,7 +14,8 @@ def connected_components(links: DataFrame, rounds: int = 64) -> DataFrame:
     Alternates large-star and small-star steps until the links no longer change: every component ends as a star around
     its smallest node, in a number of rounds that grows with the logarithm of the size of a component. A node's
     neighbours are never gathered: minima are aggregated and joined back, and each round is spooled to the shared folder.
-    Links from a node to itself, repeated links and links in both directions are allowed; nulls are ignored.
+    Links from a node to itself, repeated links and links in both directions are allowed; nulls are ignored. More rounds than
+    ``rounds`` (enough for any component that a cluster can hold) raise a ``RuntimeError`` rather than give a part.
     """
     edges = spool(links.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
@@ -33,5 +34,7 @@ def connected_components(links: DataFrame, rounds: int = 64) -> DataFrame:
         if digest == before:
             break
         before = digest
+    else:
+        raise RuntimeError(f"components are unfinished after {rounds} rounds; allow more")
     roots = edges.select(F.col("b").alias("node")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots.select("node", F.col("node").alias("component")))

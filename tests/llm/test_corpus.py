@@ -38,6 +38,30 @@ def test_shuffle_is_a_permutation(spark):
     assert sorted(sharding.fisher_yates(50, 1, 2)) == list(range(50))
 
 
+def test_shuffle_like_one_list(spark):
+    """The whole shuffle again on one list: buckets by hash, each sorted and swapped, laid end to end and cut."""
+    rows = ODD + [(i, f"text {i % 7}", "z") for i in range(10, 300)]
+    df = docs(spark, rows)
+    seed, shards, bucket_bytes = 20_240_501, 7, 700
+    hashed = df.select("doc_id", "text", common.seeded_hash(seed, F.col("doc_id"), F.col("text")).alias("h")).collect()
+    size = sum(len((r["text"] or "").encode()) + 8 for r in hashed)
+    buckets = max(1, -(-size // bucket_bytes), common.n_partitions(spark))
+    laid = []
+    for bucket in range(buckets):
+        own = sorted((r for r in hashed if r["h"] % buckets == bucket), key=lambda r: (r["h"], r["doc_id"] is None, r["doc_id"] or 0))
+        draws = np.random.Generator(np.random.PCG64([seed, bucket])).random(len(own))
+        for i in range(len(own) - 1, 0, -1):
+            j = int(draws[i] * (i + 1))
+            own[i], own[j] = own[j], own[i]
+        laid += own
+    want = []
+    for shard in range(shards):
+        first, last = len(laid) * shard // shards, len(laid) * (shard + 1) // shards
+        want += [(r["doc_id"], r["text"], shard, slot) for slot, r in enumerate(laid[first:last])]
+    got = sharding.external_shuffle(df, shards=shards, seed=seed, bucket_bytes=bucket_bytes).orderBy("shuffle_position").collect()
+    assert [(r["doc_id"], r["text"], r["shard"], r["slot"]) for r in got] == want
+
+
 def test_shards_are_written(spark, tmp_path):
     df = docs(spark, [(i, str(i), "z") for i in range(50)])
     sharding.write_shards(sharding.external_shuffle(df, shards=4), str(tmp_path / "out"))
@@ -249,6 +273,8 @@ def test_thresholds_are_the_cheapest():
 def test_components(spark):
     rng = random.Random(1)
     links = [(i, i + 1) for i in range(200)] + [(rng.randint(300, 400), rng.randint(300, 400)) for _ in range(60)] + [(500, 500), (None, 3)]
+    with pytest.raises(RuntimeError):
+        connected_components(spark.createDataFrame(links, "a bigint, b bigint"), rounds=1)
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
     assert all(got[i] == 0 for i in range(201))
     root = {}
