@@ -12,6 +12,7 @@ import threading
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field, replace
 from typing import Any
+from urllib.parse import unquote, urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,9 +22,10 @@ from .functions.masking import MaskConfig
 from .loading import Cancelled, Load
 from .operators import analysis, bitmaps, search, sequence
 from .operators.ingest import AnalysedLog, ParsingConfig, open_log, refreshed
+from .operators.many import open_logs
 from .operators.mining import template_counts
 from .operators.timecounts import TimeCounts
-from .sources.text import FileChange
+from .sources.text import FileChange, FileState
 
 NO_LOG = {"comment": "no log", "reason": "no filter is set; add one, or ask with with_filtered_log=False"}
 
@@ -42,6 +44,7 @@ class Loaded:
     applied: str | None = None  # the saved filters that were applied
     matches: bitmaps.MatchBitmaps | None = None  # of the whole log; kept until it is closed, and taken further as it grows
     counts: TimeCounts | None = None
+    together: list[str] | None = None  # of logs that were opened together: those that are open still
 
     @property
     def stored(self):
@@ -71,8 +74,11 @@ class Loaded:
                 self.counts = None
         self.whole = self.log = log
 
-    def release(self) -> None:
-        for made in (self.matches, self.counts, self.whole):
+    def release(self, log_id: str) -> None:
+        """Delete what was written for the log; files that it shares with others go with the last of them."""
+        if self.together is not None:
+            self.together.remove(log_id)
+        for made in (self.matches, self.counts, None if self.together else self.whole):
             if made is not None:
                 made.release()
 
@@ -101,6 +107,26 @@ class Session:
             raise ToolError(f"no such file: {path}")
         return self.add(open_log(self.spark, path, self.config, self.custom))
 
+    def load_logs(self, paths: list[str]) -> list[dict[str, Any]]:
+        """Open many logs in one job; each of them is then a log of its own."""
+        if missing := [p for p in paths if not os.path.isfile(p)]:
+            raise ToolError(f"no such file: {missing[0]}")
+        if not paths:
+            return []
+        wanted = list(dict.fromkeys(paths))
+        states = {p: FileState.of(p) for p in wanted}
+        found = open_logs(self.spark, wanted, self.config, self.custom)
+        names = {os.path.realpath(unquote(urlparse(r["doc_id"]).path)): r["doc_id"] for r in found.formats.select("doc_id").collect()}
+        out, together = [], []
+        for p in wanted:
+            if os.path.realpath(p) not in names:  # a file without lines
+                out.append(self.load_log(p))
+                continue
+            out.append(self.add(replace(found.log(names[os.path.realpath(p)], p), state=states[p])))
+            together.append(out[-1]["log_id"])
+            self.logs[together[-1]].together = together
+        return out
+
     def load_start(self, path: str) -> dict[str, Any]:
         """Open a log in the background; ask ``load_status`` for its progress, ``load_cancel`` stops it."""
         if not os.path.exists(path):
@@ -202,8 +228,7 @@ class Session:
         return [{"log_id": i, "path": d.log.path} for i, d in self.logs.items()]
 
     def close_log(self, log_id: str) -> None:
-        doc = self.logs.pop(self._id(log_id))
-        doc.release()
+        self.logs.pop(self._id(log_id)).release(log_id)
         if self.active == log_id:
             self.active = next(reversed(self.logs), None)
 

@@ -58,10 +58,18 @@ class StoredLines:
     paths: tuple[str, ...]
     schema: object
     _chunks: list[DataFrame] = field(default_factory=list)
+    doc_id: object = None  # the only document that is meant, if there are several
 
     @property
     def lines(self) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(*self.paths)
+        return self._own(self.spark.read.schema(self.schema).parquet(*self.paths))
+
+    def _own(self, rows: DataFrame) -> DataFrame:
+        return rows if self.doc_id is None else rows.where(F.col("doc_id") == self.doc_id)
+
+    def document(self, doc_id) -> StoredLines:
+        """The lines of one document."""
+        return StoredLines(self.spark, self.paths, self.schema, [self.chunks.where(F.col("doc_id") == doc_id)], doc_id)
 
     @property
     def chunks(self) -> DataFrame:
@@ -74,14 +82,13 @@ class StoredLines:
         return [r["file"] for r in self.chunks.where(chunks).select("file").distinct().collect()]
 
     def read(self, files: list[str]) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(*files) if files else self.spark.createDataFrame([], self.schema)
+        return self._own(self.spark.read.schema(self.schema).parquet(*files)) if files else self.spark.createDataFrame([], self.schema)
 
-    def range(self, lo: int, hi: int, doc_id=None) -> DataFrame:
+    def range(self, lo: int, hi: int) -> DataFrame:
         """The lines from ``lo`` to ``hi`` (not included), of the files that hold their chunks; statistics of row groups and
         pages leave out the rest of a file."""
-        own = F.lit(True) if doc_id is None else F.col("doc_id") == doc_id
-        files = self.files(own & F.col("chunk").between(lo // CHUNK, max(lo, hi - 1) // CHUNK)) if lo < hi else []
-        return self.read(files).where(own & (F.col("line_no") >= lo) & (F.col("line_no") < hi))
+        files = self.files(F.col("chunk").between(lo // CHUNK, max(lo, hi - 1) // CHUNK)) if lo < hi else []
+        return self.read(files).where((F.col("line_no") >= lo) & (F.col("line_no") < hi))
 
     def at(self, numbers: list[int]) -> DataFrame:
         """The lines with these numbers, 2,000 at most."""
@@ -122,7 +129,7 @@ class StoredLines:
 
     def with_more(self, more: StoredLines) -> StoredLines:
         """These lines and later ones; neither is written again."""
-        return StoredLines(self.spark, (*self.paths, *more.paths), self.schema, [spooled(self.chunks.unionByName(more.chunks))])
+        return StoredLines(self.spark, (*self.paths, *more.paths), self.schema, [spooled(self.chunks.unionByName(more.chunks))], self.doc_id)
 
     def release(self) -> None:
         for table in (self.lines, *self._chunks):

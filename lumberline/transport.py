@@ -25,6 +25,7 @@ PARSE_ERROR, BAD_REQUEST, NO_METHOD, BAD_PARAMS, INTERNAL = -32700, -32600, -326
 #: The tools by name, and the methods that answer them.
 TOOLS = {
     "load_log": Session.load_log,
+    "load_logs": Session.load_logs,
     "load_start": Session.load_start,
     "load_status": Session.load_status,
     "load_cancel": Session.load_cancel,
@@ -50,7 +51,7 @@ TOOLS = {
     "save_pin": Session.save_pin,
 }
 #: Tools that change the session, those of them that drop something, and those that give the same again.
-CHANGING = {"load_log", "load_start", "load_cancel", "close_log", "refresh", "filters_add", "filters_remove", "filters_save", "filters_apply", "trim", "save_pin"}
+CHANGING = {"load_log", "load_logs", "load_start", "load_cancel", "close_log", "refresh", "filters_add", "filters_remove", "filters_save", "filters_apply", "trim", "save_pin"}
 DROPPING = {"close_log", "trim"}
 REPEATABLE = {"list_logs", "filters_get", "filters_hits", "filters_saved", "summarize_log", "get_timeline_histogram", "get_template", "get_template_samples", "get_template_anomalies", "log_sequence", "raw_log", "find_occurrences", "load_status"}
 _KINDS = {str: "string", int: "integer", bool: "boolean"}
