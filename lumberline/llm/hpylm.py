@@ -20,6 +20,7 @@ import math
 import uuid
 from collections.abc import Iterator
 from itertools import chain
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,8 @@ SAMPLES, BURN_IN = 3, 1
 #: Up to so many customers of a dish, tables are drawn from the tabulated law; above, from a Poisson or normal law of the
 #: same mean and variance (the table would grow with the square of the customers).
 DRAWN = 128
+#: Up to so many, the law's weights are products of powers, which stay far from the ends of doubles, and need no logarithms.
+POWERED = 16
 START = np.uint64(xxhash.xxh64_intdigest(b"\x00start") & ~1)
 END = np.uint64(xxhash.xxh64_intdigest(b"\x00end") & ~1)
 
@@ -71,16 +74,33 @@ def drawn_tables(keys: np.ndarray, customers: np.ndarray, pull: np.ndarray, disc
     tables = np.minimum(customers, 1).astype(np.int64)
     offset = np.uint64((sweep + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
     several = np.flatnonzero(customers > 1)
-    several = several[np.argsort(customers[several], kind="stable")]
+    several = several[np.argsort(np.minimum(customers[several], DRAWN + 1).astype(np.uint8), kind="stable")]  # bytes are sorted by counting
     draw = (mixed(keys[several] + offset) >> np.uint64(11)).astype(np.float64) * 2.0**-53 + 2.0**-54
     few = int(np.searchsorted(customers[several], DRAWN, "right"))
     for members in np.split(np.arange(few), np.flatnonzero(np.diff(customers[several[:few]])) + 1) if few else []:
         n = int(customers[several[members[0]]])
+        law = log_stirling(discount)[n, 1 : n + 1]
+        if n <= POWERED:
+            at = several[members]
+            weight, power, total, upto = np.exp(law), np.ones(len(at)), np.zeros(len(at)), []
+            for k in range(n):
+                total = total + weight[k] * power
+                upto.append(total)
+                power = power * pull[at]
+            target = draw[members] * total
+            for x in upto[:-1]:
+                tables[at] += x <= target
+            continue
         for lo in range(0, len(members), 8192):
             some = members[lo : lo + 8192]
             at = several[some]
-            weight = log_stirling(discount)[n, 1 : n + 1] + np.arange(n) * np.log(pull[at])[:, None]
-            share = np.exp(weight - weight.max(axis=1, keepdims=True)).cumsum(axis=1)
+            if pull[at].max() < 10 ** (290 / n):  # the powers stay below the largest double
+                share = np.ones((len(at), n))
+                share[:, 1:] = pull[at][:, None]
+                share = (share.cumprod(axis=1) * np.exp(law - law[0])).cumsum(axis=1)
+            else:
+                weight = law + np.arange(n) * np.log(pull[at])[:, None]
+                share = np.exp(weight - weight.max(axis=1, keepdims=True)).cumsum(axis=1)
             tables[at] = 1 + (share[:, :-1] <= draw[some, None] * share[:, -1:]).sum(axis=1)
     at = several[few:]
     mean, variance = _moments(customers[at], pull[at], discount)
@@ -111,7 +131,8 @@ def _moments(customers: np.ndarray, pull: np.ndarray, discount: float) -> tuple[
 
 def _quantile(u: np.ndarray, mean: np.ndarray, variance: np.ndarray) -> np.ndarray:
     """Whole numbers at the quantiles ``u``: of a Poisson law up to a mean of 30, of a rounded normal one above."""
-    out = np.rint(mean + np.sqrt(variance) * _normal(u))
+    out, large = np.zeros(len(u)), np.flatnonzero(mean > 30)
+    out[large] = np.rint(mean[large] + np.sqrt(variance[large]) * np.fromiter(map(NormalDist().inv_cdf, u[large].tolist()), np.float64, len(large)))
     small = np.flatnonzero(mean <= 30)
     term = np.exp(-mean[small])
     total, k = term.copy(), np.zeros(len(small))
@@ -126,17 +147,6 @@ def _quantile(u: np.ndarray, mean: np.ndarray, variance: np.ndarray) -> np.ndarr
     return np.maximum(out, 0).astype(np.int64)
 
 
-def _normal(u: np.ndarray) -> np.ndarray:
-    """Quantiles of the normal law, by Newton steps on a logistic start."""
-    from math import erf, sqrt
-
-    z = np.log(u / (1 - u)) / 1.702
-    cdf = np.vectorize(lambda x: 0.5 * (1 + erf(x / sqrt(2))), otypes=[float])
-    for _ in range(4):
-        z = z - np.clip((cdf(z) - u) / np.maximum(np.exp(-z * z / 2) / np.sqrt(2 * np.pi), 1e-12), -1, 1)
-    return z
-
-
 _stirling: dict[float, np.ndarray] = {}
 
 
