@@ -63,6 +63,17 @@ def points(lines: DataFrame, matched: DataFrame, lo: int | None = None, hi: int
     return out.where(F.col("x").between(lo, hi)) if lo is not None else out
 
 
+def lane_marks(lines: DataFrame, matched: DataFrame, lo: int, hi: int, buckets: int = DEFAULT_BUCKETS, most: int = 500) -> DataFrame:
+    """(filter_id, kind, x, cnt): what a lane shows of the part of the domain from ``lo`` to ``hi``: a "point" for each place
+    with matches, or "bar"s of the domain's buckets where more than ``most`` matches are visible."""
+    visible = points(lines, matched, lo, hi)
+    per = visible.groupBy("filter_id").agg(F.count(F.lit(1)).alias("__n"))
+    shown = visible.join(per, "filter_id").crossJoin(F.broadcast(domain(lines)))
+    bar = F.col("__n") > most
+    x = F.when(bar, exact_bucket(F.col("x"), buckets)).otherwise(F.col("x"))
+    return shown.groupBy("filter_id", F.when(bar, F.lit("bar")).otherwise(F.lit("point")).alias("kind"), x.alias("x")).agg(F.count(F.lit(1)).alias("cnt"))
+
+
 def rebinned(buckets: DataFrame, start: int, end: int, columns: int) -> DataFrame:
     """(col, cnt): a histogram's buckets gathered into the columns of a zoomed view."""
     col = _div((F.col("x") - start) * columns, F.lit(end - start + 1))

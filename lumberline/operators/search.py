@@ -85,6 +85,13 @@ def truncated(text: Column, limit: int = 1000) -> Column:
     return F.when(F.octet_length(text) <= limit, text).otherwise(F.concat(head, F.lit("…")))
 
 
+def display_text(text: Column, limit: int = 2000) -> Column:
+    """What a long line is shown as: its first ``limit`` bytes, cut at a character, and its size."""
+    head = F.regexp_replace(F.make_valid_utf8(F.substring(F.encode(text, "UTF-8"), 1, limit).cast("string")), "�+$", "")
+    note = F.concat(F.lit("  …["), F.octet_length(text).cast("string"), F.lit(" bytes total, truncated]"))
+    return F.when(F.octet_length(text) <= limit, text).otherwise(F.concat(head, note))
+
+
 def payload(lines: DataFrame) -> DataFrame:
     """(line, time, template_id, text) as shown to a user: numbered from 1, at most 1,000 bytes of text."""
     return lines.select((F.col("line_no") + 1).alias("line"), format_ms_column(F.col("ts_ms")).alias("time"), "template_id", truncated(F.col("text")).alias("text"))

@@ -70,18 +70,31 @@ def context_runs(lines: DataFrame, hits: DataFrame, n: int) -> DataFrame:
     return marked.groupBy("hit", "__run", "template_id").agg(F.min("line_no").alias("start_line"), F.max("line_no").alias("end_line"), F.count(F.lit(1)).alias("cnt")).select("hit", "start_line", "end_line", "cnt", "template_id")
 
 
+def _placed(matched: DataFrame) -> DataFrame:
+    """``matched`` with ``k`` and ``n`` (place among its filter's matches, and their number) and ``prev`` and ``next``
+    (line_no, ts_ms). A filter's matches are counted by chunks, one row of which each crosses the edges."""
+    here = F.struct("line_no", "ts_ms")
+    rows = matched.select("filter_id", "line_no", "ts_ms", F.floor(F.col("line_no") / CHUNK).cast("long").alias("__chunk"))
+    parts = rows.groupBy("filter_id", "__chunk").agg(F.count(F.lit(1)).alias("__n"), F.min(here).alias("__first"), F.max(here).alias("__last"))
+    order = Window.partitionBy("filter_id").orderBy("__chunk")
+    edges = parts.select(
+        F.col("filter_id").alias("__f"),
+        F.col("__chunk").alias("__c"),
+        F.coalesce(F.sum("__n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__base"),
+        F.sum("__n").over(Window.partitionBy("filter_id")).alias("n"),
+        F.lag("__last").over(order).alias("__before"),
+        F.lead("__first").over(order).alias("__after"),
+    )
+    inside = Window.partitionBy("filter_id", "__chunk").orderBy("line_no")
+    numbered = rows.withColumns({"__k": F.row_number().over(inside), "__prev": F.lag(here).over(inside), "__next": F.lead(here).over(inside)})
+    joined = numbered.join(edges, (F.col("filter_id") == F.col("__f")) & (F.col("__chunk") == F.col("__c")))
+    return joined.select("filter_id", "line_no", "ts_ms", (F.col("__base") + F.col("__k")).cast("long").alias("k"), "n", F.coalesce("__prev", "__before").alias("prev"), F.coalesce("__next", "__after").alias("next"))
+
+
 def occurrences(matched: DataFrame) -> DataFrame:
     """(filter_id, line_no, k, n, prev_delta_ms, next_delta_ms): the place of each match among its filter's matches and
-    the time to its neighbours. Windows are by filter, 20 at most; for one page of matches, limit them first."""
-    w = Window.partitionBy("filter_id").orderBy("line_no")
-    return matched.select(
-        "filter_id",
-        "line_no",
-        F.row_number().over(w).cast("long").alias("k"),
-        F.count(F.lit(1)).over(Window.partitionBy("filter_id")).alias("n"),
-        (F.col("ts_ms") - F.lag("ts_ms").over(w)).alias("prev_delta_ms"),
-        (F.lead("ts_ms").over(w) - F.col("ts_ms")).alias("next_delta_ms"),
-    )
+    the time to its neighbours."""
+    return _placed(matched).select("filter_id", "line_no", "k", "n", (F.col("ts_ms") - F.col("prev.ts_ms")).alias("prev_delta_ms"), (F.col("next.ts_ms") - F.col("ts_ms")).alias("next_delta_ms"))
 
 
 def step(lines: DataFrame, line_no: int, forward: bool = True, wrap: bool = True) -> DataFrame:
@@ -201,27 +214,25 @@ def format_pin_ms(ms: Column) -> Column:
     return out.when(minutes < 60, F.concat(tenths(minutes), F.lit(" min"))).when(hours < 24, F.concat(tenths(hours), F.lit(" hr"))).otherwise(F.concat(tenths(hours / 24.0), F.lit(" days")))
 
 
-def occurrence_text(occurring: DataFrame, by_time: bool = True) -> DataFrame:
-    """``occurrences`` with ``label``: the place among the filter's matches and the way to its neighbours, in time (in
-    lines where a time is missing, or for a log without times)."""
-    w = Window.partitionBy("filter_id").orderBy("line_no")
-    before, after = F.col("line_no") - F.lag("line_no").over(w), F.lead("line_no").over(w) - F.col("line_no")
+def occurrence_text(matched: DataFrame, by_time: bool = True) -> DataFrame:
+    """(filter_id, line_no, label): the place of each match among its filter's matches and the way to its neighbours, in time
+    (in lines where a time is missing, or for a log without times)."""
 
     def way(lines: Column, ms: Column) -> Column:
         in_lines = F.concat(lines.cast("string"), F.lit(" lines"))
         return F.when(ms.isNotNull(), format_human_ms(ms)).otherwise(in_lines) if by_time else in_lines
 
-    return occurring.withColumn("__b", before).withColumn("__a", after).withColumn(
-        "label",
-        F.concat(
-            F.lit("Occurrence "),
-            F.col("k").cast("string"),
-            F.lit(" / "),
-            F.col("n").cast("string"),
-            F.when(F.col("k") > 1, F.concat(F.lit(" | prev "), way(F.col("__b"), F.col("prev_delta_ms")), F.lit(" ago"))).otherwise(""),
-            F.when(F.col("k") < F.col("n"), F.concat(F.lit(" | next "), way(F.col("__a"), F.col("next_delta_ms")), F.lit(" after"))).otherwise(""),
-        ),
-    ).drop("__a", "__b")
+    before = way(F.col("line_no") - F.col("prev.line_no"), F.col("ts_ms") - F.col("prev.ts_ms"))
+    after = way(F.col("next.line_no") - F.col("line_no"), F.col("next.ts_ms") - F.col("ts_ms"))
+    label = F.concat(
+        F.lit("Occurrence "),
+        F.col("k").cast("string"),
+        F.lit(" / "),
+        F.col("n").cast("string"),
+        F.when(F.col("prev").isNotNull(), F.concat(F.lit(" | prev "), before, F.lit(" ago"))).otherwise(""),
+        F.when(F.col("next").isNotNull(), F.concat(F.lit(" | next "), after, F.lit(" after"))).otherwise(""),
+    )
+    return _placed(matched).select("filter_id", "line_no", label.alias("label"))
 
 
 def axis_labels(start: int, end: int, by_time: bool = True, ticks: int = 7) -> list[tuple[int, str]]:

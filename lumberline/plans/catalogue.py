@@ -213,6 +213,16 @@ def points_in_range(spark, sf_dir):
     return analysis.points(lines, search.matches(lines, FILTERS), MS0, MS1).groupBy("filter_id").agg(F.count(F.lit(1)).alias("cnt"))
 
 
+@register(
+    "lane_marks",
+    f"""WITH {E_SQL}, {DOMAIN_SQL}, m AS (SELECT unnest([{FILTER_CASES}]) AS filter_id, ts_ms FROM l), v AS (SELECT filter_id, ts_ms, count(*) OVER (PARTITION BY filter_id) AS n FROM m WHERE filter_id IS NOT NULL AND ts_ms BETWEEN {MS0} AND {MS1})
+SELECT filter_id, CASE WHEN n > 60 THEN 'bar' ELSE 'point' END AS kind, CASE WHEN n > 60 THEN {BUCKET.format(m=299)} ELSE ts_ms END AS x, count(*) AS cnt FROM v CROSS JOIN b GROUP BY 1, 2, 3""",
+)
+def lane_marks(spark, sf_dir):
+    lines = event_lines(spark, sf_dir)
+    return analysis.lane_marks(lines, search.matches(lines, FILTERS), MS0, MS1, 300, 60)
+
+
 @register("rebin", f"SELECT CAST((x - {MS0}) * 40 // {MS1 - MS0 + 1} AS BIGINT) AS col, CAST(sum(cnt) AS BIGINT) AS cnt FROM ({histogram_sql(E_SQL, 'true', 2048)}) WHERE x BETWEEN {MS0} AND {MS1} GROUP BY 1")
 def rebin(spark, sf_dir):
     return analysis.rebinned(analysis.histogram(event_lines(spark, sf_dir)), MS0, MS1, 40)
@@ -518,6 +528,35 @@ def mask_numbers(spark, sf_dir):
     return event_lines(spark, sf_dir).select(masking.masked(F.col("text")).alias("masked")).groupBy("masked").agg(F.count(F.lit(1)).alias("cnt"))
 
 
+WORDS_SQL = r"unnest(regexp_split_to_array(text, '[\x09-\x0D\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+')) AS t"
+MORE_CLASSES_SQL = r"""WHEN regexp_matches(t, '^[0-9A-Fa-f:]{6,}$') AND length(t) - length(replace(t, ':', '')) >= 2 THEN '<IPV6>'
+  WHEN regexp_matches(t, '^/.*/.*$') OR (regexp_matches(t, '^/.{3,}$') AND contains(t, '.')) OR regexp_matches(t, '^\x5C\x5C.{3,}$') OR regexp_matches(t, '^[A-Za-z]:\x5C.+$') THEN '<PATH>'
+  WHEN regexp_matches(t, '^[0-9.mshd]+$') AND regexp_matches(t, '[0-9.]') AND regexp_matches(t, '[mshd]') THEN '<TIME>'
+  WHEN regexp_matches(t, '^[+-]?[0-9]*[.]?[0-9]*$') AND regexp_matches(t, '[0-9]') THEN '<NUM>'
+  WHEN regexp_matches(t, '^[0-9A-Fa-f]{8,64}$') AND regexp_matches(t, '[0-9]') AND regexp_matches(t, '[A-Fa-f]') THEN '<HEX>'"""
+
+
+@register(
+    "mask_token_classes",
+    f"""WITH {D_SQL}, s AS (SELECT {WORDS_SQL} FROM l), w AS (SELECT t, {_duck_class('t')} AS whole FROM s WHERE t <> ''),
+c AS (SELECT t, CASE WHEN whole IS NOT NULL THEN whole {MORE_CLASSES_SQL} END AS cls FROM w)
+SELECT cls, count(*) AS cnt, count(DISTINCT t) AS tokens FROM c WHERE cls IS NOT NULL GROUP BY 1""",
+)
+def mask_token_classes(spark, sf_dir):
+    """All classes of whole tokens, paths, durations, numbers and hexadecimal ones included."""
+    words = document_lines(spark, sf_dir).select(F.explode(masking.tokens_of(F.col("text"))).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
+    classed = words.select(masking.token_class(F.col("t")).alias("cls"), "n").where("cls is not null")
+    return classed.groupBy("cls").agg(F.sum("n").alias("cnt"), F.count(F.lit(1)).alias("tokens"))
+
+
+@register(
+    "display_texts",
+    f"""WITH {D_SQL} SELECT doc_id, line_no, CASE WHEN strlen(text) <= 60 THEN text ELSE substr(text, 1, list_max([k FOR k IN range(15, 61) IF strlen(substr(text, 1, CAST(k AS INTEGER))) <= 60])) || '  …[' || strlen(text) || ' bytes total, truncated]' END AS shown FROM l""",
+)
+def display_texts(spark, sf_dir):
+    return document_lines(spark, sf_dir).select("doc_id", "line_no", search.display_text(F.col("text"), 60).alias("shown"))
+
+
 @register("masked_line_counts")
 def masked_line_counts(spark, sf_dir):
     masked = document_lines(spark, sf_dir).select(masking.masked_lines(F.col("text")).alias("content"))

@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import formats, masking, timefmt
-from ..operators import ingest, mining, search, sequence
+from ..operators import ingest, many, mining, search, sequence
 from ..sources import spool, text as sources
+from ..streaming import tail
 from .catalogue import ANY_SQL, E_SQL, FILTERS, event_lines, register
 
 N_SQL = f"{E_SQL}, n AS (SELECT row_number() OVER (ORDER BY line_no) - 1 AS line_no, line_no AS id, ts_ms, text, split_part(text, ' ', 1) AS type FROM l)"
@@ -100,6 +101,30 @@ def file_formats(spark, sf_dir):
     return out
 
 
+@register("files_together", f"WITH {N_SQL} " + " UNION ALL ".join(f"SELECT '{f}' AS format, line_no, {'ts_ms' if f in ('json', 'rfc5424', 'os_log', 'plain') else 'CAST(NULL AS BIGINT)'} AS ts_ms, {c} AS content FROM n" for f, c in CONTENTS_SQL.items()))
+def files_together(spark, sf_dir):
+    """A file of each format, found, read and mined in one job."""
+    found = many.open_logs(spark, [log_file(spark, sf_dir, line) for line in _lines_of_formats().values()])
+    return found.lines.join(F.broadcast(found.formats.select("doc_id", "format")), "doc_id").select("format", "line_no", "ts_ms", "content")
+
+
+@register("stream_templates", f"WITH {N_SQL} SELECT CAST(row_number() OVER (ORDER BY min(line_no)) AS INTEGER) AS template_id, {MASKED_SQL} AS pattern, count(*) AS count, min(line_no) AS example_line FROM n GROUP BY 2")
+def stream_templates(spark, sf_dir):
+    """Templates of a file that a stream follows: analysed by batches, each committed as a version of the log, and the query
+    begun anew between two of them."""
+    rows = event_lines(spark, sf_dir).select("line_no", F.concat(iso(), F.lit(" "), "text").alias("value"))
+    half = rows.agg(F.max("line_no")).first()[0] // 2
+    folder = spool.temporary(spark, "stream")
+    for part in (rows.where(F.col("line_no") <= half), rows):
+        path = spool.local_copy(spool.text_file(part.repartition(1).sortWithinPartitions("line_no").select("value")), f"{folder}/followed.log")
+        query = tail.tail(spark, path, 1 << 18).writeStream.foreachBatch(tail.TailAnalysis(spark, f"{folder}/log").batch).option("checkpointLocation", f"{folder}/checkpoint").start()
+        try:
+            query.processAllAvailable()
+        finally:
+            query.stop()
+    return tail.TailAnalysis(spark, f"{folder}/log").log.templates.where("template_id > 0").select("template_id", "pattern", "count", "example_line")
+
+
 @register("file_header", "SELECT * FROM (VALUES (0, '<NUM>'), (1, NULL), (2, '<NUM>')) t(position, mask)")
 def file_header(spark, sf_dir):
     """The masks learnt for the head of an app's lines: process and thread, a constant, and the place in a source file."""
@@ -204,4 +229,4 @@ SELECT line_no, 'Occurrence ' || k || ' / ' || n || CASE WHEN b IS NOT NULL THEN
 )
 def occurrence_texts(spark, sf_dir):
     matched = search.find(event_lines(spark, sf_dir), "error").select(F.lit(0).alias("filter_id"), "line_no", "ts_ms")
-    return sequence.occurrence_text(sequence.occurrences(matched), by_time=False).select("line_no", "label")
+    return sequence.occurrence_text(matched, by_time=False).select("line_no", "label")

@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import bitmaps, search
+from ..operators.ingest import analyse
 from ..operators.timecounts import TimeCounts
+from ..sources import logsource, spool
 from ..sources.stored import StoredLines, completed, store, stored
+from ..sources.versions import LogFolder
 from .catalogue import ANY_SQL, BUCKET, DOMAIN_SQL, E_SQL, FILTER_CASES, FILTERS, ORDERS_SQL, event_lines, histogram_sql, order_lines, register
 
 MIDDLE_SQL = "m AS (SELECT max(line_no) * 2 // 5 AS lo, max(line_no) * 3 // 5 AS hi FROM l)"
@@ -29,6 +32,20 @@ def stored_range(spark, sf_dir):
     return log.range(*_middle(log.chunks.select(F.col("last_line").alias("line_no")))).select("line_no", "ts_ms", "text")
 
 
+@register("log_source_range", f"WITH {E_SQL}, {MIDDLE_SQL} SELECT line_no, ts_ms, text FROM l CROSS JOIN m WHERE line_no >= lo AND line_no < hi AND ts_ms > 0")
+def log_source_range(spark, sf_dir):
+    """The middle fifth of a log that stands in a folder of versions, by the data source that prunes by chunks."""
+    rows = event_lines(spark, sf_dir).select(F.lit("e").alias("doc_id"), "line_no", F.concat(F.date_format(F.timestamp_millis("ts_ms"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), F.lit("\u0001"), "text").alias("text"), F.octet_length("text").alias("n_bytes"))
+    folder = LogFolder(spark, spool.temporary(spark, "versions"))
+    with folder.writing():
+        log = analyse(rows)
+    folder.commit(log)
+    logsource.register(spark)
+    lo, hi = _middle(log.stored.chunks.select(F.col("last_line").alias("line_no")))
+    found = spark.read.format(logsource.LogSource.name()).option("folder", folder.folder).load().where((F.col("line_no") >= lo) & (F.col("line_no") < hi) & (F.col("ts_ms") > 0))
+    return found.select("line_no", "ts_ms", F.substring_index("text", "\u0001", -1).alias("text"))
+
+
 PROBES_SQL = "d AS (SELECT min(ts_ms) AS a, max(ts_ms) AS b FROM l), p AS (SELECT a + (b - a) * r.range // 8 + (r.range % 3 - 1) AS probe_ms FROM d CROSS JOIN range(9) r)"
 
 

@@ -48,6 +48,27 @@ def text_file(df: DataFrame) -> str:
     return path
 
 
+def temporary(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, deleted when the driver ends."""
+    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    remembered(spark, path)
+    return path
+
+
+def local_copy(folder: str, path: str) -> str:
+    """The only text file of a written folder, moved to ``path``: its place for those who open it as a file."""
+    spark = next(s for s, p in _written if p == folder)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    source, target = hadoop.Path(folder), hadoop.Path(path)
+    system = source.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.mkdirs(target.getParent())
+    found = next(s.getPath() for s in system.listStatus(source) if s.getPath().getName().startswith("part-"))
+    system.delete(target, False)
+    if not system.rename(found, target):
+        raise OSError(f"{folder} can't be moved to {path}")
+    return target.toUri().getPath()
+
+
 def remembered(spark: SparkSession, path: str) -> None:
     """Delete ``path`` when the driver ends, if it isn't released before."""
     if not _written:

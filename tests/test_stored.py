@@ -180,3 +180,31 @@ def test_bitmaps_equal_scans(spark, seed, monkeypatch):
     assert scans == [["new"]]  # one scan, for what wasn't there
     maps.release()
     assert not maps.known
+
+
+def test_selections_like_lists(spark):
+    from lumberline.operators.selection import Selection
+
+    rng = random.Random(4)
+    lanes = {0: sorted(rng.sample(range(50), 8)), 1: sorted(rng.sample(range(50), 5)), 2: []}
+    hits = sorted(rng.sample(range(50), 6))
+    matched = spark.createDataFrame([(f, n) for f, own in lanes.items() for n in own], "filter_id int, line_no bigint").cache()
+    found = spark.createDataFrame([(n,) for n in hits], "line_no bigint").cache()
+    own = Selection(matched, found, active=(True, False, True))
+    near = lambda items, line: min(items, key=lambda n: (abs(n - line), n))
+    for line in (0, 13, 27, 49, lanes[0][3], lanes[1][2]):
+        for lane in (0, 1, 2):
+            own.lane, own.mark = lane, None
+            own.sync(line)
+            assert own.mark == (near(lanes[lane], line) if lanes[lane] else None) and hits[own.place] == near(hits, line)
+            own.follow(line)
+            assert own.mark == (line if line in lanes[lane] and lane != 1 else None)
+        own.lane = 0
+        own.select(line)
+        assert own.lane == 0 and own.line == line and own.mark == (line if line in lanes[0] else None)
+        own.select(line, 1)
+        assert own.lane == 1 and own.mark == (line if line in lanes[1] else None)
+    nothing = Selection(matched)
+    nothing.sync(3)
+    nothing.select(3)
+    assert (nothing.mark, nothing.place, nothing.line) == (None, None, 3)
