@@ -59,7 +59,7 @@ def test_queries(spark, plain, clashing, name):
     query = queries.QUERIES[name]
     want = query(spark, plain)
     assert rows(query(spark, clashing)) == rows(want)
-    n = {"op1_topk": None, "op5_mixing": None, "op4_packing": None, "op10_line_dedup": 95}.get(name, 292)
+    n = {"op1_topk": None, "op5_mixing": None, "op4_packing": None, "op10_line_dedup": 95, "op11_whitening": 608, "op12_filter_audit": 2400}.get(name, 292)
     assert n is None or want.count() == n
     empty = query(spark, f"{plain}/empty")
     assert empty.count() == 0 and empty.columns == want.columns
