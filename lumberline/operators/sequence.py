@@ -121,7 +121,8 @@ def nearest_in_time(lines: DataFrame, ts_ms: int) -> DataFrame:
 
 def nearest_each(probes: DataFrame, lines: DataFrame, bucket_ms: int = 3_600_000) -> DataFrame:
     """(probe_id, ts_ms, line_no): for each probe (probe_id, probe_ms) the line nearest in time; the earlier of two equally
-    near, and the first line of that time. Probes without a time, or beside no line with one, are left out.
+    near, and the first line of that time. Probes without a time, or beside no line with one, are left out; an id that occurs
+    again is one probe of several times.
 
     Lines of one millisecond are one row. Probes and lines are put in order together, inside buckets of time (so a task
     sorts no more milliseconds than a bucket has, and its probes); what lies before and after a bucket comes from a table
@@ -139,8 +140,9 @@ def nearest_each(probes: DataFrame, lines: DataFrame, bucket_ms: int = 3_600_000
     seen = rows.withColumn("prev", F.last("at", True).over(inside.rowsBetween(Window.unboundedPreceding, 0))).withColumn("next", F.first("at", True).over(inside.rowsBetween(0, Window.unboundedFollowing)))
     asked = seen.where("at is null").join(edges, "b").select("probe_id", "ms", F.coalesce("prev", "p").alias("prev"), F.coalesce("next", "q").alias("next"))
     nearer = F.col("next").isNotNull() & (F.col("prev").isNull() | (F.col("next.ts_ms") - F.col("ms") < F.col("ms") - F.col("prev.ts_ms")))
-    found = asked.select("probe_id", F.when(nearer, F.col("next")).otherwise(F.col("prev")).alias("at")).where("at is not null")
-    return found.select("probe_id", "at.ts_ms", "at.line_no")
+    found = asked.select("probe_id", "ms", F.when(nearer, F.col("next")).otherwise(F.col("prev")).alias("at")).where("at is not null")
+    nearest = F.min(F.struct(F.abs(F.col("at.ts_ms") - F.col("ms")).alias("far"), "at.ts_ms", "at.line_no")).alias("at")
+    return found.groupBy("probe_id").agg(nearest).select("probe_id", "at.ts_ms", "at.line_no")
 
 
 def approximate_line(lines: DataFrame, ts_ms: int) -> DataFrame:

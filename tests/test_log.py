@@ -342,3 +342,11 @@ def test_custom_times(spark, tmp_path):
     assert own.describe("1|2|2026 3h4m5s6") == "Year: 2026, Month: 2, Date: 1, Hour: 3, Min: 4, Sec: 5, MILLI SECOND: 6"
     assert {r["pattern"] for r in log.templates.collect()} >= {"unit <*>"} or {r["pattern"] for r in log.templates.collect()} >= {"unit ok", "unit bad"}
     assert parse_time_param("2026-07-19T10:15:30") == parse_time_param("2026-07-19 10:15:30") == 1784456130000
+
+
+def test_nearest_of_a_probe_that_occurs_again(spark):
+    """As in the SQL, an id is one probe: of all its times, the line nearest to any."""
+    lines = spark.createDataFrame([(1, 1_000), (2, 5_000), (3, None), (4, 9_000_000), (5, 9_000_000)], "line_no long, ts_ms long")
+    probes = spark.createDataFrame([(7, 1_400), (7, 4_900), (7, 1_400), (8, 3_000), (9, 20_000_000), (9, None)], "probe_id long, probe_ms long")
+    got = sorted(tuple(r) for r in sequence.nearest_each(probes, lines).collect())
+    assert got == [(7, 5_000, 2), (8, 1_000, 1), (9, 9_000_000, 4)]
