@@ -134,10 +134,13 @@ def nearest_each(probes: DataFrame, lines: DataFrame, bucket_ms: int = 3_600_000
         probes.where("probe_ms is not null").select("probe_id", F.col("probe_ms").alias("ms")), allowMissingColumns=True
     ).withColumn("b", bucket(F.col("ms")))
     edges = rows.groupBy("b").agg(F.min("at").alias("lo"), F.max("at").alias("hi"))
-    before, after = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1), Window.orderBy("b").rowsBetween(1, Window.unboundedFollowing)
-    edges = edges.select("b", F.last("hi", True).over(before).alias("p"), F.first("lo", True).over(after).alias("q"))
-    inside = Window.partitionBy("b").orderBy("ms", F.col("at").isNull())  # a line comes before a probe of its time
-    seen = rows.withColumn("prev", F.last("at", True).over(inside.rowsBetween(Window.unboundedPreceding, 0))).withColumn("next", F.first("at", True).over(inside.rowsBetween(0, Window.unboundedFollowing)))
+    # frames only grow, in both orders: one that shrinks is gone through anew for each row
+    upto, sofar = (Window.unboundedPreceding, -1), (Window.unboundedPreceding, 0)
+    before, after = Window.orderBy("b").rowsBetween(*upto), Window.orderBy(F.desc("b")).rowsBetween(*upto)
+    edges = edges.select("b", F.last("hi", True).over(before).alias("p"), F.last("lo", True).over(after).alias("q"))
+    lines_first = F.col("at").isNull()  # a line comes before a probe of its time
+    up, down = (Window.partitionBy("b").orderBy(ms, lines_first).rowsBetween(*sofar) for ms in (F.asc("ms"), F.desc("ms")))
+    seen = rows.withColumn("prev", F.last("at", True).over(up)).withColumn("next", F.last("at", True).over(down))
     asked = seen.where("at is null").join(edges, "b").select("probe_id", "ms", F.coalesce("prev", "p").alias("prev"), F.coalesce("next", "q").alias("next"))
     nearer = F.col("next").isNotNull() & (F.col("prev").isNull() | (F.col("next.ts_ms") - F.col("ms") < F.col("ms") - F.col("prev.ts_ms")))
     found = asked.select("probe_id", "ms", F.when(nearer, F.col("next")).otherwise(F.col("prev")).alias("at")).where("at is not null")

@@ -350,3 +350,13 @@ def test_nearest_of_a_probe_that_occurs_again(spark):
     probes = spark.createDataFrame([(7, 1_400), (7, 4_900), (7, 1_400), (8, 3_000), (9, 20_000_000), (9, None)], "probe_id long, probe_ms long")
     got = sorted(tuple(r) for r in sequence.nearest_each(probes, lines).collect())
     assert got == [(7, 5_000, 2), (8, 1_000, 1), (9, 9_000_000, 4)]
+
+
+def test_nearest_by_frames_that_grow(spark):
+    """A frame up to the end of a bucket is gone through anew for each of its rows."""
+    lines = spark.createDataFrame([(i, 40 * i) for i in range(0, 3_000, 7)], "line_no long, ts_ms long")
+    probes = spark.createDataFrame([(i, 33 * i) for i in range(500)], "probe_id long, probe_ms long")
+    found = sequence.nearest_each(probes, lines, 5_000)
+    assert "unboundedfollowing" not in found._jdf.queryExecution().analyzed().toString().lower()
+    want = {i: min((abs(40 * n - 33 * i), 40 * n, n) for n in range(0, 3_000, 7))[1:] for i in range(500)}
+    assert {r["probe_id"]: (r["ts_ms"], r["line_no"]) for r in found.collect()} == want
