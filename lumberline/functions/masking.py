@@ -42,6 +42,9 @@ VALUE = (("paths", PATH, "<PATH>"), ("times", DURATION, "<TIME>"), ("nums", NUMB
 #: ... and a header token is classified.
 HEADER = ((URL, "<URL>"), (EMAIL, "<EMAIL>"), (UUID, "<UUID>"), (CLOCK, "<TIME>"), (IPV4, "<IP>"), (IPV6, "<IPV6>"), (DURATION, "<TIME>"), (NUMBER, "<NUM>"), (HEX, "<HEX>"), (PATH, "<PATH>"))
 
+#: What each token that any shape or run changes has: a digit or a sign of these, or (a time, a UUID) only such letters.
+MASKABLE = r"[0-9:@{\[/\\]|(?:^|=)[.mshd]+$|^[A-Fa-f]{8}-"
+
 #: Unicode white space; Python's str.split would also split at U+001C to U+001F.
 SPACE = r"[\u0009-\u000D \u0085   -     　]+"
 _SPACE = re.compile(SPACE)
@@ -119,33 +122,37 @@ def mask_lines(lines: pa.Array, header: tuple[str | None, ...] = (), config: Mas
     tokens = pc.utf8_split_whitespace(pc.fill_null(lines, ""))
     ends = tokens.offsets.to_numpy().astype(np.int64)
     coded = tokens.flatten().dictionary_encode()
-    names = coded.dictionary.to_pylist()
+    known = coded.dictionary
     code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     line_of = np.repeat(np.arange(len(lines)), np.diff(ends))
-    there = np.array([bool(n) for n in names], bool)[code]  # empty ones stand beside white space at the ends of a line
+    there = (pc.binary_length(known).to_numpy(zero_copy_only=False) > 0)[code]  # empty ones stand beside white space at the ends of a line
     code, line_of = code[there], line_of[there]
     counts = np.bincount(line_of, minlength=len(lines))
     starts = np.r_[0, np.cumsum(counts)]
-    known, new = list(names), np.zeros(len(names), bool)
-    for i, t in enumerate(known):
-        if (masked := mask_token(t, config) if t else None) is not None:
-            names[i], new[i] = masked, True
-    changed = new[code]
+    names: list[str] = []  # what masks give, numbered after the tokens
+    to = np.arange(len(known))
+    likely = np.flatnonzero(pc.match_substring_regex(known, MASKABLE).to_numpy(zero_copy_only=False))
+    for i, t in zip(likely.tolist(), known.take(pa.array(likely)).to_pylist()):
+        if (masked := mask_token(t, config)) is not None:
+            to[i] = len(known) + len(names)
+            names.append(masked)
+    plain, code = code, to[code]
+    changed = code >= len(known)
     for at, forced in enumerate(header):
         if forced:
             places = starts[:-1][counts > at] + at
             own: dict[int, int] = {}
-            for c in set(code[places].tolist()):
-                own[c] = len(names)
-                names.append(mask_runs(known[c], config) or forced)
-            code[places] = [own[c] for c in code[places].tolist()]
+            for c in set(plain[places].tolist()):
+                own[c] = len(known) + len(names)
+                names.append(mask_runs(known[c].as_py(), config) or forced)
+            code[places] = [own[c] for c in plain[places].tolist()]
             changed[places] = True
     touched = np.zeros(len(lines), bool)
     touched[line_of[changed]] = True
-    words = pa.array(names, pa.string()).take(pa.array(code))
+    words = pa.concat_arrays([known, pa.array(names, known.type)]).take(pa.array(code))
     texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(starts, pa.int32()), words), " ")
     out = pc.if_else(pa.array(touched), texts, lines)
-    if odd := [i for i, x in enumerate(pc.match_substring_regex(lines, _KEPT.pattern).to_pylist()) if x]:
+    if odd := np.flatnonzero(pc.match_substring_regex(pc.fill_null(lines, ""), _KEPT.pattern).to_numpy(zero_copy_only=False)).tolist():
         values = out.to_pylist()
         for i in odd:
             values[i] = mask_line(lines[i].as_py(), header, config)

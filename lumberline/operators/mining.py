@@ -168,6 +168,16 @@ def route(keyed: DataFrame, config: DrainConfig, before: DataFrame | None = None
         known = StructType([kinds["doc_id"], *CHILD.fields])
         return spark.createDataFrame(rows, leaves).coalesce(1), spooled(spark.createDataFrame(kept, known).coalesce(1))
     out, children, written = paths.withColumns({"leaf": F.lit(""), "overflow": F.lit(False)}), None, [paths]
+    narrow = None
+    if before is None:  # documents whose paths are so few that no node can have too many children keep all keys
+        wide = spooled(paths.groupBy("doc_id").agg(F.count(F.lit(1)).alias("__paths")).where(F.col("__paths") > config.max_children).select(F.col("doc_id").alias("__d")))
+        of_wide = F.col("doc_id").eqNullSafe(F.col("__d"))
+        narrow = out.join(wide, of_wide, "left_anti")
+        out = out.join(wide, of_wide, "left_semi")
+        written.append(wide)
+        steps = F.array(*[F.struct(F.lit(i).alias("level"), F.concat_ws("\u0001", F.lit(""), *names[:i]).alias("path"), F.col(n).alias("key")) for i, n in enumerate(names)])
+        children = narrow.select("doc_id", F.explode(steps).alias("__s"), "__first").groupBy("doc_id", "__s.level", "__s.path", "__s.key").agg(F.min("__first").alias("first"))
+        narrow = narrow.withColumn("leaf", F.concat_ws("\u0001", "leaf", *names))
     for i, name in enumerate(names):
         key = F.col(name)
         first = out.groupBy("doc_id", F.col("leaf").alias("path"), key.alias("key")).agg(F.min("__first").alias("first"))
@@ -183,14 +193,14 @@ def route(keyed: DataFrame, config: DrainConfig, before: DataFrame | None = None
         step = F.col("__own").isNotNull() | (key == "*")
         overflow = F.col("overflow") | (~step if i else F.lit(False))
         out = out.withColumns({"leaf": F.concat_ws("\u0001", "leaf", F.when(step, key).otherwise(F.lit("*"))), "overflow": overflow}).drop("__d", "__l", "__key", "__own")
-    done = spooled(out.drop("__first")), spooled(children)
+    done = spooled((out if narrow is None else narrow.union(out)).drop("__first")), spooled(children)
     for table in written:
         release(table)
     return done
 
 
-#: Lines of a leaf that are looked up in its memo together.
-TOGETHER = 4096
+#: Lines of a leaf that are looked up in its memo together; so few are looked up one by one.
+TOGETHER, FEW_LINES = 4096, 8
 
 
 def _replayed(leaf: Leaf, lines: np.ndarray, codes: np.ndarray, contents: list[str], overflow: np.ndarray) -> np.ndarray:
@@ -199,7 +209,7 @@ def _replayed(leaf: Leaf, lines: np.ndarray, codes: np.ndarray, contents: list[s
     out = np.empty(len(lines), np.int64)
     for lo in range(0, len(lines), TOGETHER):
         here = slice(lo, lo + TOGETHER)
-        if (overflow[here] == leaf.overflow).all():
+        if len(lines) > FEW_LINES and (overflow[here] == leaf.overflow).all():
             distinct, place, counts = np.unique(codes[here], return_inverse=True, return_counts=True)
             found = [leaf.memo.get(contents[c], leaf) for c in distinct]
             if leaf not in found:
@@ -220,6 +230,56 @@ def _replayed(leaf: Leaf, lines: np.ndarray, codes: np.ndarray, contents: list[s
 REPLAYED = StructType([StructField("doc_id", StringType()), StructField("leaf", StringType()), StructField("line_no", LongType()), StructField("birth", LongType()), StructField("template", StringType()), StructField("size", LongType())])
 
 
+def replayed_batches(batches: Iterator[pa.RecordBatch], config: DrainConfig) -> Iterator[pa.RecordBatch]:
+    """The rows of ``replay`` from its sorted rows. A batch gives one batch of its lines and one of the clusters of the leaves
+    that end in it, however short its leaves are."""
+    at, leaf, like = None, None, None
+    ended: list[tuple] = []  # document, leaf, birth, template, size
+
+    def end() -> None:
+        if leaf is not None:  # without clusters if births were forbidden before its first line
+            ended.extend((*at, c.birth, " ".join(c.template), c.size) for c in leaf.clusters)
+
+    def finals() -> pa.RecordBatch:
+        columns = [pa.array(x, t) for x, t in zip(zip(*ended), (like, pa.string(), pa.int64(), pa.string(), pa.int64()))]
+        ended.clear()
+        return pa.RecordBatch.from_arrays([*columns[:2], pa.nulls(len(columns[0]), pa.int64()), *columns[2:]], [f.name for f in REPLAYED])
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        column = {n: b.column(i) for i, n in enumerate(b.schema.names)}
+        like = column["doc_id"].type
+        coded = {c: column[c].dictionary_encode() for c in ("doc_id", "leaf", "content")}
+        code = {c: x.indices.fill_null(-1).to_numpy(zero_copy_only=False) for c, x in coded.items()}
+        doc_names, leaf_names, contents = (coded[c].dictionary.to_pylist() for c in ("doc_id", "leaf", "content"))
+        flags = column["overflow"].to_numpy(zero_copy_only=False)
+        old = column["line_no"].is_null().to_numpy(zero_copy_only=False)
+        lines = column["line_no"].fill_null(-1).to_numpy(zero_copy_only=False)
+        births = np.full(b.num_rows, -1, np.int64)
+        cuts = np.flatnonzero((np.diff(code["doc_id"]) != 0) | (np.diff(code["leaf"]) != 0)) + 1
+        for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), b.num_rows]):
+            d = int(code["doc_id"][lo])
+            place = (doc_names[d] if d >= 0 else None, leaf_names[code["leaf"][lo]])
+            if place != at:
+                end()
+                at, leaf = place, Leaf(config, False, column["stop"][lo].as_py())
+            while lo < hi and old[lo]:
+                tokens = contents[code["content"][lo]].split(" ")
+                leaf.clusters.append(Cluster(column["birth"][lo].as_py(), tokens, column["size"][lo].as_py(), tokens.count(WILD)))
+                lo += 1
+            if lo < hi:
+                births[lo:hi] = _replayed(leaf, lines[lo:hi], code["content"][lo:hi], contents, flags[lo:hi])
+        new = pa.array(~old)
+        found = [column["doc_id"], pa.nulls(b.num_rows, pa.string()), column["line_no"], pa.array(births, pa.int64(), mask=births < 0), pa.nulls(b.num_rows, pa.string()), pa.nulls(b.num_rows, pa.int64())]
+        yield pa.RecordBatch.from_arrays([c.filter(new) for c in found], [f.name for f in REPLAYED])
+        if ended:
+            yield finals()
+    end()
+    if ended:
+        yield finals()
+
+
 def replay(routed: DataFrame, config: DrainConfig, stops: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
     """(doc_id, leaf, line_no, birth, template, size): of each line of ``routed`` (doc_id, leaf, overflow, line_no, content)
     the birth line of its cluster (null: the blank cluster); and of each cluster a row without ``line_no`` that has its final
@@ -237,46 +297,7 @@ def replay(routed: DataFrame, config: DrainConfig, stops: DataFrame | None = Non
     # the overflow flag is the leaf's: a "*" child that is shared by literal and late keys overflows for the late ones
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, leaf, names = None, None, [f.name for f in REPLAYED]
-
-        def rows_of(doc, key, like: pa.Schema, lines: pa.Array, births: pa.Array, templates: list | None, sizes: list | None) -> pa.RecordBatch:
-            n = len(lines)
-            columns = [pa.array([doc] * n, like.field("doc_id").type), pa.array([key if templates else None] * n, pa.string()), lines, births, pa.array(templates or [None] * n, pa.string()), pa.array(sizes or [None] * n, pa.int64())]
-            return pa.RecordBatch.from_arrays(columns, names)
-
-        def finals(like: pa.Schema) -> Iterator[pa.RecordBatch]:
-            if leaf.clusters:  # none if births were forbidden before its first line
-                yield rows_of(*at, like, pa.nulls(len(leaf.clusters), pa.int64()), pa.array([c.birth for c in leaf.clusters], pa.int64()), [" ".join(c.template) for c in leaf.clusters], [c.size for c in leaf.clusters])
-
-        schema = None
-        for b in batches:
-            schema = b.schema
-            if not b.num_rows:
-                continue
-            coded = {c: b.column(schema.get_field_index(c)).dictionary_encode() for c in ("doc_id", "leaf", "content")}
-            code = {c: x.indices.fill_null(-1).to_numpy(zero_copy_only=False) for c, x in coded.items()}
-            doc_names, leaf_names, contents = (coded[c].dictionary.to_pylist() for c in ("doc_id", "leaf", "content"))
-            flags = b.column(schema.get_field_index("overflow")).to_numpy(zero_copy_only=False)
-            line_column = b.column(schema.get_field_index("line_no"))
-            old = line_column.is_null().to_numpy(zero_copy_only=False)
-            lines = line_column.fill_null(-1).to_numpy(zero_copy_only=False)
-            cuts = np.flatnonzero((np.diff(code["doc_id"]) != 0) | (np.diff(code["leaf"]) != 0)) + 1
-            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), b.num_rows]):
-                d = int(code["doc_id"][lo])
-                place = (doc_names[d] if d >= 0 else None, leaf_names[code["leaf"][lo]])
-                if place != at:
-                    if leaf is not None:
-                        yield from finals(schema)
-                    at, leaf = place, Leaf(config, False, b.column(schema.get_field_index("stop"))[lo].as_py())
-                while lo < hi and old[lo]:
-                    tokens = contents[code["content"][lo]].split(" ")
-                    leaf.clusters.append(Cluster(b.column(schema.get_field_index("birth"))[lo].as_py(), tokens, b.column(schema.get_field_index("size"))[lo].as_py(), tokens.count(WILD)))
-                    lo += 1
-                if lo < hi:
-                    births = _replayed(leaf, lines[lo:hi], code["content"][lo:hi], contents, flags[lo:hi])
-                    yield rows_of(*at, schema, line_column.slice(lo, hi - lo), pa.array(births, pa.int64(), mask=births < 0), None, None)
-        if leaf is not None:
-            yield from finals(schema)
+        return replayed_batches(batches, config)
 
     dealt = rows.repartition("doc_id", "leaf").sortWithinPartitions("doc_id", "leaf", F.col("line_no").asc_nulls_first(), "birth")
     return dealt.mapInArrow(run, StructType([StructField("doc_id", kind), *REPLAYED.fields[1:]]))

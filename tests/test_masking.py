@@ -67,3 +67,19 @@ def test_lines_of_a_batch_are_masked_like_one():
             assert got == [None if x is None else masking.mask_line(x, header, config) for x in lines]
     assert masking.mask_lines(pa.array([], pa.string())).to_pylist() == []
     assert masking.mask_lines(pa.array(["a 1", "b"], pa.string()).slice(1)).to_pylist() == ["b"]
+
+
+def test_plain_words_are_not_tried_one_by_one(monkeypatch):
+    tried = []
+    monkeypatch.setattr(masking, "mask_token", lambda t, config: tried.append(t) or mask_token(t, config))
+    assert masking.mask_lines(pa.array(["plain words, and others.", "a-b (c) user_id v=w", "at 7"])).to_pylist()[2] == "at <NUM>"
+    assert tried == ["7"]
+
+
+def test_maskable_has_all_tokens_that_change():
+    rng, maskable = random.Random(5), pa.compute.match_substring_regex
+    bits = ["a", "F", "deadbeef", "-", "dead", "m", "s", ".", "=", ":", "/", "\\", "@", "{", "[", "]", "}", '"', "7", "x.y", "+", "://", "é", "(", "٣"]
+    tokens = sorted({"".join(rng.choice(bits) for _ in range(rng.randint(1, 7))) for _ in range(30_000)} | {"abcdefab-abcd-abcd-abcd-abcdefabcdef", "..s", "k=.m", "k=m."})
+    for token, likely in zip(tokens, maskable(pa.array(tokens), masking.MASKABLE).to_pylist()):
+        assert likely or mask_token(token) is None, token
+    assert mask_token("k=.m") and mask_token("abcdefab-abcd-abcd-abcd-abcdefabcdef")

@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,3 +78,17 @@ def test_lines_are_read_twice_and_evaluated_once(spark):
     leaves, _ = mining.route(keyed, DrainConfig())
     scans = [x for x in leaves._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Relation" in x]
     assert len(scans) <= 1 and len(leaves.columns) == 6
+
+
+def test_short_leaves_share_batches(spark):
+    """Thousands of leaves of one line each come back in a few batches of Arrow, not in two each."""
+    n = 3_000
+    rows = pa.RecordBatch.from_pydict({
+        "doc_id": pa.array([f"d{i:04}" for i in range(n)]), "leaf": pa.array(["1"] * n), "line_no": pa.array([0] * n, pa.int64()), "overflow": pa.array([False] * n),
+        "content": pa.array([f"word{i}" for i in range(n)]), "birth": pa.nulls(n, pa.int64()), "size": pa.nulls(n, pa.int64()), "stop": pa.nulls(n, pa.int64()),
+    })
+    got = list(mining.replayed_batches(iter([rows.slice(0, 1_000), rows.slice(1_000)]), DrainConfig()))
+    assert len(got) <= 5
+    found = pa.Table.from_batches(got).to_pylist()
+    assert sorted(r["doc_id"] for r in found if r["line_no"] == 0) == sorted(r["doc_id"] for r in found if r["template"]) == [f"d{i:04}" for i in range(n)]
+    assert all(r["birth"] == 0 and (r["template"] is None or r["template"] == f"word{int(r['doc_id'][1:])}" and r["size"] == 1) for r in found)
