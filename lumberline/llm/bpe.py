@@ -24,9 +24,9 @@ from .common import read
 
 TOKENIZER = "word_bpe_49k.json"
 NEVER = 1 << 62
-#: Entries of a worker's tables (of pairs and pieces, and of stretches), which start anew beyond it (some 150 MB in all);
+#: Entries of a worker's tables (of pairs and pieces, and of stretches), which start anew beyond it;
 #: longer words are not kept.
-REMEMBERED, STRETCHES, LONG_WORD = 1 << 19, 1 << 18, 64
+REMEMBERED, STRETCHES, LONG_WORD = 1 << 18, 1 << 17, 64
 #: Bytes of results that a worker sends back together.
 SENT_BYTES = 1 << 22
 #: Distance of the code points that stand for a word's last byte.
@@ -239,11 +239,14 @@ def loaded(kind: type, name: str):
     return _loaded[kind, name]
 
 
-def _mapped(df: DataFrame, column: str, keep: list[str], out: str, kind: str, arrow: pa.DataType, one: Callable) -> DataFrame:
-    if out in keep:
-        raise ValueError(f"a column is already named {out}")
+def _mapped(df: DataFrame, column: str, keep: list[str], outs: list[tuple[str, str, pa.DataType]], one: Callable) -> DataFrame:
+    """The columns ``keep`` and ``outs`` (name, Spark's type, Arrow's type): ``one`` gives a function from a value to theirs."""
+    names = [o for o, _, _ in outs]
+    if taken := [o for i, o in enumerate(names) if o in keep or o in names[:i]]:
+        raise ValueError(f"a column is already named {taken[0]}")
     quoted, plain = ["`" + k.replace("`", "``") + "`" for k in keep], [f"k{i}" for i in range(len(keep))]  # any name goes through Arrow
     fields = [f"{p} {df.schema[k].dataType.simpleString()}" for p, k in zip(plain, keep)]
+    made = [f"done{i}" for i in range(len(outs))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = one()
@@ -251,32 +254,52 @@ def _mapped(df: DataFrame, column: str, keep: list[str], out: str, kind: str, ar
             done, size, start = [], 0, 0
             for i, x in enumerate(b.column(len(plain)), 1):
                 done.append(f(x.as_py()))
-                size += len(done[-1])
+                size += sum(map(len, done[-1]))
                 if size >= SENT_BYTES or i == b.num_rows:
-                    yield pa.RecordBatch.from_arrays([*(c.slice(start, i - start) for c in b.columns[: len(plain)]), pa.array(done, arrow)], [*plain, "done"])
+                    columns = [pa.array(v, t) for v, (_, _, t) in zip(zip(*done), outs)]
+                    yield pa.RecordBatch.from_arrays([*(c.slice(start, i - start) for c in b.columns[: len(plain)]), *columns], [*plain, *made])
                     done, size, start = [], 0, i
 
     rows = df.select(*[F.col(q).alias(p) for q, p in zip(quoted, plain)], F.col(column).alias("given"))
-    return rows.mapInArrow(run, ", ".join([*fields, f"done {kind}"])).toDF(*keep, out)
+    return rows.mapInArrow(run, ", ".join([*fields, *(f"{m} {kind}" for m, (_, kind, _) in zip(made, outs))])).toDF(*keep, *names)
 
 
-def encode_texts(df: DataFrame, keep: list[str], text_col: str = "text", out: str = "ids", tokenizer: str = TOKENIZER) -> DataFrame:
+def encode_texts(df: DataFrame, keep: list[str], text_col: str = "text", out: str = "ids", tokenizer: str = TOKENIZER, decoded: str | None = None) -> DataFrame:
     """The columns ``keep`` of each row and ``out``: its whole text's ids, packed as unsigned 32-bit little-endian numbers.
+    With ``decoded`` also a column of that name, as ``decode_ids`` gives it: by the same worker, where a second pass over the
+    ids would have workers of its own beside it.
 
     Null and empty texts have no ids. Rows are encoded where they stand, without a shuffle; repeated rows and null keys are
     kept, an empty table gives an empty one. A text of any length is one row of a task, which holds it and its ids. Strings of
-    the special tokens give these tokens. Lone surrogates count as question marks. A column of ``keep`` named like ``out``
-    raises a ``ValueError``.
+    the special tokens give these tokens. Lone surrogates count as question marks. A column of ``keep`` named like ``out`` or
+    ``decoded`` raises a ``ValueError``.
     """
-    return _mapped(df, text_col, keep, out, "binary", pa.binary(), lambda: loaded(TextEncoder, tokenizer).encode)
+
+    def coder() -> Callable[[str | None], tuple]:
+        encode = loaded(TextEncoder, tokenizer).encode
+        if decoded is None:
+            return lambda text: (encode(text),)
+        decode = loaded(IdDecoder, tokenizer).decode
+
+        def both(text: str | None) -> tuple[bytes, str]:
+            ids = encode(text)
+            return ids, decode(ids)
+
+        return both
+
+    return _mapped(df, text_col, keep, [(out, "binary", pa.binary())] + ([(decoded, "string", pa.string())] if decoded is not None else []), coder)
 
 
 def decode_ids(df: DataFrame, keep: list[str], ids_col: str = "ids", out: str = "decoded", tokenizer: str = TOKENIZER) -> DataFrame:
     """The columns ``keep`` of each row and ``out``: the text of its packed ids; no ids give the empty text, as does null."""
-    return _mapped(df, ids_col, keep, out, "string", pa.string(), lambda: loaded(IdDecoder, tokenizer).decode)
+
+    def decoder() -> Callable[[bytes | None], tuple]:
+        decode = loaded(IdDecoder, tokenizer).decode
+        return lambda ids: (decode(ids),)
+
+    return _mapped(df, ids_col, keep, [(out, "string", pa.string())], decoder)
 
 
 def op13_bpe(spark, sf_dir: str) -> DataFrame:
-    ids = encode_texts(read(spark, sf_dir, "documents"), ["doc_id"])
-    done = decode_ids(ids, ["doc_id", "ids"])
+    done = encode_texts(read(spark, sf_dir, "documents"), ["doc_id"], decoded="decoded")
     return done.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -229,3 +229,15 @@ def test_encode_keeps_columns(spark):
     assert sorted((r["text"] or "", len(r["coded"])) for r in rows.collect()) == [("", 0), ("a b", 8)]
     assert bpe.encode_texts(df.where("false"), ["text"]).count() == 0
     assert [r["decoded"] for r in bpe.decode_ids(spark.createDataFrame([(None,)], "ids binary"), []).collect()] == [""]
+
+
+def test_texts_are_encoded_and_decoded_by_one_worker(spark, library, tmp_path):
+    """A second pass over the ids has a second worker beside each, with tables of its own."""
+    df = spark.createDataFrame([(1, "Plain words, 1.5 ümläut 日本"), (2, None), (3, "")], "doc_id long, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    assert bpe.op13_bpe(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    both = bpe.encode_texts(df, ["doc_id"], decoded="back")
+    again = bpe.decode_ids(bpe.encode_texts(df, ["doc_id"]), ["doc_id", "ids"], out="back")
+    assert sorted(map(tuple, both.collect())) == sorted(map(tuple, again.collect()))
+    with pytest.raises(ValueError):
+        bpe.encode_texts(df, ["doc_id"], decoded="ids")
