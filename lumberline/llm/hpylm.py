@@ -195,17 +195,21 @@ def expected_tables(customers: np.ndarray, pull: np.ndarray, discount: float, no
 
 
 def squeezed(values: np.ndarray) -> bytes:
-    """Whole numbers in planes of bytes, compressed: planes that hardly vary take next to nothing."""
-    raw = values.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
-    return pa.compress(raw, codec="zstd", asbytes=True) + len(values).to_bytes(8, "little")
+    """Whole numbers of at least 0 in planes of bytes, compressed: planes that hardly vary take next to nothing."""
+    planes = values.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8)
+    used = (int(values.max(initial=0)).bit_length() + 7) // 8 or 1  # those above are left out
+    return pa.compress(planes[:, :used].T.tobytes(), codec="zstd", asbytes=True) + bytes([used]) + len(values).to_bytes(8, "little")
 
 
 def unsqueezed(data: bytes) -> np.ndarray:
     n = int.from_bytes(data[-8:], "little")
     if not n:
         return np.zeros(0, np.uint64)
-    raw = pa.decompress(data[:-8], 8 * n, codec="zstd", asbytes=True)
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, n).T).view("<u8").ravel()
+    used = data[-9]
+    raw = pa.decompress(data[:-9], used * n, codec="zstd", asbytes=True)
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :used] = np.frombuffer(raw, np.uint8).reshape(used, n).T
+    return out.view("<u8").ravel()
 
 
 def squeezed_keys(keys: np.ndarray) -> bytes:
@@ -219,9 +223,13 @@ def unsqueezed_keys(data: bytes) -> np.ndarray:
 def coded(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(tokens of each text, sorted keys of the distinct words, the place of each token's word among them); each text
     ends with the end, and the start is among the words."""
-    words = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts]  # bytes: A-Z only
-    sizes = np.array([len(w) for w in words], np.int64)
-    found = pa.array(list(chain.from_iterable(words)), pa.large_binary()).dictionary_encode()
+    raw = pa.array([(t or "").encode("utf-8", "surrogatepass") for t in texts], pa.large_binary()).view(pa.large_string())
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(raw))  # A-Z only
+    words = lists.flatten()
+    there = pc.greater(pc.binary_length(words), 0)  # empty ones stand beside white space at the ends of a text
+    upto = np.r_[0, np.cumsum(there.to_numpy(zero_copy_only=False))]
+    sizes = np.diff(upto[lists.offsets.to_numpy()]).astype(np.int64)
+    found = words.filter(there).view(pa.large_binary()).dictionary_encode()
     digest = xxhash.xxh64_intdigest
     hashes = np.array([*map(digest, found.dictionary.to_pylist()), int(START), int(END)], np.uint64) & ~np.uint64(1)
     keys, place = np.unique(hashes, return_inverse=True)
@@ -229,8 +237,19 @@ def coded(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return sizes + 1, keys, place[tokens]
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a place of each distinct key, in the order of the keys; the number of each place's key among them). Which of its places
+    a key gets is open, so that the sort needn't be stable, which takes several times as long."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    starts = np.r_[np.ones(min(1, len(keys)), bool), ordered[1:] != ordered[:-1]]
+    number = np.empty(len(keys), np.int64)
+    number[order] = np.cumsum(starts) - 1
+    return order[starts], number
+
+
 class Pairs:
-    """The distinct pairs of a block's tokens, found again from the place of the first token of each, and the sorted list of
+    """The distinct pairs of a block's tokens, found again from the place of one token of each, and the sorted list of
     the distinct keys of both levels."""
 
     def __init__(self, sizes: np.ndarray, words: np.ndarray, tokens: np.ndarray, first: np.ndarray | None):
@@ -240,7 +259,7 @@ class Pairs:
         contexts[1:] = tokens[:-1]
         contexts[np.r_[0, self.ends[:-1]]] = self.start
         if first is None:
-            self.pairs, first, self.pair_of = np.unique(pair_keys(words[contexts], words[tokens]), return_index=True, return_inverse=True)
+            first, self.pair_of = distinct(pair_keys(words[contexts], words[tokens]))
         self.first, self.pair_context, self.pair_word = first, contexts[first], tokens[first]
         self.pairs = pair_keys(words[self.pair_context], words[self.pair_word])
         both = np.concatenate([words, self.pairs])

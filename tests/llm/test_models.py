@@ -333,3 +333,25 @@ def test_toxicity_without_labels(spark):
     assert model.scores(["a", None])[0] < toxicity.THRESHOLD
     assert toxicity.fit(spark.createDataFrame([], "text string, label bigint")).scores(["idiot"])[0] < toxicity.THRESHOLD
     assert toxicity.fit(spark.createDataFrame([("a b", None), (None, 1)], "text string, label bigint")).scores([None])[0] < toxicity.THRESHOLD
+
+
+def test_blocks_of_odd_texts_like_plain_python():
+    texts = ["", None, "\x0b A b\x0c\rB É \x85x　y  ", " lead", "trail ", "\udc80a B", "a b a b a"] + [f"w{i % 7} W{i % 5}" for i in range(50)]
+    sizes, keys, tokens = hpylm.coded(texts)
+    plain = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts]
+    assert sizes.tolist() == [len(p) + 1 for p in plain]
+    key = lambda w: hpylm.xxhash.xxh64_intdigest(w) & ~1
+    assert keys[tokens].tolist() == [k for p in plain for k in [*map(key, p), int(hpylm.END)]]
+    block = hpylm.Pairs(sizes, keys, tokens, None)
+    pairs = [(a, b) for p in plain for a, b in zip([int(hpylm.START), *map(key, p)], [*map(key, p), int(hpylm.END)])]
+    assert list(zip(keys[block.pair_context][block.pair_of].tolist(), keys[block.pair_word][block.pair_of].tolist())) == pairs
+    assert len(block.pairs) == len(set(pairs)) and (np.diff(block.pairs.astype(object)) > 0).all()
+    again = hpylm.Pairs(sizes, keys, tokens, block.first)
+    assert (again.pairs == block.pairs).all() and (again.pair_word == block.pair_word).all()
+
+
+def test_numbers_are_packed_without_empty_planes():
+    for values in ([], [0], [0, 255], [256, 3], [2**63, 2**64 - 1, 0]):
+        assert hpylm.unsqueezed(hpylm.squeezed(np.array(values, np.uint64))).tolist() == values
+    noise = np.random.default_rng(1).integers(0, 256, 1_000)
+    assert hpylm.squeezed(noise)[-9] == 1
