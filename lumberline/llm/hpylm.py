@@ -6,10 +6,11 @@ the customers of every dish of every restaurant anew, given the tables of its re
 the dish after the sweep before; then the parent's customers, given its own tables. A text's probability is the mean of
 each token's predictive probabilities over the samples.
 
-Counts never become rows. Texts lie in blocks of some megabytes, as numbers of the block's distinct words. A block sends
-its sorted distinct keys (hashes of words and of word pairs), packed, to reducers by ranges of the key; these answer with
-the corpus counts in the same order, and name one block as the owner of each key. Draws for a pair follow from its counts,
-its restaurant's state and a generator seeded by its key, so every block draws the same; in each sweep owners add up the
+Counts never become rows. Texts lie in blocks of some megabytes, as numbers of the block's distinct word pairs, which are
+found once and lie beside them by context and word; sweeps read the pairs alone, not the texts. A block sends its sorted
+distinct keys (hashes of words and of word pairs), packed, to reducers by ranges of the key; these answer with the corpus
+counts in the same order, and name one block as the owner of each key. Draws for a pair follow from its counts, its
+restaurant's state and a generator seeded by its key, so every block draws the same; in each sweep owners add up the
 tables by context and by word, and an exchange of these sums (words only) gives the next state. There are at most as many
 messages as blocks times ranges, and as keys.
 """
@@ -64,48 +65,65 @@ def pair_keys(contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
 # Seatings
 
 
-def drawn_tables(keys: np.ndarray, customers: np.ndarray, pull: np.ndarray, discount: float, sweep: int) -> np.ndarray:
-    """A draw of the number of tables that serve each dish to its ``customers``.
+class Dishes:
+    """The customers of dishes, those of several customers by their number: made once for all draws over them."""
+
+    def __init__(self, customers: np.ndarray):
+        self.single = np.minimum(customers, 1).astype(np.int64)
+        several = np.flatnonzero(customers > 1)
+        # bytes are sorted by counting
+        self.several = several[np.argsort(np.minimum(customers[several], DRAWN + 1).astype(np.uint8), kind="stable")]
+        self.customers = customers[self.several]
+        self.few = int(np.searchsorted(self.customers, DRAWN, "right"))
+        self.edges = np.r_[0, np.flatnonzero(np.diff(self.customers[: self.few])) + 1, self.few].tolist() if self.few else [0]
+
+    def drawn(self, keys: np.ndarray, pull: np.ndarray, discount: float, sweep: int) -> np.ndarray:
+        """A draw of the number of tables that serve each dish; ``keys`` and ``pull`` are those of the ``several`` alone.
+
+        ``pull`` is the weight of a new table: (strength + discount * tables) * the parent's probability of the dish. The law
+        is the one that single Gibbs steps tend to while ``pull`` stands: pull ** tables times the generalised Stirling
+        number. One customer sits at one table.
+        """
+        offset = np.uint64((sweep + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+        draw = (mixed(keys + offset) >> np.uint64(11)).astype(np.float64) * 2.0**-53 + 2.0**-54
+        found = np.ones(len(self.several), np.int64)
+        for lo, hi in zip(self.edges[:-1], self.edges[1:]):
+            n = int(self.customers[lo])
+            law = log_stirling(discount)[n, 1 : n + 1]
+            step = 65536 if n <= POWERED else 8192
+            for i in range(lo, hi, step):
+                some = slice(i, min(i + step, hi))
+                here = pull[some]
+                if n <= POWERED:
+                    weight, power, total, upto = np.exp(law), np.ones(len(here)), np.zeros(len(here)), []
+                    for k in range(n):
+                        total = total + weight[k] * power
+                        upto.append(total)
+                        power = power * here
+                    target = draw[some] * total
+                    for x in upto[:-1]:
+                        found[some] += x <= target
+                    continue
+                if here.max() < 10 ** (290 / n):  # the powers stay below the largest double
+                    share = np.ones((len(here), n))
+                    share[:, 1:] = here[:, None]
+                    share = (share.cumprod(axis=1) * np.exp(law - law[0])).cumsum(axis=1)
+                else:
+                    weight = law + np.arange(n) * np.log(here)[:, None]
+                    share = np.exp(weight - weight.max(axis=1, keepdims=True)).cumsum(axis=1)
+                found[some] = 1 + (share[:, :-1] <= draw[some, None] * share[:, -1:]).sum(axis=1)
+        many = slice(self.few, None)
+        mean, variance = _moments(self.customers[many], pull[many], discount)
+        found[many] = np.clip(1 + _quantile(draw[many], mean, variance), 1, self.customers[many])
+        tables = self.single.copy()
+        tables[self.several] = found
+        return tables
 
-    ``pull`` is the weight of a new table: (strength + discount * tables) * the parent's probability of the dish. The law is
-    the one that single Gibbs steps tend to while ``pull`` stands: pull ** tables times the generalised Stirling number.
-    One customer sits at one table.
-    """
-    tables = np.minimum(customers, 1).astype(np.int64)
-    offset = np.uint64((sweep + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-    several = np.flatnonzero(customers > 1)
-    several = several[np.argsort(np.minimum(customers[several], DRAWN + 1).astype(np.uint8), kind="stable")]  # bytes are sorted by counting
-    draw = (mixed(keys[several] + offset) >> np.uint64(11)).astype(np.float64) * 2.0**-53 + 2.0**-54
-    few = int(np.searchsorted(customers[several], DRAWN, "right"))
-    for members in np.split(np.arange(few), np.flatnonzero(np.diff(customers[several[:few]])) + 1) if few else []:
-        n = int(customers[several[members[0]]])
-        law = log_stirling(discount)[n, 1 : n + 1]
-        if n <= POWERED:
-            at = several[members]
-            weight, power, total, upto = np.exp(law), np.ones(len(at)), np.zeros(len(at)), []
-            for k in range(n):
-                total = total + weight[k] * power
-                upto.append(total)
-                power = power * pull[at]
-            target = draw[members] * total
-            for x in upto[:-1]:
-                tables[at] += x <= target
-            continue
-        for lo in range(0, len(members), 8192):
-            some = members[lo : lo + 8192]
-            at = several[some]
-            if pull[at].max() < 10 ** (290 / n):  # the powers stay below the largest double
-                share = np.ones((len(at), n))
-                share[:, 1:] = pull[at][:, None]
-                share = (share.cumprod(axis=1) * np.exp(law - law[0])).cumsum(axis=1)
-            else:
-                weight = law + np.arange(n) * np.log(pull[at])[:, None]
-                share = np.exp(weight - weight.max(axis=1, keepdims=True)).cumsum(axis=1)
-            tables[at] = 1 + (share[:, :-1] <= draw[some, None] * share[:, -1:]).sum(axis=1)
-    at = several[few:]
-    mean, variance = _moments(customers[at], pull[at], discount)
-    tables[at] = np.clip(1 + _quantile(draw[few:], mean, variance), 1, customers[at])
-    return tables
+
+def drawn_tables(keys: np.ndarray, customers: np.ndarray, pull: np.ndarray, discount: float, sweep: int) -> np.ndarray:
+    """One draw of the tables that serve each dish to its ``customers``, see ``Dishes``."""
+    dishes = Dishes(customers)
+    return dishes.drawn(keys[dishes.several], pull[dishes.several], discount, sweep)
 
 
 _grids: dict[float, tuple[np.ndarray, np.ndarray]] = {}
@@ -198,7 +216,8 @@ def squeezed(values: np.ndarray) -> bytes:
     """Whole numbers of at least 0 in planes of bytes, compressed: planes that hardly vary take next to nothing."""
     planes = values.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8)
     used = (int(values.max(initial=0)).bit_length() + 7) // 8 or 1  # those above are left out
-    return pa.compress(planes[:, :used].T.tobytes(), codec="zstd", asbytes=True) + bytes([used]) + len(values).to_bytes(8, "little")
+    raw = b"".join([planes[:, i].tobytes() for i in range(used)])  # one by one: copied faster than all at once
+    return pa.compress(raw, codec="zstd", asbytes=True) + bytes([used]) + len(values).to_bytes(8, "little")
 
 
 def unsqueezed(data: bytes) -> np.ndarray:
@@ -206,9 +225,10 @@ def unsqueezed(data: bytes) -> np.ndarray:
     if not n:
         return np.zeros(0, np.uint64)
     used = data[-9]
-    raw = pa.decompress(data[:-9], used * n, codec="zstd", asbytes=True)
+    raw = np.frombuffer(pa.decompress(memoryview(data)[:-9], used * n, codec="zstd"), np.uint8)
     out = np.zeros((n, 8), np.uint8)
-    out[:, :used] = np.frombuffer(raw, np.uint8).reshape(used, n).T
+    for i in range(used):
+        out[:, i] = raw[i * n : (i + 1) * n]
     return out.view("<u8").ravel()
 
 
@@ -230,8 +250,8 @@ def coded(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     upto = np.r_[0, np.cumsum(there.to_numpy(zero_copy_only=False))]
     sizes = np.diff(upto[lists.offsets.to_numpy()]).astype(np.int64)
     found = words.filter(there).view(pa.large_binary()).dictionary_encode()
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array([*map(digest, found.dictionary.to_pylist()), int(START), int(END)], np.uint64) & ~np.uint64(1)
+    distinct_words = found.dictionary.to_numpy(zero_copy_only=False)  # bytes without a scalar of Arrow for each
+    hashes = np.r_[np.fromiter(map(xxhash.xxh64_intdigest, distinct_words), np.uint64, len(distinct_words)), START, END] & ~np.uint64(1)
     keys, place = np.unique(hashes, return_inverse=True)
     tokens = np.insert(found.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.cumsum(sizes), len(hashes) - 1)
     return sizes + 1, keys, place[tokens]
@@ -248,6 +268,17 @@ def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order[starts], number
 
 
+def interleaved(words: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sorted list of two sorted lists without common keys, and the places of their keys in it."""
+    word_at = np.searchsorted(pairs, words) + np.arange(len(words))
+    others = np.ones(len(words) + len(pairs), bool)
+    others[word_at] = False
+    pair_at = np.flatnonzero(others)
+    keys = np.empty(len(others), np.uint64)
+    keys[word_at], keys[pair_at] = words, pairs
+    return keys, word_at, pair_at
+
+
 class Pairs:
     """The distinct pairs of a block's tokens, found again from the place of one token of each, and the sorted list of
     the distinct keys of both levels."""
@@ -262,12 +293,7 @@ class Pairs:
             first, self.pair_of = distinct(pair_keys(words[contexts], words[tokens]))
         self.first, self.pair_context, self.pair_word = first, contexts[first], tokens[first]
         self.pairs = pair_keys(words[self.pair_context], words[self.pair_word])
-        both = np.concatenate([words, self.pairs])
-        order = np.argsort(both, kind="stable")  # two sorted runs
-        self.keys = both[order]
-        place = np.empty(len(both), np.int64)
-        place[order] = np.arange(len(both))
-        self.word_at, self.pair_at = place[: len(words)], place[len(words) :]
+        self.keys, self.word_at, self.pair_at = interleaved(words, self.pairs)
 
     def own_counts(self, learn: np.ndarray) -> np.ndarray:
         """How often each key occurs in the texts that are learnt from; the start counts texts."""
@@ -279,14 +305,38 @@ class Pairs:
         return out
 
 
-def block_of(t: pa.Table, whole: bool = True) -> tuple[int, Pairs]:
-    """The block of a row; not ``whole``: without the pair of each token, which needs sorting."""
-    one = lambda c: t.column(c)[0].as_py()
-    first = None if whole else unsqueezed(one("first")).astype(np.int64)
-    return one("g"), Pairs(unsqueezed(one("sizes")).astype(np.int64), unsqueezed_keys(one("words")), unsqueezed(one("tokens")).astype(np.int64), first)
+    def by_context(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(context, word) of each pair in that order, in which contexts take next to no room, and the number of each
+        token's pair in it."""
+        order = np.argsort(self.pair_context * len(self.words) + self.pair_word)
+        number = np.empty_like(order)
+        number[order] = np.arange(len(order))
+        return self.pair_context[order], self.pair_word[order], number[self.pair_of]
+
 
+class Block:
+    """What rounds need of a block: its words, and its distinct pairs by context and word."""
 
-BLOCK = "g bigint, ids array<bigint>, learn array<boolean>, sizes binary, words binary, tokens binary"
+    def __init__(self, t: pa.Table):
+        self.one = lambda c: t.column(c)[0].as_py()
+        self.g, self.words = self.one("g"), unsqueezed_keys(self.one("words"))
+        self.contexts = np.cumsum(unsqueezed(self.one("contexts")).astype(np.int64))
+        self.seconds = unsqueezed(self.one("seconds")).astype(np.int64)
+
+    def pairs(self, some: np.ndarray | slice = slice(None)) -> np.ndarray:
+        return pair_keys(self.words[self.contexts[some]], self.words[self.seconds[some]])
+
+    def keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The sorted keys of both levels, and the places of the words and of the pairs among them."""
+        pairs = self.pairs()
+        order = np.argsort(pairs)
+        keys, word_at, at = interleaved(self.words, pairs[order])
+        pair_at = np.empty_like(at)
+        pair_at[order] = at
+        return keys, word_at, pair_at
+
+
+BLOCK = "g bigint, ids array<bigint>, learn array<boolean>, sizes binary, words binary, contexts binary, seconds binary, pair_of binary, own binary"
 MESSAGE = "g bigint, r int, keys binary, a binary, b binary, c binary"
 _TYPES = {"g": pa.int64(), "r": pa.int32(), "keys": pa.binary(), "a": pa.binary(), "b": pa.binary(), "c": pa.binary()}
 
@@ -312,10 +362,14 @@ def in_blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
             ids, learn, texts = (list(chain.from_iterable(b.column(i).to_pylist() for b in held)) for i in range(3))
             held.clear()
             sizes, words, tokens = coded(texts)
+            block = Pairs(sizes, words, tokens, None)
+            own = block.own_counts(np.array(learn, bool))
+            contexts, seconds, pair_of = block.by_context()
             g = uuid.uuid4().int >> 66  # drawn once: the blocks are written before anything reads them
-            row = {"g": [g], "ids": [ids], "learn": [learn], "sizes": [squeezed(sizes)], "words": [squeezed_keys(words)], "tokens": [squeezed(tokens)]}
-            types = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.binary(), pa.binary(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row.values(), types)], list(row))
+            packed = {"sizes": sizes, "words": np.diff(words, prepend=np.uint64(0)), "contexts": np.diff(contexts, prepend=0), "seconds": seconds, "pair_of": pair_of, "own": own}
+            row = {"g": pa.array([g], pa.int64()), "ids": pa.array([ids], pa.list_(pa.int64())), "learn": pa.array([learn], pa.list_(pa.bool_()))}
+            row |= {name: pa.array([squeezed(values)], pa.binary()) for name, values in packed.items()}
+            return pa.RecordBatch.from_arrays(list(row.values()), list(row))
 
         for batch in batches:
             for lo in range(0, batch.num_rows, 64):
@@ -332,11 +386,12 @@ def in_blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
 
 
 def merged(t: pa.Table) -> tuple[list[tuple[int, slice]], np.ndarray, np.ndarray, np.ndarray]:
-    """Senders with their stretches, the distinct keys, the place of each sent key, and which is its first sending."""
+    """Senders with their stretches, the distinct keys, the place of each sent key, and one sending of each key."""
     every = [unsqueezed_keys(x.as_py()) for x in t.column("keys")]
     ends = np.cumsum([len(x) for x in every]).tolist()
-    keys, first, place = np.unique(np.concatenate(every), return_index=True, return_inverse=True)
-    return [(g, slice(e - len(x), e)) for g, e, x in zip(t.column("g").to_pylist(), ends, every)], keys, place, first
+    together = np.concatenate(every)
+    one, place = distinct(together)
+    return [(g, slice(e - len(x), e)) for g, e, x in zip(t.column("g").to_pylist(), ends, every)], together[one], place, one
 
 
 def sent(t: pa.Table, column: str) -> np.ndarray:
@@ -373,24 +428,26 @@ def score_texts(docs: DataFrame, block_bytes: int = BLOCK_BYTES, with_tokens: bo
     def send_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                g, block = block_of(pa.Table.from_batches([batch.slice(i, 1)]))
-                at, own = cuts(block.keys, ranges), block.own_counts(np.array(batch.column(batch.schema.get_field_index("learn"))[i].as_py(), bool))
+                block = Block(pa.Table.from_batches([batch.slice(i, 1)]))
+                keys, own = block.keys()[0], unsqueezed(block.one("own"))
+                at = cuts(keys, ranges)
                 for lo in range(0, ranges, 64):
-                    parts = [(r, squeezed_keys(block.keys[at[r] : at[r + 1]]), squeezed(own[at[r] : at[r + 1]])) for r in range(lo, min(lo + 64, ranges)) if at[r] < at[r + 1]]
-                    yield from messages(g, parts).to_batches()
+                    parts = [(r, squeezed_keys(keys[at[r] : at[r + 1]]), squeezed(own[at[r] : at[r + 1]])) for r in range(lo, min(lo + 64, ranges)) if at[r] < at[r + 1]]
+                    yield from messages(block.g, parts).to_batches()
 
     def add_counts(t: pa.Table) -> pa.Table:
-        senders, keys, place, first = merged(t)
+        senders, keys, place, one = merged(t)
         r = t.column("r")[0].as_py()
         count = np.bincount(place, sent(t, "a")).astype(np.int64)
         owner = np.zeros(len(place), bool)
-        owner[first] = True
+        owner[one] = True
         out = [messages(g, [(r, None, squeezed(count[place[some]]), np.packbits(owner[some]).tobytes())]) for g, some in senders]
         word = (keys & np.uint64(1) == 0) & (count > 0) & (keys != START)
         pair = (keys & np.uint64(1) == 1) & (count > 0)
         return pa.concat_tables([*out, messages(-1, [(r, None, squeezed(np.array([count[word].sum(), word.sum(), pair.sum()])))])])
 
-    counts = spool(blocks.mapInArrow(send_counts, MESSAGE).groupBy("r").applyInArrow(add_counts, MESSAGE))
+    sending = blocks.select("g", "words", "contexts", "seconds", "own")
+    counts = spool(sending.mapInArrow(send_counts, MESSAGE).groupBy("r").applyInArrow(add_counts, MESSAGE))
     n_train, n_words, n_pairs = totals_of(counts, 3)
 
     def keep_counts(_key, blocks: pa.Table, answers: pa.Table) -> pa.Table:
@@ -399,23 +456,25 @@ def score_texts(docs: DataFrame, block_bytes: int = BLOCK_BYTES, with_tokens: bo
         count = np.concatenate([unsqueezed(answers.column("a")[i].as_py()) for i in order.tolist()])
         n = [int.from_bytes(answers.column("a")[i].as_py()[-8:], "little") for i in order.tolist()]
         owner = np.concatenate([np.unpackbits(np.frombuffer(answers.column("b")[i].as_py(), np.uint8), count=k) for i, k in zip(order.tolist(), n)])
-        first = block_of(blocks)[1].first
-        blocks = blocks.append_column("first", pa.array([squeezed(first)], pa.binary()))
-        return blocks.append_column("count", pa.array([squeezed(count)], pa.binary())).append_column("owner", pa.array([np.packbits(owner).tobytes()], pa.binary()))
-
-    ready = bucketed(blocks.groupBy("g").cogroup(counts.where("g >= 0").groupBy("g")).applyInArrow(keep_counts, f"{BLOCK}, first binary, count binary, owner binary"), "g", buckets)
+        _, word_at, pair_at = Block(blocks).keys()
+        kept = {"c_word": squeezed(count[word_at]), "c_pair": squeezed(count[pair_at]), "owner": np.packbits(owner[pair_at]).tobytes()}
+        for name, values in kept.items():
+            blocks = blocks.append_column(name, pa.array([values], pa.binary()))
+        return blocks
+
+    kept = blocks.drop("own")
+    layout = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema)
+    ready = bucketed(kept.groupBy("g").cogroup(counts.where("g >= 0").groupBy("g")).applyInArrow(keep_counts, f"{layout}, c_word binary, c_pair binary, owner binary"), "g", buckets)
     drop_bucketed(blocks)
 
-    def loaded(t: pa.Table, whole: bool = False) -> tuple[int, Pairs, np.ndarray, np.ndarray]:
-        g, block = block_of(t, whole)
-        count = unsqueezed(t.column("count")[0].as_py()).astype(np.int64)
-        return g, block, count, np.unpackbits(np.frombuffer(t.column("owner")[0].as_py(), np.uint8), count=len(count)).view(bool)
+    def loaded(t: pa.Table) -> tuple[Block, np.ndarray, np.ndarray]:
+        block = Block(t)
+        return block, *(unsqueezed(block.one(c)).astype(np.int64) for c in ("c_word", "c_pair"))
 
     known: list[tuple[int, int]] = []  # of each sweep: customers and tables of the parent
 
-    def state(block: Pairs, count: np.ndarray, answers: pa.Table | None, sweep: int) -> tuple[np.ndarray, np.ndarray]:
+    def state(c_word: np.ndarray, answers: pa.Table | None, sweep: int) -> tuple[np.ndarray, np.ndarray]:
         """Of the block's words after ``sweep``: the tables of the restaurant of each, and the parent's probability."""
-        c_word = count[block.word_at]
         if sweep < 0:  # before the first: an add-one model, and as many tables as distinct pairs on average
             return c_word * (n_pairs / max(1, n_train)), (c_word + 1) / (n_train + n_words + 1)
         rows = answers.filter(pc.equal(answers.column("sweep"), sweep))
@@ -425,18 +484,26 @@ def score_texts(docs: DataFrame, block_bytes: int = BLOCK_BYTES, with_tokens: bo
         spare = (ROOT_STRENGTH + ROOT_DISCOUNT * tables) / (n_words + 1)
         return of("a"), (of("b") - ROOT_DISCOUNT * of("c") + spare) / (ROOT_STRENGTH + customers)
 
-    def seated(block: Pairs, count: np.ndarray, tables: np.ndarray, parent: np.ndarray, sweep: int) -> np.ndarray:
-        """The tables of the block's pairs; of its context's tables one, of the dish itself, doesn't count in the pull."""
-        pull = (STRENGTH + DISCOUNT * np.maximum(tables[block.pair_context] - 1, 0.0)) * parent[block.pair_word]
-        return drawn_tables(block.pairs, count[block.pair_at], pull, DISCOUNT, sweep)
+    def seats(block: Block, c_pair: np.ndarray):
+        """A function of a sweep and the state before it, that draws the tables of the block's pairs; of its context's
+        tables one, of the dish itself, doesn't count in the pull."""
+        dishes = Dishes(c_pair)
+        keys, contexts, seconds = block.pairs(dishes.several), block.contexts[dishes.several], block.seconds[dishes.several]
+
+        def seated(tables: np.ndarray, parent: np.ndarray, sweep: int) -> np.ndarray:
+            pull = (STRENGTH + DISCOUNT * np.maximum(tables - 1, 0.0))[contexts] * parent[seconds]
+            return dishes.drawn(keys, pull, DISCOUNT, sweep)
+
+        return seated
 
     def asked(blocks: pa.Table, answers: pa.Table | None, sweep: int) -> pa.Table:
-        g, block, count, owner = loaded(blocks)
-        tables = seated(block, count, *state(block, count, answers, sweep - 1), sweep) * owner[block.pair_at]
-        by_context = np.bincount(block.pair_context, tables, minlength=len(block.words)).astype(np.int64)
-        by_word = np.bincount(block.pair_word, tables, minlength=len(block.words)).astype(np.int64)
+        block, c_word, c_pair = loaded(blocks)
+        owner = np.unpackbits(np.frombuffer(block.one("owner"), np.uint8), count=len(c_pair))
+        tables = seats(block, c_pair)(*state(c_word, answers, sweep - 1), sweep) * owner
+        by_context = np.bincount(block.contexts, tables, minlength=len(block.words)).astype(np.int64)
+        by_word = np.bincount(block.seconds, tables, minlength=len(block.words)).astype(np.int64)
         at = cuts(block.words, ranges)
-        return messages(g, [(r, squeezed_keys(block.words[at[r] : at[r + 1]]), *(squeezed(s[at[r] : at[r + 1]]) for s in (by_context, by_word))) for r in range(ranges) if at[r] < at[r + 1]])
+        return messages(block.g, [(r, squeezed_keys(block.words[at[r] : at[r + 1]]), *(squeezed(s[at[r] : at[r + 1]]) for s in (by_context, by_word))) for r in range(ranges) if at[r] < at[r + 1]])
 
     def answered(t: pa.Table, sweep: int, root_tables: int) -> pa.Table:
         senders, keys, place, _ = merged(t)
@@ -447,7 +514,7 @@ def score_texts(docs: DataFrame, block_bytes: int = BLOCK_BYTES, with_tokens: bo
         out = [messages(g, [(r, None, *(squeezed(x[place[some]]) for x in (in_context, customers, tables)))]) for g, some in senders]
         return pa.concat_tables([*out, messages(-1, [(r, None, squeezed(np.array([customers.sum(), tables.sum()])))])])
 
-    by_block = ready.groupBy("g")
+    by_block = ready.select("g", "words", "contexts", "seconds", "c_word", "c_pair", "owner").groupBy("g")
 
     def one_sweep(sweep: int, before: DataFrame | None, root_tables: int) -> DataFrame:
         def ask(_key, blocks: pa.Table, answers: pa.Table) -> pa.Table:
@@ -470,37 +537,39 @@ def score_texts(docs: DataFrame, block_bytes: int = BLOCK_BYTES, with_tokens: bo
         root_tables = known[-1][1]
 
     def score(_key, blocks: pa.Table, answers: pa.Table) -> pa.Table:
-        _, block, count, _ = loaded(blocks, True)
-        c_pair = count[block.pair_at]
-        c_context = np.maximum(count[block.word_at][block.pair_context], c_pair)
-        p = np.zeros(len(block.pairs))
-        tables, parent = state(block, count, answers, BURN_IN - 1)
+        block, c_word, c_pair = loaded(blocks)
+        sizes, pair_of = (unsqueezed(block.one(c)).astype(np.int64) for c in ("sizes", "pair_of"))
+        customers = STRENGTH + np.maximum(c_word[block.contexts], c_pair)
+        seated = seats(block, c_pair)
+        p = np.zeros(len(c_pair))
+        tables, parent = state(c_word, answers, BURN_IN - 1)
         for sweep in range(BURN_IN, BURN_IN + SAMPLES):
-            own = seated(block, count, tables, parent, sweep)
-            tables, parent = state(block, count, answers, sweep)
-            p += (c_pair - DISCOUNT * own + (STRENGTH + DISCOUNT * tables[block.pair_context]) * parent[block.pair_word]) / (STRENGTH + c_context)
-        each = np.log10(p / SAMPLES)[block.pair_of]
-        c_word = count[block.word_at][block.tokens]
-        starts = np.r_[0, block.ends[:-1]]
-        sums = [np.add.reduceat(x, starts) for x in ((c_word > 0).astype(np.int64), np.log10((c_word + 1) / (n_train + n_words + 1)), each)]
+            own = seated(tables, parent, sweep)
+            tables, parent = state(c_word, answers, sweep)
+            p += (c_pair - DISCOUNT * own + (STRENGTH + DISCOUNT * tables)[block.contexts] * parent[block.seconds]) / customers
+        each = np.log10(p / SAMPLES)[pair_of]
+        base = np.log10((c_word + 1) / (n_train + n_words + 1))
+        ends = np.cumsum(sizes)
+        starts = np.r_[0, ends[:-1]]
+        sums = [np.add.reduceat(x, starts) for x in ((c_word > 0).astype(np.int64)[block.seconds][pair_of], base[block.seconds][pair_of], each)]
         columns = {
             "id": pa.array(blocks.column("ids")[0].as_py(), pa.int64()),
             "learn": pa.array(blocks.column("learn")[0].as_py(), pa.bool_()),
-            "n_tokens": pa.array(block.sizes, pa.int64()),
+            "n_tokens": pa.array(sizes, pa.int64()),
             "n_known": pa.array(sums[0], pa.int64()),
             "train_tokens": pa.array(np.full(len(starts), n_train), pa.int64()),
             "base_score": pa.array(sums[1], pa.float64()),
             "score": pa.array(sums[2], pa.float64()),
         }
         if with_tokens:
-            columns["token_scores"] = pa.ListArray.from_arrays(pa.array(np.r_[0, block.ends].astype(np.int32)), pa.array(each))
+            columns["token_scores"] = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(each))
         return pa.table(columns)
 
     answers = swept[max(0, BURN_IN - 1)]
     for s in swept[max(0, BURN_IN - 1) + 1 :]:
         answers = answers.union(s)
     schema = "id bigint, learn boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double" + (", token_scores array<double>" if with_tokens else "")
-    return by_block.cogroup(answers.where("g >= 0").groupBy("g")).applyInArrow(score, schema)
+    return ready.drop("owner").groupBy("g").cogroup(answers.where("g >= 0").groupBy("g")).applyInArrow(score, schema)
 
 
 def op8_lm_scoring(spark, sf_dir: str) -> DataFrame:

@@ -355,3 +355,41 @@ def test_numbers_are_packed_without_empty_planes():
         assert hpylm.unsqueezed(hpylm.squeezed(np.array(values, np.uint64))).tolist() == values
     noise = np.random.default_rng(1).integers(0, 256, 1_000)
     assert hpylm.squeezed(noise)[-9] == 1
+
+
+def test_stored_blocks_keep_their_pairs(spark):
+    texts = ["a b a b c", None, "", "c A b", "b a b a"] + [f"w{i % 7} a W{i % 5} b" for i in range(60)]
+    rows = [(i, i % 3 > 0, t) for i, t in enumerate(texts)]
+    stored = hpylm.in_blocks(spark.createDataFrame(rows, "id bigint, learn boolean, text string").coalesce(1), 300).toArrow()
+    key = lambda w: hpylm.xxhash.xxh64_intdigest(w.encode()) & ~1
+    found = []
+    for i in range(stored.num_rows):
+        block = hpylm.Block(stored.slice(i, 1))
+        ids, sizes = block.one("ids"), hpylm.unsqueezed(block.one("sizes")).astype(np.int64)
+        found += ids
+        plain = [[*map(key, (texts[j] or "").lower().split()), int(hpylm.END)] for j in ids]
+        pairs = [list(zip([int(hpylm.START), *p], p)) for p in plain]
+        assert sizes.tolist() == [len(p) for p in plain]
+        there = list(zip(block.words[block.contexts].tolist(), block.words[block.seconds].tolist()))
+        of_token = hpylm.unsqueezed(block.one("pair_of")).tolist()
+        assert [there[k] for k in of_token] == [q for p in pairs for q in p] and len(set(there)) == len(there)
+        keys, word_at, pair_at = block.keys()
+        assert (np.diff(keys.astype(object)) > 0).all() and len(keys) == len(block.words) + len(there)
+        assert (keys[word_at] == block.words).all() and (keys[pair_at] == block.pairs()).all()
+        own, learn = hpylm.unsqueezed(block.one("own")), block.one("learn")
+        assert dict(zip(there, own[pair_at].tolist())) == {q: sum(p.count(q) for p, w in zip(pairs, learn) if w) for q in there}
+        counted = {k: sum(p.count(k) for p, w in zip(plain, learn) if w) for k in block.words.tolist()} | {int(hpylm.START): sum(learn)}
+        assert dict(zip(block.words.tolist(), own[word_at].tolist())) == counted
+    assert stored.num_rows > 1 and sorted(found) == list(range(len(texts)))
+
+
+def test_dishes_are_ordered_once_for_all_draws():
+    rng = np.random.default_rng(5)
+    customers = np.r_[0, 1, 2, 16, 17, hpylm.DRAWN, hpylm.DRAWN + 1, 5000, rng.integers(0, 300, 3000)]
+    keys, dishes = rng.integers(0, 2**63, len(customers)).astype(np.uint64), hpylm.Dishes(customers)
+    for sweep in range(3):
+        pull = rng.uniform(1e-3, 30, len(customers))
+        got = dishes.drawn(keys[dishes.several], pull[dishes.several], 0.8, sweep)
+        alone = [int(hpylm.drawn_tables(keys[i : i + 1], customers[i : i + 1], pull[i : i + 1], 0.8, sweep)[0]) for i in range(len(keys))]
+        assert got.tolist() == alone
+    assert hpylm.Dishes(np.array([0, 1, 1])).drawn(keys[:0], np.zeros(0), 0.8, 0).tolist() == [0, 1, 1]
