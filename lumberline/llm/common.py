@@ -64,14 +64,6 @@ def bucketed(df: DataFrame, column: str, buckets: int) -> DataFrame:
     return spark.table(name)
 
 
-def drop_bucketed(df: DataFrame) -> None:
-    """Delete a bucketed table that nothing reads any more."""
-    files = df.inputFiles()[:1]
-    for entry in [e for e in _tables if files and f"/spool-{e[1]}/" in files[0]]:
-        _tables.remove(entry)
-        _drop(*entry)
-
-
 def _drop(spark: SparkSession, name: str, path: str) -> None:
     spark.sql(f"DROP TABLE IF EXISTS {name}")
     _delete(spark, path)

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucketed, drop_bucketed, n_partitions, spool
+from .common import bucketed, drop_spool, n_partitions, spool
 
 BLOCK_BYTES = 4 << 20
 #: Blocks whose keys, about, one range of keys amounts to.
@@ -451,21 +451,20 @@ def score_texts(docs: DataFrame, block_bytes: int = BLOCK_BYTES, with_tokens: bo
     n_train, n_words, n_pairs = totals_of(counts, 3)
 
     def keep_counts(_key, blocks: pa.Table, answers: pa.Table) -> pa.Table:
-        """The block with the corpus counts of its keys, and with which of them it owns."""
+        """The corpus counts of a block's words and pairs, and which of the pairs it owns."""
         order = np.argsort(answers.column("r").to_numpy())
         count = np.concatenate([unsqueezed(answers.column("a")[i].as_py()) for i in order.tolist()])
         n = [int.from_bytes(answers.column("a")[i].as_py()[-8:], "little") for i in order.tolist()]
         owner = np.concatenate([np.unpackbits(np.frombuffer(answers.column("b")[i].as_py(), np.uint8), count=k) for i, k in zip(order.tolist(), n)])
-        _, word_at, pair_at = Block(blocks).keys()
+        block = Block(blocks)
+        _, word_at, pair_at = block.keys()
         kept = {"c_word": squeezed(count[word_at]), "c_pair": squeezed(count[pair_at]), "owner": np.packbits(owner[pair_at]).tobytes()}
-        for name, values in kept.items():
-            blocks = blocks.append_column(name, pa.array([values], pa.binary()))
-        return blocks
+        return pa.table({"g": pa.array([block.g], pa.int64())} | {name: pa.array([values], pa.binary()) for name, values in kept.items()})
 
-    kept = blocks.drop("own")
-    layout = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema)
-    ready = bucketed(kept.groupBy("g").cogroup(counts.where("g >= 0").groupBy("g")).applyInArrow(keep_counts, f"{layout}, c_word binary, c_pair binary, owner binary"), "g", buckets)
-    drop_bucketed(blocks)
+    of_pairs = blocks.select("g", "words", "contexts", "seconds")
+    known_counts = bucketed(of_pairs.groupBy("g").cogroup(counts.where("g >= 0").groupBy("g")).applyInArrow(keep_counts, "g bigint, c_word binary, c_pair binary, owner binary"), "g", buckets)
+    drop_spool(counts)
+    ready = blocks.join(known_counts.hint("merge"), "g")  # both lie in buckets: nothing is shuffled
 
     def loaded(t: pa.Table) -> tuple[Block, np.ndarray, np.ndarray]:
         block = Block(t)
@@ -569,7 +568,7 @@ def score_texts(docs: DataFrame, block_bytes: int = BLOCK_BYTES, with_tokens: bo
     for s in swept[max(0, BURN_IN - 1) + 1 :]:
         answers = answers.union(s)
     schema = "id bigint, learn boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double" + (", token_scores array<double>" if with_tokens else "")
-    return ready.drop("owner").groupBy("g").cogroup(answers.where("g >= 0").groupBy("g")).applyInArrow(score, schema)
+    return ready.drop("own", "owner").groupBy("g").cogroup(answers.where("g >= 0").groupBy("g")).applyInArrow(score, schema)
 
 
 def op8_lm_scoring(spark, sf_dir: str) -> DataFrame:
