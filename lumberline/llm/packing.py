@@ -31,8 +31,9 @@ from .mixing import SEED, mix_sources
 
 CAPACITY = 1024
 END_ID = 2
-#: Characters of text that a worker encodes at a time, and of the longest word that it merges itself.
-BATCH_CHARS, _LONGEST = 1 << 23, 48
+#: Characters of text that a worker encodes at a time (its arrays take some 20 times as much), and of the longest word that
+#: it merges itself.
+BATCH_CHARS, _LONGEST = 1 << 21, 48
 #: Documents of the mixture that are packed together.
 STRETCH = 4_096
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -127,9 +128,9 @@ class WordEncoder:
     """Token ids of whole texts.
 
     Byte-level BPE never joins across the space before a word, so a text is the concatenation of its words' ids: each
-    distinct word of a batch is encoded once. Words of Latin letters, digits and ASCII signs are split by the
-    tokenizer's own rule and merged by ``BytePairs``; all others, and texts for which a space is no safe cut (white space on
-    both its sides, the special token's string), go through the library as they are.
+    distinct word of a batch is encoded once, and not again if the batch before had it. Words of Latin letters, digits and
+    ASCII signs are split by the tokenizer's own rule and merged by ``BytePairs``; all others, and texts for which a space
+    is no safe cut (white space on both its sides, the special token's string), go through the library as they are.
     """
 
     def __init__(self, path: str):
@@ -138,6 +139,11 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.pairs = BytePairs(path)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.places: dict[str, int] = {}  # of the last batch's words in ``starts``
+        self.ids, self.starts = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def _library(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.int32) for lo in range(0, len(texts), 4096) for e in self.tokenizer.encode_batch_fast(texts[lo : lo + 4096], add_special_tokens=False)]
@@ -169,6 +175,20 @@ class WordEncoder:
         at = np.cumsum(size)
         return pool[np.repeat(begin - (at - size), size) + np.arange(int(at[-1]))], np.r_[0, at]
 
+    def recalled(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As ``words`` for distinct ones, with the ids that the call before found. One call's words are kept, if they have
+        up to ``BATCH_CHARS`` ids."""
+        place = np.fromiter((self.places.get(w, -1) for w in words), np.int64, len(words))
+        new = np.flatnonzero(place < 0)
+        place[new] = len(self.places) + np.arange(len(new))
+        ids, starts = self.words([words[i] for i in new.tolist()])
+        ids, ends = gathered(np.concatenate([self.ids, ids]), np.r_[self.starts[:-1], len(self.ids) + starts], place)
+        starts = np.r_[0, ends]
+        self._forget()
+        if len(ids) <= BATCH_CHARS:
+            self.places, self.ids, self.starts = dict(zip(words, range(len(words)))), ids, starts
+        return ids, starts
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(the ids of all texts, each followed by the end id; where each text's ids end)."""
         values = [t or "" for t in texts.to_pylist()]
@@ -184,7 +204,7 @@ class WordEncoder:
         place = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         firsts: dict[str, int] = {}  # the first word of a text has no space before it
         place[bounds[:-1]] = [firsts.setdefault(known[p], len(known) + len(firsts)) for p in place[bounds[:-1]].tolist()]
-        ids, starts = self.words([" " + w for w in known] + list(firsts))
+        ids, starts = self.recalled([" " + w for w in known] + list(firsts))
         pool = np.concatenate([ids, *apart, np.array([END_ID], np.int32)])
         starts = np.r_[starts[:-1], len(ids) + np.cumsum([0, *map(len, apart)]), len(pool)]
         place[bounds[:-1][whole]] = len(known) + len(firsts) + np.arange(len(whole))

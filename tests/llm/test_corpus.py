@@ -1,5 +1,6 @@
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -418,6 +419,27 @@ def test_words_get_the_library_s_ids():
     assert encoder.encode(pa.array([], pa.string()))[0].tolist() == []
 
 
+def test_encoding_holds_little_and_recalls_words():
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    encoder = packing.WordEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdeéß") for _ in range(6)) for _ in range(80_000)]
+    texts = pa.array([" ".join(rng.choice(words) for _ in range(300)) for _ in range(packing.BATCH_CHARS // 2400)])
+    tracemalloc.start()
+    flat, ends = encoder.encode(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80e6  # of a worker; two of them share an executor with its JVM
+    inner, encoded = encoder.words, []
+    encoder.words = lambda some: encoded.extend(some) or inner(some)
+    again, _ = encoder.encode(texts)
+    assert (again == flat).all() and not encoded
+    mixed = ["new " + texts[0].as_py(), None, "", "  x  "]
+    ids, ends = encoder.encode(pa.array(mixed))
+    assert "new" in encoded and len(encoded) < 10  # of 301 words
+    assert [x.tolist() for x in np.split(ids, ends[:-1])] == [encoder.tokenizer.encode(t or "", add_special_tokens=False).ids + [2] for t in mixed]
+
+
 def test_mixture_reaches_the_sequences(spark, monkeypatch):
     pytest.importorskip("public_tokenizers")
     import corpus_pipeline
