@@ -54,38 +54,32 @@ def external_shuffle(
     hashed = hashed.toDF(*columns, "__hash", "shuffle_bucket")
     id_at = columns[names.index(id_col)]
 
-    def shuffle_bucket(table: pa.Table) -> pa.Table:
-        bucket = table.column("shuffle_bucket")[0].as_py()
+    def shuffle_bucket(table: pa.Table, first: pa.Table) -> pa.Table:
+        bucket, start = (first.column(c)[0].as_py() for c in ("__bucket", "__start"))
         table = table.take(pa.compute.sort_indices(table, sort_keys=[("__hash", "ascending"), (id_at, "ascending")]))
         table = table.take(pa.array(fisher_yates(table.num_rows, seed, bucket), pa.int64()))
-        return table.select([*columns, "shuffle_bucket"]).append_column("__place", pa.array(np.arange(table.num_rows), pa.int64()))
-
-    schema = hashed.drop("__hash").withColumn("__place", F.lit(0).cast("long")).schema
-    placed = hashed.groupBy("shuffle_bucket").applyInArrow(shuffle_bucket, schema)
-    counts = hashed.groupBy("shuffle_bucket").agg(F.count(F.lit(1)).alias("__n"))
-    out = with_starts(placed, counts, rows, shards)
+        return table.select([*columns, "shuffle_bucket"]).append_column("shuffle_position", pa.array(start + np.arange(table.num_rows), pa.int64()))
+
+    schema = hashed.drop("__hash").withColumn("shuffle_position", F.lit(0).cast("long")).schema
+    counts = hashed.groupBy(F.col("shuffle_bucket").alias("__bucket")).agg(F.count(F.lit(1)).alias("__n"))
+    # The starts come to the buckets by the texts' own shuffle: a join with the shuffled texts would write them once more.
+    placed = hashed.groupBy("shuffle_bucket").cogroup(bucket_starts(counts).groupBy("__bucket")).applyInArrow(shuffle_bucket, schema)
+    divisor = max(1, rows)
+    out = placed.withColumn("shard", F.expr(f"cast(((shuffle_position + 1) * {shards} - 1) div {divisor} as int)"))
+    out = out.withColumn("slot", F.expr(f"shuffle_position - (cast(shard as bigint) * {divisor}) div {shards}"))
     return out.select(*[F.col(c).alias(n) for c, n in zip(columns, names)], "shuffle_bucket", "shuffle_position", "shard", "slot")
 
 
-def with_starts(placed: DataFrame, counts: DataFrame, rows: int, shards: int) -> DataFrame:
-    """Add position, shard and slot. ``counts`` has one row for each bucket of 16 MB, some millions for 100 TB; running
-    totals are taken in groups of 4,096 buckets, and over the groups."""
-    group = F.expr("shuffle_bucket div 4096")
+def bucket_starts(counts: DataFrame) -> DataFrame:
+    """The position of each bucket's first record. ``counts`` has one row for each bucket of 16 MB, some millions for
+    100 TB; running totals are taken in groups of 4,096 buckets, and over the groups."""
+    group = F.expr("__bucket div 4096")
     groups = counts.groupBy(group.alias("__group")).agg(F.sum("__n").alias("__m"))
     before = Window.orderBy("__group").rowsBetween(Window.unboundedPreceding, -1)
-    inside = Window.partitionBy("__group").orderBy("shuffle_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("__group").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     groups = groups.select("__group", F.coalesce(F.sum("__m").over(before), F.lit(0)).alias("__first"))
     starts = counts.withColumn("__group", group).join(groups, "__group")
-    starts = starts.select("shuffle_bucket", (F.col("__first") + F.coalesce(F.sum("__n").over(inside), F.lit(0))).alias("__start"))
-    position = F.col("__start") + F.col("__place")
-    n = F.lit(max(1, rows))
-    return (
-        placed.join(starts, "shuffle_bucket")
-        .withColumn("shuffle_position", position)
-        .withColumn("shard", F.expr(f"cast(((shuffle_position + 1) * {shards} - 1) div {max(1, rows)} as int)"))
-        .withColumn("slot", F.col("shuffle_position") - F.expr(f"(cast(shard as bigint) * {max(1, rows)}) div {shards}"))
-        .drop("__start", "__place")
-    )
+    return starts.select("__bucket", (F.col("__first") + F.coalesce(F.sum("__n").over(inside), F.lit(0))).alias("__start"))
 
 
 def write_shards(shuffled: DataFrame, path: str) -> None:

@@ -63,6 +63,29 @@ def test_shuffle_like_one_list(spark):
     assert [(r["doc_id"], r["text"], r["shard"], r["slot"]) for r in got] == want
 
 
+def test_shuffle_moves_texts_once(spark):
+    """Neither side of a join is broadcast here, as on large tables or when sizes come late."""
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    old = {name: spark.conf.get(name) for name in settings}
+
+    def widths(plan):
+        nodes = plan.children()
+        found = [plan.output().size()] if plan.nodeName() == "Exchange" else []
+        return found + [w for i in range(nodes.size()) for w in widths(nodes.apply(i))]
+
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        df = docs(spark, ODD + [(i, f"text {i % 7}", "z") for i in range(10, 100)])
+        got = sharding.external_shuffle(df, shards=7, bucket_bytes=400)
+        exchanges = widths(got._jdf.queryExecution().executedPlan())
+        assert len([w for w in exchanges if w >= len(df.columns)]) == 1, exchanges
+        assert sorted(r["shuffle_position"] for r in got.collect()) == list(range(df.count()))
+    finally:
+        for name, value in old.items():
+            spark.conf.set(name, value)
+
+
 def test_shards_are_written(spark, tmp_path):
     df = docs(spark, [(i, str(i), "z") for i in range(50)])
     sharding.write_shards(sharding.external_shuffle(df, shards=4), str(tmp_path / "out"))
