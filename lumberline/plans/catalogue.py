@@ -42,7 +42,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def millis(ts: Column) -> Column:
-    return F.unix_millis(ts.cast("timestamp_ntz").cast("timestamp"))
+    """Milliseconds since 1970, microseconds cut towards it as by the SQL's ``//``."""
+    at = ts.cast("timestamp_ntz").cast("timestamp")
+    return F.unix_millis(at) + F.when(F.unix_micros(at) % 1000 < 0, 1).otherwise(0)
 
 
 def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
