@@ -17,21 +17,26 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
-from ..functions.masking import SPACE, split_tokens
+from ..functions.masking import split_tokens, tokens_of
 from ..sources.spool import release, spooled
 
 WILD = "<*>"
 EMPTY = "<EMPTY>"
-#: Bytes of a line that are mined, and clusters of a leaf that are compared.
-MINED_BYTES, COMPARED = 4096, 256
+#: Clusters of a leaf that are compared one by one; more are compared together.
+FEW_CLUSTERS = 32
+#: Contents that a leaf remembers, and their characters.
+REMEMBERED, REMEMBERED_CHARS = 65_536, 64 << 20
 
 
 @dataclass(frozen=True)
 class DrainConfig:
+    """``max_children``: keys of a node, whose later ones share "*". ``max_clusters``: templates of a document, whose later
+    lines join the most similar one. None: no limit, so that each path has its leaf and each unlike line its template."""
+
     depth: int = 4
     similarity: float = 0.5
-    max_children: int = 100
-    max_clusters: int = 20_000
+    max_children: int | None = 100
+    max_clusters: int | None = 20_000
 
     def __post_init__(self):
         if self.depth < 3:
@@ -52,6 +57,58 @@ def similarity(tokens: list[str], template: list[str]) -> float:
     return tenths / (10 * max(len(tokens), len(template)))
 
 
+@dataclass
+class SameLength:
+    """Templates of one length as rows of numbers."""
+
+    codes: np.ndarray
+    wild: list[int] = field(default_factory=list)
+    places: list[int] = field(default_factory=list)
+
+    def append(self, codes: list[int], wild: int, place: int) -> None:
+        if len(self.places) == len(self.codes):
+            self.codes = np.concatenate([self.codes, np.empty((max(1, len(self.codes)), len(codes)), np.int32)])
+        self.codes[len(self.places)] = codes
+        self.wild.append(wild)
+        self.places.append(place)
+
+
+class Templates:
+    """All templates of a leaf as tables of numbers, one for each length, that a line is compared with at once."""
+
+    def __init__(self):
+        self.numbers = {WILD: 0}
+        self.tables: dict[int, SameLength] = {}
+        self.rows: list[tuple[SameLength, int]] = []  # where each cluster stands
+
+    def append(self, cluster: Cluster) -> None:
+        codes = [self.numbers.setdefault(t, len(self.numbers)) for t in cluster.template]
+        table = self.tables.setdefault(len(codes), SameLength(np.empty((0, len(codes)), np.int32)))
+        self.rows.append((table, len(table.places)))
+        table.append(codes, cluster.wild, len(self.rows) - 1)
+
+    def widen(self, place: int, at: int) -> None:
+        """The cluster's position ``at`` is a wildcard from now on."""
+        table, row = self.rows[place]
+        table.codes[row, at] = 0
+        table.wild[row] += 1
+
+    def nearest(self, tokens: list[str]) -> tuple[int | None, float]:
+        line = np.array([self.numbers.get(t, -1) for t in tokens], np.int32)
+        best, score = None, -1.0
+        for n, table in self.tables.items():
+            shared = min(n, len(line))
+            codes = table.codes[: len(table.places), :shared]
+            same = codes == line[:shared]
+            tenths = 10 * same.sum(1) + 5 * ((codes == 0) & ~same).sum(1)
+            s = tenths / (10 * max(n, len(line)))
+            s[(10 * np.array(table.wild) > 7 * n) & (s < 0.8)] = -1.0
+            i = int(s.argmax())  # the first of equal ones
+            if s[i] >= 0 and (s[i] > score or (s[i] == score and table.places[i] < best)):
+                best, score = table.places[i], float(s[i])
+        return best, score
+
+
 @dataclass
 class Leaf:
     """The clusters of one leaf, in order of birth, and a memo that holds while no template changes."""
@@ -61,6 +118,21 @@ class Leaf:
     stop: int | None = None  # from this line on no cluster may be born
     clusters: list[Cluster] = field(default_factory=list)
     memo: dict[str, Cluster | None] = field(default_factory=dict)
+    templates: Templates = field(default_factory=Templates)  # of the clusters, once there are many
+    remembered: int = 0
+
+    def nearest(self, tokens: list[str]) -> tuple[int | None, float]:
+        """The most similar cluster's place, the first of equal ones, and its similarity."""
+        if len(self.clusters) > FEW_CLUSTERS:
+            for c in self.clusters[len(self.templates.rows) :]:
+                self.templates.append(c)
+            return self.templates.nearest(tokens)
+        best, score = None, -1.0
+        for i, c in enumerate(self.clusters):
+            s = similarity(tokens, c.template)
+            if s > score and not (10 * c.wild > 7 * len(c.template) and s < 0.8):
+                best, score = i, s
+        return best, score
 
     def add(self, line_no: int, content: str) -> int | None:
         """The birth line of the cluster that the line joins (its own for a new one); None for the blank cluster."""
@@ -70,11 +142,8 @@ class Leaf:
                 found.size += 1
             return found.birth if found else None
         tokens = split_tokens(content)
-        best, score = None, -1.0
-        for c in self.clusters[:COMPARED]:
-            s = similarity(tokens, c.template)
-            if s > score and not (10 * c.wild > 7 * len(c.template) and s < 0.8):
-                best, score = c, s
+        place, score = self.nearest(tokens)
+        best = None if place is None else self.clusters[place]
         born = self.stop is None or line_no < self.stop
         if best is None and not born:
             self._remember(content, None)
@@ -86,29 +155,26 @@ class Leaf:
                 if a != b and a != WILD:
                     best.template[i] = WILD
                     best.wild += 1
+                    if place < len(self.templates.rows):
+                        self.templates.widen(place, i)
                     changed = True
             if changed:
-                self.memo.clear()
+                self.forget()
             else:
                 self._remember(content, best)
             return best.birth
         self.clusters.append(Cluster(line_no, tokens, wild=tokens.count(WILD)))
-        self.memo.clear()
+        self.forget()
         return line_no
 
+    def forget(self) -> None:
+        self.memo.clear()
+        self.remembered = 0
+
     def _remember(self, content: str, cluster: Cluster | None) -> None:
-        if len(self.memo) < 65_536:
+        if len(self.memo) < REMEMBERED and self.remembered + len(content) <= REMEMBERED_CHARS:
             self.memo[content] = cluster
-
-
-def mined(text):
-    """The first 4,096 bytes, cut at a character."""
-    head = F.make_valid_utf8(F.substring(F.encode(text, "UTF-8"), 1, MINED_BYTES).cast("string"))
-    return F.when(F.octet_length(text) <= MINED_BYTES, text).otherwise(F.regexp_replace(head, "�+$", ""))
-
-
-def tokens_of(content):
-    return F.filter(F.split(mined(content), SPACE), lambda t: t != "")
+            self.remembered += len(content)
 
 
 def with_keys(lines: DataFrame, config: DrainConfig) -> DataFrame:
@@ -221,7 +287,7 @@ def _replayed(leaf: Leaf, lines: np.ndarray, codes: np.ndarray, contents: list[s
         for i in range(lo, min(lo + TOGETHER, len(lines))):
             if leaf.overflow != overflow[i]:
                 leaf.overflow = bool(overflow[i])
-                leaf.memo.clear()
+                leaf.forget()
             birth = leaf.add(int(lines[i]), contents[codes[i]])
             out[i] = -1 if birth is None else birth
     return out
@@ -290,7 +356,7 @@ def replay(routed: DataFrame, config: DrainConfig, stops: DataFrame | None = Non
     lines of their leaf.
     """
     kind = routed.schema["doc_id"].dataType
-    rows = routed.select("doc_id", "leaf", "line_no", "overflow", mined(F.col("content")).alias("content"), F.lit(None).cast("long").alias("birth"), F.lit(None).cast("long").alias("size"))
+    rows = routed.select("doc_id", "leaf", "line_no", "overflow", "content", F.lit(None).cast("long").alias("birth"), F.lit(None).cast("long").alias("size"))
     if known is not None:
         rows = rows.union(known.select("doc_id", "leaf", F.lit(None).cast("long"), F.lit(False), F.col("template"), "birth", "size"))
     rows = rows.join(stops.withColumnRenamed("doc_id", "__d"), F.col("doc_id") == F.col("__d"), "left").drop("__d") if stops is not None else rows.withColumn("stop", F.lit(None).cast("long"))
@@ -351,12 +417,18 @@ def mine_on(lines: DataFrame, config: DrainConfig = DrainConfig(), before: Mined
 def mine_keyed(keyed: DataFrame, config: DrainConfig = DrainConfig(), before: Mined | None = None, own: bool = False) -> Mined:
     """``mine_on`` of a written table of lines ``with_keys``; with ``own`` it is deleted afterwards."""
     names = [c for c in keyed.columns if c.startswith("__k")]
-    leaves, children = route(keyed, config, before.children if before else None)
-    to = leaves.select(F.col("doc_id").alias("__d"), *[F.col(n).alias(f"_{n}") for n in names], "leaf", "overflow")
-    same = F.col("doc_id").eqNullSafe(F.col("__d"))
-    for n in names:
-        same = same & (F.col(n) == F.col(f"_{n}"))
-    routed = keyed.select("doc_id", "line_no", "content", *names).join(to, same).select("doc_id", "leaf", "overflow", "line_no", "content")
+    routed = keyed.where(F.col("__k0").isNotNull())
+    if config.max_children is None:  # each path of keys is a leaf, and no child has to be known later
+        leaves, children = None, keyed.sparkSession.createDataFrame([], StructType([keyed.schema["doc_id"], *CHILD.fields]))
+        routed = routed.withColumns({"leaf": F.concat_ws("\u0001", F.lit(""), *names), "overflow": F.lit(False)})
+    else:
+        leaves, children = route(keyed, config, before.children if before else None)
+        to = leaves.select(F.col("doc_id").alias("__d"), *[F.col(n).alias(f"_{n}") for n in names], "leaf", "overflow")
+        same = F.col("doc_id").eqNullSafe(F.col("__d"))
+        for n in names:
+            same = same & (F.col(n) == F.col(f"_{n}"))
+        routed = routed.select("doc_id", "line_no", "content", *names).join(to, same)
+    routed = routed.select("doc_id", "leaf", "overflow", "line_no", "content")
     known = before.clusters if before else None
     rank = Window.partitionBy("doc_id").orderBy("birth")
 
@@ -365,8 +437,8 @@ def mine_keyed(keyed: DataFrame, config: DrainConfig = DrainConfig(), before: Mi
 
     found = spooled(replay(routed, config, None, known))
     clusters = ranked(found)  # a row for each template
-    over = clusters.where(F.col("nth") == config.max_clusters).select("doc_id", F.col("birth").alias("stop"))
-    if over.limit(1).count():
+    over = clusters.where(F.col("nth") == F.lit(config.max_clusters)).select("doc_id", F.col("birth").alias("stop"))
+    if config.max_clusters is not None and over.limit(1).count():
         again = spooled(replay(routed, config, over, known))
         release(found)
         release(clusters)
@@ -376,7 +448,7 @@ def mine_keyed(keyed: DataFrame, config: DrainConfig = DrainConfig(), before: Mi
     if before:
         blanks = blanks.union(before.blanks)
     blanks = spooled(blanks.groupBy("doc_id").agg(F.sum("count").alias("count")))
-    for table in (leaves, *([keyed] if own else [])):
+    for table in (*([leaves] if leaves else []), *([keyed] if own else [])):
         release(table)
     return Mined(found, clusters, children, blanks)
 
@@ -399,20 +471,20 @@ class Tree:
     def add(self, content: str) -> int:
         """The template id of the next line."""
         n, self.lines = self.lines, self.lines + 1
-        tokens = split_tokens(content.encode()[:MINED_BYTES].decode("utf-8", "ignore"))
+        tokens = split_tokens(content)
         if not tokens:
             return 0
         node, overflow = self.root, False
         path = [str(len(tokens))] + [tokens[i] if i < len(tokens) else "*" for i in range(self.config.depth - 2)]
         for level, key in enumerate(path):
-            if key not in node and key != "*" and len(node) >= self.config.max_children:
+            if key not in node and key != "*" and self.config.max_children is not None and len(node) >= self.config.max_children:
                 key, overflow = "*", overflow or level > 0
             node = node.setdefault(key, {})
         leaf = node.setdefault("leaf", Leaf(self.config, overflow))
-        stop = 0 if len(self.clusters) + 1 >= self.config.max_clusters else None
+        stop = 0 if self.config.max_clusters is not None and len(self.clusters) + 1 >= self.config.max_clusters else None
         if (leaf.overflow, leaf.stop) != (overflow, stop):
             leaf.overflow, leaf.stop = overflow, stop
-            leaf.memo.clear()
+            leaf.forget()
         known = len(leaf.clusters)
         birth = leaf.add(n, " ".join(tokens))
         if len(leaf.clusters) > known:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lumberline.operators import mining
 from lumberline.operators.mining import DrainConfig, mine, mine_in_order
+from lumberline.plans import catalogue
 
 
 def run(spark, contents, config):
@@ -92,3 +93,55 @@ def test_short_leaves_share_batches(spark):
     found = pa.Table.from_batches(got).to_pylist()
     assert sorted(r["doc_id"] for r in found if r["line_no"] == 0) == sorted(r["doc_id"] for r in found if r["template"]) == [f"d{i:04}" for i in range(n)]
     assert all(r["birth"] == 0 and (r["template"] is None or r["template"] == f"word{int(r['doc_id'][1:])}" and r["size"] == 1) for r in found)
+
+
+def test_whole_lines_are_mined(spark):
+    """Lines that differ after 4,096 bytes are of the same shape, and their templates have all tokens."""
+    head = "start " + "x " * 3_000
+    ids, patterns, _ = run(spark, [head + "é one", head + "é two", head + "é two three"], DrainConfig())
+    assert ids == [1, 1, 2]
+    assert patterns == ["<EMPTY>", head + "é <*>", head + "é two three"]
+    assert (ids, patterns) == mine_in_order([head + "é one", head + "é two", head + "é two three"])
+
+
+def test_all_clusters_of_a_leaf_are_compared(spark):
+    contents = [f"a b {i}x {i}y {i}z" for i in range(300)]
+    ids, patterns, counts = run(spark, [*contents, "a b 298x 298y new", "a b 3x new 3z"], DrainConfig())
+    assert ids == [*range(1, 301), 299, 4]
+    assert patterns[299] == "a b 298x 298y <*>" and patterns[4] == "a b 3x <*> 3z" and counts[299] == 2
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_clusters_compared_together_as_one_by_one(seed, monkeypatch):
+    """Lengths are mixed in leaves of "*", where any similarity merges; literal wildcards occur."""
+    rng = random.Random(seed)
+    words = [*"abcdefgh", "<*>", "*"]
+    contents = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 9))) for _ in range(1_500)]
+    config = DrainConfig(3, rng.choice([0.5, 0.7, 0.9]), rng.choice([2, 5, None]), rng.choice([40, 20_000, None]))
+    found = []
+    for few in (10**9, 0, 3):
+        monkeypatch.setattr(mining, "FEW_CLUSTERS", few)
+        found.append(mine_in_order(contents, config))
+    assert found[0] == found[1] == found[2] and len(found[0][1]) > 10
+
+
+def test_templates_of_documents_have_no_limits(spark, tmp_path):
+    """130 lengths of lines, and 130 first words of one length: all are kept apart."""
+    lines = [" ".join(f"{chr(97 + i % 26)}w" for _ in range(i)) for i in range(1, 131)] + [f"{chr(97 + i % 26)}{chr(97 + i // 26)}k q {'r' if i % 2 else 's'} {chr(97 + i % 26)}v" for i in range(130)]
+    spark.createDataFrame([("d", "\n".join(lines))], "doc_id string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = catalogue.drain_documents(spark, str(tmp_path)).where("template_id > 0").orderBy("template_id").collect()
+    assert [(r["pattern"], r["count"], r["example_line"]) for r in got] == [(line, 1, i) for i, line in enumerate(lines)]
+
+
+def test_mining_without_limits_goes_on(spark):
+    rng = random.Random(3)
+    contents = [" ".join(rng.choice("abcdefgh*") for _ in range(rng.randint(0, 4))) for _ in range(240)]
+    config = DrainConfig(max_children=None, max_clusters=None)
+    want, patterns = mine_in_order(contents, config)
+    rows = lambda lo, hi: spark.createDataFrame([("d", i, contents[i]) for i in range(lo, hi)], "doc_id string, line_no bigint, content string")
+    before = mining.mine_on(rows(0, 100), config)
+    after = mining.mine_on(rows(100, 240), config, before)
+    births = {r["line_no"]: r["template_id"] for r in [*before.births.collect(), *after.births.collect()]}
+    assert [births.get(i, 0) for i in range(240)] == want
+    got = {r["template_id"]: (r["pattern"], r["count"]) for r in after.templates.collect()}
+    assert got == {i: (p, want.count(i)) for i, p in enumerate(patterns)}
