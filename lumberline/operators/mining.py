@@ -296,14 +296,23 @@ def _replayed(leaf: Leaf, lines: np.ndarray, codes: np.ndarray, contents: list[s
 REPLAYED = StructType([StructField("doc_id", StringType()), StructField("leaf", StringType()), StructField("line_no", LongType()), StructField("birth", LongType()), StructField("template", StringType()), StructField("size", LongType())])
 
 
-def replayed_batches(batches: Iterator[pa.RecordBatch], config: DrainConfig) -> Iterator[pa.RecordBatch]:
-    """The rows of ``replay`` from its sorted rows. A batch gives one batch of its lines and one of the clusters of the leaves
-    that end in it, however short its leaves are."""
-    at, leaf, like = None, None, None
+def joined(column: dict[str, pa.Array], new: np.ndarray, births: np.ndarray) -> pa.RecordBatch:
+    """The rows of the lines of a batch that are ``new``."""
+    none = lambda t: pa.nulls(len(births), t)
+    found = [column["doc_id"], none(pa.string()), column["line_no"], pa.array(births, pa.int64(), mask=births < 0), none(pa.string()), none(pa.int64())]
+    return pa.RecordBatch.from_arrays([c.filter(pa.array(new)) for c in found], [f.name for f in REPLAYED])
+
+
+def replayed_batches(batches: Iterator[pa.RecordBatch], config: DrainConfig, births_too: bool = True) -> Iterator[pa.RecordBatch]:
+    """The rows of ``replay`` from its sorted rows. A batch gives one batch of its lines (with ``births_too``) and one of the
+    clusters of the leaves that end in it, however short its leaves are."""
+    at, leaf, like, blank = None, None, None, 0
     ended: list[tuple] = []  # document, leaf, birth, template, size
 
     def end() -> None:
-        if leaf is not None:  # without clusters if births were forbidden before its first line
+        if leaf is not None and at[1] is None:
+            ended.append((*at, None, EMPTY, blank))
+        elif leaf is not None:  # without clusters if births were forbidden before its first line
             ended.extend((*at, c.birth, " ".join(c.template), c.size) for c in leaf.clusters)
 
     def finals() -> pa.RecordBatch:
@@ -326,19 +335,22 @@ def replayed_batches(batches: Iterator[pa.RecordBatch], config: DrainConfig) ->
         cuts = np.flatnonzero((np.diff(code["doc_id"]) != 0) | (np.diff(code["leaf"]) != 0)) + 1
         for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), b.num_rows]):
             d = int(code["doc_id"][lo])
-            place = (doc_names[d] if d >= 0 else None, leaf_names[code["leaf"][lo]])
+            n = int(code["leaf"][lo])
+            place = (doc_names[d] if d >= 0 else None, leaf_names[n] if n >= 0 else None)
             if place != at:
                 end()
-                at, leaf = place, Leaf(config, False, column["stop"][lo].as_py())
+                at, leaf, blank = place, Leaf(config, False, column["stop"][lo].as_py()), 0
+            if n < 0:
+                blank += hi - lo
+                continue
             while lo < hi and old[lo]:
                 tokens = contents[code["content"][lo]].split(" ")
                 leaf.clusters.append(Cluster(column["birth"][lo].as_py(), tokens, column["size"][lo].as_py(), tokens.count(WILD)))
                 lo += 1
             if lo < hi:
                 births[lo:hi] = _replayed(leaf, lines[lo:hi], code["content"][lo:hi], contents, flags[lo:hi])
-        new = pa.array(~old)
-        found = [column["doc_id"], pa.nulls(b.num_rows, pa.string()), column["line_no"], pa.array(births, pa.int64(), mask=births < 0), pa.nulls(b.num_rows, pa.string()), pa.nulls(b.num_rows, pa.int64())]
-        yield pa.RecordBatch.from_arrays([c.filter(new) for c in found], [f.name for f in REPLAYED])
+        if births_too:
+            yield joined(column, ~old, births)
         if ended:
             yield finals()
     end()
@@ -346,10 +358,11 @@ def replayed_batches(batches: Iterator[pa.RecordBatch], config: DrainConfig) ->
         yield finals()
 
 
-def replay(routed: DataFrame, config: DrainConfig, stops: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
+def replay(routed: DataFrame, config: DrainConfig, stops: DataFrame | None = None, known: DataFrame | None = None, births_too: bool = True) -> DataFrame:
     """(doc_id, leaf, line_no, birth, template, size): of each line of ``routed`` (doc_id, leaf, overflow, line_no, content)
     the birth line of its cluster (null: the blank cluster); and of each cluster a row without ``line_no`` that has its final
-    ``template`` and ``size``.
+    ``template`` and ``size``. Lines without a leaf are blank; a document's have one row like a cluster's, without ``birth``.
+    Rows of lines are left out without ``births_too``.
 
     Only these narrow rows are shuffled. Lines of a leaf stand together, sorted, and stream through; memory is the leaf's
     clusters and a batch. ``known`` (doc_id, leaf, birth, template, size) are clusters of earlier lines; they come before the
@@ -363,7 +376,7 @@ def replay(routed: DataFrame, config: DrainConfig, stops: DataFrame | None = Non
     # the overflow flag is the leaf's: a "*" child that is shared by literal and late keys overflows for the late ones
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return replayed_batches(batches, config)
+        return replayed_batches(batches, config, births_too)
 
     dealt = rows.repartition("doc_id", "leaf").sortWithinPartitions("doc_id", "leaf", F.col("line_no").asc_nulls_first(), "birth")
     return dealt.mapInArrow(run, StructType([StructField("doc_id", kind), *REPLAYED.fields[1:]]))
@@ -459,6 +472,23 @@ def mine(lines: DataFrame, config: DrainConfig = DrainConfig()) -> tuple[DataFra
     return found.of(lines), found.templates
 
 
+def templates_of(lines: DataFrame, config: DrainConfig = DrainConfig(max_children=None, max_clusters=None)) -> DataFrame:
+    """The templates of ``mine`` alone, without limits: lines are read once and nothing is written but two shuffles."""
+    if config.max_children is not None or config.max_clusters is not None:
+        raise ValueError("templates alone are mined without limits")
+    keyed = with_keys(lines.select("doc_id", "line_no", "content"), config)
+    names = [c for c in keyed.columns if c.startswith("__k")]
+    leaf = F.when(F.col("__k0").isNotNull(), F.concat_ws("\u0001", F.lit(""), *names))
+    found = replay(keyed.select("doc_id", leaf.alias("leaf"), F.lit(False).alias("overflow"), "line_no", "content"), config, births_too=False)
+    order = Window.partitionBy("doc_id").orderBy(F.col("birth").asc_nulls_first())  # the blank template is first, where there is one
+    blank = F.first("birth").over(order).isNull()
+    numbered = found.select("doc_id", (F.row_number().over(order) - blank.cast("int")).alias("template_id"), (~blank & (F.row_number().over(order) == 1)).alias("__first"), F.col("template").alias("pattern"), F.col("size").alias("count"), F.coalesce("birth", F.lit(0)).alias("example_line"))
+    own = F.struct("template_id", "pattern", "count", "example_line")
+    none = F.struct(F.lit(0).alias("template_id"), F.lit(EMPTY).alias("pattern"), F.lit(0).cast("long").alias("count"), F.lit(0).cast("long").alias("example_line"))
+    rows = numbered.select("doc_id", F.explode(F.when(F.col("__first"), F.array(none, own)).otherwise(F.array(own))).alias("__t"))
+    return rows.select("doc_id", "__t.*")
+
+
 class Tree:
     """The same by one pass over an ordinary tree: for tests, small samples and lines that arrive one by one."""
 
@@ -515,4 +545,4 @@ def degraded(templates: DataFrame) -> DataFrame:
     return templates.where(10 * F.size(F.filter(words, lambda w: w == WILD)) > 7 * F.size(words))
 
 
-__all__ = ["DrainConfig", "Mined", "Tree", "degraded", "mine", "mine_in_order", "mine_keyed", "mine_on", "replay", "route", "template_counts", "with_keys"]
+__all__ = ["DrainConfig", "Mined", "Tree", "degraded", "mine", "mine_in_order", "mine_keyed", "mine_on", "replay", "route", "template_counts", "templates_of", "with_keys"]

@@ -604,8 +604,7 @@ def drain_template_ids(spark, sf_dir):
 def drain_documents(spark, sf_dir):
     """Templates of each document, of whole lines and without limits of keys or templates."""
     lines = document_lines(spark, sf_dir).select("doc_id", "line_no", masking.masked_lines(F.col("text")).alias("content"))
-    templates = mining.mine(lines, mining.DrainConfig(max_children=None, max_clusters=None))[1]
-    return templates.select("doc_id", "template_id", "pattern", "count", "example_line")
+    return mining.templates_of(lines)
 
 
 WORDLESS = "[^\\s\\-\\[\\]{{}}(),\"'']"

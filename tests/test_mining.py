@@ -145,3 +145,16 @@ def test_mining_without_limits_goes_on(spark):
     assert [births.get(i, 0) for i in range(240)] == want
     got = {r["template_id"]: (r["pattern"], r["count"]) for r in after.templates.collect()}
     assert got == {i: (p, want.count(i)) for i, p in enumerate(patterns)}
+
+
+def test_templates_alone_equal_those_of_mining(spark):
+    """Documents without blank lines, of blank lines alone and without an id are among them."""
+    rng = random.Random(5)
+    rows = [(d, i, " ".join(rng.choice("abcd*") for _ in range(rng.randint(0 if d != "full" else 1, 4)))) for d in ("x", "full", None) for i in range(80)] + [("blank", i, " ") for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id string, line_no bigint, content string")
+    found = mining.templates_of(df)
+    want = mine(df, DrainConfig(max_children=None, max_clusters=None))[1]
+    assert found.schema.simpleString() == want.schema.simpleString()
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, want.collect()))
+    with pytest.raises(ValueError):
+        mining.templates_of(df, DrainConfig())
